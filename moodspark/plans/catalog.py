@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import memories as M
+from ..operators import stats as ST
 from ..operators import summary as S
 from ..sources import tables as T
 from . import sqltext as Q
@@ -33,10 +35,12 @@ def register(name: str, sql: str | None = None):
 
 # ----------------------------------------------------------------- D5 daily summary
 
-D5_ROWS_SQL = f"""rows_ AS (
+def d5_sql(ent: str = "j_entries", ana: str = "j_analysis") -> str:
+    """CTEs ending in ``summary_`` (the D5 result without summary_text)."""
+    return f"""rows_ AS (
   SELECT e.user_id, e.entry_id, e.entry_time, CAST(e.entry_time AS DATE) AS summary_date,
          {Q.bucket('a.predicted_emotion')} AS bucket, {Q.preview('e.text')} AS preview
-  FROM j_entries e LEFT JOIN j_analysis a ON a.entry_id = e.entry_id),
+  FROM {ent} e LEFT JOIN {ana} a ON a.entry_id = e.entry_id),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY user_id, summary_date
                                ORDER BY entry_time DESC, entry_id DESC) AS pos_
@@ -62,7 +66,11 @@ summary_ AS (
   FROM counts c JOIN dom d USING (user_id, summary_date))"""
 
 
-@register("d5_daily_summary", Q.with_views(D5_ROWS_SQL) + f"""
+LONG_ENT = "(SELECT entry_id, user_id, CAST(NULL AS VARCHAR) AS text, entry_time FROM j_entries_long)"
+LONG_ANA = "(SELECT entry_id, predicted_emotion, CAST(NULL AS DOUBLE) AS confidence FROM j_entries_long)"
+
+
+@register("d5_daily_summary", Q.with_views(d5_sql()) + f"""
 SELECT user_id, summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
        entry_count, latest_entry_preview,
        {Q.summary_text('dominant_emotion', 'positivity_score', 'positive', 'negative', 'neutral',
@@ -70,3 +78,197 @@ SELECT user_id, summary_date, dominant_emotion, positive, negative, neutral, pos
 FROM summary_""")
 def d5_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.daily_summary(T.entries(spark, sf_dir), T.analysis(spark, sf_dir))
+
+
+def _short(spark, sf_dir):
+    return T.entries(spark, sf_dir), T.analysis(spark, sf_dir)
+
+
+def _long(spark, sf_dir):
+    return T.entries_long_as_pair(spark, sf_dir)
+
+
+# ----------------------------------------------------------------- J9 user statistics
+
+@register("d1_emotion_distribution", Q.with_views() + f"""
+SELECT e.user_id,
+  count(*) FILTER (WHERE {Q.bucket('a.predicted_emotion')} = 'positive') AS positive,
+  count(*) FILTER (WHERE {Q.bucket('a.predicted_emotion')} = 'negative') AS negative,
+  count(*) FILTER (WHERE {Q.bucket('a.predicted_emotion')} = 'neutral') AS neutral
+FROM j_analysis a JOIN j_entries e ON a.entry_id = e.entry_id GROUP BY e.user_id""")
+def d1_emotion_distribution(spark, sf_dir):
+    return ST.emotion_distribution(*_short(spark, sf_dir))
+
+
+@register("d2_monthly_counts", Q.with_views(long=True) + """
+SELECT user_id, strftime(entry_time, '%Y-%m') AS month, count(*) AS count
+FROM j_entries_long WHERE entry_time IS NOT NULL GROUP BY ALL""")
+def d2_monthly_counts(spark, sf_dir):
+    return ST.monthly_counts(_long(spark, sf_dir)[0])
+
+
+HEATMAP_SQL = Q.with_views(f"""cells AS (
+  SELECT e.user_id, {Q.weekday_name('e.entry_time')} AS day, {Q.time_slot('e.entry_time')} AS time,
+         count(*) AS n,
+         count(*) FILTER (WHERE {Q.bucket('a.predicted_emotion')} = 'positive') AS pos,
+         count(*) FILTER (WHERE {Q.bucket('a.predicted_emotion')} = 'negative') AS neg
+  FROM j_entries e LEFT JOIN j_analysis a ON a.entry_id = e.entry_id
+  WHERE e.entry_time IS NOT NULL AND a.predicted_emotion IS NOT NULL AND a.predicted_emotion <> ''
+  GROUP BY ALL),
+grid AS (
+  SELECT u.user_id, d.day, t.time FROM (SELECT DISTINCT user_id FROM j_entries) u,
+    (SELECT unnest({['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun']}) AS day) d,
+    (SELECT unnest(['Morning', 'Afternoon', 'Evening']) AS time) t),
+scored AS (
+  SELECT g.user_id, g.day, g.time, coalesce(c.n, 0) AS count,
+         {Q.round2('2 * c.pos + (c.n - c.pos - c.neg)', '2 * coalesce(c.n, 0)')} AS score
+  FROM grid g LEFT JOIN cells c USING (user_id, day, time))""") + f"""
+SELECT user_id, day, time, score, count, {Q.heatmap_color('score', 'count')} AS color FROM scored"""
+
+
+@register("d4_time_heatmap", HEATMAP_SQL)
+def d4_time_heatmap(spark, sf_dir):
+    return ST.time_heatmap(*_short(spark, sf_dir))
+
+
+def fluct_sql(ent: str, ana: str) -> str:
+    return f"""fluct AS (
+  SELECT e.user_id, e.entry_id, e.entry_time AS timestamp,
+         CASE {Q.bucket('a.predicted_emotion')} WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END AS score
+  FROM {ent} e LEFT JOIN {ana} a ON a.entry_id = e.entry_id
+  WHERE a.predicted_emotion IS NOT NULL AND a.predicted_emotion <> '')"""
+
+
+@register("f4_fluctuation", Q.with_views(fluct_sql("j_entries", "j_analysis"))
+          + "\nSELECT * FROM fluct")
+def f4_fluctuation(spark, sf_dir):
+    return ST.fluctuation(*_short(spark, sf_dir))
+
+
+@register("f5_daily_positivity", Q.with_views(d5_sql(LONG_ENT, LONG_ANA), long=True)
+          + "\nSELECT user_id, summary_date AS date, positivity_score AS score FROM summary_")
+def f5_daily_positivity(spark, sf_dir):
+    return ST.daily_positivity(S.daily_summary(*_long(spark, sf_dir), with_text=False))
+
+
+def _ma_sql(window: int, where: str, long: bool) -> str:
+    src = d5_sql(LONG_ENT, LONG_ANA) if long else d5_sql()
+    return Q.with_views(src, long=long) + f"""
+SELECT user_id, summary_date AS date,
+  {Q.half_up2(f'sum(CAST(round(positivity_score * 100) AS BIGINT)) OVER w', 'count(*) OVER w')} AS score,
+  strftime(summary_date, '%b ') || CAST(day(summary_date) AS VARCHAR) AS label
+FROM summary_ WHERE {where}
+WINDOW w AS (PARTITION BY user_id ORDER BY summary_date ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@register("e1_moving_average_week", _ma_sql(
+    7, f"CAST(summary_date AS TIMESTAMP) >= TIMESTAMP '{AS_OF_SHORT}' - INTERVAL 7 DAY", False))
+def e1_moving_average_week(spark, sf_dir):
+    s = S.daily_summary(*_short(spark, sf_dir), with_text=False)
+    return ST.moving_average(ST.daily_positivity(s), 7, AS_OF_SHORT, "thisWeek")
+
+
+@register("e1_moving_average_year", _ma_sql(
+    30, f"CAST(summary_date AS TIMESTAMP) >= TIMESTAMP '{AS_OF_LONG}' - INTERVAL 365 DAY", True))
+def e1_moving_average_year(spark, sf_dir):
+    s = S.daily_summary(*_long(spark, sf_dir), with_text=False)
+    return ST.moving_average(ST.daily_positivity(s), 30, AS_OF_LONG, "thisYear")
+
+
+def _pattern_sql(ent, ana, key_sql, names, where, long):
+    arr = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return Q.with_views(fluct_sql(ent, ana), long=long) + f""",
+agg AS (SELECT user_id, {key_sql} AS name, sum(score) AS s, count(*) AS n FROM fluct WHERE {where} GROUP BY ALL),
+dense AS (SELECT user_id, unnest({arr}) AS name FROM (SELECT DISTINCT user_id FROM fluct))
+SELECT d.user_id, d.name, coalesce(CAST(a.s AS DOUBLE) / a.n, 0.0) AS score, coalesce(a.n, 0) AS count
+FROM dense d LEFT JOIN agg a USING (user_id, name)"""
+
+
+@register("d7_day_night", _pattern_sql(
+    "j_entries", "j_analysis",
+    "CASE WHEN hour(timestamp) >= 6 AND hour(timestamp) < 18 THEN 'Day' ELSE 'Night' END",
+    ["Day", "Night"], f"timestamp >= TIMESTAMP '{AS_OF_SHORT}' - INTERVAL 7 DAY", False))
+def d7_day_night(spark, sf_dir):
+    return ST.day_night(ST.fluctuation(*_short(spark, sf_dir)), AS_OF_SHORT, "thisWeek")
+
+
+@register("d8_seasons", _pattern_sql(LONG_ENT, LONG_ANA, Q.season("timestamp"),
+                                     ["Spring", "Summer", "Autumn", "Winter"], "TRUE", True))
+def d8_seasons(spark, sf_dir):
+    return ST.seasons(ST.fluctuation(*_long(spark, sf_dir)))
+
+
+# ----------------------------------------------------------------- D6 / J8 calendar
+
+@register("d6_month_stats", Q.with_views(d5_sql(LONG_ENT, LONG_ANA), long=True) + """
+SELECT user_id, CAST(date_trunc('month', summary_date) AS DATE) AS month,
+  count(*) FILTER (WHERE dominant_emotion = 'positive') AS positive_days,
+  count(*) FILTER (WHERE dominant_emotion = 'neutral') AS neutral_days,
+  count(*) FILTER (WHERE dominant_emotion = 'negative') AS negative_days
+FROM summary_ GROUP BY ALL""")
+def d6_month_stats(spark, sf_dir):
+    return S.month_stats(S.daily_summary(*_long(spark, sf_dir), with_text=False))
+
+
+def _calendar_sql(keys_sql: str, summary_src: str, long: bool) -> str:
+    return Q.with_views(summary_src, long=long) + f""",
+keys_ AS ({keys_sql}),
+days AS (SELECT user_id, month, CAST(unnest(generate_series(month, last_day(month), INTERVAL 1 DAY)) AS DATE) AS date
+         FROM keys_)
+SELECT d.user_id, d.date, day(d.date) AS day, coalesce(s.entry_count, 0) AS entry_count,
+  CASE WHEN s.entry_count IS NULL THEN '#ffffff' ELSE {Q.positivity_color('s.positivity_score')} END AS color,
+  coalesce(s.dominant_emotion, 'none') AS dominant_emotion, s.positivity_score,
+  CASE WHEN s.entry_count IS NULL THEN 'No entries for this day.'
+       ELSE {Q.short_summary('s.dominant_emotion', 's.positive', 's.negative', 's.neutral')} END AS summary_text,
+  CAST((dayofweek(d.month) + day(d.date) - 1) // 7 AS INTEGER) AS grid_row,
+  CAST((dayofweek(d.month) + day(d.date) - 1) % 7 AS INTEGER) AS grid_col
+FROM days d LEFT JOIN summary_ s ON s.user_id = d.user_id AND s.summary_date = d.date"""
+
+
+@register("j8_calendar_month", _calendar_sql(
+    "SELECT DISTINCT user_id, DATE '2024-01-01' AS month FROM summary_", d5_sql(), False))
+def j8_calendar_month(spark, sf_dir):
+    return S.calendar_days(S.daily_summary(*_short(spark, sf_dir), with_text=False), 2024, 1)
+
+
+@register("j8_calendar_all", _calendar_sql(
+    "SELECT DISTINCT user_id, CAST(date_trunc('month', summary_date) AS DATE) AS month FROM summary_",
+    d5_sql(LONG_ENT, LONG_ANA), True))
+def j8_calendar_all(spark, sf_dir):
+    return S.calendar_days(S.daily_summary(*_long(spark, sf_dir), with_text=False))
+
+
+# ----------------------------------------------------------------- J12 memories
+
+def mem_sql(ent: str, ana: str) -> str:
+    return f"""hist AS (
+  SELECT e.user_id, e.entry_id, e.text, e.entry_time, a.predicted_emotion, a.confidence,
+         {Q.bucket('a.predicted_emotion')} AS bucket
+  FROM {ent} e LEFT JOIN {ana} a ON a.entry_id = e.entry_id),
+pos_ AS (SELECT * FROM hist WHERE coalesce(bucket = 'positive' OR predicted_emotion = 'positive', FALSE))"""
+
+
+@register("d13_flashbacks", Q.with_views(mem_sql(LONG_ENT, LONG_ANA), long=True) + f""",
+lab AS (SELECT *, CAST(entry_time AS DATE) AS flash_date,
+               {Q.flashback_label('entry_time', AS_OF_LONG)} AS label FROM pos_)
+SELECT user_id, flash_date, any_value(label) AS label, max(entry_time) AS date, count(*) AS entry_count
+FROM lab WHERE label IS NOT NULL GROUP BY user_id, flash_date""")
+def d13_flashbacks(spark, sf_dir):
+    return M.flashback_groups(*_long(spark, sf_dir), AS_OF_LONG)
+
+
+@register("d14_happy_memories", Q.with_views(mem_sql(LONG_ENT, LONG_ANA), long=True) + """
+SELECT user_id, entry_id,
+  CASE bucket WHEN 'positive' THEN 'Positive emotion detected' WHEN 'negative' THEN 'Negative emotion detected'
+       ELSE 'Neutral emotion detected' END AS title,
+  CASE WHEN coalesce(text, '') = '' THEN 'A positive moment was saved in your history.' ELSE text END AS summary,
+  entry_time AS date, predicted_emotion AS emotion, confidence
+FROM pos_""")
+def d14_happy_memories(spark, sf_dir):
+    return M.happy_memories(*_long(spark, sf_dir))
+
+
+@register("d14_memory_counts", Q.with_views(mem_sql(LONG_ENT, LONG_ANA), long=True) + """
+SELECT user_id, count(*) AS memory_count FROM pos_ GROUP BY user_id""")
+def d14_memory_counts(spark, sf_dir):
+    return M.memory_counts(M.happy_memories(*_long(spark, sf_dir)))
