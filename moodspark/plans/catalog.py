@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import keyword as K
 from ..operators import memories as M
+from ..operators import scoring as SC
 from ..operators import stats as ST
 from ..operators import summary as S
 from ..sources import tables as T
@@ -272,3 +274,60 @@ def d14_happy_memories(spark, sf_dir):
 SELECT user_id, count(*) AS memory_count FROM pos_ GROUP BY user_id""")
 def d14_memory_counts(spark, sf_dir):
     return M.memory_counts(M.happy_memories(*_long(spark, sf_dir)))
+
+
+# ----------------------------------------------------------------- J1 keyword scorer
+
+def stems_values() -> str:
+    from ..functions import fixed
+    rows = ", ".join(f"({i}, {Q.q(lab)}, {k}, {Q.q(s)})" for i, lab, k, s in fixed.label_stems())
+    return f"stems AS (SELECT * FROM (VALUES {rows}) t(label_index, label, stem_order, stem))"
+
+
+def keyword_sql(src: str, key: str) -> str:
+    """CTEs ending in ``kw`` (key, predicted_emotion, confidence, match_score) for ``src``."""
+    labels = ", ".join(Q.q(x) for x in __import__("moodspark.functions.fixed", fromlist=["x"]).LABELS)
+    return f"""{stems_values()},
+toks AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {src}),
+tok_n AS (SELECT {key}, w, count(*) AS n FROM toks GROUP BY ALL),
+hits AS (SELECT t.{key.replace(', ', ', t.')}, t.w, t.n, s.label_index, s.stem, s.stem_order
+         FROM tok_n t JOIN stems s ON starts_with(t.w, s.stem) OR starts_with(s.stem, t.w)),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}, w, label_index ORDER BY stem_order) AS k
+                           FROM hits) WHERE k = 1),
+sums AS (SELECT {key}, label_index, sum(n * length(stem)) AS s FROM firsts GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s DESC, label_index) AS k
+                         FROM sums) WHERE k = 1),
+kw AS (SELECT {', '.join('d.' + k for k in key.split(', '))},
+         CASE WHEN b.s > 0 THEN ([{labels}])[b.label_index + 1] ELSE 'neutral' END AS predicted_emotion,
+         CAST(CASE WHEN b.s > 0 THEN 0.5 ELSE 0.1 END AS DOUBLE) AS confidence,
+         CAST(coalesce(b.s, 0) AS BIGINT) AS match_score
+       FROM {src} d LEFT JOIN best b USING ({key}))"""
+
+
+@register("j1_keyword_documents", "WITH " + keyword_sql("documents", "doc_id") + """
+SELECT doc_id, predicted_emotion, confidence, match_score FROM kw""")
+def j1_keyword_documents(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return K.keyword_score(d, "doc_id").select("doc_id", "predicted_emotion", "confidence", "match_score")
+
+
+@register("j1_keyword_conversations", "WITH " + keyword_sql("conversations", "conv_id, turn") + """
+SELECT conv_id, turn, predicted_emotion, confidence, match_score FROM kw""")
+def j1_keyword_conversations(spark, sf_dir):
+    c = T.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return K.keyword_score(c, ["conv_id", "turn"]).select("conv_id", "turn", "predicted_emotion", "confidence", "match_score")
+
+
+@register("j4_keyword_daily_summary", Q.with_views(
+    keyword_sql("documents", "doc_id"),
+    """kw_analysis AS (SELECT e.entry_id, k.predicted_emotion, k.confidence
+                     FROM j_entries e JOIN kw k ON k.doc_id = e.doc_id)""",
+    d5_sql("j_entries", "kw_analysis")) + f"""
+SELECT user_id, summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
+       entry_count, latest_entry_preview,
+       {Q.summary_text('dominant_emotion', 'positivity_score', 'positive', 'negative', 'neutral',
+                       'latest_entry_preview')} AS summary_text
+FROM summary_""")
+def j4_keyword_daily_summary(spark, sf_dir):
+    ent = T.entries(spark, sf_dir)
+    return S.daily_summary(ent, SC.entry_analysis_by_document(spark, sf_dir, ent))
