@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
+from ..operators import chunks as CH
 from ..operators import keyword as K
 from ..operators import memories as M
 from ..operators import scoring as SC
@@ -331,3 +333,91 @@ FROM summary_""")
 def j4_keyword_daily_summary(spark, sf_dir):
     ent = T.entries(spark, sf_dir)
     return S.daily_summary(ent, SC.entry_analysis_by_document(spark, sf_dir, ent))
+
+
+# ----------------------------------------------------------------- text and vectors
+
+def _re2(java_pattern: str) -> str:
+    import re as _re
+    s = _re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: "\\x{%s}" % m.group(1), java_pattern)
+    return _re.sub(r"\\x([0-9a-fA-F]{2})", lambda m: "\\x{%s}" % m.group(1), s)
+
+
+def _sentences_sql(src: str, key: str) -> str:
+    sep = "\x01"
+    return f"""sent_arr AS (
+  SELECT {key}, string_split(regexp_replace({Q.py_strip("coalesce(text, '')")}, '([.!?])[{Q.WS}]+', '\\1{sep}', 'g'),
+                             '{sep}') AS s FROM {src}),
+sents AS (SELECT {key}, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sentence_idx FROM sent_arr)"""
+
+
+@register("h16_sentences", "WITH " + _sentences_sql("documents", "doc_id") + f"""
+SELECT doc_id, CAST(sentence_idx AS INTEGER) AS sentence_idx, sentence FROM sents
+WHERE {Q.py_strip('sentence')} <> ''""")
+def h16_sentences(spark, sf_dir):
+    from ..operators import entities as EN
+    d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return EN.sentence_rows(d, "doc_id").select("doc_id", "sentence_idx", "sentence")
+
+
+@register("e5_sentence_chunks")
+def e5_sentence_chunks(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return CH.sentence_chunks(d, "doc_id").select("doc_id", "chunk_id", "n_sentences", "n_tokens")
+
+
+@register("e6_token_windows", f"""WITH toks AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_re2(TX.BASIC_TOKEN)}')) AS n FROM documents)
+SELECT doc_id, CAST((s - 1) // 106 AS INTEGER) AS chunk_id, CAST(s AS INTEGER) AS start_pos,
+       CAST(least(126, n - s + 1) AS INTEGER) AS n_tokens
+FROM toks, unnest(generate_series(1, greatest(n - 20, 1), 106)) t(s)""")
+def e6_token_windows(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return CH.token_windows(d, "doc_id").select("doc_id", "chunk_id", "start_pos", "n_tokens")
+
+
+def _label_sql(i1: str) -> str:
+    from ..functions import fixed
+    arr = "[" + ", ".join(Q.q(x) for x in fixed.LABELS) + "]"
+    return f"coalesce({arr}[{i1}], 'label_' || CAST({i1} - 1 AS VARCHAR))"
+
+
+@register("d10_mean_pooling", f"""WITH e AS (
+  SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (
+    SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, i) AS k FROM e)
+SELECT label, CAST(i - 1 AS INTEGER) AS top_index, {_label_sql('i')} AS top_label, round(m, 6) AS top_score
+FROM b WHERE k = 1""")
+def d10_mean_pooling(spark, sf_dir):
+    e = T.read_table(spark, sf_dir, "embeddings").select("label", "embedding")
+    best = CH.argmax_label(F.col("embedding"))
+    return CH.mean_pool(e, "label", "embedding").select(
+        "label", best.index.alias("top_index"), best.label.alias("top_label"),
+        F.round(best.score, 6).alias("top_score"))
+
+
+@register("d11_sigmoid_argmax", f"""WITH e AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM e)
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS top_index, {_label_sql('i')} AS top_label,
+       round(1.0 / (1.0 + exp(-CAST(x AS DOUBLE))), 6) AS top_score
+FROM b WHERE k = 1""")
+def d11_sigmoid_argmax(spark, sf_dir):
+    e = T.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    best = CH.argmax_label(CH.sigmoid(F.col("embedding")))
+    return e.select("vec_id", best.index.alias("top_index"), best.label.alias("top_label"),
+                    F.round(best.score, 6).alias("top_score"))
+
+
+@register("j2_chunk_scoring")
+def j2_chunk_scoring(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return CH.score_chunked(d, "doc_id").select("doc_id", "predicted_emotion", "confidence")
+
+
+@register("j3_window_timeline")
+def j3_window_timeline(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "text")
+    timeline, _ = CH.score_windows(d, "turn_key")
+    return timeline.select("turn_key", "chunk_id", "label", "score")
