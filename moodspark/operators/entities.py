@@ -1,19 +1,230 @@
-"""Entity sentiment (J5, J6: C10, C11, D9, D15, E3, E4, H17-H22, B11)."""
+"""Entity sentiment (J5, J6: C10, C11, D9, D15, E3, E4, H17-H22, B11).
+
+Plan per text table:
+
+1. sentences as rows, each with its raw neighbours (in-row ``arrays_zip``,
+   no window) - blank pieces keep their index but produce nothing;
+2. mention finding (C11): whitespace pieces whose capitalised core is in a
+   gazetteer (any size: broadcast only when its row count is checked small,
+   else a shuffle join);
+3. clean-up, stop list, keep-first dedupes on mention rows only;
+4. carry-forward (C10): a pronoun sentence without entities takes the last
+   PER of the most recent earlier sentence with a PER, if <= 2 back: a
+   ``last(ignorenulls)`` window over the entity/pronoun sentences of one text;
+5. clause targeting (H17/H18), scoring with context fallback (E3/E4) through
+   a pluggable scorer, every distinct (text, target) scored once.
+
+Only sentences that carry a mention or a pronoun are shuffled; sentence text
+of all other sentences never leaves its scan task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as TX
+from ..functions.exprs import bucket
+from . import insights as I
+from . import keyword as K
+from .joins import broadcast_if_small
+
+CAP_WORD = r"\p{Lu}\p{Ll}+"
+
+# A label scorer: DataFrame(id, text) -> DataFrame(id, predicted_emotion, confidence).
+LabelScorer = Callable[[DataFrame], DataFrame]
+
+
+def keyword_label_scorer(df: DataFrame) -> DataFrame:
+    return K.keyword_score(df, "id").select("id", "predicted_emotion", "confidence")
 
 
 def sentence_rows(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """H16 as rows: (key, sentence_idx, sentence, n_sentences); blank sentences dropped.
+    """H16 as rows: (key, sentence_idx, sentence, prev_sentence, next_sentence).
 
-    ``sentence_idx`` counts every split piece, blank ones included, as the
-    carry-forward distance does.
+    ``sentence_idx`` counts every split piece, blank ones included; blank
+    sentences are dropped after the neighbours are attached (E3 uses the raw
+    neighbours, blank or not).
     """
     s = df.select(key, TX.sentences(F.col(text_col)).alias("_s"))
-    return (s.select(key, F.size("_s").alias("n_sentences"), F.posexplode("_s").alias("sentence_idx", "sentence"))
+    n = F.size("_s")
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", 1, F.greatest(n - 1, F.lit(0))))
+    nxt = F.concat(F.slice("_s", 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    z = F.arrays_zip(F.col("_s").alias("sentence"), prev.alias("prev_sentence"), nxt.alias("next_sentence"))
+    return (s.select(key, F.posexplode(z).alias("sentence_idx", "_z"))
+            .select(key, "sentence_idx", "_z.sentence", "_z.prev_sentence", "_z.next_sentence")
             .where(~TX.is_blank(F.col("sentence"))))
+
+
+# ------------------------------------------------------------------ C11 gazetteer
+
+def gazetteer(docs: DataFrame, text_col: str = "text", min_docs: int = 3) -> DataFrame:
+    """Fixture gazetteer: capitalised words found in >= ``min_docs`` texts.
+
+    Type by ``md5(word)`` (first 32 bits) mod 3 over PER, LOC, ORG. Partial
+    aggregation per (word, doc) keeps the shuffle to distinct pairs.
+    """
+    w = docs.select("doc_id", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col(text_col), F.lit(CAP_WORD), 0))).alias("word"))
+    g = w.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    h = F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("long")
+    types = F.array(*[F.lit(t) for t in fixed.ENTITY_TYPES])
+    return g.select("word", F.element_at(types, (F.pmod(h, F.lit(3)) + 1).cast("int")).alias("label"))
+
+
+def gazetteer_mentions(sents: DataFrame, key: str, gaz: DataFrame,
+                       max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """C11 + H20: (key, sentence_idx, m_ord, word, label) in mention order.
+
+    Each whitespace piece whose first capitalised run is a gazetteer word is a
+    mention; the piece stripped of non-alphanumeric ends is the widened span.
+    """
+    pieces = F.split(F.col("sentence"), f"[{TX.WS}]+")
+    cand = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("m_ord"), p.alias("piece"))),
+                    lambda x: x["piece"].rlike(CAP_WORD))
+    m = sents.select(key, "sentence_idx", F.explode(cand).alias("_p")).select(
+        key, "sentence_idx", "_p.m_ord", "_p.piece",
+        F.regexp_extract(F.col("_p.piece"), CAP_WORD, 0).alias("word"))
+    g = broadcast_if_small(gaz.select("word", "label"), max_broadcast_rows)
+    j = m.join(g, "word", "inner")
+    widened = F.regexp_replace(F.col("piece"), TX.ALNUM_EDGES, "")
+    return j.select(key, "sentence_idx", "m_ord", "word", "label",
+                    F.when(widened != "", widened).otherwise(F.col("word")).alias("expanded"))
+
+
+def merge_word_pieces(mentions: DataFrame, key: str) -> DataFrame:
+    """Merge ``##`` pieces into the preceding mention (gaps and islands).
+
+    Input rows (key, sentence_idx, m_ord, word, label, start, end) from a
+    piece-level tagger; a piece with no predecessor starts its own mention.
+    Windows run per sentence, bounded by the sentence.
+    """
+    w = Window.partitionBy(key, "sentence_idx").orderBy("m_ord")
+    piece = F.col("word").startswith("##")
+    g = mentions.withColumn("_grp", F.sum(F.when(piece, 0).otherwise(1)).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    body = F.when(piece, F.replace(F.col("word"), F.lit("##"), F.lit(""))).otherwise(F.col("word"))
+    parts = F.sort_array(F.collect_list(F.struct(F.col("m_ord"), body.alias("b"))))
+    return (g.groupBy(key, "sentence_idx", "_grp").agg(
+        F.min("m_ord").alias("m_ord"),
+        F.array_join(F.transform(parts, lambda x: x["b"]), "").alias("word"),
+        F.min_by("label", "m_ord").alias("label"),
+        F.min_by("start", "m_ord").alias("start"),
+        F.max_by("end", "m_ord").alias("end")).drop("_grp"))
+
+
+# ------------------------------------------------------------------ J5
+
+def _keep_first(df: DataFrame, part: list, order: list) -> DataFrame:
+    """Keep the first row per key in a given order (stable, unlike dropDuplicates)."""
+    w = Window.partitionBy(*part).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def valid_entities(mentions: DataFrame, key: str) -> DataFrame:
+    """Dedupe raw (word, label), clean, filter types / length / stop list, dedupe again."""
+    m = _keep_first(mentions, [key, "sentence_idx", F.lower("word"), "label"], ["m_ord"])
+    m = m.withColumn("entity", TX.clean_entity_name(F.col("expanded")))
+    m = m.where(F.col("label").isin(fixed.ENTITY_TYPES) & (F.length("entity") > 1)
+                & ~F.lower("entity").isin(fixed.ENTITY_STOP_WORDS))
+    return _keep_first(m, [key, "sentence_idx", F.lower("entity"), "label"], ["m_ord"]).select(
+        key, "sentence_idx", "m_ord", "entity", "label")
+
+
+def entity_mentions(texts: DataFrame, key: str, gaz: DataFrame,
+                    scorer: LabelScorer = keyword_label_scorer, text_col: str = "text") -> DataFrame:
+    """(key, sentence_idx, t_ord, entity, type, context_sentence, predicted_emotion,
+    emotion_bucket, confidence) - one row per scored target."""
+    sents = sentence_rows(texts, key, text_col)
+    valid = valid_entities(gazetteer_mentions(sents, key, gaz), key)
+
+    # per-sentence entity summary (bounded by one sentence's mentions)
+    per_sent = valid.groupBy(key, "sentence_idx").agg(
+        F.count(F.lit(1)).alias("n_valid"),
+        F.max(F.when(F.col("label") == "PER", F.struct("m_ord", "entity"))).getField("entity").alias("last_per"))
+    # only sentences that can hold a target leave their scan task
+    interesting = (sents.withColumn("_pron", TX.has_pronoun(F.col("sentence")))
+                   .where(F.col("_pron") | F.col("sentence").rlike(CAP_WORD))
+                   .join(per_sent, [key, "sentence_idx"], "left")
+                   .where(F.col("n_valid").isNotNull() | F.col("_pron")))
+    w = Window.partitionBy(key).orderBy("sentence_idx").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.when(F.col("last_per").isNotNull(),
+                            F.struct(F.col("last_per").alias("e"), F.col("sentence_idx").alias("i"))),
+                     ignorenulls=True).over(w)
+    s2 = interesting.withColumn("_carry", carried)
+    is_coref = (F.col("n_valid").isNull() & F.col("_pron") & F.col("_carry").isNotNull()
+                & (F.col("sentence_idx") - F.col("_carry.i") <= fixed.CARRY_MAX_DISTANCE))
+    s2 = s2.withColumn("is_coref", is_coref).where(F.col("n_valid").isNotNull() | F.col("is_coref"))
+
+    sent_cols = [key, "sentence_idx", "sentence", "prev_sentence", "next_sentence", "is_coref"]
+    direct = s2.where(~F.col("is_coref")).select(*sent_cols).join(valid, [key, "sentence_idx"], "inner").select(
+        *sent_cols, F.col("m_ord").alias("t_ord"), "entity", F.col("label").alias("type"))
+    coref = s2.where(F.col("is_coref")).select(
+        *sent_cols, F.lit(0).alias("t_ord"), F.col("_carry.e").alias("entity"), F.lit("PER").alias("type"))
+    t = direct.unionByName(coref).withColumn("std", TX.capitalize_entity(F.col("entity"))).where(F.col("std") != "")
+    # same entity in the same sentence text once per text (first by position)
+    t = _keep_first(t, [key, F.lower("std"), "sentence"], ["sentence_idx", "t_ord"])
+
+    # H17/H18 target clause
+    clauses = TX.contrastive_clauses(F.col("sentence"))
+    pick = F.when(F.col("is_coref"), F.element_at(F.filter(clauses, lambda c: TX.has_pronoun(c)), 1)).otherwise(
+        F.element_at(F.filter(clauses, lambda c: F.lower(c).contains(F.lower(F.col("std")))), 1))
+    target = F.when(F.size(clauses) > 1, F.coalesce(pick, F.col("sentence"))).otherwise(F.col("sentence"))
+    t = t.withColumn("target", target).withColumn(
+        "context", F.concat_ws(" ", F.col("prev_sentence"), F.col("target"), F.col("next_sentence")))
+
+    # Score target and context; each row id scores once
+    rid = F.struct(F.col(key).alias("k"), F.col("sentence_idx").alias("s"), F.col("t_ord").alias("o"))
+    t = t.withColumn("_rid", rid)
+    a = scorer(t.select(F.col("_rid").alias("id"), F.col("target").alias("text"))).select(
+        F.col("id").alias("_rid"), F.col("predicted_emotion").alias("_p1"), F.col("confidence").alias("_c1"))
+    b = scorer(t.select(F.col("_rid").alias("id"), F.col("context").alias("text"))).select(
+        F.col("id").alias("_rid"), F.col("predicted_emotion").alias("_p2"), F.col("confidence").alias("_c2"))
+    r = t.join(a, "_rid", "inner").join(b, "_rid", "inner")
+    need = (F.col("_c1") < fixed.FALLBACK_THRESHOLD) | (F.col("_p1") == "neutral")
+    take2 = need & ((F.col("_p1") == "neutral") | ((F.col("_p2") != "neutral") & (F.col("_c2") > F.col("_c1"))))
+    label = F.when(take2, F.col("_p2")).otherwise(F.col("_p1"))
+    conf = F.when(take2, F.col("_c2")).otherwise(F.col("_c1"))
+    return r.select(key, "sentence_idx", "t_ord", F.col("std").alias("entity"), "type",
+                    F.col("sentence").alias("context_sentence"), label.alias("predicted_emotion"),
+                    bucket(label).alias("emotion_bucket"), conf.alias("confidence"))
+
+
+# ------------------------------------------------------------------ J6 / D9
+
+def entity_votes(mentions: DataFrame, key: str) -> DataFrame:
+    """Per (text, entity) sum confidence by bucket; winner by (sum, priority); drop 0."""
+    name = TX.capitalize_entity(TX.clean_entity_name(F.col("entity")))
+    m = mentions.withColumn("_name", name).where(F.col("_name") != "")
+    order = F.struct("sentence_idx", "t_ord")
+    sums = [F.sum(F.when(F.col("emotion_bucket") == b, F.coalesce(F.col("confidence"), F.lit(0.5))).otherwise(0.0))
+            .alias(f"_s_{b}") for b in fixed.BUCKETS]
+    g = m.groupBy(key, F.lower("_name").alias("entity_key")).agg(
+        F.min_by("_name", order).alias("entity"), F.min_by("type", order).alias("type"),
+        F.min(order).alias("_first"), *sums)
+    cands = [F.struct(F.col(f"_s_{b}").alias("s"), F.lit(fixed.ENTITY_PRIORITY[b]).alias("p"), F.lit(b).alias("b"))
+             for b in fixed.BUCKETS]
+    best = F.greatest(*cands)
+    return g.withColumn("_best", best).where(F.col("_best.s") > 0).select(
+        key, "entity", "type", F.col("_best.b").alias("emotion_bucket"), F.col("_first"))
+
+
+def entity_advice(votes: DataFrame, key: str, spark: SparkSession) -> DataFrame:
+    """One advice row per voted entity, in first-mention order (``ord`` from 1)."""
+    dim = F.broadcast(I.entity_advice_dim(spark))
+    j = votes.join(dim, ["type", "emotion_bucket"], "inner")
+    pre_post = F.split(F.col("template"), r"\{name\}", 2)
+    text = F.concat(F.element_at(pre_post, 1), F.col("entity"), F.coalesce(F.element_at(pre_post, 2), F.lit("")))
+    w = Window.partitionBy(key).orderBy("_first", "entity")
+    pre, mid = I.ENTITY_RATIONALE.split("{name}")
+    mid, post = mid.split("{bucket}")
+    return j.select(
+        key, F.row_number().over(w).alias("ord"),
+        I.entity_advice_key(F.col("entity"), F.col("emotion_bucket")).alias("advice_key"),
+        F.col("emotion_bucket").alias("emotion_key"),
+        F.concat(F.lit(fixed.ENTITY_TITLE_PREFIX), F.col("entity")).alias("title"),
+        text.alias("advice_text"),
+        F.concat(F.lit(pre), F.col("entity"), F.lit(mid), F.col("emotion_bucket"), F.lit(post)).alias("rationale_text"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import chunks as CH
+from ..operators import entities as EN
+from ..operators import history as H
 from ..operators import keyword as K
 from ..operators import memories as M
 from ..operators import scoring as SC
@@ -421,3 +423,94 @@ def j3_window_timeline(spark, sf_dir):
         F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "text")
     timeline, _ = CH.score_windows(d, "turn_key")
     return timeline.select("turn_key", "chunk_id", "label", "score")
+
+
+# ----------------------------------------------------------------- entities and history
+
+def _docs(spark, sf_dir):
+    return T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@register("c11_gazetteer", f"""WITH w AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{Ll}}+')) AS word FROM documents),
+g AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 3)
+SELECT word, (['PER', 'LOC', 'ORG'])[CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 3 AS INTEGER) + 1] AS label
+FROM g""")
+def c11_gazetteer(spark, sf_dir):
+    return EN.gazetteer(_docs(spark, sf_dir))
+
+
+def _doc_mentions(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return EN.entity_mentions(d, "doc_id", EN.gazetteer(d))
+
+
+def _doc_advice(spark, sf_dir):
+    return EN.entity_advice(EN.entity_votes(_doc_mentions(spark, sf_dir), "doc_id"), "doc_id", spark)
+
+
+@register("j5_entity_mentions")
+def j5_entity_mentions(spark, sf_dir):
+    return _doc_mentions(spark, sf_dir)
+
+
+@register("j6_entity_advice")
+def j6_entity_advice(spark, sf_dir):
+    return _doc_advice(spark, sf_dir)
+
+
+def _entry_advice(spark, sf_dir):
+    ent = T.entries(spark, sf_dir)
+    ana = SC.entry_analysis_by_document(spark, sf_dir, ent)
+    return ent, ana, H.advice_rows(ent, ana, _doc_advice(spark, sf_dir), "doc_id")
+
+
+@register("d3_entity_impact")
+def d3_entity_impact(spark, sf_dir):
+    ent, _, adv = _entry_advice(spark, sf_dir)
+    return H.entity_impact(adv, ent)
+
+
+@register("f6_user_prompts")
+def f6_user_prompts(spark, sf_dir):
+    ent, _, adv = _entry_advice(spark, sf_dir)
+    return H.user_prompts(adv, ent, spark)
+
+
+@register("j10_history_page")
+def j10_history_page(spark, sf_dir):
+    ent, ana, adv = _entry_advice(spark, sf_dir)
+    page = H.history_page(ent, ana, H.insight_rows(ana), adv, limit=20, offset=0)
+    return page.select("user_id", "position", "entry_id", "occured_at", "predicted_emotion", "emotion_bucket",
+                       F.size("advice").alias("n_advice"))
+
+
+def _general_sql() -> str:
+    from ..operators import insights as I
+    cases = []
+    for b, texts in I.GENERAL_ADVICE.items():
+        for i, t in enumerate(texts):
+            cases.append(f"WHEN bb = {Q.q(b)} AND entry_id % 3 = {i} THEN {Q.q(t)}")
+    rat = " ".join(f"WHEN bb = {Q.q(b)} THEN {Q.q(t)}" for b, t in I.GENERAL_RATIONALE.items())
+    return Q.with_views(keyword_sql("documents", "doc_id"), f"""kw_analysis AS (
+  SELECT e.entry_id, e.entry_time, {Q.bucket('k.predicted_emotion')} AS b
+  FROM j_entries e JOIN kw k ON k.doc_id = e.doc_id),
+g AS (SELECT *, CASE WHEN b IN ('positive', 'negative') THEN b ELSE 'neutral' END AS bb FROM kw_analysis)""") + f"""
+SELECT entry_id, 0 AS ord, 'general_' || bb AS advice_key, bb AS emotion_key, 'General Advice' AS title,
+       CASE {' '.join(cases)} END AS advice_text, CASE {rat} END AS rationale_text, entry_time AS created_at
+FROM g"""
+
+
+@register("j7_general_advice", _general_sql())
+def j7_general_advice(spark, sf_dir):
+    ent = T.entries(spark, sf_dir)
+    return H.advice_rows(ent, SC.entry_analysis_by_document(spark, sf_dir, ent), None)
+
+
+@register("h12_insights", Q.with_views() + f"""
+SELECT entry_id, coalesce({Q.bucket('predicted_emotion')}, 'neutral') AS emotion_bucket,
+  CASE {Q.bucket('predicted_emotion')} WHEN 'positive' THEN 'Positive emotion detected'
+       WHEN 'negative' THEN 'Negative emotion detected' ELSE 'Neutral emotion detected' END AS title
+FROM j_analysis""")
+def h12_insights(spark, sf_dir):
+    return H.insight_rows(T.analysis(spark, sf_dir)).select("entry_id", "emotion_bucket", "title")
