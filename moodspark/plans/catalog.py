@@ -15,7 +15,9 @@ from ..functions import text as TX
 from ..operators import chunks as CH
 from ..operators import entities as EN
 from ..operators import history as H
+from ..functions import exprs as X
 from ..operators import keyword as K
+from ..operators import metrics as MT
 from ..operators import memories as M
 from ..operators import scoring as SC
 from ..operators import stats as ST
@@ -514,3 +516,65 @@ SELECT entry_id, coalesce({Q.bucket('predicted_emotion')}, 'neutral') AS emotion
 FROM j_analysis""")
 def h12_insights(spark, sf_dir):
     return H.insight_rows(T.analysis(spark, sf_dir)).select("entry_id", "emotion_bucket", "title")
+
+
+# ----------------------------------------------------------------- D12 / J13 / A5
+
+def _keyword_label_rows(spark, sf_dir):
+    lab = T.read_table(spark, sf_dir, "labels")
+    kw = K.keyword_score(_docs(spark, sf_dir), "doc_id").select("doc_id", "predicted_emotion")
+    j = lab.join(kw, "doc_id", "inner").withColumn("_b", X.bucket("predicted_emotion"))
+    q = j.select(F.col("doc_id").alias("item_id"), F.lit("quality").alias("label"), F.col("quality").alias("y"),
+                 F.when(F.col("_b") == "positive", 1.0).otherwise(-1.0).alias("logit"))
+    t = j.select(F.col("doc_id").alias("item_id"), F.lit("toxic").alias("label"), F.col("toxic").alias("y"),
+                 F.when(F.col("_b") == "negative", 1.0).otherwise(-1.0).alias("logit"))
+    return q.unionByName(t)
+
+
+def _metrics_sql() -> str:
+    div = "CASE WHEN {d} <> 0 THEN CAST({n} AS DOUBLE) / ({d}) ELSE 0.0 END"
+    return "WITH " + keyword_sql("documents", "doc_id") + f""",
+j AS (SELECT l.doc_id, l.quality, l.toxic, {Q.bucket('k.predicted_emotion')} AS b
+      FROM labels l JOIN kw k ON k.doc_id = l.doc_id),
+r AS (SELECT doc_id AS item_id, 'quality' AS label, quality = 1 AS y, b = 'positive' AS p FROM j
+      UNION ALL SELECT doc_id, 'toxic', toxic = 1, b = 'negative' FROM j),
+r2 AS (SELECT item_id, label, y, coalesce(p, FALSE) AS p FROM r),
+pl AS (SELECT label, count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp,
+              count(*) FILTER (WHERE y AND NOT p) AS fn FROM r2 GROUP BY label),
+pl2 AS (SELECT *, {div.format(n='tp', d='tp + fp')} AS pr, {div.format(n='tp', d='tp + fn')} AS rc,
+               {div.format(n='2 * tp', d='2 * tp + fp + fn')} AS f1 FROM pl),
+mac AS (SELECT sum(pr) / count(*) AS precision_macro, sum(rc) / count(*) AS recall_macro,
+               sum(f1) / count(*) AS f1_macro, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM pl2),
+it AS (SELECT item_id, count(*) FILTER (WHERE y <> p) AS wrong, count(*) AS n FROM r2 GROUP BY item_id),
+its AS (SELECT CAST(count(*) FILTER (WHERE wrong = 0) AS DOUBLE) / count(*) AS subset_accuracy,
+               CAST(sum(wrong) AS DOUBLE) / sum(n) AS hamming_loss, count(*) AS n_items FROM it)
+SELECT n_items, subset_accuracy, hamming_loss, precision_macro, recall_macro, f1_macro,
+       {div.format(n='tp', d='tp + fp')} AS precision_micro, {div.format(n='tp', d='tp + fn')} AS recall_micro,
+       {div.format(n='2 * tp', d='2 * tp + fp + fn')} AS f1_micro
+FROM mac, its"""
+
+
+@register("d12_keyword_metrics", _metrics_sql())
+def d12_keyword_metrics(spark, sf_dir):
+    return MT.multilabel_metrics(_keyword_label_rows(spark, sf_dir))
+
+
+@register("a5_holdout_split", """
+SELECT doc_id, (('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100) < 20 AS validation
+FROM labels""")
+def a5_holdout_split(spark, sf_dir):
+    lab = T.read_table(spark, sf_dir, "labels")
+    return lab.select("doc_id", MT.holdout_flag("doc_id").alias("validation"))
+
+
+@register("j13_train_evaluate")
+def j13_train_evaluate(spark, sf_dir):
+    lab = T.read_table(spark, sf_dir, "labels").join(_docs(spark, sf_dir), "doc_id", "inner")
+    lab = lab.withColumn("_val", MT.holdout_flag("doc_id"))
+    train, val = lab.where(~F.col("_val")), lab.where(F.col("_val"))
+    feats, models = MT.train_binary_relevance(train, ["quality", "toxic"])
+    logits = MT.predict_logits(feats, models, val, "doc_id")
+    truth = val.select("doc_id", F.lit("quality").alias("label"), F.col("quality").alias("y")).unionByName(
+        val.select("doc_id", F.lit("toxic").alias("label"), F.col("toxic").alias("y")))
+    rows = logits.join(truth, ["doc_id", "label"], "inner")
+    return MT.multilabel_metrics(rows, item="doc_id")
