@@ -52,6 +52,7 @@ def daily_summary(entries: DataFrame, analysis: DataFrame, with_text: bool = Tru
     dominant = F.greatest(*cands).getField("b")
     score = X.py_round_ratio2(F.col("positive") * 2 + F.col("neutral"), F.col("entry_count") * 2)
     out = g.select(
+        *[g[f"_last_{b}"] for b in fixed.BUCKETS],
         "user_id", "summary_date",
         dominant.alias("dominant_emotion"),
         "positive", "negative", "neutral",
@@ -59,10 +60,14 @@ def daily_summary(entries: DataFrame, analysis: DataFrame, with_text: bool = Tru
         "entry_count",
         *(["latest_entry_preview"] if with_text else []))
     if with_text:
+        from ..sources.io import json_counts
+        out = out.withColumn("emotion_breakdown_json", json_counts(
+            fixed.BUCKETS, [g[b] for b in fixed.BUCKETS], [g[f"_last_{b}"] for b in fixed.BUCKETS],
+            descending=True))
         out = out.withColumn("summary_text", X.summary_text(
             "dominant_emotion", "positivity_score", "positive", "negative", "neutral",
             "latest_entry_preview"))
-    return out
+    return out.drop(*[f"_last_{b}" for b in fixed.BUCKETS])
 
 
 def breakdown_map(summary: DataFrame) -> DataFrame:

@@ -71,7 +71,12 @@ summary_ AS (
   SELECT c.user_id, c.summary_date, d.dominant_emotion, c.positive, c.negative, c.neutral,
          {Q.round2('2 * c.positive + c.neutral', '2 * c.entry_count')} AS positivity_score,
          c.entry_count, c.latest_entry_preview
-  FROM counts c JOIN dom d USING (user_id, summary_date))"""
+  FROM counts c JOIN dom d USING (user_id, summary_date)),
+breakdown_json AS (
+  SELECT user_id, summary_date,
+         '{{' || string_agg('"' || bucket || '": ' || CAST(n AS VARCHAR), ', ' ORDER BY first_pos) || '}}'
+           AS emotion_breakdown_json
+  FROM per_bucket WHERE bucket IS NOT NULL GROUP BY user_id, summary_date)"""
 
 
 LONG_ENT = "(SELECT entry_id, user_id, CAST(NULL AS VARCHAR) AS text, entry_time FROM j_entries_long)"
@@ -79,11 +84,11 @@ LONG_ANA = "(SELECT entry_id, predicted_emotion, CAST(NULL AS DOUBLE) AS confide
 
 
 @register("d5_daily_summary", Q.with_views(d5_sql()) + f"""
-SELECT user_id, summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
-       entry_count, latest_entry_preview,
+SELECT s.user_id, s.summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
+       entry_count, latest_entry_preview, j.emotion_breakdown_json,
        {Q.summary_text('dominant_emotion', 'positivity_score', 'positive', 'negative', 'neutral',
                        'latest_entry_preview')} AS summary_text
-FROM summary_""")
+FROM summary_ s JOIN breakdown_json j USING (user_id, summary_date)""")
 def d5_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.daily_summary(T.entries(spark, sf_dir), T.analysis(spark, sf_dir))
 
@@ -329,11 +334,11 @@ def j1_keyword_conversations(spark, sf_dir):
     """kw_analysis AS (SELECT e.entry_id, k.predicted_emotion, k.confidence
                      FROM j_entries e JOIN kw k ON k.doc_id = e.doc_id)""",
     d5_sql("j_entries", "kw_analysis")) + f"""
-SELECT user_id, summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
-       entry_count, latest_entry_preview,
+SELECT s.user_id, s.summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
+       entry_count, latest_entry_preview, j.emotion_breakdown_json,
        {Q.summary_text('dominant_emotion', 'positivity_score', 'positive', 'negative', 'neutral',
                        'latest_entry_preview')} AS summary_text
-FROM summary_""")
+FROM summary_ s JOIN breakdown_json j USING (user_id, summary_date)""")
 def j4_keyword_daily_summary(spark, sf_dir):
     ent = T.entries(spark, sf_dir)
     return S.daily_summary(ent, SC.entry_analysis_by_document(spark, sf_dir, ent))
