@@ -583,3 +583,18 @@ def j13_train_evaluate(spark, sf_dir):
         val.select("doc_id", F.lit("toxic").alias("label"), F.col("toxic").alias("y")))
     rows = logits.join(truth, ["doc_id", "label"], "inner")
     return MT.multilabel_metrics(rows, item="doc_id")
+
+
+# ----------------------------------------------------------------- S1-S3 streaming
+
+@register("s1_incremental_summary", Q.with_views(
+    """live_entries AS (SELECT * FROM j_entries WHERE entry_id % 41 <> 0)""",
+    d5_sql("live_entries", "j_analysis")) + f"""
+SELECT s.user_id, s.summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
+       entry_count, latest_entry_preview, j.emotion_breakdown_json,
+       {Q.summary_text('dominant_emotion', 'positivity_score', 'positive', 'negative', 'neutral',
+                       'latest_entry_preview')} AS summary_text
+FROM summary_ s JOIN breakdown_json j USING (user_id, summary_date)""")
+def s1_incremental_summary(spark, sf_dir):
+    from ..streaming import daily as SD
+    return SD.final_summary(SD.run_incremental(spark, sf_dir))

@@ -34,8 +34,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     The text comes from ``documents`` row ``event_id % n_docs``; ``n_docs`` is a
     scalar subquery, evaluated once, not a join.
     """
-    ev = read_table(spark, sf_dir, "events")
-    docs = read_table(spark, sf_dir, "documents")
+    return entries_from_events(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "documents"))
+
+
+def entries_from_events(ev: DataFrame, docs: DataFrame) -> DataFrame:
+    """The j_entries rule on any events frame (batch or one micro-batch)."""
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     e = ev.select(F.col("event_id").alias("entry_id"), "user_id",
                   F.col("ts").alias("entry_time"),
@@ -50,7 +53,12 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Spreads all labels; 1/37 of entries unanalysed, 1/31 with a NULL emotion.
     """
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_id") % 37 != 0)
+    return analysis_from_events(spark, read_table(spark, sf_dir, "events"))
+
+
+def analysis_from_events(spark: SparkSession, ev: DataFrame) -> DataFrame:
+    """The j_analysis rule on any events frame."""
+    ev = ev.where(F.col("event_id") % 37 != 0)
     lab = F.broadcast(labels_dim(spark).select("label_index", "label"))
     cond = ((lab.label_index == (ev.event_id * 7 + ev.user_id) % 28) & (ev.event_id % 31 != 0))
     return ev.join(lab, cond, "left").select(
