@@ -25,9 +25,18 @@ def py_strip(x) -> Column:
 
 
 def preview(text, n: int = fixed.PREVIEW_CHARS) -> Column:
-    """Strip, newline -> space, first ``n`` characters."""
-    return F.left(F.replace(py_strip(F.coalesce(_c(text), F.lit(""))), F.lit("\n"), F.lit(" ")),
-                  F.lit(n))
+    """Strip, newline -> space, first ``n`` characters.
+
+    Same result as ``left(strip(text), n)`` without a right-strip over the
+    whole text: after the left strip, the first ``n`` characters need a right
+    strip only when nothing but white space follows them.
+    """
+    ws = fixed.PY_WHITESPACE_CLASS
+    lead = F.regexp_replace(F.coalesce(_c(text), F.lit("")), f"^[{ws}]+", "")
+    head = F.left(lead, F.lit(n))
+    more = F.substring(lead, n + 1, 1 << 30).rlike(f"[^{ws}]")
+    cut = F.when(more, head).otherwise(F.regexp_replace(head, f"[{ws}]+$", ""))
+    return F.replace(cut, F.lit("\n"), F.lit(" "))
 
 
 # ---------------------------------------------------------------- buckets

@@ -15,13 +15,19 @@ from ..functions import fixed
 
 
 def day_rows(entries: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Entries left join analysis; one row per (entry, analysis)."""
+    """Entries left join analysis; one row per (entry, analysis).
+
+    Entries may carry ``preview`` (H10 already applied, e.g. once per shared
+    document) instead of ``text``; the join then moves 160 characters, not
+    whole texts.
+    """
     a = analysis.select("entry_id", "predicted_emotion")
+    prev = F.col("preview") if "preview" in entries.columns else X.preview("text")
     return (entries.join(a, "entry_id", "left")
             .select("user_id", "entry_id", "entry_time",
                     F.to_date("entry_time").alias("summary_date"),
                     X.bucket("predicted_emotion").alias("bucket"),
-                    X.preview("text").alias("preview")))
+                    prev.alias("preview")))
 
 
 def daily_summary(entries: DataFrame, analysis: DataFrame, with_text: bool = True) -> DataFrame:

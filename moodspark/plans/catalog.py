@@ -90,7 +90,7 @@ SELECT s.user_id, s.summary_date, dominant_emotion, positive, negative, neutral,
                        'latest_entry_preview')} AS summary_text
 FROM summary_ s JOIN breakdown_json j USING (user_id, summary_date)""")
 def d5_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.daily_summary(T.entries(spark, sf_dir), T.analysis(spark, sf_dir))
+    return S.daily_summary(T.entries_with_preview(spark, sf_dir), T.analysis(spark, sf_dir))
 
 
 def _short(spark, sf_dir):
@@ -340,7 +340,7 @@ SELECT s.user_id, s.summary_date, dominant_emotion, positive, negative, neutral,
                        'latest_entry_preview')} AS summary_text
 FROM summary_ s JOIN breakdown_json j USING (user_id, summary_date)""")
 def j4_keyword_daily_summary(spark, sf_dir):
-    ent = T.entries(spark, sf_dir)
+    ent = T.entries_with_preview(spark, sf_dir)
     return S.daily_summary(ent, SC.entry_analysis_by_document(spark, sf_dir, ent))
 
 

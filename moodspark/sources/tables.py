@@ -37,15 +37,27 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_from_events(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "documents"))
 
 
-def entries_from_events(ev: DataFrame, docs: DataFrame) -> DataFrame:
-    """The j_entries rule on any events frame (batch or one micro-batch)."""
+def entries_from_events(ev: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The j_entries rule on any events frame (batch or one micro-batch).
+
+    ``docs`` may carry a per-document derivative of the text (e.g. its
+    preview) under ``text_col`` so only that crosses the join.
+    """
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     e = ev.select(F.col("event_id").alias("entry_id"), "user_id",
                   F.col("ts").alias("entry_time"),
                   (F.col("event_id") % n_docs).alias("doc_key"))
-    d = docs.select("doc_id", "text")
+    d = docs.select("doc_id", text_col)
     return (e.join(d, e.doc_key == d.doc_id, "inner")
-            .select("entry_id", "user_id", "doc_id", "text", "entry_time"))
+            .select("entry_id", "user_id", "doc_id", text_col, "entry_time"))
+
+
+def entries_with_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """j_entries with the H10 preview computed once per document instead of the text."""
+    from ..functions.exprs import preview
+    docs = read_table(spark, sf_dir, "documents")
+    return entries_from_events(read_table(spark, sf_dir, "events"),
+                               docs.select("doc_id", preview("text").alias("preview")), "preview")
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
