@@ -30,16 +30,15 @@ from ..functions import text as TX
 from ..functions.exprs import bucket
 from . import insights as I
 from . import keyword as K
-from .joins import broadcast_if_small
 
 CAP_WORD = r"\p{Lu}\p{Ll}+"
 
-# A label scorer: DataFrame(id, text) -> DataFrame(id, predicted_emotion, confidence).
-LabelScorer = Callable[[DataFrame], DataFrame]
+# A label scorer: (DataFrame(keys..., text), keys) -> DataFrame(keys..., predicted_emotion, confidence).
+LabelScorer = Callable[[DataFrame, list], DataFrame]
 
 
-def keyword_label_scorer(df: DataFrame) -> DataFrame:
-    return K.keyword_score(df, "id").select("id", "predicted_emotion", "confidence")
+def keyword_label_scorer(df: DataFrame, keys: list) -> DataFrame:
+    return K.keyword_score(df, keys).select(*keys, "predicted_emotion", "confidence")
 
 
 def sentence_rows(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -75,26 +74,6 @@ def gazetteer(docs: DataFrame, text_col: str = "text", min_docs: int = 3) -> Dat
     return g.select("word", F.element_at(types, (F.pmod(h, F.lit(3)) + 1).cast("int")).alias("label"))
 
 
-def gazetteer_mentions(sents: DataFrame, key: str, gaz: DataFrame,
-                       max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """C11 + H20: (key, sentence_idx, m_ord, word, label) in mention order.
-
-    Each whitespace piece whose first capitalised run is a gazetteer word is a
-    mention; the piece stripped of non-alphanumeric ends is the widened span.
-    """
-    pieces = F.split(F.col("sentence"), f"[{TX.WS}]+")
-    cand = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("m_ord"), p.alias("piece"))),
-                    lambda x: x["piece"].rlike(CAP_WORD))
-    m = sents.select(key, "sentence_idx", F.explode(cand).alias("_p")).select(
-        key, "sentence_idx", "_p.m_ord", "_p.piece",
-        F.regexp_extract(F.col("_p.piece"), CAP_WORD, 0).alias("word"))
-    g = broadcast_if_small(gaz.select("word", "label"), max_broadcast_rows)
-    j = m.join(g, "word", "inner")
-    widened = F.regexp_replace(F.col("piece"), TX.ALNUM_EDGES, "")
-    return j.select(key, "sentence_idx", "m_ord", "word", "label",
-                    F.when(widened != "", widened).otherwise(F.col("word")).alias("expanded"))
-
-
 def merge_word_pieces(mentions: DataFrame, key: str) -> DataFrame:
     """Merge ``##`` pieces into the preceding mention (gaps and islands).
 
@@ -124,66 +103,104 @@ def _keep_first(df: DataFrame, part: list, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def valid_entities(mentions: DataFrame, key: str) -> DataFrame:
-    """Dedupe raw (word, label), clean, filter types / length / stop list, dedupe again."""
-    m = _keep_first(mentions, [key, "sentence_idx", F.lower("word"), "label"], ["m_ord"])
-    m = m.withColumn("entity", TX.clean_entity_name(F.col("expanded")))
-    m = m.where(F.col("label").isin(fixed.ENTITY_TYPES) & (F.length("entity") > 1)
-                & ~F.lower("entity").isin(fixed.ENTITY_STOP_WORDS))
-    return _keep_first(m, [key, "sentence_idx", F.lower("entity"), "label"], ["m_ord"]).select(
-        key, "sentence_idx", "m_ord", "entity", "label")
+def _dedupe_array(arr, key_of):
+    """D15 inside one sentence: keep the first element of each key (array order)."""
+    return F.filter(arr, lambda x, i: ~F.exists(F.slice(arr, 1, i), lambda y: key_of(y) == key_of(x)))
+
+
+def valid_entities(mentions):
+    """Dedupe raw (word, label), clean, filter types / length / stop list, dedupe again.
+
+    ``mentions``: array<struct<m_ord, word, label, expanded>> of one sentence,
+    in mention order. Returns array<struct<m_ord, entity, label>>.
+    """
+    first = _dedupe_array(mentions, lambda x: F.concat_ws("\u0000", F.lower(x["word"]), x["label"]))
+    cleaned = F.transform(first, lambda x: F.struct(
+        x["m_ord"].alias("m_ord"), TX.clean_entity_name(x["expanded"]).alias("entity"), x["label"].alias("label")))
+    kept = F.filter(cleaned, lambda x: x["label"].isin(fixed.ENTITY_TYPES) & (F.length(x["entity"]) > 1)
+                    & ~F.lower(x["entity"]).isin(fixed.ENTITY_STOP_WORDS))
+    return _dedupe_array(kept, lambda x: F.concat_ws("\u0000", F.lower(x["entity"]), x["label"]))
+
+
+def sentence_mentions(texts: DataFrame, key: str, gaz: DataFrame, text_col: str = "text",
+                      max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """One row per non-blank sentence with its valid entities (in-row arrays).
+
+    The texts are hash-partitioned by ``key`` once; sentence rows, the
+    gazetteer lookup (broadcast after a size check) and the regrouping per
+    (key, sentence) then stay inside that partitioning: no further shuffle.
+    """
+    sents = sentence_rows(texts.select(key, text_col).repartition(key), key, text_col)
+    pieces = F.split(F.col("sentence"), f"[{TX.WS}]+")
+    cand = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("m_ord"), p.alias("piece"))),
+                    lambda x: x["piece"].rlike(CAP_WORD))
+    m = sents.select("*", F.explode_outer(cand).alias("_p")).withColumn(
+        "word", F.regexp_extract(F.col("_p.piece"), CAP_WORD, 0))
+    g = gaz.select("word", "label")
+    n = g.limit(max_broadcast_rows + 1).count()
+    if n <= max_broadcast_rows:
+        g = F.broadcast(g)
+    j = m.join(g, "word", "left")
+    widened = F.regexp_replace(F.col("_p.piece"), TX.ALNUM_EDGES, "")
+    ment = F.when(F.col("label").isNotNull(), F.struct(
+        F.col("_p.m_ord").alias("m_ord"), F.col("word").alias("word"), F.col("label").alias("label"),
+        F.when(widened != "", widened).otherwise(F.col("word")).alias("expanded")))
+    per = j.groupBy(key, "sentence_idx").agg(
+        F.first("sentence").alias("sentence"), F.first("prev_sentence").alias("prev_sentence"),
+        F.first("next_sentence").alias("next_sentence"),
+        F.array_sort(F.collect_list(ment)).alias("_m"))
+    return per.withColumn("valid", valid_entities(F.col("_m"))).drop("_m")
 
 
 def entity_mentions(texts: DataFrame, key: str, gaz: DataFrame,
                     scorer: LabelScorer = keyword_label_scorer, text_col: str = "text") -> DataFrame:
     """(key, sentence_idx, t_ord, entity, type, context_sentence, predicted_emotion,
     emotion_bucket, confidence) - one row per scored target."""
-    sents = sentence_rows(texts, key, text_col)
-    valid = valid_entities(gazetteer_mentions(sents, key, gaz), key)
-
-    # per-sentence entity summary (bounded by one sentence's mentions)
-    per_sent = valid.groupBy(key, "sentence_idx").agg(
-        F.count(F.lit(1)).alias("n_valid"),
-        F.max(F.when(F.col("label") == "PER", F.struct("m_ord", "entity"))).getField("entity").alias("last_per"))
-    # only sentences that can hold a target leave their scan task
-    interesting = (sents.withColumn("_pron", TX.has_pronoun(F.col("sentence")))
-                   .where(F.col("_pron") | F.col("sentence").rlike(CAP_WORD))
-                   .join(per_sent, [key, "sentence_idx"], "left")
-                   .where(F.col("n_valid").isNotNull() | F.col("_pron")))
+    per = sentence_mentions(texts, key, gaz, text_col)
+    pers = F.filter("valid", lambda x: x["label"] == "PER")
+    per = per.select("*", F.size("valid").alias("n_valid"),
+                     F.try_element_at(pers, F.lit(-1)).getField("entity").alias("last_per"),
+                     TX.has_pronoun(F.col("sentence")).alias("_pron"))
+    per = per.where((F.col("n_valid") > 0) | F.col("_pron"))
+    # Last PER of the most recent earlier sentence that has one, <= 2 back
     w = Window.partitionBy(key).orderBy("sentence_idx").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.last(F.when(F.col("last_per").isNotNull(),
                             F.struct(F.col("last_per").alias("e"), F.col("sentence_idx").alias("i"))),
                      ignorenulls=True).over(w)
-    s2 = interesting.withColumn("_carry", carried)
-    is_coref = (F.col("n_valid").isNull() & F.col("_pron") & F.col("_carry").isNotNull()
+    s2 = per.withColumn("_carry", carried)
+    is_coref = ((F.col("n_valid") == 0) & F.col("_pron") & F.col("_carry").isNotNull()
                 & (F.col("sentence_idx") - F.col("_carry.i") <= fixed.CARRY_MAX_DISTANCE))
-    s2 = s2.withColumn("is_coref", is_coref).where(F.col("n_valid").isNotNull() | F.col("is_coref"))
-
-    sent_cols = [key, "sentence_idx", "sentence", "prev_sentence", "next_sentence", "is_coref"]
-    direct = s2.where(~F.col("is_coref")).select(*sent_cols).join(valid, [key, "sentence_idx"], "inner").select(
-        *sent_cols, F.col("m_ord").alias("t_ord"), "entity", F.col("label").alias("type"))
-    coref = s2.where(F.col("is_coref")).select(
-        *sent_cols, F.lit(0).alias("t_ord"), F.col("_carry.e").alias("entity"), F.lit("PER").alias("type"))
-    t = direct.unionByName(coref).withColumn("std", TX.capitalize_entity(F.col("entity"))).where(F.col("std") != "")
+    s2 = s2.withColumn("is_coref", is_coref).where((F.col("n_valid") > 0) | F.col("is_coref"))
+    targets = F.when(F.col("is_coref"), F.array(F.struct(
+        F.lit(0).alias("m_ord"), F.col("_carry.e").alias("entity"), F.lit("PER").alias("label")))
+    ).otherwise(F.col("valid"))
+    t = s2.select(key, "sentence_idx", "sentence", "prev_sentence", "next_sentence", "is_coref",
+                  F.explode(targets).alias("_t")).select(
+        key, "sentence_idx", "sentence", "prev_sentence", "next_sentence", "is_coref",
+        F.col("_t.m_ord").alias("t_ord"), F.col("_t.entity").alias("entity"), F.col("_t.label").alias("type"))
+    t = t.withColumn("std", TX.capitalize_entity(F.col("entity"))).where(F.col("std") != "")
     # same entity in the same sentence text once per text (first by position)
     t = _keep_first(t, [key, F.lower("std"), "sentence"], ["sentence_idx", "t_ord"])
 
     # H17/H18 target clause
     clauses = TX.contrastive_clauses(F.col("sentence"))
-    pick = F.when(F.col("is_coref"), F.element_at(F.filter(clauses, lambda c: TX.has_pronoun(c)), 1)).otherwise(
-        F.element_at(F.filter(clauses, lambda c: F.lower(c).contains(F.lower(F.col("std")))), 1))
+    pick = F.when(F.col("is_coref"), F.try_element_at(F.filter(clauses, lambda c: TX.has_pronoun(c)), F.lit(1))).otherwise(
+        F.try_element_at(F.filter(clauses, lambda c: F.lower(c).contains(F.lower(F.col("std")))), F.lit(1)))
     target = F.when(F.size(clauses) > 1, F.coalesce(pick, F.col("sentence"))).otherwise(F.col("sentence"))
-    t = t.withColumn("target", target).withColumn(
-        "context", F.concat_ws(" ", F.col("prev_sentence"), F.col("target"), F.col("next_sentence")))
-
-    # Score target and context; each row id scores once
-    rid = F.struct(F.col(key).alias("k"), F.col("sentence_idx").alias("s"), F.col("t_ord").alias("o"))
-    t = t.withColumn("_rid", rid)
-    a = scorer(t.select(F.col("_rid").alias("id"), F.col("target").alias("text"))).select(
-        F.col("id").alias("_rid"), F.col("predicted_emotion").alias("_p1"), F.col("confidence").alias("_c1"))
-    b = scorer(t.select(F.col("_rid").alias("id"), F.col("context").alias("text"))).select(
-        F.col("id").alias("_rid"), F.col("predicted_emotion").alias("_p2"), F.col("confidence").alias("_c2"))
-    r = t.join(a, "_rid", "inner").join(b, "_rid", "inner")
+    context = F.concat_ws(" ", F.col("prev_sentence"), target, F.col("next_sentence"))
+
+    # Target and context scored in one pass; both rows come from one
+    # generator, and the scorer groups by (key, ...), so nothing is shuffled
+    keys = [key, "sentence_idx", "t_ord", "std", "type", "sentence"]
+    both = t.select(*keys, F.inline(F.array(
+        F.struct(F.lit(1).alias("_which"), target.alias("text")),
+        F.struct(F.lit(2).alias("_which"), context.alias("text")))))
+    sc = scorer(both, keys + ["_which"])
+    r = sc.groupBy(*keys).agg(
+        F.max(F.when(F.col("_which") == 1, F.col("predicted_emotion"))).alias("_p1"),
+        F.max(F.when(F.col("_which") == 1, F.col("confidence"))).alias("_c1"),
+        F.max(F.when(F.col("_which") == 2, F.col("predicted_emotion"))).alias("_p2"),
+        F.max(F.when(F.col("_which") == 2, F.col("confidence"))).alias("_c2"))
     need = (F.col("_c1") < fixed.FALLBACK_THRESHOLD) | (F.col("_p1") == "neutral")
     take2 = need & ((F.col("_p1") == "neutral") | ((F.col("_p2") != "neutral") & (F.col("_c2") > F.col("_c1"))))
     label = F.when(take2, F.col("_p2")).otherwise(F.col("_p1"))
