@@ -221,3 +221,13 @@ def short_summary(dominant, pos, neg, neu) -> Column:
     return F.format_string(
         fixed.SHORT_SUMMARY_FORMAT.replace("{Dominant}", "%s").replace("{pos}", "%d")
         .replace("{neg}", "%d").replace("{neu}", "%d"), cap, _c(pos), _c(neg), _c(neu))
+
+
+def percent(x, digits: int = 0) -> Column:
+    """A 0..1 share shown as a percentage string (``42%``)."""
+    return F.concat(F.format_number(_c(x) * 100, digits), F.lit("%"))
+
+
+def month_day_label(d) -> Column:
+    """``MMM d`` chart label."""
+    return F.date_format(_c(d), "MMM d")

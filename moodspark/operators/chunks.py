@@ -185,3 +185,25 @@ def score_windows(df: DataFrame, key: str, scorer: Scorer = keyword_vector_score
     timeline = scored.select(F.col("id").getField(key).alias(key), F.col("id").getField("chunk_id").alias("chunk_id"),
                              best.label.alias("label"), best.score.alias("score"), "scores")
     return timeline, pooled_prediction(timeline.select(key, "scores"), key)
+
+
+def top_labels(scores: Column, k: int = 3) -> Column:
+    """the ``k`` highest entries of a label -> score map as
+    array<struct<label, score>>; equal scores keep map order."""
+    e = F.transform(F.map_entries(scores), lambda x, i: F.struct(i.alias("i"), x["key"].alias("label"),
+                                                                  x["value"].cast("double").alias("score")))
+    e = F.filter(e, lambda x: x["score"].isNotNull())
+    srt = F.array_sort(e, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
+                       .otherwise(a["i"] - b["i"]))
+    return F.transform(F.slice(srt, 1, k), lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score")))
+
+
+def blank_safe_scores(df: DataFrame, key: str, scorer: Scorer = keyword_vector_scorer,
+                      text_col: str = "text") -> DataFrame:
+    """B10 + J3 batch form: blank texts get ``error`` and no scores; others are scored."""
+    from ..functions.exprs import py_strip
+    blank = py_strip(F.coalesce(F.col(text_col), F.lit(""))) == ""
+    ok = df.where(~blank)
+    _, pooled = score_windows(ok, key, scorer, text_col)
+    errs = df.where(blank).select(key, F.lit(fixed.EMPTY_TEXT_ERROR).alias("error"))
+    return pooled.withColumn("error", F.lit(None).cast("string")).unionByName(errs, allowMissingColumns=True)

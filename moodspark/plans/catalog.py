@@ -598,3 +598,27 @@ FROM summary_ s JOIN breakdown_json j USING (user_id, summary_date)""")
 def s1_incremental_summary(spark, sf_dir):
     from ..streaming import daily as SD
     return SD.final_summary(SD.run_incremental(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- F3 / J7 composed
+
+@register("f3_top3_labels", f"""WITH e AS (
+  SELECT vec_id, i, 1.0 / (1.0 + exp(-CAST(x AS DOUBLE))) AS s
+  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, i) AS rank FROM e)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, {_label_sql('i')} AS label, round(s, 6) AS score
+FROM r WHERE rank <= 3""")
+def f3_top3_labels(spark, sf_dir):
+    e = T.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    top = CH.top_labels(CH.label_map(CH.sigmoid(F.col("embedding"))), 3)
+    return e.select("vec_id", F.posexplode(top).alias("_r", "_t")).select(
+        "vec_id", (F.col("_r") + 1).cast("int").alias("rank"), F.col("_t.label").alias("label"),
+        F.round(F.col("_t.score"), 6).alias("score"))
+
+
+@register("j7_enriched_summary")
+def j7_enriched_summary(spark, sf_dir):
+    from . import journal as JN
+    ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time", "doc_id")
+    res = JN.enrich(spark, ent, _docs(spark, sf_dir))
+    return res.summary
