@@ -4,7 +4,9 @@ Texts become chunk rows (one per chunk or window) so a scorer runs on Spark
 partitions; chunk score vectors are pooled per text with a (text, position)
 hash aggregate; vectors are never collected beyond their own dimension.
 
-A scorer is ``DataFrame(id, text) -> DataFrame(id, scores array<double>)``.
+A scorer is ``(DataFrame(keys..., text), keys) -> DataFrame(keys..., scores
+array<double>)``. Texts are hash-partitioned by their key once; chunk rows,
+scoring and pooling are keyed by (key, ...) and reuse that partitioning.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from ..functions import fixed
 from ..functions import text as TX
 from . import keyword as K
 
-Scorer = Callable[[DataFrame], DataFrame]
+Scorer = Callable[[DataFrame, list], DataFrame]
 
 
 # ------------------------------------------------------------------ E5 packing
@@ -151,11 +153,11 @@ def argmax_label(v: Column) -> Column:
 
 # ------------------------------------------------------------------ J2 / J3 plans
 
-def keyword_vector_scorer(df: DataFrame) -> DataFrame:
+def keyword_vector_scorer(df: DataFrame, keys: list) -> DataFrame:
     """Default scorer: the keyword scorer's one-hot vector over the 28 labels."""
-    s = K.keyword_score(df, "id")
+    s = K.keyword_score(df, keys)
     onehot = F.transform(K.label_names(), lambda x: F.when(x == F.col("predicted_emotion"), 1.0).otherwise(0.0))
-    return s.select("id", onehot.alias("scores"))
+    return s.select(*keys, onehot.alias("scores"))
 
 
 def pooled_prediction(chunk_scores: DataFrame, key: str) -> DataFrame:
@@ -169,21 +171,18 @@ def pooled_prediction(chunk_scores: DataFrame, key: str) -> DataFrame:
 def score_chunked(df: DataFrame, key: str, scorer: Scorer = keyword_vector_scorer,
                   text_col: str = "text") -> DataFrame:
     """Chunk each text, score chunks, pool per text, pick the label."""
-    ch = sentence_chunks(df, key, text_col)
-    ids = ch.select(F.struct(key, "chunk_id").alias("id"), F.col("chunk_text").alias("text"))
-    scored = scorer(ids).select(F.col("id").getField(key).alias(key), "scores")
-    return pooled_prediction(scored, key)
+    ch = sentence_chunks(df.select(key, text_col).repartition(key), key, text_col)
+    scored = scorer(ch.select(key, "chunk_id", F.col("chunk_text").alias("text")), [key, "chunk_id"])
+    return pooled_prediction(scored.select(key, "scores"), key)
 
 
 def score_windows(df: DataFrame, key: str, scorer: Scorer = keyword_vector_scorer,
                   text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Window timeline (one prediction per window) and the pooled result."""
-    w = token_windows(df, key, text_col)
-    ids = w.select(F.struct(key, "chunk_id").alias("id"), F.col("window_text").alias("text"))
-    scored = scorer(ids)
+    w = token_windows(df.select(key, text_col).repartition(key), key, text_col)
+    scored = scorer(w.select(key, "chunk_id", F.col("window_text").alias("text")), [key, "chunk_id"])
     best = argmax_label(F.col("scores"))
-    timeline = scored.select(F.col("id").getField(key).alias(key), F.col("id").getField("chunk_id").alias("chunk_id"),
-                             best.label.alias("label"), best.score.alias("score"), "scores")
+    timeline = scored.select(key, "chunk_id", best.label.alias("label"), best.score.alias("score"), "scores")
     return timeline, pooled_prediction(timeline.select(key, "scores"), key)
 
 
