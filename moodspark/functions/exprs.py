@@ -19,9 +19,15 @@ def _c(x) -> Column:
 # ---------------------------------------------------------------- strings
 
 def py_strip(x) -> Column:
-    """Python ``str.strip()``: remove the Unicode white space set at both ends."""
+    """Python ``str.strip()``: remove the Unicode white space set at both ends.
+
+    Both ends are stripped with an anchored leading match (the right end on
+    the reversed string): an unanchored ``[ws]+$`` would be tried at every
+    white-space run of a long text.
+    """
     ws = fixed.PY_WHITESPACE_CLASS
-    return F.regexp_replace(_c(x), f"^[{ws}]+|[{ws}]+$", "")
+    lead = F.regexp_replace(_c(x), f"^[{ws}]+", "")
+    return F.reverse(F.regexp_replace(F.reverse(lead), f"^[{ws}]+", ""))
 
 
 def preview(text, n: int = fixed.PREVIEW_CHARS) -> Column:

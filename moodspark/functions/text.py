@@ -20,9 +20,20 @@ BASIC_TOKEN = rf"[{WORD}]+|[^{WORD}{WS}]"
 ALNUM_EDGES = r"^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$"
 
 
+SPLIT_MARK = "\ue000"
+
+
 def sentences(text: Column) -> Column:
-    """Split after '.', '!' or '?' followed by white space (text stripped first)."""
-    return F.split(py_strip(F.coalesce(text, F.lit(""))), rf"(?<=[.!?])[{WS}]+")
+    """Split after '.', '!' or '?' followed by white space (text stripped first).
+
+    The white-space run after a terminator is replaced by a marker and the
+    text split on it (same pieces as the look-behind split, several times
+    faster); a text that already contains the marker uses the look-behind.
+    """
+    t = py_strip(F.coalesce(text, F.lit("")))
+    fast = F.split(F.regexp_replace(t, rf"([.!?])[{WS}]+", "$1" + SPLIT_MARK), SPLIT_MARK)
+    slow = F.split(t, rf"(?<=[.!?])[{WS}]+")
+    return F.when(F.instr(t, SPLIT_MARK) > 0, slow).otherwise(fast)
 
 
 def is_blank(s: Column) -> Column:
