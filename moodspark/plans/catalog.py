@@ -424,7 +424,21 @@ def j2_chunk_scoring(spark, sf_dir):
     return CH.score_chunked(d, "doc_id").select("doc_id", "predicted_emotion", "confidence")
 
 
-@register("j3_window_timeline")
+def _j3_sql() -> str:
+    from ..functions import fixed
+    labels = ", ".join(Q.q(x) for x in fixed.LABELS)
+    tok = _re2(TX.BASIC_TOKEN)
+    return "WITH " + f"""turn_toks AS (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS turn_key,
+         regexp_extract_all(coalesce(text, ''), '{tok}') AS t FROM conversations),
+wins AS (
+  SELECT turn_key, CAST((s - 1) // 106 AS INTEGER) AS chunk_id, array_to_string(t[s:s + 125], ' ') AS text
+  FROM turn_toks, unnest(generate_series(1, greatest(len(t) - 20, 1), 106)) u(s)),
+""" + keyword_sql("wins", "turn_key, chunk_id") + """
+SELECT turn_key, chunk_id, predicted_emotion AS label, CAST(1.0 AS DOUBLE) AS score FROM kw"""
+
+
+@register("j3_window_timeline", _j3_sql())
 def j3_window_timeline(spark, sf_dir):
     d = T.read_table(spark, sf_dir, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "text")
@@ -616,7 +630,7 @@ def f3_top3_labels(spark, sf_dir):
         F.round(F.col("_t.score"), 6).alias("score"))
 
 
-@register("j7_enriched_summary")
+@register("j7_enriched_summary", ORACLES["j4_keyword_daily_summary"])
 def j7_enriched_summary(spark, sf_dir):
     from . import journal as JN
     ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time", "doc_id")
