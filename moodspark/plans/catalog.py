@@ -228,7 +228,7 @@ def _calendar_sql(keys_sql: str, summary_src: str, long: bool) -> str:
 keys_ AS ({keys_sql}),
 days AS (SELECT user_id, month, CAST(unnest(generate_series(month, last_day(month), INTERVAL 1 DAY)) AS DATE) AS date
          FROM keys_)
-SELECT d.user_id, d.date, day(d.date) AS day, coalesce(s.entry_count, 0) AS entry_count,
+SELECT d.user_id, d.date, CAST(day(d.date) AS INTEGER) AS day, coalesce(s.entry_count, 0) AS entry_count,
   CASE WHEN s.entry_count IS NULL THEN '#ffffff' ELSE {Q.positivity_color('s.positivity_score')} END AS color,
   coalesce(s.dominant_emotion, 'none') AS dominant_emotion, s.positivity_score,
   CASE WHEN s.entry_count IS NULL THEN 'No entries for this day.'
