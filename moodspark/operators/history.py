@@ -102,9 +102,12 @@ def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame, ad
     analysis, insight and the entry's advice list in insertion order.
 
     The optional day filter is a half-open timestamp range (B2), so parquet
-    min/max statistics can skip row groups.
+    min/max statistics can skip row groups. ``text`` is carried when the
+    entries have it; otherwise join texts to the page rows afterwards (a page
+    is at most ``limit`` rows per user).
     """
-    e = entries.select("entry_id", "user_id", "text", F.col("entry_time").alias("occured_at"))
+    cols = ["entry_id", "user_id"] + (["text"] if "text" in entries.columns else [])
+    e = entries.select(*cols, F.col("entry_time").alias("occured_at"))
     if day is not None:
         d0 = F.lit(day).cast("date")
         e = e.where((F.col("occured_at") >= d0.cast("timestamp_ntz"))
@@ -115,13 +118,16 @@ def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame, ad
                               F.col("details").alias("insight_details")), "entry_id", "left"))
     page = top_k_per_group(j, ["user_id"], [F.desc("occured_at"), F.desc("entry_id")], offset + limit,
                            rank_col="position").where(F.col("position") > offset)
-    adv = (advice.join(page.select("entry_id"), "entry_id", "left_semi")
-           .groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct(
-               "ord", "advice_key", "emotion_key", "title", "advice_text", "rationale_text"))).alias("_adv")))
-    return page.join(adv, "entry_id", "left").withColumn(
-        "advice", F.coalesce(F.transform("_adv", lambda x: x.dropFields("ord")),
-                             F.array().cast("array<struct<advice_key:string,emotion_key:string,title:string,"
-                                            "advice_text:string,rationale_text:string>>"))).drop("_adv")
+    # one pass over the page: attach advice rows, regroup per entry (bounded by
+    # the advice of one entry)
+    adv = advice.select("entry_id", F.struct("ord", "advice_key", "emotion_key", "title", "advice_text",
+                                             "rationale_text").alias("_a"))
+    keys = page.columns
+    g = page.join(adv, "entry_id", "left").groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_a")).alias("_adv"))
+    empty = F.array().cast("array<struct<advice_key:string,emotion_key:string,title:string,"
+                           "advice_text:string,rationale_text:string>>")
+    return g.withColumn("advice", F.coalesce(F.transform("_adv", lambda x: x.dropFields("ord")), empty)).drop("_adv")
 
 
 # ------------------------------------------------------------------ F6 prompts
@@ -139,13 +145,13 @@ def user_prompts(advice: DataFrame, entries: DataFrame, spark: SparkSession, see
     picked = top_k_per_group(firsts, ["user_id"], [F.asc("_r")], fixed.PROMPT_ENTITY_KEEP, salt_buckets=1,
                              rank_col="prompt_no").select(
         "user_id", "prompt_no", I.prompt_text(F.col("_e"), F.col("emotion_key")).alias("prompt"))
+    # generic prompts follow the entity prompts; one ranking fills to 3
     users = entries.select("user_id").distinct()
-    n_picked = picked.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     gen = users.select("user_id", F.posexplode(F.array(*[F.lit(p) for p in I.GENERIC_PROMPTS])).alias("_g", "prompt"))
-    gen = gen.withColumn("_o", F.xxhash64(F.col("user_id"), F.col("_g"), F.lit(seed)))
+    gen = gen.select("user_id", "prompt", (F.lit(100) + F.pmod(F.xxhash64(F.col("user_id"), F.col("_g"), F.lit(seed)),
+                                                               F.lit(1 << 30))).alias("_o"))
+    allp = picked.select("user_id", "prompt", F.col("prompt_no").cast("long").alias("_o")).unionByName(gen)
     from pyspark.sql import Window
-    gen = gen.withColumn("_gr", F.row_number().over(Window.partitionBy("user_id").orderBy("_o")))
-    fill = gen.join(n_picked, "user_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(
-        F.col("_gr") <= fixed.PROMPT_TOTAL - F.col("_n")).select(
-        "user_id", (F.col("_n") + F.col("_gr")).cast("int").alias("prompt_no"), "prompt")
-    return picked.select("user_id", F.col("prompt_no").cast("int"), "prompt").unionByName(fill)
+    ranked = allp.withColumn("prompt_no", F.row_number().over(Window.partitionBy("user_id").orderBy("_o", "prompt")))
+    return ranked.where(F.col("prompt_no") <= fixed.PROMPT_TOTAL).select(
+        "user_id", F.col("prompt_no").cast("int"), "prompt")

@@ -28,8 +28,9 @@ def emotion_distribution(entries: DataFrame, analysis: DataFrame) -> DataFrame:
 
 
 def monthly_counts(entries: DataFrame) -> DataFrame:
-    """Entries per (user, 'yyyy-MM'); months without entries are absent."""
-    return (entries.where(F.col("entry_time").isNotNull())
+    """Entries per (user, 'yyyy-MM'); months without entries are absent
+    (an entry without a time counts under a NULL month, as the SQL grouping does)."""
+    return (entries
             .groupBy("user_id", F.date_format("entry_time", "yyyy-MM").alias("month"))
             .agg(F.count(F.lit(1)).alias("count")))
 

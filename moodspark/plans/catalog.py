@@ -115,7 +115,7 @@ def d1_emotion_distribution(spark, sf_dir):
 
 @register("d2_monthly_counts", Q.with_views(long=True) + """
 SELECT user_id, strftime(entry_time, '%Y-%m') AS month, count(*) AS count
-FROM j_entries_long WHERE entry_time IS NOT NULL GROUP BY ALL""")
+FROM j_entries_long GROUP BY ALL""")
 def d2_monthly_counts(spark, sf_dir):
     return ST.monthly_counts(_long(spark, sf_dir)[0])
 
@@ -481,7 +481,8 @@ def j6_entity_advice(spark, sf_dir):
 
 
 def _entry_advice(spark, sf_dir):
-    ent = T.entries(spark, sf_dir)
+    """Entries, their analysis and advice rows (the stored tables of J7)."""
+    ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "doc_id", "entry_time")
     ana = SC.entry_analysis_by_document(spark, sf_dir, ent)
     return ent, ana, H.advice_rows(ent, ana, _doc_advice(spark, sf_dir), "doc_id")
 

@@ -59,3 +59,22 @@ def test_partition_independence(spark):
         assert all(r.positive + r.negative + r.neutral <= r.entry_count for r in rows)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert res[0] == res[1]
+
+
+def test_prompts_pick_newest_distinct_entities(spark):
+    from moodspark.operators import history as H
+    from moodspark.operators import insights as I
+    adv = spark.createDataFrame([
+        (1, 1, "entity_ann_positive", "positive", "Regarding Ann", dt.datetime(2024, 1, 3)),
+        (2, 1, "entity_bob_negative", "negative", "Regarding Bob", dt.datetime(2024, 1, 2)),
+        (3, 1, "entity_ann_neutral", "neutral", "Regarding ann", dt.datetime(2024, 1, 1)),
+        (3, 0, "general_neutral", "neutral", "General Advice", dt.datetime(2024, 1, 1)),
+    ], "entry_id long, ord int, advice_key string, emotion_key string, title string, created_at timestamp_ntz")
+    ent = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 8)], "entry_id long, user_id long")
+    got = {}
+    for r in H.user_prompts(adv, ent, spark).collect():
+        got.setdefault(r.user_id, {})[r.prompt_no] = r.prompt
+    assert got[7][1].startswith("You mentioned Ann in a positive light")
+    assert got[7][2].startswith("You had a stressful time regarding Bob")
+    assert got[7][3] in I.GENERIC_PROMPTS
+    assert sorted(got[8]) == [1, 2, 3] and all(p in I.GENERIC_PROMPTS for p in got[8].values())
