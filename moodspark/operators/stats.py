@@ -45,22 +45,29 @@ def time_heatmap(entries: DataFrame, analysis: DataFrame) -> DataFrame:
 
     Rows without a time or an emotion are skipped (B5); an unknown label
     scores 0.5. Score = mean rounded as Python rounds; NULL for empty cells.
+    One aggregation per user holds all 21 cells (partial aggregation map
+    side), then a generator lays the cells out as rows: no densifying join.
+    A user whose entries are all unanalysed still gets 21 empty cells.
     """
     j = (entries.select("entry_id", "user_id", "entry_time")
-         .join(analysis.select("entry_id", "predicted_emotion"), "entry_id", "left")
-         .where(F.col("entry_time").isNotNull() & F.col("predicted_emotion").isNotNull()
-                & (F.col("predicted_emotion") != "")))
+         .join(analysis.select("entry_id", "predicted_emotion"), "entry_id", "left"))
+    ok = (F.col("entry_time").isNotNull() & F.col("predicted_emotion").isNotNull()
+          & (F.col("predicted_emotion") != ""))
     b = X.bucket("predicted_emotion")
-    cells = (j.groupBy("user_id", X.weekday_name("entry_time").alias("day"),
-                       X.time_slot("entry_time").alias("time"))
-             .agg(F.count(F.lit(1)).alias("count"),
-                  F.count_if(b == "positive").alias("_pos"),
-                  F.count_if(b == "negative").alias("_neg")))
-    grid = users_of(entries).select("user_id", F.inline(F.array(*_grid())))
-    g = grid.join(cells, ["user_id", "day", "time"], "left")
-    n = F.coalesce(F.col("count"), F.lit(0).cast("long"))
-    score = X.py_round_ratio2(F.col("_pos") * 2 + (n - F.col("_pos") - F.col("_neg")), n * 2)
-    return g.select("user_id", "day", "time", score.alias("score"), n.alias("count")).withColumn(
+    day, slot = X.weekday_name("entry_time"), X.time_slot("entry_time")
+    aggs = []
+    for d in fixed.WEEKDAYS:
+        for t in fixed.TIME_SLOTS:
+            hit = ok & (day == d) & (slot == t)
+            aggs += [F.count_if(hit).alias(f"n_{d}_{t}"), F.count_if(hit & (b == "positive")).alias(f"p_{d}_{t}"),
+                     F.count_if(hit & (b == "negative")).alias(f"q_{d}_{t}")]
+    g = j.groupBy("user_id").agg(*aggs)
+    cells = F.array(*[F.struct(F.lit(d).alias("day"), F.lit(t).alias("time"), F.col(f"n_{d}_{t}").alias("n"),
+                               F.col(f"p_{d}_{t}").alias("p"), F.col(f"q_{d}_{t}").alias("q"))
+                      for d in fixed.WEEKDAYS for t in fixed.TIME_SLOTS])
+    c = g.select("user_id", F.inline(cells))
+    score = X.py_round_ratio2(F.col("p") * 2 + (F.col("n") - F.col("p") - F.col("q")), F.col("n") * 2)
+    return c.select("user_id", "day", "time", score.alias("score"), F.col("n").alias("count")).withColumn(
         "color", X.heatmap_color("score", "count"))
 
 
@@ -97,24 +104,34 @@ def moving_average(series: DataFrame, window: int, as_of: str | None = None,
     return s.select("user_id", "date", avg.alias("score"), F.date_format("date", "MMM d").alias("label"))
 
 
-def _pattern_means(users: DataFrame, rows: DataFrame, key, names: list[str],
-                   name_col: str) -> DataFrame:
-    agg = rows.groupBy("user_id", key.alias(name_col)).agg(
-        F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    dense = users.select(
-        "user_id", F.explode(F.array(*[F.lit(n) for n in names])).alias(name_col))
-    j = dense.join(agg, ["user_id", name_col], "left")
-    return j.select("user_id", name_col, F.coalesce(F.col("_s") / F.col("_n"), F.lit(0.0)).alias("score"),
-                    F.coalesce(F.col("_n"), F.lit(0).cast("long")).alias("count"))
+def _pattern_means(fluct: DataFrame, in_range, key, names: list[str], name_col: str) -> DataFrame:
+    """Mean score per (user, name) over the in-range rows; 0 when empty.
+
+    Every user with any fluctuation row gets every name: one aggregation per
+    user with a conditional sum/count per name, then a generator.
+    """
+    aggs = []
+    for i, n in enumerate(names):
+        hit = in_range & (key == n)
+        aggs += [F.sum(F.when(hit, F.col("score"))).alias(f"s{i}"), F.count_if(hit).alias(f"n{i}")]
+    g = fluct.groupBy("user_id").agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(n).alias(name_col), F.col(f"s{i}").alias("_s"), F.col(f"n{i}").alias("_n"))
+                     for i, n in enumerate(names)])
+    return g.select("user_id", F.inline(rows)).select(
+        "user_id", name_col,
+        F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.lit(0.0)).alias("score"),
+        F.col("_n").alias("count"))
+
+
+def _range(as_of, range_name):
+    return X.day_range("timestamp", as_of, range_name) if range_name != "all" else F.lit(True)
 
 
 def day_night(fluct: DataFrame, as_of: str | None = None, range_name: str = "all") -> DataFrame:
     """Day [6,18) vs Night mean of +1/0/-1 per user; 0 when empty."""
-    rows = fluct.where(X.day_range("timestamp", as_of, range_name)) if range_name != "all" else fluct
-    return _pattern_means(users_of(fluct), rows, X.day_night("timestamp"), fixed.DAY_NIGHT, "name")
+    return _pattern_means(fluct, _range(as_of, range_name), X.day_night("timestamp"), fixed.DAY_NIGHT, "name")
 
 
 def seasons(fluct: DataFrame, as_of: str | None = None, range_name: str = "all") -> DataFrame:
     """Season means per user; 0 when empty."""
-    rows = fluct.where(X.day_range("timestamp", as_of, range_name)) if range_name != "all" else fluct
-    return _pattern_means(users_of(fluct), rows, X.season("timestamp"), fixed.SEASONS, "name")
+    return _pattern_means(fluct, _range(as_of, range_name), X.season("timestamp"), fixed.SEASONS, "name")
