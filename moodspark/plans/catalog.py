@@ -637,3 +637,30 @@ def j7_enriched_summary(spark, sf_dir):
     ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time", "doc_id")
     res = JN.enrich(spark, ent, _docs(spark, sf_dir))
     return res.summary
+
+
+@register("f1_history_page", Q.with_views() + f"""
+, j AS (
+  SELECT e.user_id, e.entry_id, e.entry_time AS occured_at, a.predicted_emotion, a.confidence,
+         CASE WHEN a.entry_id IS NULL THEN NULL ELSE coalesce({Q.bucket('a.predicted_emotion')}, 'neutral') END
+           AS emotion_bucket,
+         CASE WHEN a.entry_id IS NULL THEN NULL
+              ELSE 'general_' || CASE WHEN {Q.bucket('a.predicted_emotion')} IN ('positive', 'negative')
+                                      THEN {Q.bucket('a.predicted_emotion')} ELSE 'neutral' END END AS advice_key,
+         row_number() OVER (PARTITION BY e.user_id ORDER BY e.entry_time DESC, e.entry_id DESC) AS position
+  FROM j_entries e LEFT JOIN j_analysis a ON a.entry_id = e.entry_id)
+SELECT user_id, CAST(position AS INTEGER) AS position, entry_id, occured_at, predicted_emotion, confidence,
+       emotion_bucket, CAST(CASE WHEN advice_key IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_advice,
+       advice_key AS first_advice_key
+FROM j WHERE position > 20 AND position <= 40""")
+def f1_history_page(spark, sf_dir):
+    """F1 + C4 + C5 on the stored history tables: page 2 (offset 20, limit 20) per user,
+    general advice only (the SQL-checkable part of J10)."""
+    ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time")
+    ana = T.analysis(spark, sf_dir)
+    adv = H.advice_rows(ent, ana, None)
+    page = H.history_page(ent, ana, H.insight_rows(ana), adv, limit=20, offset=20)
+    return page.select("user_id", F.col("position").cast("int").alias("position"), "entry_id", "occured_at",
+                       "predicted_emotion", "confidence", "emotion_bucket",
+                       F.size("advice").cast("int").alias("n_advice"),
+                       F.try_element_at("advice", F.lit(1)).getField("advice_key").alias("first_advice_key"))
