@@ -118,16 +118,15 @@ def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame, ad
                               F.col("details").alias("insight_details")), "entry_id", "left"))
     page = top_k_per_group(j, ["user_id"], [F.desc("occured_at"), F.desc("entry_id")], offset + limit,
                            rank_col="position").where(F.col("position") > offset)
-    # one pass over the page: attach advice rows, regroup per entry (bounded by
-    # the advice of one entry)
-    adv = advice.select("entry_id", F.struct("ord", "advice_key", "emotion_key", "title", "advice_text",
-                                             "rationale_text").alias("_a"))
-    keys = page.columns
-    g = page.join(adv, "entry_id", "left").groupBy(*keys).agg(
-        F.sort_array(F.collect_list("_a")).alias("_adv"))
+    # advice of the page entries only: the semi join is pushed below the
+    # advice derivation, so entity advice is joined for page rows alone
+    adv = (advice.join(page.select("entry_id"), "entry_id", "left_semi")
+           .groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct(
+               "ord", "advice_key", "emotion_key", "title", "advice_text", "rationale_text"))).alias("_adv")))
     empty = F.array().cast("array<struct<advice_key:string,emotion_key:string,title:string,"
                            "advice_text:string,rationale_text:string>>")
-    return g.withColumn("advice", F.coalesce(F.transform("_adv", lambda x: x.dropFields("ord")), empty)).drop("_adv")
+    return page.join(adv, "entry_id", "left").withColumn(
+        "advice", F.coalesce(F.transform("_adv", lambda x: x.dropFields("ord")), empty)).drop("_adv")
 
 
 # ------------------------------------------------------------------ F6 prompts
