@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as TX
 from ..functions.exprs import bucket
+from ..session import materialize
 from . import insights as I
 from . import keyword as K
 
@@ -136,9 +137,10 @@ def sentence_mentions(texts: DataFrame, key: str, gaz: DataFrame, text_col: str
                     lambda x: x["piece"].rlike(CAP_WORD))
     m = sents.select("*", F.explode_outer(cand).alias("_p")).withColumn(
         "word", F.regexp_extract(F.col("_p.piece"), CAP_WORD, 0))
-    g = gaz.select("word", "label")
-    n = g.limit(max_broadcast_rows + 1).count()
-    if n <= max_broadcast_rows:
+    # the gazetteer is written once to the shared checkpoint folder; its row
+    # count (parquet metadata) then decides broadcast vs shuffle join
+    g = materialize(gaz.select("word", "label"), "gazetteer")
+    if g.count() <= max_broadcast_rows:
         g = F.broadcast(g)
     j = m.join(g, "word", "left")
     widened = F.regexp_replace(F.col("_p.piece"), TX.ALNUM_EDGES, "")

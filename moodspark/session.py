@@ -46,6 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) "
+                               "before running jobs that write intermediate state")
         import tempfile
         d = tempfile.mkdtemp(prefix="moodspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
