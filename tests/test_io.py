@@ -36,3 +36,20 @@ def test_schema_evolution(spark):
     old = spark.createDataFrame([(1, "joy")], "entry_id long, predicted_emotion string")
     new = IO.ensure_analysis_columns(old)
     assert "scores" in new.columns and "task_type" in new.columns
+
+
+def test_replace_by_key_and_mergeschema(spark):
+    import os
+    import tempfile
+    from moodspark.operators import history as H
+    old = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "entry_id long, ord int, k string")
+    new = spark.createDataFrame([(1, 0, "z")], "entry_id long, ord int, k string")
+    got = sorted(tuple(r) for r in H.replace_by_key(old, new).collect())
+    assert got == [(1, 0, "z"), (2, 0, "c")]
+    d = tempfile.mkdtemp(prefix="moodspark-evo-")
+    spark.createDataFrame([(1, "joy")], "entry_id long, predicted_emotion string").write.parquet(os.path.join(d, "a"))
+    spark.createDataFrame([(2, "fear", "multi_label")], "entry_id long, predicted_emotion string, task_type string") \
+        .write.parquet(os.path.join(d, "b"))
+    df = IO.ensure_analysis_columns(IO.read_evolving(spark, [os.path.join(d, "a"), os.path.join(d, "b")]))
+    rows = {r.entry_id: r.task_type for r in df.collect()}
+    assert rows == {1: None, 2: "multi_label"} and "scores" in df.columns
