@@ -67,7 +67,7 @@ def holdout_flag(key, seed: int = 42, test_pct: int = 20):
 
 
 def train_binary_relevance(train: DataFrame, label_cols: list[str], text_col: str = "text",
-                           num_features: int = 1 << 18, max_iter: int = 20):
+                           num_features: int = 1 << 16, max_iter: int = 20):
     """HashingTF + IDF shared features, one LogisticRegression per label.
 
     Returns (feature_model, {label: lr_model}). Training runs on executors;
