@@ -29,6 +29,7 @@ from ..functions import fixed
 from ..functions import text as TX
 from ..functions.exprs import bucket
 from ..session import materialize
+from .joins import broadcast_if_small
 from . import insights as I
 from . import keyword as K
 
@@ -139,9 +140,7 @@ def sentence_mentions(texts: DataFrame, key: str, gaz: DataFrame, text_col: str
         "word", F.regexp_extract(F.col("_p.piece"), CAP_WORD, 0))
     # the gazetteer is written once to the shared checkpoint folder; its row
     # count (parquet metadata) then decides broadcast vs shuffle join
-    g = materialize(gaz.select("word", "label"), "gazetteer")
-    if g.count() <= max_broadcast_rows:
-        g = F.broadcast(g)
+    g = broadcast_if_small(materialize(gaz.select("word", "label"), "gazetteer"), max_broadcast_rows)
     j = m.join(g, "word", "left")
     widened = F.regexp_replace(F.col("_p.piece"), TX.ALNUM_EDGES, "")
     ment = F.when(F.col("label").isNotNull(), F.struct(

@@ -78,3 +78,17 @@ def trend_view(summary: DataFrame, entries: DataFrame, analysis: DataFrame, as_o
         out["chart"] = rows.select("user_id", "timestamp", "score",
                                    F.date_format("timestamp", "MMM d, hh:mm a").alias("time"))
     return out
+
+
+def write_journal_tables(res: Enriched, base: str) -> None:
+    """Store the enrichment output as the journal tables (the write path).
+
+    analysis / insight / advice are keyed by entry_id; the daily summary is
+    partitioned by month so calendar and range reads prune whole folders.
+    Each table is one complete version under ``base``.
+    """
+    res.analysis.write.mode("overwrite").parquet(f"{base}/analysis")
+    res.insight.write.mode("overwrite").parquet(f"{base}/insight")
+    res.advice.write.mode("overwrite").parquet(f"{base}/advice")
+    (res.summary.withColumn("month", F.date_format("summary_date", "yyyy-MM"))
+     .write.mode("overwrite").partitionBy("month").parquet(f"{base}/daily_summary"))

@@ -52,3 +52,21 @@ def test_scorer_fallback(spark):
                                     "id long, predicted_emotion string, confidence double, model_name string")
     got = {r.id: (r.predicted_emotion, r.model_name) for r in SC.with_fallback(primary, texts, "id").collect()}
     assert got == {1: ("love", "keyword-baseline"), 2: ("fear", "model")}
+
+
+def test_enrich_and_write_tables(spark):
+    import tempfile
+
+    from moodspark.plans import journal as JN
+    from moodspark.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    ent = T.entries(spark, sf).select("entry_id", "user_id", "entry_time", "doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    res = JN.enrich(spark, ent, docs)
+    base = tempfile.mkdtemp(prefix="moodspark-tables-")
+    JN.write_journal_tables(res, base)
+    s = spark.read.parquet(f"{base}/daily_summary")
+    assert s.count() == res.summary.count() > 0
+    adv = spark.read.parquet(f"{base}/advice")
+    # every analysed entry has exactly one general advice row at ord 0
+    assert adv.where("ord = 0").count() == res.analysis.count()
