@@ -50,7 +50,9 @@ def token_count(text: Column, specials: int = fixed.SPECIAL_TOKENS) -> Column:
 
 
 def _word_regex(words: list[str]) -> str:
-    return r"(?iU)\b(" + "|".join(words) + r")\b"
+    """Whole word, any case; word characters are letters, digits and '_'
+    (Python's word class), spelled out as look-arounds."""
+    return rf"(?iu)(?<![{WORD}])(" + "|".join(words) + rf")(?![{WORD}])"
 
 
 PRONOUN_RE = _word_regex(fixed.PRONOUNS)

@@ -218,7 +218,9 @@ def entity_votes(mentions: DataFrame, key: str) -> DataFrame:
     name = TX.capitalize_entity(TX.clean_entity_name(F.col("entity")))
     m = mentions.withColumn("_name", name).where(F.col("_name") != "")
     order = F.struct("sentence_idx", "t_ord")
-    sums = [F.sum(F.when(F.col("emotion_bucket") == b, F.coalesce(F.col("confidence"), F.lit(0.5))).otherwise(0.0))
+    # exact decimal sums: the winner does not depend on the order rows are added in
+    conf = F.coalesce(F.col("confidence"), F.lit(0.5)).cast("decimal(38,10)")
+    sums = [F.sum(F.when(F.col("emotion_bucket") == b, conf).otherwise(F.lit(0).cast("decimal(38,10)")))
             .alias(f"_s_{b}") for b in fixed.BUCKETS]
     g = m.groupBy(key, F.lower("_name").alias("entity_key")).agg(
         F.min_by("_name", order).alias("entity"), F.min_by("type", order).alias("type"),

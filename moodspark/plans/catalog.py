@@ -289,30 +289,33 @@ def d14_memory_counts(spark, sf_dir):
 
 # ----------------------------------------------------------------- J1 keyword scorer
 
-def stems_values() -> str:
+def stems_values(p: str = "") -> str:
     from ..functions import fixed
     rows = ", ".join(f"({i}, {Q.q(lab)}, {k}, {Q.q(s)})" for i, lab, k, s in fixed.label_stems())
-    return f"stems AS (SELECT * FROM (VALUES {rows}) t(label_index, label, stem_order, stem))"
+    return f"{p}stems AS (SELECT * FROM (VALUES {rows}) t(label_index, label, stem_order, stem))"
 
 
-def keyword_sql(src: str, key: str) -> str:
-    """CTEs ending in ``kw`` (key, predicted_emotion, confidence, match_score) for ``src``."""
+def keyword_sql(src: str, key: str, p: str = "") -> str:
+    """CTEs ending in ``{p}kw`` (key, predicted_emotion, confidence, match_score) for ``src``.
+
+    ``p`` prefixes every CTE name so the scorer can appear twice in one query.
+    """
     labels = ", ".join(Q.q(x) for x in __import__("moodspark.functions.fixed", fromlist=["x"]).LABELS)
-    return f"""{stems_values()},
-toks AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {src}),
-tok_n AS (SELECT {key}, w, count(*) AS n FROM toks GROUP BY ALL),
-hits AS (SELECT t.{key.replace(', ', ', t.')}, t.w, t.n, s.label_index, s.stem, s.stem_order
-         FROM tok_n t JOIN stems s ON starts_with(t.w, s.stem) OR starts_with(s.stem, t.w)),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}, w, label_index ORDER BY stem_order) AS k
-                           FROM hits) WHERE k = 1),
-sums AS (SELECT {key}, label_index, sum(n * length(stem)) AS s FROM firsts GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s DESC, label_index) AS k
-                         FROM sums) WHERE k = 1),
-kw AS (SELECT {', '.join('d.' + k for k in key.split(', '))},
+    return f"""{stems_values(p)},
+{p}toks AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {src}),
+{p}tok_n AS (SELECT {key}, w, count(*) AS n FROM {p}toks GROUP BY ALL),
+{p}hits AS (SELECT t.{key.replace(', ', ', t.')}, t.w, t.n, s.label_index, s.stem, s.stem_order
+         FROM {p}tok_n t JOIN {p}stems s ON starts_with(t.w, s.stem) OR starts_with(s.stem, t.w)),
+{p}firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}, w, label_index ORDER BY stem_order) AS k
+                           FROM {p}hits) WHERE k = 1),
+{p}sums AS (SELECT {key}, label_index, sum(n * length(stem)) AS s FROM {p}firsts GROUP BY ALL),
+{p}best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s DESC, label_index) AS k
+                         FROM {p}sums) WHERE k = 1),
+{p}kw AS (SELECT {', '.join('d.' + k for k in key.split(', '))},
          CASE WHEN b.s > 0 THEN ([{labels}])[b.label_index + 1] ELSE 'neutral' END AS predicted_emotion,
          CAST(CASE WHEN b.s > 0 THEN 0.5 ELSE 0.1 END AS DOUBLE) AS confidence,
          CAST(coalesce(b.s, 0) AS BIGINT) AS match_score
-       FROM {src} d LEFT JOIN best b USING ({key}))"""
+       FROM {src} d LEFT JOIN {p}best b USING ({key}))"""
 
 
 @register("j1_keyword_documents", "WITH " + keyword_sql("documents", "doc_id") + """
@@ -692,3 +695,59 @@ def a8_breakdown_roundtrip(spark, sf_dir):
     return s.select("user_id", "summary_date",
                     *[F.coalesce(F.try_element_at(m, F.lit(b)), F.lit(0)).cast("long").alias(b)
                       for b in ("positive", "negative", "neutral")])
+
+
+# ----------------------------------------------------------------- J5 / J6 / D3 oracles
+
+def _j5_oracle() -> str:
+    from . import entity_sql as ES
+    return "WITH " + ES.mentions_sql() + """
+SELECT doc_id, sentence_idx, t_ord, entity, type, context_sentence, predicted_emotion, emotion_bucket, confidence
+FROM ent_mentions"""
+
+
+def _j6_oracle() -> str:
+    from . import entity_sql as ES
+    return "WITH " + ES.mentions_sql() + ",\n" + ES.advice_sql() + """
+SELECT doc_id, ord, advice_key, emotion_key, title, advice_text, rationale_text FROM ent_advice"""
+
+
+ORACLES["j5_entity_mentions"] = _j5_oracle()
+ORACLES["j6_entity_advice"] = _j6_oracle()
+
+
+def _entry_advice_sql() -> str:
+    """CTEs: entries analysed by the keyword scorer per document, and the
+    per-document entity advice joined to every entry of that document."""
+    from . import entity_sql as ES
+    return Q.with_views(ES.mentions_sql(), ES.advice_sql(), keyword_sql("documents", "doc_id", "a_"), """ana AS (
+  SELECT e.entry_id, e.user_id, e.doc_id, e.entry_time, k.predicted_emotion
+  FROM j_entries e JOIN a_kw k ON k.doc_id = e.doc_id),
+entry_entity_advice AS (
+  SELECT a.entry_id, a.user_id, a.entry_time, v.ord, v.advice_key, v.emotion_key, v.title
+  FROM ana a JOIN ent_advice v ON v.doc_id = a.doc_id)""")
+
+
+ORACLES["d3_entity_impact"] = _entry_advice_sql() + f""",
+imp AS (
+  SELECT user_id, {Q.py_strip('substr(title, 11)')} AS entity,
+         count(*) FILTER (WHERE emotion_key = 'positive') AS positive,
+         count(*) FILTER (WHERE emotion_key = 'negative') AS negative,
+         count(*) FILTER (WHERE emotion_key = 'neutral') AS neutral, count(*) AS total
+  FROM entry_entity_advice WHERE advice_key ILIKE 'entity\\_%' ESCAPE '\\' AND starts_with(title, 'Regarding ')
+  GROUP BY ALL)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, entity) AS INTEGER) AS rank FROM imp)
+WHERE rank <= 10"""
+
+ORACLES["j10_history_page"] = _entry_advice_sql() + f""",
+n_adv AS (SELECT doc_id, count(*) AS n FROM ent_advice GROUP BY doc_id),
+pg AS (
+  SELECT a.user_id, a.entry_id, a.entry_time AS occured_at, a.predicted_emotion,
+         coalesce({Q.bucket('a.predicted_emotion')}, 'neutral') AS emotion_bucket,
+         CAST(1 + coalesce(n.n, 0) AS INTEGER) AS n_advice,
+         CAST(row_number() OVER (PARTITION BY a.user_id ORDER BY a.entry_time DESC, a.entry_id DESC) AS INTEGER)
+           AS position
+  FROM ana a LEFT JOIN n_adv n ON n.doc_id = a.doc_id)
+SELECT user_id, position, entry_id, occured_at, predicted_emotion, emotion_bucket, n_advice FROM pg
+WHERE position <= 20"""
