@@ -144,13 +144,17 @@ def user_prompts(advice: DataFrame, entries: DataFrame, spark: SparkSession, see
     picked = top_k_per_group(firsts, ["user_id"], [F.asc("_r")], fixed.PROMPT_ENTITY_KEEP, salt_buckets=1,
                              rank_col="prompt_no").select(
         "user_id", "prompt_no", I.prompt_text(F.col("_e"), F.col("emotion_key")).alias("prompt"))
-    # generic prompts follow the entity prompts; one ranking fills to 3
+    # generic prompts follow the entity prompts in a seeded order (md5 of
+    # user, prompt number and seed); one ranking fills up to 3
     users = entries.select("user_id").distinct()
     gen = users.select("user_id", F.posexplode(F.array(*[F.lit(p) for p in I.GENERIC_PROMPTS])).alias("_g", "prompt"))
-    gen = gen.select("user_id", "prompt", (F.lit(100) + F.pmod(F.xxhash64(F.col("user_id"), F.col("_g"), F.lit(seed)),
-                                                               F.lit(1 << 30))).alias("_o"))
-    allp = picked.select("user_id", "prompt", F.col("prompt_no").cast("long").alias("_o")).unionByName(gen)
+    gen = gen.select("user_id", "prompt", F.lit(1).alias("_grp"),
+                     F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("_g").cast("string"),
+                                       F.lit(str(seed)))).alias("_o"))
+    allp = picked.select("user_id", "prompt", F.lit(0).alias("_grp"),
+                         F.lpad(F.col("prompt_no").cast("string"), 4, "0").alias("_o")).unionByName(gen)
     from pyspark.sql import Window
-    ranked = allp.withColumn("prompt_no", F.row_number().over(Window.partitionBy("user_id").orderBy("_o", "prompt")))
+    ranked = allp.withColumn("prompt_no", F.row_number().over(
+        Window.partitionBy("user_id").orderBy("_grp", "_o")))
     return ranked.where(F.col("prompt_no") <= fixed.PROMPT_TOTAL).select(
         "user_id", F.col("prompt_no").cast("int"), "prompt")

@@ -751,3 +751,34 @@ pg AS (
   FROM ana a LEFT JOIN n_adv n ON n.doc_id = a.doc_id)
 SELECT user_id, position, entry_id, occured_at, predicted_emotion, emotion_bucket, n_advice FROM pg
 WHERE position <= 20"""
+
+
+def _f6_oracle() -> str:
+    from ..operators import insights as I
+    gens = ", ".join(f"({i}, {Q.q(g)})" for i, g in enumerate(I.GENERIC_PROMPTS))
+    fmt = {b: [Q.q(x) for x in v.split("{name}")] for b, v in I.PROMPT_FORMATS.items()}
+    prompt = (f"CASE WHEN emotion_key = 'positive' THEN {fmt['positive'][0]} || e || {fmt['positive'][1]} "
+              f"WHEN emotion_key = 'negative' THEN {fmt['negative'][0]} || e || {fmt['negative'][1]} "
+              f"ELSE {fmt['neutral'][0]} || e || {fmt['neutral'][1]} END")
+    return _entry_advice_sql() + f""",
+newest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY entry_time DESC, entry_id DESC, ord) AS r
+    FROM entry_entity_advice WHERE advice_key ILIKE 'entity\\_%' ESCAPE '\\') WHERE r <= 15),
+ents AS (
+  SELECT *, {Q.py_strip("replace(title, 'Regarding ', '')")} AS e FROM newest),
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lower(e) ORDER BY r) AS k FROM ents) WHERE k = 1),
+picked AS (
+  SELECT user_id, {prompt} AS prompt, 0 AS grp, lpad(CAST(pn AS VARCHAR), 4, '0') AS o FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r) AS pn FROM firsts) WHERE pn <= 2),
+gen AS (
+  SELECT u.user_id, g.prompt, 1 AS grp, md5(CAST(u.user_id AS VARCHAR) || ':' || CAST(g.i AS VARCHAR) || ':42') AS o
+  FROM (SELECT DISTINCT user_id FROM j_entries) u, (VALUES {gens}) g(i, prompt)),
+ranked AS (
+  SELECT user_id, prompt, CAST(row_number() OVER (PARTITION BY user_id ORDER BY grp, o) AS INTEGER) AS prompt_no
+  FROM (SELECT * FROM picked UNION ALL SELECT * FROM gen))
+SELECT user_id, prompt_no, prompt FROM ranked WHERE prompt_no <= 3"""
+
+
+ORACLES["f6_user_prompts"] = _f6_oracle()
