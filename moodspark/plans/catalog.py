@@ -782,3 +782,57 @@ SELECT user_id, prompt_no, prompt FROM ranked WHERE prompt_no <= 3"""
 
 
 ORACLES["f6_user_prompts"] = _f6_oracle()
+
+
+def _chunks_sql() -> str:
+    """CTEs ending in ``chunks`` (doc_id, chunk_id, chunk_text, n_sentences, n_tokens):
+    E5 as a ``list_reduce`` fold over each document's sentences."""
+    tok = _re2(TX.BASIC_TOKEN)
+    init = ("{'done': []::STRUCT(first INTEGER, last INTEGER, n_tokens INTEGER)[], "
+            "'first': 0, 'last': 0, 'cur': 0, 'i': 0}")
+    closed = "{'first': acc.first, 'last': acc.last, 'n_tokens': acc.cur}"
+    step = (f"CASE WHEN acc.last > 0 AND acc.cur + x.n - 2 > 120 THEN "
+            f"{{'done': list_append(acc.done, {closed}), 'first': acc.i + 1, 'last': acc.i + 1, "
+            f"'cur': x.n, 'i': acc.i + 1}} "
+            f"ELSE {{'done': acc.done, 'first': CASE WHEN acc.last = 0 THEN acc.i + 1 ELSE acc.first END, "
+            f"'last': acc.i + 1, 'cur': acc.cur + CASE WHEN acc.last = 0 THEN x.n ELSE x.n - 2 END, "
+            f"'i': acc.i + 1}} END")
+    sep = "\x01"
+    return f"""c_arr AS (
+  SELECT doc_id, text, list_filter(string_split(regexp_replace({Q.py_strip("coalesce(text, '')")},
+           '([.!?])[{Q.WS}]+', '\\1{sep}', 'g'), '{sep}'), lambda x: {Q.py_strip('x')} <> '') AS s
+  FROM documents),
+c_n AS (
+  SELECT doc_id, text, list_transform(s, lambda x: {{'s': x, 'n': CAST(len(regexp_extract_all(x, '{tok}')) + 2
+                                                                      AS INTEGER)}}) AS sn FROM c_arr),
+c_fold AS (
+  SELECT doc_id, text, sn, list_reduce(sn, lambda acc, x: {step}, {init}) AS f FROM c_n),
+c_list AS (
+  SELECT doc_id, text, sn,
+         CASE WHEN f.last > 0 THEN list_append(f.done, {{'first': f.first, 'last': f.last, 'n_tokens': f.cur}})
+              ELSE f.done END AS ch
+  FROM c_fold),
+chunks AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_id,
+         array_to_string(list_transform(sn[c.first:c.last], lambda y: y.s), ' ') AS chunk_text,
+         CAST(c.last - c.first + 1 AS INTEGER) AS n_sentences, CAST(c.n_tokens AS INTEGER) AS n_tokens
+  FROM (SELECT doc_id, sn, unnest(ch) AS c, generate_subscripts(ch, 1) AS i FROM c_list)
+  UNION ALL
+  SELECT doc_id, 0, text, 0, CAST(len(regexp_extract_all(coalesce(text, ''), '{tok}')) + 2 AS INTEGER)
+  FROM c_list WHERE len(ch) = 0)"""
+
+
+ORACLES["e5_sentence_chunks"] = "WITH " + _chunks_sql() + """
+SELECT doc_id, chunk_id, n_sentences, n_tokens FROM chunks"""
+
+ORACLES["j2_chunk_scoring"] = "WITH " + _chunks_sql() + ",\n" + keyword_sql(
+    "(SELECT doc_id, chunk_id, chunk_text AS text FROM chunks)", "doc_id, chunk_id", "c_") + f""",
+per_label AS (
+  SELECT doc_id, predicted_emotion, count(*) AS n,
+         list_position([{", ".join(Q.q(x) for x in __import__("moodspark.functions.fixed", fromlist=["x"]).LABELS)}],
+                       predicted_emotion) AS li
+  FROM c_kw GROUP BY doc_id, predicted_emotion),
+tot AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id)
+SELECT doc_id, predicted_emotion, CAST(n AS DOUBLE) / n_chunks AS confidence FROM (
+  SELECT p.*, t.n_chunks, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.n DESC, p.li) AS k
+  FROM per_label p JOIN tot t USING (doc_id)) WHERE k = 1"""
