@@ -47,7 +47,9 @@ def multilabel_metrics(rows: DataFrame, item: str = "item_id", label: str = "lab
         (F.count_if(F.col("_wrong") == 0) / F.count(F.lit(1))).alias("subset_accuracy"),
         (F.sum("_wrong") / F.sum("_n")).alias("hamming_loss"),
         F.count(F.lit(1)).alias("n_items"))
-    m = macro.crossJoin(items)   # two one-row aggregates
+    # two one-row aggregates side by side: union, then one row by max per column
+    both = macro.unionByName(items, allowMissingColumns=True)
+    m = both.agg(*[F.max(c).alias(c) for c in macro.columns + items.columns])
     return m.select(
         "n_items", "subset_accuracy", "hamming_loss", "precision_macro", "recall_macro", "f1_macro",
         _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_micro"),
