@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fixed
 
 TRAIN_NAMES = ["train.csv", "train.tsv", "training.csv", "training.tsv"]
 VALIDATION_NAMES = ["val.csv", "val.tsv", "validation.csv", "validation.tsv", "dev.csv", "dev.tsv"]
