@@ -96,7 +96,7 @@ def nonzero_impact(impact: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ J10 / F1 / C5
 
-def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame, advice: DataFrame,
+def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame | None, advice: DataFrame,
                  limit: int = fixed.HISTORY_LIMIT, offset: int = 0, day: str | None = None) -> DataFrame:
     """Per user, entries newest first, rows (offset, offset+limit], with
     analysis, insight and the entry's advice list in insertion order.
@@ -112,12 +112,28 @@ def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame, ad
         d0 = F.lit(day).cast("date")
         e = e.where((F.col("occured_at") >= d0.cast("timestamp_ntz"))
                     & (F.col("occured_at") < F.date_add(d0, 1).cast("timestamp_ntz")))
-    j = (e.join(analysis.select("entry_id", "predicted_emotion", "confidence"), "entry_id", "left")
-         .join(insight.select("entry_id", "emotion_bucket", F.col("title").alias("insight_title"),
-                              F.col("explanation").alias("insight_explanation"),
-                              F.col("details").alias("insight_details")), "entry_id", "left"))
+    a = analysis.select("entry_id", "predicted_emotion", "confidence")
+    if insight is None:
+        # the insight is a function of the analysis row: derive it in place
+        # instead of joining the insight table back
+        a = analysis.select(
+            "entry_id", "predicted_emotion", "confidence",
+            F.coalesce(X.bucket("predicted_emotion"), F.lit("neutral")).alias("emotion_bucket"),
+            I.insight_title(X.bucket("predicted_emotion")).alias("insight_title"),
+            I.insight_explanation(X.bucket("predicted_emotion")).alias("insight_explanation"),
+            F.array().cast("array<string>").alias("insight_details"))
+        j = e.join(a, "entry_id", "left")
+    else:
+        j = (e.join(a, "entry_id", "left")
+             .join(insight.select("entry_id", "emotion_bucket", F.col("title").alias("insight_title"),
+                                  F.col("explanation").alias("insight_explanation"),
+                                  F.col("details").alias("insight_details")), "entry_id", "left"))
     page = top_k_per_group(j, ["user_id"], [F.desc("occured_at"), F.desc("entry_id")], offset + limit,
                            rank_col="position").where(F.col("position") > offset)
+    # the page (at most offset + limit rows per user) is used twice below:
+    # written once to the shared checkpoint folder instead of computed twice
+    from ..session import materialize
+    page = materialize(page, "history_page")
     # advice of the page entries only: the semi join is pushed below the
     # advice derivation, so entity advice is joined for page rows alone
     adv = (advice.join(page.select("entry_id"), "entry_id", "left_semi")

@@ -505,7 +505,7 @@ def f6_user_prompts(spark, sf_dir):
 @register("j10_history_page")
 def j10_history_page(spark, sf_dir):
     ent, ana, adv = _entry_advice(spark, sf_dir)
-    page = H.history_page(ent, ana, H.insight_rows(ana), adv, limit=20, offset=0)
+    page = H.history_page(ent, ana, None, adv, limit=20, offset=0)
     return page.select("user_id", "position", "entry_id", "occured_at", "predicted_emotion", "emotion_bucket",
                        F.size("advice").alias("n_advice"))
 
@@ -662,7 +662,7 @@ def f1_history_page(spark, sf_dir):
     ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time")
     ana = T.analysis(spark, sf_dir)
     adv = H.advice_rows(ent, ana, None)
-    page = H.history_page(ent, ana, H.insight_rows(ana), adv, limit=20, offset=20)
+    page = H.history_page(ent, ana, None, adv, limit=20, offset=20)
     return page.select("user_id", F.col("position").cast("int").alias("position"), "entry_id", "occured_at",
                        "predicted_emotion", "confidence", "emotion_bucket",
                        F.size("advice").cast("int").alias("n_advice"),
