@@ -14,23 +14,25 @@ from ..functions import exprs as X
 from ..functions import fixed
 
 
-def day_rows(entries: DataFrame, analysis: DataFrame) -> DataFrame:
+def day_rows(entries: DataFrame, analysis: DataFrame | None) -> DataFrame:
     """Entries left join analysis; one row per (entry, analysis).
 
     Entries may carry ``preview`` (H10 already applied, e.g. once per shared
     document) instead of ``text``; the join then moves 160 characters, not
-    whole texts.
+    whole texts. With ``analysis=None`` the entries already carry
+    ``predicted_emotion`` (joined upstream, e.g. per document).
     """
-    a = analysis.select("entry_id", "predicted_emotion")
     prev = F.col("preview") if "preview" in entries.columns else X.preview("text")
-    return (entries.join(a, "entry_id", "left")
+    joined = entries if analysis is None else entries.join(
+        analysis.select("entry_id", "predicted_emotion"), "entry_id", "left")
+    return (joined
             .select("user_id", "entry_id", "entry_time",
                     F.to_date("entry_time").alias("summary_date"),
                     X.bucket("predicted_emotion").alias("bucket"),
                     prev.alias("preview")))
 
 
-def daily_summary(entries: DataFrame, analysis: DataFrame, with_text: bool = True) -> DataFrame:
+def daily_summary(entries: DataFrame, analysis: DataFrame | None, with_text: bool = True) -> DataFrame:
     """One row per (user, day) with breakdown, dominant bucket and positivity.
 
     * an unanalysed entry or a NULL emotion counts as neutral; an unknown label
