@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding, simhash
+from . import exact_dedup, mixing, packing, quality, sharding, simhash, toxicity, weighted_sampling
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@query("op3_soft_membership_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every document for the default target weights."""
+    rated = mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "tokens", *[rated["p"][k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)],
+                        "rate", "copies")
+
+
+@query("op4_consistent_weighted_sampling")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op6_hash_tree_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by their ids, and the shard each would have among 41."""
@@ -47,6 +61,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query("op8_co_training_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by both views and by their combination; those below one half are rejected."""
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", scored["_text_score"].alias("text_score"),
+                         scored["_metadata_score"].alias("metadata_score"), scored["_score"].alias("score"),
+                         (scored["_score"] >= 0.5).alias("kept"))
+
+
 @query("op9_exact_dedup", """
     WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                                'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
@@ -56,3 +79,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_factorization_machine_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled rows that are not held out."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

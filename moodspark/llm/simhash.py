@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +64,13 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                  seed: int = 42) -> DataFrame:
     """``doc_id, fp`` (bigint: the 64 bits) for every row; a null text counts as empty."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, shingle, seed) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            fps = np.array([simhash(t.as_py(), shingle, seed) for t in batch["text"]], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, "doc_id bigint, fp bigint"))
+            .mapInArrow(run, "doc_id bigint, fp bigint"))
 
 
 def _signed(x: int) -> int:
