@@ -12,13 +12,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,36 +30,50 @@ END_ID = 1
 CACHE_WORDS = 400_000
 #: str.split() also splits at these; the tokenizer doesn't
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: A word of Latin letters, which the tokenizer takes as one piece, and the marks after it, which it takes as another
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordTokens:
     """Ids, as little-endian 32-bit bytes, by white-space separated word.
 
-    For tokenizers that drop white space and never merge across it. At most
-    ``CACHE_WORDS`` words are remembered at a time.
+    For tokenizers that drop white space, lower-case, and never merge across
+    white space or between letters and marks. At most ``CACHE_WORDS`` words, and
+    as many of their parts, are remembered at a time.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            known = self.known
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                new = list(set(words) - known.keys())
-                for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[word] = np.array(e.ids, "<u4").tobytes()
-                out.append(b"".join([known[w] for w in words]))
-        return out
+        self.tokenizer, self.known, self.parts = tokenizer, {}, {"": b""}
+
+    def _learn(self, words: list[str]) -> None:
+        """Add new words: plain Latin ones in one call with spaces between them, all others one by one."""
+        split = [(w, _LATIN.fullmatch(w)) for w in words]
+        cores = {w: m[1].lower() if m[1].isascii() else m[1] for w, m in split if m}
+        new = [c for c in set(cores.values()) if c not in self.parts]
+        if new:
+            encoded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids, starts = np.array(encoded.ids, "<u4"), np.flatnonzero(np.diff(encoded.word_ids, prepend=-1))
+            data, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
+            for core, a, b in zip(new, starts.tolist(), ends):
+                self.parts[core] = data[a * 4:b * 4]
+        whole = [*{m[2] for _, m in split if m and m[2] not in self.parts}, *[w for w, m in split if not m]]
+        for word, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
+            self.parts[word] = np.array(e.ids, "<u4").tobytes()
+        for w, m in split:
+            self.known[w] = self.parts[cores[w]] + self.parts[m[2]] if m else self.parts.pop(w)
+
+    def text(self, text: str) -> bytes:
+        if _SEPARATORS.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words, known = text.split(), self.known
+        new = [w for w in set(words) if w not in known]
+        if new:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+                self.parts = {"": b""}
+                new = list(set(words))
+            self._learn(new)
+        return b"".join([known[w] for w in words])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -74,25 +89,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core
         from tokenizers import Tokenizer
 
         words = WordTokens(Tokenizer.from_str(spec.value))
         for batch in batches:
             at, rows = [], []
-            for i, ids in enumerate(words.texts([t or "" for t in batch["text"]])):
-                ids += end
+            for i, text in enumerate(batch["text"]):
+                ids = words.text(text.as_py() or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     part = ids[start * 4:(start + length) * 4]
                     at.append(i)
                     rows.append((start, len(part) // 4, zlib.crc32(part), n))
-            out = pd.DataFrame(rows, columns=names[1:], dtype="int64")
-            out.insert(0, "doc_id", batch["doc_id"].iloc[at].reset_index(drop=True))
-            yield out
+            figures = np.array(rows, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())),
+                                              *map(pa.array, figures.T)], names)
 
     return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, ", ".join(f"{c} bigint" for c in names)))
+            .mapInArrow(run, ", ".join(f"{c} bigint" for c in names)))
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
@@ -161,16 +177,17 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     order = [F.col(c).asc_nulls_first() for c in ("doc_id", "start", "ids_crc32", "doc_tokens")]
     ranked = gapless_rank(stored, ["length"], "_block", order, "_rank").drop("_block")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = where.value
         key = (at["length"] << 44) + at["rank"]
         for batch in batches:
-            size, rank = batch["length"].to_numpy(np.int64), batch.pop("_rank").to_numpy(np.int64)
+            size, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
             k = np.searchsorted(key, (size << 44) + rank, side="right") - 1
-            batch["sequence_id"] = at["sequence"][k] + rank - at["rank"][k]
-            batch["offset"] = at["offset"][k]
-            yield batch
+            yield pa.RecordBatch.from_arrays(
+                [*[batch[c] for c in names], pa.array(at["sequence"][k] + rank - at["rank"][k]),
+                 pa.array(at["offset"][k])], [*names, "sequence_id", "offset"])
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return ranked.select(*names, "_rank").mapInPandas(
+    return ranked.select(*names, "_rank").mapInArrow(
         run, ", ".join(f"{c} bigint" for c in [*names, "sequence_id", "offset"]))
