@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 
 from .common import block_of, blocks_for, split_points
 
-SAMPLES = 48
+SAMPLES = 32
 DIGITS = 4
 
 
@@ -39,11 +39,11 @@ def sorted_words(text: Column) -> Column:
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
     part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
-    return (part.cast("double") + F.lit(0.5)) * F.lit(2.0 ** -width)
+    return (part.cast("double") + 0.5) * F.lit(2.0 ** -width)
 
 
 def smallest(k: int) -> Column:
-    """The minimum of a over the rows (h, ln w) of a document, for draw ``k``."""
+    """The minimum of a over a document's rows (h, lnw) for draw ``k``; -ln(u v) of two uniforms is Gamma(2, 1)."""
     one, two = F.xxhash64(F.col("h"), F.lit(2 * k)), F.xxhash64(F.col("h"), F.lit(2 * k + 1))
     r = -F.log(_uniform(one, 0, 21) * _uniform(one, 21, 21))
     b = _uniform(one, 42, 22)
