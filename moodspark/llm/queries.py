@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, page_text, quality, sharding, simhash, toxicity, weighted_sampling
+from . import exact_dedup, mixing, packing, page_text, quality, sharding, simhash, substring_dedup, toxicity, weighted_sampling
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op5_suffix_automata")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without those in windows of 13 words that an earlier document has."""
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(kept["kept_text"].cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op6_hash_tree_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by their ids, and the shard each would have among 41."""
