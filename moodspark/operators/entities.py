@@ -1,21 +1,21 @@
 """Entity sentiment (J5, J6: C10, C11, D9, D15, E3, E4, H17-H22, B11).
 
-Plan per text table:
+Plan per text table; texts are hash-partitioned by key once, and every later
+step groups or orders by that key:
 
 1. sentences as rows, each with its raw neighbours (in-row ``arrays_zip``,
    no window) - blank pieces keep their index but produce nothing;
-2. mention finding (C11): whitespace pieces whose capitalised core is in a
-   gazetteer (any size: broadcast only when its row count is checked small,
-   else a shuffle join);
-3. clean-up, stop list, keep-first dedupes on mention rows only;
+2. mention finding (C11): every capitalised run of every white-space piece,
+   and every pair of runs that face each other across white space, is looked
+   up in the caller's gazetteer by an equi join (Spark picks the strategy from
+   its bytes);
+3. clean-up, stop list and keep-first dedupes (D15) by ranking mention rows,
+   linear in the mentions of a sentence but for the sort;
 4. carry-forward (C10): a pronoun sentence without entities takes the last
    PER of the most recent earlier sentence with a PER, if <= 2 back: a
    ``last(ignorenulls)`` window over the entity/pronoun sentences of one text;
 5. clause targeting (H17/H18), scoring with context fallback (E3/E4) through
-   a pluggable scorer, every distinct (text, target) scored once.
-
-Only sentences that carry a mention or a pronoun are shuffled; sentence text
-of all other sentences never leaves its scan task.
+   a pluggable scorer: one pass scores each target and its context.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as TX
 from ..functions.exprs import bucket
-from ..session import materialize
-from .joins import broadcast_if_small
 from . import insights as I
 from . import keyword as K
 
 CAP_WORD = r"\p{Lu}\p{Ll}+"
+RUNS_IN_PIECE = 1_000_000       # spacing of mention numbers between pieces
 
 # A label scorer: (DataFrame(keys..., text), keys) -> DataFrame(keys..., predicted_emotion, confidence).
 LabelScorer = Callable[[DataFrame, list], DataFrame]
@@ -62,15 +61,24 @@ def sentence_rows(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------ C11 gazetteer
 
-def gazetteer(docs: DataFrame, text_col: str = "text", min_docs: int = 3) -> DataFrame:
-    """Fixture gazetteer: capitalised words found in >= ``min_docs`` texts.
+def corpus_gazetteer(docs: DataFrame, text_col: str = "text", min_docs: int = 3) -> DataFrame:
+    """Fixture: (word, label) of capitalised words and pairs of them found in >= ``min_docs`` texts.
 
-    Type by ``md5(word)`` (first 32 bits) mod 3 over PER, LOC, ORG. Partial
-    aggregation per (word, doc) keeps the shuffle to distinct pairs.
+    A stand-in for the name list that a caller of J5 or J7 brings along; the
+    operators never build one. Type by ``md5(word)`` (first 32 bits) mod 3 over
+    PER, LOC, ORG. Partial aggregation per (word, doc) keeps the shuffle to
+    distinct pairs.
     """
-    w = docs.select("doc_id", F.explode(F.array_distinct(
+    words = docs.select("doc_id", F.explode(F.array_distinct(
         F.regexp_extract_all(F.col(text_col), F.lit(CAP_WORD), 0))).alias("word"))
-    g = w.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    run = F.split("run", " ")
+    pairs = (docs.select("doc_id", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col(text_col), F.lit(f"{CAP_WORD}(?: {CAP_WORD})+"), 0))).alias("run"))
+        .select("doc_id", F.explode(F.zip_with(run, F.slice(run, F.lit(2), F.size(run)),
+                                               lambda x, y: F.concat(x, F.lit(" "), y))).alias("word"))
+        .where(F.col("word").isNotNull()).distinct())
+    g = (words.union(pairs).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
+         .where(F.col("n_docs") >= min_docs))
     h = F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("long")
     types = F.array(*[F.lit(t) for t in fixed.ENTITY_TYPES])
     return g.select("word", F.element_at(types, (F.pmod(h, F.lit(3)) + 1).cast("int")).alias("label"))
@@ -105,52 +113,65 @@ def _keep_first(df: DataFrame, part: list, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def _dedupe_array(arr, key_of):
-    """D15 inside one sentence: keep the first element of each key (array order)."""
-    return F.filter(arr, lambda x, i: ~F.exists(F.slice(arr, 1, i), lambda y: key_of(y) == key_of(x)))
-
-
-def valid_entities(mentions):
-    """Dedupe raw (word, label), clean, filter types / length / stop list, dedupe again.
+def mention_candidates(sents: DataFrame) -> DataFrame:
+    """C11 candidates as rows: ``m_ord, piece_idx, n_runs, word, expanded`` added to each sentence row.
 
-    ``mentions``: array<struct<m_ord, word, label, expanded>> of one sentence,
-    in mention order. Returns array<struct<m_ord, entity, label>>.
+    ``expanded`` is the white-space piece (or both pieces of a pair) without
+    non-alphanumerics at its ends. A sentence without candidates keeps one row
+    of nulls. ``m_ord`` orders by piece, the pair that starts there first.
     """
-    first = _dedupe_array(mentions, lambda x: F.concat_ws("\u0000", F.lower(x["word"]), x["label"]))
-    cleaned = F.transform(first, lambda x: F.struct(
-        x["m_ord"].alias("m_ord"), TX.clean_entity_name(x["expanded"]).alias("entity"), x["label"].alias("label")))
-    kept = F.filter(cleaned, lambda x: x["label"].isin(fixed.ENTITY_TYPES) & (F.length(x["entity"]) > 1)
-                    & ~F.lower(x["entity"]).isin(fixed.ENTITY_STOP_WORDS))
-    return _dedupe_array(kept, lambda x: F.concat_ws("\u0000", F.lower(x["entity"]), x["label"]))
-
-
-def sentence_mentions(texts: DataFrame, key: str, gaz: DataFrame, text_col: str = "text",
-                      max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row per non-blank sentence with its valid entities (in-row arrays).
-
-    The texts are hash-partitioned by ``key`` once; sentence rows, the
-    gazetteer lookup (broadcast after a size check) and the regrouping per
-    (key, sentence) then stay inside that partitioning: no further shuffle.
+    s = sents.withColumn("_pieces", F.split(F.col("sentence"), f"[{TX.WS}]+"))
+    s = s.withColumn("_next", F.concat(F.slice("_pieces", F.lit(2), F.size("_pieces")), F.array(F.lit(""))))
+    faced = F.zip_with("_pieces", "_next", lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    one_word = lambda x, i: F.transform(F.regexp_extract_all(x["p"], F.lit(CAP_WORD), 0), lambda w, j: F.struct(
+        (i.cast("bigint") * RUNS_IN_PIECE + j + 1).alias("m_ord"), i.alias("piece_idx"), F.lit(1).alias("n_runs"),
+        w.alias("word"), x["p"].alias("piece")))
+    left, right = F.lit(f"({CAP_WORD})$"), F.lit(f"^({CAP_WORD})")
+    pair = lambda x, i: F.struct(
+        (i.cast("bigint") * RUNS_IN_PIECE).alias("m_ord"), i.alias("piece_idx"), F.lit(2).alias("n_runs"),
+        F.concat(F.regexp_substr(x["p"], left), F.lit(" "), F.regexp_substr(x["q"], right)).alias("word"),
+        F.concat(x["p"], F.lit(" "), x["q"]).alias("piece"))
+    s = s.withColumn("_faced", faced)
+    found = F.concat(F.flatten(F.transform("_faced", one_word)),
+                     F.filter(F.transform("_faced", pair), lambda c: c["word"].isNotNull()))
+    rows = s.select(*sents.columns, F.explode_outer(found).alias("_c"))
+    widened = F.regexp_replace(F.col("_c.piece"), TX.ALNUM_EDGES, "")
+    return rows.select(*sents.columns, "_c.m_ord", "_c.piece_idx", "_c.n_runs", "_c.word",
+                       F.when(widened != "", widened).otherwise(F.col("_c.word")).alias("expanded"))
+
+
+def sentence_mentions(texts: DataFrame, key: str, gaz: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row per sentence with a valid entity or a pronoun: the sentence, its
+    neighbours, ``pron`` and ``valid``, array<struct<m_ord, entity, label>> in mention order.
+
+    Single names inside the pieces of a pair that was found do not count. Raw
+    (word, label) are deduped, cleaned, filtered by type, length and stop list,
+    and deduped again, each time the first by ``m_ord``.
     """
     sents = sentence_rows(texts.select(key, text_col).repartition(key), key, text_col)
-    pieces = F.split(F.col("sentence"), f"[{TX.WS}]+")
-    cand = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("m_ord"), p.alias("piece"))),
-                    lambda x: x["piece"].rlike(CAP_WORD))
-    m = sents.select("*", F.explode_outer(cand).alias("_p")).withColumn(
-        "word", F.regexp_extract(F.col("_p.piece"), CAP_WORD, 0))
-    # the gazetteer is written once to the shared checkpoint folder; its row
-    # count (parquet metadata) then decides broadcast vs shuffle join
-    g = broadcast_if_small(materialize(gaz.select("word", "label"), "gazetteer"), max_broadcast_rows)
-    j = m.join(g, "word", "left")
-    widened = F.regexp_replace(F.col("_p.piece"), TX.ALNUM_EDGES, "")
-    ment = F.when(F.col("label").isNotNull(), F.struct(
-        F.col("_p.m_ord").alias("m_ord"), F.col("word").alias("word"), F.col("label").alias("label"),
-        F.when(widened != "", widened).otherwise(F.col("word")).alias("expanded")))
-    per = j.groupBy(key, "sentence_idx").agg(
+    sents = sents.withColumn("pron", TX.has_pronoun(F.col("sentence")))
+    sent = [key, "sentence_idx"]
+    j = mention_candidates(sents).join(gaz.select("word", "label"), "word", "left")
+    # found names, and one row for each pronoun sentence
+    first_row = F.row_number().over(Window.partitionBy(*sent).orderBy(F.col("label").isNull(), "m_ord"))
+    j = j.withColumn("_n", first_row).where(F.col("label").isNotNull() | (F.col("pron") & (F.col("_n") == 1)))
+    pair_here = F.max(F.when(F.col("label").isNotNull(), F.col("n_runs"))).over(
+        Window.partitionBy(*sent).orderBy(F.coalesce("piece_idx", F.lit(0))).rangeBetween(-1, 0))
+    named = F.col("label").isNotNull()
+    j = j.withColumn("_pair", pair_here).withColumn(
+        "label", F.when(~((F.col("n_runs") == 1) & (F.col("_pair") == 2)), F.col("label")))
+    j = j.withColumn("_k", F.row_number().over(Window.partitionBy(*sent, F.lower("word"), "label").orderBy("m_ord")))
+    j = j.withColumn("entity", F.when(named & (F.col("_k") == 1), TX.clean_entity_name(F.col("expanded"))))
+    ok = (F.col("label").isin(fixed.ENTITY_TYPES) & (F.length("entity") > 1)
+          & ~F.lower("entity").isin(fixed.ENTITY_STOP_WORDS))
+    j = j.withColumn("entity", F.when(ok, F.col("entity")))
+    j = j.withColumn("_k", F.row_number().over(Window.partitionBy(*sent, F.lower("entity"), "label").orderBy("m_ord")))
+    valid = F.when(F.col("entity").isNotNull() & (F.col("_k") == 1), F.struct("m_ord", "entity", "label"))
+    per = j.groupBy(*sent).agg(
         F.first("sentence").alias("sentence"), F.first("prev_sentence").alias("prev_sentence"),
-        F.first("next_sentence").alias("next_sentence"),
-        F.array_sort(F.collect_list(ment)).alias("_m"))
-    return per.withColumn("valid", valid_entities(F.col("_m"))).drop("_m")
+        F.first("next_sentence").alias("next_sentence"), F.first("pron").alias("pron"),
+        F.array_sort(F.collect_list(valid)).alias("valid"))
+    return per.where((F.size("valid") > 0) | F.col("pron"))
 
 
 def entity_mentions(texts: DataFrame, key: str, gaz: DataFrame,
@@ -161,8 +182,7 @@ def entity_mentions(texts: DataFrame, key: str, gaz: DataFrame,
     pers = F.filter("valid", lambda x: x["label"] == "PER")
     per = per.select("*", F.size("valid").alias("n_valid"),
                      F.try_element_at(pers, F.lit(-1)).getField("entity").alias("last_per"),
-                     TX.has_pronoun(F.col("sentence")).alias("_pron"))
-    per = per.where((F.col("n_valid") > 0) | F.col("_pron"))
+                     F.col("pron").alias("_pron"))
     # Last PER of the most recent earlier sentence that has one, <= 2 back
     w = Window.partitionBy(key).orderBy("sentence_idx").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.last(F.when(F.col("last_per").isNotNull(),
@@ -173,7 +193,7 @@ def entity_mentions(texts: DataFrame, key: str, gaz: DataFrame,
                 & (F.col("sentence_idx") - F.col("_carry.i") <= fixed.CARRY_MAX_DISTANCE))
     s2 = s2.withColumn("is_coref", is_coref).where((F.col("n_valid") > 0) | F.col("is_coref"))
     targets = F.when(F.col("is_coref"), F.array(F.struct(
-        F.lit(0).alias("m_ord"), F.col("_carry.e").alias("entity"), F.lit("PER").alias("label")))
+        F.lit(0).cast("bigint").alias("m_ord"), F.col("_carry.e").alias("entity"), F.lit("PER").alias("label")))
     ).otherwise(F.col("valid"))
     t = s2.select(key, "sentence_idx", "sentence", "prev_sentence", "next_sentence", "is_coref",
                   F.explode(targets).alias("_t")).select(

@@ -1,4 +1,4 @@
-"""Join helpers: broadcast only behind a checked size."""
+"""Top-k per group."""
 
 from __future__ import annotations
 
@@ -6,17 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
-
-    The check runs a count (one small job on an already-aggregated side);
-    above the bound the plain frame is returned and Spark plans a shuffle
-    join (AQE may still switch to broadcast from runtime statistics).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
                     salt_buckets: int = 32, rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k per group (``row_number`` over ``order``), skew-safe.

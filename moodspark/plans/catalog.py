@@ -455,18 +455,14 @@ def _docs(spark, sf_dir):
     return T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@register("c11_gazetteer", f"""WITH w AS (
-  SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{Ll}}+')) AS word FROM documents),
-g AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 3)
-SELECT word, (['PER', 'LOC', 'ORG'])[CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 3 AS INTEGER) + 1] AS label
-FROM g""")
+@register("c11_gazetteer")
 def c11_gazetteer(spark, sf_dir):
-    return EN.gazetteer(_docs(spark, sf_dir))
+    return EN.corpus_gazetteer(_docs(spark, sf_dir))
 
 
 def _doc_mentions(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return EN.entity_mentions(d, "doc_id", EN.gazetteer(d))
+    return EN.entity_mentions(d, "doc_id", EN.corpus_gazetteer(d))
 
 
 def _doc_advice(spark, sf_dir):
@@ -638,7 +634,7 @@ def f3_top3_labels(spark, sf_dir):
 def j7_enriched_summary(spark, sf_dir):
     from . import journal as JN
     ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time", "doc_id")
-    res = JN.enrich(spark, ent, _docs(spark, sf_dir))
+    res = JN.enrich(spark, ent, _docs(spark, sf_dir), EN.corpus_gazetteer(_docs(spark, sf_dir)))
     return res.summary
 
 
@@ -712,6 +708,12 @@ def _j6_oracle() -> str:
 SELECT doc_id, ord, advice_key, emotion_key, title, advice_text, rationale_text FROM ent_advice"""
 
 
+def _gazetteer_oracle() -> str:
+    from . import entity_sql as ES
+    return "WITH " + ES.gazetteer_sql() + " SELECT word, label FROM gaz"
+
+
+ORACLES["c11_gazetteer"] = _gazetteer_oracle()
 ORACLES["j5_entity_mentions"] = _j5_oracle()
 ORACLES["j6_entity_advice"] = _j6_oracle()
 

@@ -26,14 +26,15 @@ class Enriched:
     summary: DataFrame
 
 
-def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, text_key: str = "doc_id",
-           primary: DataFrame | None = None, gazetteer: DataFrame | None = None,
+def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, gazetteer: DataFrame,
+           text_key: str = "doc_id", primary: DataFrame | None = None,
            incognito_col: str | None = None) -> Enriched:
     """J7 in batch: score (primary scorer with keyword fallback, J4), insight (H12),
     general + entity advice (H13, J5, J6, G1) and the daily summary (D5).
 
     ``entries`` (entry_id, user_id, entry_time, ``text_key``[, incognito]) reference
     ``texts`` (``text_key``, text); each distinct text is analysed once.
+    ``gazetteer`` (word, label) lists the names to look for.
     """
     if primary is not None:
         scored = SC.with_fallback(primary, texts, text_key)
@@ -42,8 +43,7 @@ def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, text_key:
         scored = K.keyword_score(texts, text_key).select(text_key, "predicted_emotion", "confidence", "model_name")
     analysis = entries.select("entry_id", text_key).join(scored, text_key, "inner").drop(text_key)
     insight = H.insight_rows(analysis)
-    gaz = gazetteer if gazetteer is not None else EN.gazetteer(texts.withColumnRenamed(text_key, "doc_id"))
-    votes = EN.entity_votes(EN.entity_mentions(texts, text_key, gaz), text_key)
+    votes = EN.entity_votes(EN.entity_mentions(texts, text_key, gazetteer), text_key)
     advice = H.with_defaults(H.advice_rows(entries, analysis, EN.entity_advice(votes, text_key, spark),
                                            text_key, incognito_col))
     ent_text = entries.join(texts.select(text_key, "text"), text_key, "inner")

@@ -21,3 +21,33 @@ def test_vote_rules(spark):
                                      "emotion_bucket string, confidence double")
     v = {r.doc_id: r.emotion_bucket for r in EN.entity_votes(df, "doc_id").collect()}
     assert v == {1: "negative", 2: "neutral"}
+
+
+def _names(spark, text, gaz):
+    texts = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    g = spark.createDataFrame(gaz, "word string, label string")
+    per = EN.sentence_mentions(texts, "doc_id", g).collect()
+    return [(v["entity"], v["label"]) for r in per for v in r.valid]
+
+
+def test_every_run_of_a_piece_and_pairs_are_looked_up(spark):
+    gaz = [("Maria", "PER"), ("Smith", "PER"), ("Anna Smith", "PER"), ("New York", "LOC"), ("York", "LOC")]
+    assert _names(spark, "Lena-Maria came.", gaz) == [("Lena-Maria", "PER")]
+    assert _names(spark, "We met Anna Smith, then Smith again.", gaz) == [("Anna Smith", "PER"), ("Smith", "PER")]
+    assert _names(spark, "In New  York (and York).", gaz) == [("New York", "LOC"), ("York", "LOC")]
+    assert _names(spark, "Anna, Smith is no pair.", gaz) == [("Smith", "PER")]
+    assert _names(spark, "nobody here", gaz) == []
+
+
+def test_dedupe_keeps_the_first_of_each_name_and_type(spark):
+    gaz = [("Anna", "PER"), ("Bob", "PER")]
+    assert _names(spark, "Bob, Anna's and Anna and Bob saw Anna.", gaz) == [("Bob", "PER"), ("Anna", "PER")]
+
+
+def test_a_sentence_of_thousands_of_names_is_linear(spark):
+    import time
+
+    names = ["X" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(5000)]
+    start = time.time()
+    got = _names(spark, " and ".join(names), [(n, "PER") for n in names])
+    assert len(got) == 5000 and time.time() - start < 60

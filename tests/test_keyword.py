@@ -1,26 +1,9 @@
-"""Keyword scorer: hand-worked cases and a brute-force comparison."""
-
-import re
+"""Keyword scorer: hand-worked cases and properties (whole tables: its oracle)."""
 
 from moodspark.functions import fixed
 from moodspark.operators import keyword as K
 
 
-def brute(text):
-    words = re.findall(r"\b\w+\b", (text or "").lower())
-    best, top = "neutral", 0
-    for lab in fixed.LABELS:
-        m = 0
-        for w in words:
-            for s in fixed.stems_of(lab):
-                if w == s or w.startswith(s) or s.startswith(w):
-                    m += len(s)
-                    break
-        if m > top:
-            top, best = m, lab
-    return best, (0.5 if top > 0 else 0.1), top
-
-
 def test_hand_cases(spark):
     cases = {"I am angry": ("amusement", 0.5, 5), "I love you": ("love", 0.5, 3), "a": ("admiration", 0.5, 10),
              "Grieving & sad!": ("grief", 0.5, 5), "He was very nervous; nervousness": ("nervousness", 0.5, 14),
@@ -31,9 +14,25 @@ def test_hand_cases(spark):
         assert got[i] == cases[t], t
 
 
-def test_matches_brute_force_on_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    got = {r.doc_id: (r.predicted_emotion, r.confidence, r.match_score)
-           for r in K.keyword_score(docs, "doc_id").collect()}
-    for r in docs.collect():
-        assert got[r.doc_id] == brute(r.text), r.doc_id
+def _scores(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return {r.id: r for r in K.keyword_score(df, "id").collect()}
+
+
+def test_word_order_case_and_marks_do_not_matter(spark):
+    got = _scores(spark, ["grateful and calm, so calm", "CALM! so... calm (and) Grateful", "calm so and grateful calm"])
+    assert len({(r.predicted_emotion, r.confidence, r.match_score) for r in got.values()}) == 1
+
+
+def test_a_repeated_text_scores_twice_as_much_for_the_same_label(spark):
+    texts = ["angry", "I love you", "nervous laughter", "sad and curious"]
+    got = _scores(spark, texts + [f"{t} {t}" for t in texts])
+    for i in range(len(texts)):
+        assert got[i + 4].predicted_emotion == got[i].predicted_emotion
+        assert got[i + 4].match_score == 2 * got[i].match_score
+
+
+def test_the_own_stem_of_a_label_matches_it(spark):
+    labels = [x for x in fixed.LABELS if x != "neutral"]
+    got = _scores(spark, [fixed.stems_of(x)[0] for x in labels])
+    assert all(r.match_score > 0 and r.confidence == 0.5 for r in got.values())

@@ -62,7 +62,7 @@ def test_enrich_and_write_tables(spark):
     sf = "/root/testdata/sf0.001"
     ent = T.entries(spark, sf).select("entry_id", "user_id", "entry_time", "doc_id")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    res = JN.enrich(spark, ent, docs)
+    res = JN.enrich(spark, ent, docs, EN.corpus_gazetteer(docs))
     base = tempfile.mkdtemp(prefix="moodspark-tables-")
     JN.write_journal_tables(res, base)
     s = spark.read.parquet(f"{base}/daily_summary")
