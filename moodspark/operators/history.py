@@ -50,6 +50,12 @@ def advice_rows(entries: DataFrame, analysis: DataFrame, text_advice: DataFrame
     return general.unionByName(ent)
 
 
+def entity_advice_rows(entries: DataFrame, text_advice: DataFrame, text_key: str = "doc_id") -> DataFrame:
+    """J6 rows of each entry's text with the entry's user and time: one join, nothing is scored."""
+    return entries.select("entry_id", "user_id", text_key, F.col("entry_time").alias("created_at")).join(
+        text_advice, text_key, "inner").drop(text_key)
+
+
 def with_defaults(advice: DataFrame) -> DataFrame:
     """A6 defaults for missing fields."""
     return advice.select(
@@ -61,9 +67,9 @@ def with_defaults(advice: DataFrame) -> DataFrame:
         F.coalesce("rationale_text", F.lit("")).alias("rationale_text"), "created_at")
 
 
-def replace_by_key(old: DataFrame, new: DataFrame, key: str = "entry_id") -> DataFrame:
-    """Drop every old row of a key present in ``new``, then add the new rows."""
-    keys = new.select(key).distinct()
+def replace_by_key(old: DataFrame, new: DataFrame, processed: DataFrame, key: str = "entry_id") -> DataFrame:
+    """Drop every old row of a ``processed`` key, also if it has no new rows, then add the new rows."""
+    keys = processed.select(key).distinct()
     return old.join(keys, key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -74,14 +80,20 @@ def is_entity_key(advice_key) -> F.Column:
     return F.col(advice_key).ilike("entity_%") if isinstance(advice_key, str) else advice_key.ilike("entity_%")
 
 
-def entity_impact(advice: DataFrame, entries: DataFrame, top: int = fixed.ENTITY_IMPACT_TOP) -> DataFrame:
+def _with_user(advice: DataFrame, entries: DataFrame | None) -> DataFrame:
+    if "user_id" in advice.columns:
+        return advice
+    return advice.join(entries.select("entry_id", "user_id"), "entry_id", "inner")
+
+
+def entity_impact(advice: DataFrame, entries: DataFrame | None = None,
+                  top: int = fixed.ENTITY_IMPACT_TOP) -> DataFrame:
     """D3 + F2: per user, counts by bucket and total per entity; top 10 by total.
 
-    Ties on total are broken by entity name (stable and repeatable).
+    The user comes with the advice rows, or from ``entries``. Ties on total are broken by entity name (stable and repeatable).
     """
     prefix = fixed.ENTITY_TITLE_PREFIX
-    a = (advice.where(is_entity_key("advice_key") & F.col("title").startswith(prefix))
-         .join(entries.select("entry_id", "user_id"), "entry_id", "inner"))
+    a = _with_user(advice.where(is_entity_key("advice_key") & F.col("title").startswith(prefix)), entries)
     name = X.py_strip(F.substring(F.col("title"), len(prefix) + 1, 1 << 30))
     g = a.groupBy("user_id", name.alias("entity")).agg(
         *[F.count_if(F.col("emotion_key") == b).alias(b) for b in fixed.BUCKETS],
@@ -96,53 +108,49 @@ def nonzero_impact(impact: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ J10 / F1 / C5
 
-def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame | None, advice: DataFrame,
-                 limit: int = fixed.HISTORY_LIMIT, offset: int = 0, day: str | None = None) -> DataFrame:
-    """Per user, entries newest first, rows (offset, offset+limit], with
-    analysis, insight and the entry's advice list in insertion order.
+def newest_entries(entries: DataFrame, analysis: DataFrame, insight: DataFrame,
+                   limit: int = fixed.HISTORY_LIMIT, offset: int = 0, day: str | None = None) -> DataFrame:
+    """C4 + F1: per user, entries newest first, rows (offset, offset + limit], left-joined with
+    their analysis and insight.
 
     The optional day filter is a half-open timestamp range (B2), so parquet
-    min/max statistics can skip row groups. ``text`` is carried when the
-    entries have it; otherwise join texts to the page rows afterwards (a page
-    is at most ``limit`` rows per user).
+    min/max statistics can skip row groups. Entries without an analysis stay.
     """
-    cols = ["entry_id", "user_id"] + (["text"] if "text" in entries.columns else [])
-    e = entries.select(*cols, F.col("entry_time").alias("occured_at"))
+    e = entries.withColumnRenamed("entry_time", "occured_at")
     if day is not None:
         d0 = F.lit(day).cast("date")
         e = e.where((F.col("occured_at") >= d0.cast("timestamp_ntz"))
                     & (F.col("occured_at") < F.date_add(d0, 1).cast("timestamp_ntz")))
-    a = analysis.select("entry_id", "predicted_emotion", "confidence")
-    if insight is None:
-        # the insight is a function of the analysis row: derive it in place
-        # instead of joining the insight table back
-        a = analysis.select(
-            "entry_id", "predicted_emotion", "confidence",
-            F.coalesce(X.bucket("predicted_emotion"), F.lit("neutral")).alias("emotion_bucket"),
-            I.insight_title(X.bucket("predicted_emotion")).alias("insight_title"),
-            I.insight_explanation(X.bucket("predicted_emotion")).alias("insight_explanation"),
-            F.array().cast("array<string>").alias("insight_details"))
-        j = e.join(a, "entry_id", "left")
-    else:
-        j = (e.join(a, "entry_id", "left")
-             .join(insight.select("entry_id", "emotion_bucket", F.col("title").alias("insight_title"),
-                                  F.col("explanation").alias("insight_explanation"),
-                                  F.col("details").alias("insight_details")), "entry_id", "left"))
-    page = top_k_per_group(j, ["user_id"], [F.desc("occured_at"), F.desc("entry_id")], offset + limit,
+    page = top_k_per_group(e, ["user_id"], [F.desc("occured_at"), F.desc("entry_id")], offset + limit,
                            rank_col="position").where(F.col("position") > offset)
-    # the page (at most offset + limit rows per user) is used twice below:
-    # written once to the shared checkpoint folder instead of computed twice
-    from ..session import materialize
-    page = materialize(page, "history_page")
-    # advice of the page entries only: the semi join is pushed below the
-    # advice derivation, so entity advice is joined for page rows alone
-    adv = (advice.join(page.select("entry_id"), "entry_id", "left_semi")
-           .groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct(
-               "ord", "advice_key", "emotion_key", "title", "advice_text", "rationale_text"))).alias("_adv")))
-    empty = F.array().cast("array<struct<advice_key:string,emotion_key:string,title:string,"
-                           "advice_text:string,rationale_text:string>>")
-    return page.join(adv, "entry_id", "left").withColumn(
-        "advice", F.coalesce(F.transform("_adv", lambda x: x.dropFields("ord")), empty)).drop("_adv")
+    return (page.join(analysis.select("entry_id", "predicted_emotion", "confidence"), "entry_id", "left")
+            .join(insight.select("entry_id", "emotion_bucket", F.col("title").alias("insight_title"),
+                                 F.col("explanation").alias("insight_explanation"),
+                                 F.col("details").alias("insight_details")), "entry_id", "left"))
+
+
+def attach_advice(page: DataFrame, advice: DataFrame) -> DataFrame:
+    """The page with each entry's advice list in insertion order, empty if there is none.
+
+    One join on the entry and one grouping by it: the page is read once.
+    """
+    fields = ["advice_key", "emotion_key", "title", "advice_text", "rationale_text"]
+    line = F.when(F.col("ord").isNotNull(), F.struct("ord", *fields))
+    joined = page.join(advice.select("entry_id", "ord", *fields), "entry_id", "left")
+    keep = [c for c in page.columns if c != "entry_id"]
+    return (joined.groupBy("entry_id").agg(*[F.first(c).alias(c) for c in keep],
+                                           F.sort_array(F.collect_list(line)).alias("_a"))
+            .withColumn("advice", F.transform("_a", lambda x: x.dropFields("ord"))).drop("_a"))
+
+
+def history_page(entries: DataFrame, analysis: DataFrame, insight: DataFrame | None, advice: DataFrame,
+                 limit: int = fixed.HISTORY_LIMIT, offset: int = 0, day: str | None = None) -> DataFrame:
+    """A page of :func:`newest_entries` with each entry's advice list.
+
+    Without a stored ``insight`` it is derived from the analysis rows.
+    """
+    page = newest_entries(entries, analysis, insight_rows(analysis) if insight is None else insight, limit, offset, day)
+    return attach_advice(page, advice)
 
 
 # ------------------------------------------------------------------ F6 prompts
@@ -152,7 +160,7 @@ def user_prompts(advice: DataFrame, entries: DataFrame, spark: SparkSession, see
     first kept), first 2 become prompts; fill to 3 with generic prompts in a
     seeded order. Returns (user_id, prompt_no, prompt)."""
     prefix = fixed.ENTITY_TITLE_PREFIX
-    a = advice.where(is_entity_key("advice_key")).join(entries.select("entry_id", "user_id"), "entry_id", "inner")
+    a = _with_user(advice.where(is_entity_key("advice_key")), entries)
     newest = top_k_per_group(a, ["user_id"], [F.desc("created_at"), F.desc("entry_id"), F.asc("ord")],
                              fixed.PROMPT_ENTITY_LIMIT, rank_col="_r")
     ent = newest.withColumn("_e", X.py_strip(F.replace(F.col("title"), F.lit(prefix), F.lit(""))))

@@ -46,19 +46,19 @@ GENERAL_ADVICE = {
         "A steady day is a fine moment for self-care; set aside time for a favourite interest.",
     ],
 }
-# Entity advice by (type, bucket); {name} is replaced by the entity.
+# Entity advice by (type, bucket) in our own words; {name} is replaced by the entity.
 ENTITY_ADVICE = {
-    ("PER", "positive"): "{name} seems to lift your mood. Consider spending more time together.",
-    ("PER", "negative"): "Time with {name} seemed hard. Consider talking it through, or giving it some distance.",
-    ("PER", "neutral"): "Reflect on your relationship with {name}.",
-    ("LOC", "positive"): "{name} seems good for you. Consider going there more often.",
-    ("LOC", "negative"): "{name} comes with negative feelings. Consider avoiding it where you can.",
-    ("LOC", "neutral"): "Consider how being at {name} affects your mindset.",
-    ("ORG", "positive"): "Things related to {name} went well. More of that could boost your mood.",
-    ("ORG", "negative"): "{name} is tied to some negative feelings right now. Consider a calmer alternative.",
-    ("ORG", "neutral"): "Consider how being at {name} affects your mindset.",
+    ("PER", "positive"): "You sound brighter around {name}: plan the next meeting while the good feeling is fresh.",
+    ("PER", "negative"): "Something about {name} weighs on this entry: name it, then decide whether to speak up or step back.",
+    ("PER", "neutral"): "Jot down what {name} means to you at the moment; a clear picture helps the next talk.",
+    ("LOC", "positive"): "{name} recharges you: put another visit into this month's plan.",
+    ("LOC", "negative"): "{name} drains you: find out what it is there, and shorten or swap the visit if you are able to.",
+    ("LOC", "neutral"): "Watch how your mood shifts before and after {name} next time.",
+    ("ORG", "positive"): "{name} is going well for you: note which part, and ask for more of it.",
+    ("ORG", "negative"): "{name} is a source of strain: pick one thing there that you can change this week.",
+    ("ORG", "neutral"): "Keep a short log of what {name} takes from you and what it gives back.",
 }
-ENTITY_RATIONALE = "You mentioned '{name}' in a {bucket} context."
+ENTITY_RATIONALE = "The passage around '{name}' reads as {bucket}."
 
 # FIXED VALUES: prompt formats by bucket and the generic prompts, in order.
 PROMPT_FORMATS = {

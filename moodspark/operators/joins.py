@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,16 +10,16 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
                     salt_buckets: int = 32, rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k per group (``row_number`` over ``order``), skew-safe.
 
-    Two phases: rank inside (group, salt) slices and keep each slice's top k,
-    then rank the at most ``k * salt_buckets`` survivors per group. A group
-    holding a third of all rows is cut down across many tasks before any one
-    task sorts it. The salt is a hash of the row, so reruns are identical.
+    Up to Spark's group-limit threshold the plain rank is enough: every map
+    task already keeps at most ``k`` rows per group before the exchange. For a
+    larger ``k`` two phases do the same: rank inside (group, salt) slices, keep
+    each slice's top k, then rank the survivors per group. The salt is a hash
+    of the row, so reruns are identical.
     """
-    from pyspark.sql import Window
-
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets))
-    first = df.withColumn("_salt", salt).withColumn(
-        "_r1", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order)))
-    kept = first.where(F.col("_r1") <= k).drop("_r1", "_salt")
-    return kept.withColumn(rank_col, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(
-        F.col(rank_col) <= k)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > limit:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets))
+        slice_rank = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order))
+        df = df.withColumn("_salt", salt).withColumn("_r1", slice_rank).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    return df.withColumn(rank_col, rank).where(F.col(rank_col) <= k)

@@ -7,7 +7,7 @@ partial row per map task, so skew does not pile raw rows into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -93,6 +93,27 @@ def month_stats(summary: DataFrame) -> DataFrame:
                  F.count_if(F.col("dominant_emotion") == "negative").alias("negative_days")))
 
 
+def calendar_month(entries: DataFrame, analysis: DataFrame, year: int, month: int) -> DataFrame:
+    """One month for every user who has an entry at any time.
+
+    The range on ``entry_time`` comes before the join and the aggregation, so
+    only that month is read and summarised; all users are a distinct of one column.
+    """
+    first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
+    t = F.col("entry_time")
+    now = entries.where((t >= first.cast("timestamp_ntz"))
+                        & (t < F.date_add(F.last_day(first), 1).cast("timestamp_ntz")))
+    return _lay_out(daily_summary(now, analysis, with_text=False).groupBy("user_id").agg(
+        F.collect_list(_day_cell()).alias("_cells")).join(entries.select("user_id").distinct(), "user_id", "right")
+        .select("user_id", F.coalesce("_cells", F.array()).alias("_cells"), first.alias("month")))
+
+
+def _day_cell() -> Column:
+    return F.struct(F.dayofmonth("summary_date").alias("d"), "dominant_emotion", "positivity_score",
+                    "entry_count", X.positivity_color("positivity_score").alias("color"),
+                    X.short_summary("dominant_emotion", "positive", "negative", "neutral").alias("summary_text"))
+
+
 def calendar_days(summary: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
     """C6 + J8: dense month of days per user, default row for days without entries.
 
@@ -103,9 +124,7 @@ def calendar_days(summary: DataFrame, year: int | None = None, month: int | None
     generator lays out every calendar day: no densifying join, and the
     summary is read once.
     """
-    cell = F.struct(F.dayofmonth("summary_date").alias("d"), "dominant_emotion", "positivity_score",
-                    "entry_count", X.positivity_color("positivity_score").alias("color"),
-                    X.short_summary("dominant_emotion", "positive", "negative", "neutral").alias("summary_text"))
+    cell = _day_cell()
     if year is not None and month is not None:
         first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
         in_month = F.col("summary_date").between(first, F.last_day(first))
@@ -114,6 +133,11 @@ def calendar_days(summary: DataFrame, year: int | None = None, month: int | None
     else:
         g = summary.groupBy("user_id", F.trunc("summary_date", "month").alias("month")).agg(
             F.collect_list(cell).alias("_cells"))
+    return _lay_out(g)
+
+
+def _lay_out(g: DataFrame) -> DataFrame:
+    """Every day of each row's ``month``, with its cell of ``_cells`` or the default."""
     days = g.select("user_id", "_cells", F.explode(F.sequence(F.col("month"), F.last_day("month"))).alias("date"))
     c = F.try_element_at(F.filter("_cells", lambda x: x["d"] == F.dayofmonth("date")), F.lit(1))
     has = c.isNotNull()

@@ -241,7 +241,9 @@ FROM days d LEFT JOIN summary_ s ON s.user_id = d.user_id AND s.summary_date = d
 @register("j8_calendar_month", _calendar_sql(
     "SELECT DISTINCT user_id, DATE '2024-01-01' AS month FROM summary_", d5_sql(), False))
 def j8_calendar_month(spark, sf_dir):
-    return S.calendar_days(S.daily_summary(*_short(spark, sf_dir), with_text=False), 2024, 1)
+    """Only the month's entries are summarised (a range on entry_time); users come from the entries."""
+    ent, ana = _short(spark, sf_dir)
+    return S.calendar_month(ent, ana, 2024, 1)
 
 
 @register("j8_calendar_all", _calendar_sql(
@@ -364,28 +366,32 @@ sents AS (SELECT {key}, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS
 
 
 @register("h16_sentences", "WITH " + _sentences_sql("documents", "doc_id") + f"""
-SELECT doc_id, CAST(sentence_idx AS INTEGER) AS sentence_idx, sentence FROM sents
+SELECT doc_id, CAST(sentence_idx AS INTEGER) AS sentence_idx, sentence, prev_sentence, next_sentence FROM (
+  SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sentence_idx,
+         unnest(list_concat([NULL], s[1:len(s) - 1])) AS prev_sentence,
+         unnest(list_concat(s[2:], [NULL])) AS next_sentence FROM sent_arr)
 WHERE {Q.py_strip('sentence')} <> ''""")
 def h16_sentences(spark, sf_dir):
     from ..operators import entities as EN
     d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return EN.sentence_rows(d, "doc_id").select("doc_id", "sentence_idx", "sentence")
+    return EN.sentence_rows(d, "doc_id")
 
 
 @register("e5_sentence_chunks")
 def e5_sentence_chunks(spark, sf_dir):
     d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return CH.sentence_chunks(d, "doc_id").select("doc_id", "chunk_id", "n_sentences", "n_tokens")
+    return CH.sentence_chunks(d, "doc_id")
 
 
 @register("e6_token_windows", f"""WITH toks AS (
-  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_re2(TX.BASIC_TOKEN)}')) AS n FROM documents)
+  SELECT doc_id, w, len(w) AS n FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_re2(TX.BASIC_TOKEN)}') AS w FROM documents))
 SELECT doc_id, CAST((s - 1) // 106 AS INTEGER) AS chunk_id, CAST(s AS INTEGER) AS start_pos,
-       CAST(least(126, n - s + 1) AS INTEGER) AS n_tokens
+       CAST(least(126, n - s + 1) AS INTEGER) AS n_tokens, array_to_string(w[s:s + 125], ' ') AS window_text
 FROM toks, unnest(generate_series(1, greatest(n - 20, 1), 106)) t(s)""")
 def e6_token_windows(spark, sf_dir):
     d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return CH.token_windows(d, "doc_id").select("doc_id", "chunk_id", "start_pos", "n_tokens")
+    return CH.token_windows(d, "doc_id")
 
 
 def _label_sql(i1: str) -> str:
@@ -398,14 +404,16 @@ def _label_sql(i1: str) -> str:
   SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (
     SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, i) AS k FROM e)
-SELECT label, CAST(i - 1 AS INTEGER) AS top_index, {_label_sql('i')} AS top_label, round(m, 6) AS top_score
-FROM b WHERE k = 1""")
+SELECT b.label, CAST(e.i - 1 AS INTEGER) AS position, round(e.m, 6) AS score,
+       CAST(b.i - 1 AS INTEGER) AS top_index, {_label_sql('b.i')} AS top_label, round(b.m, 6) AS top_score
+FROM b JOIN e ON e.label = b.label WHERE k = 1""")
 def d10_mean_pooling(spark, sf_dir):
     e = T.read_table(spark, sf_dir, "embeddings").select("label", "embedding")
     best = CH.argmax_label(F.col("embedding"))
     return CH.mean_pool(e, "label", "embedding").select(
-        "label", best.index.alias("top_index"), best.label.alias("top_label"),
-        F.round(best.score, 6).alias("top_score"))
+        "label", F.posexplode("embedding").alias("position", "_x"), best.index.alias("top_index"),
+        best.label.alias("top_label"), F.round(best.score, 6).alias("top_score")).select(
+        "label", "position", F.round("_x", 6).alias("score"), "top_index", "top_label", "top_score")
 
 
 @register("d11_sigmoid_argmax", f"""WITH e AS (
@@ -424,7 +432,10 @@ def d11_sigmoid_argmax(spark, sf_dir):
 @register("j2_chunk_scoring")
 def j2_chunk_scoring(spark, sf_dir):
     d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return CH.score_chunked(d, "doc_id").select("doc_id", "predicted_emotion", "confidence")
+    """The pooled prediction and every label that a chunk got, with its pooled score."""
+    pooled = CH.score_chunked(d, "doc_id")
+    return pooled.select("doc_id", "predicted_emotion", "confidence", F.explode("scores").alias("label", "score")).where(
+        F.col("score") > 0)
 
 
 def _j3_sql() -> str:
@@ -449,6 +460,28 @@ def j3_window_timeline(spark, sf_dir):
     return timeline.select("turn_key", "chunk_id", "label", "score")
 
 
+def _j3_pooled_sql() -> str:
+    from ..functions import fixed
+    order = "[" + ", ".join(Q.q(x) for x in fixed.LABELS) + "]"
+    return "WITH tl AS (" + _j3_sql() + f"""),
+n AS (SELECT turn_key, label, count(*) AS n, list_position({order}, label) AS li FROM tl GROUP BY ALL),
+b AS (SELECT *, sum(n) OVER (PARTITION BY turn_key) AS total,
+             row_number() OVER (PARTITION BY turn_key ORDER BY n DESC, li) AS k FROM n)
+SELECT b.turn_key, b.label AS predicted_emotion, CAST(b.n AS DOUBLE) / b.total AS confidence, l.label,
+       CAST(l.n AS DOUBLE) / b.total AS score
+FROM b JOIN n l ON l.turn_key = b.turn_key WHERE k = 1"""
+
+
+@register("j3_window_pooled", _j3_pooled_sql())
+def j3_window_pooled(spark, sf_dir):
+    """J3's second result: the pooled prediction and every label that a window got."""
+    d = T.read_table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "text")
+    _, pooled = CH.score_windows(d, "turn_key")
+    return pooled.select("turn_key", "predicted_emotion", "confidence", F.explode("scores").alias("label", "score")).where(
+        F.col("score") > 0)
+
+
 # ----------------------------------------------------------------- entities and history
 
 def _docs(spark, sf_dir):
@@ -479,31 +512,42 @@ def j6_entity_advice(spark, sf_dir):
     return _doc_advice(spark, sf_dir)
 
 
-def _entry_advice(spark, sf_dir):
-    """Entries, their analysis and advice rows (the stored tables of J7)."""
-    ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "doc_id", "entry_time")
-    ana = SC.entry_analysis_by_document(spark, sf_dir, ent)
-    return ent, ana, H.advice_rows(ent, ana, _doc_advice(spark, sf_dir), "doc_id")
+def _entries(spark, sf_dir):
+    return T.entries(spark, sf_dir).select("entry_id", "user_id", "doc_id", "entry_time")
 
 
 @register("d3_entity_impact")
 def d3_entity_impact(spark, sf_dir):
-    ent, _, adv = _entry_advice(spark, sf_dir)
-    return H.entity_impact(adv, ent)
+    """Entity advice of a text joined to its entries once, with their user and time."""
+    return H.entity_impact(H.entity_advice_rows(_entries(spark, sf_dir), _doc_advice(spark, sf_dir)))
 
 
 @register("f6_user_prompts")
 def f6_user_prompts(spark, sf_dir):
-    ent, _, adv = _entry_advice(spark, sf_dir)
-    return H.user_prompts(adv, ent, spark)
+    ent = _entries(spark, sf_dir)
+    return H.user_prompts(H.entity_advice_rows(ent, _doc_advice(spark, sf_dir)), ent, spark)
 
 
 @register("j10_history_page")
 def j10_history_page(spark, sf_dir):
-    ent, ana, adv = _entry_advice(spark, sf_dir)
-    page = H.history_page(ent, ana, None, adv, limit=20, offset=0)
-    return page.select("user_id", "position", "entry_id", "occured_at", "predicted_emotion", "emotion_bucket",
-                       F.size("advice").alias("n_advice"))
+    """The newest 20 entries per user with text, insight and one row per advice in its order."""
+    ent = _entries(spark, sf_dir)
+    kw = K.keyword_score(_docs(spark, sf_dir), "doc_id").select("doc_id", "predicted_emotion", "confidence")
+    ana = ent.select("entry_id", "doc_id").join(kw, "doc_id").drop("doc_id")
+    page = H.newest_entries(ent, ana, H.insight_rows(ana), limit=20, offset=0)
+    adv = H.advice_rows(page.withColumnRenamed("occured_at", "entry_time"), page, _doc_advice(spark, sf_dir), "doc_id")
+    full = H.attach_advice(page, adv)
+    return _advice_lines(full.join(_docs(spark, sf_dir), "doc_id", "inner"))        # texts of the page's entries only
+
+
+def _advice_lines(page):
+    cols = ["user_id", "position", "entry_id", "occured_at", "text", "predicted_emotion", "confidence",
+            "emotion_bucket", "insight_title", "insight_explanation"]
+    cols = [c for c in cols if c in page.columns]
+    return (page.select(*cols, F.posexplode_outer("advice").alias("_n", "_a"))
+            .select(*[F.col("position").cast("int").alias("position") if c == "position" else F.col(c) for c in cols],
+                    F.col("_n").cast("int").alias("ord"), "_a.advice_key", "_a.emotion_key",
+                    F.col("_a.title").alias("advice_title"), "_a.advice_text", "_a.rationale_text"))
 
 
 def _general_sql() -> str:
@@ -528,13 +572,21 @@ def j7_general_advice(spark, sf_dir):
     return H.advice_rows(ent, SC.entry_analysis_by_document(spark, sf_dir, ent), None)
 
 
+def _explanation_sql(b: str) -> str:
+    from ..operators import insights as I
+    x = {k: Q.q(v) for k, v in I.INSIGHT_EXPLANATIONS.items()}
+    return f"CASE {b} WHEN 'positive' THEN {x['positive']} WHEN 'negative' THEN {x['negative']} ELSE {x['neutral']} END"
+
+
 @register("h12_insights", Q.with_views() + f"""
 SELECT entry_id, coalesce({Q.bucket('predicted_emotion')}, 'neutral') AS emotion_bucket,
   CASE {Q.bucket('predicted_emotion')} WHEN 'positive' THEN 'Positive emotion detected'
-       WHEN 'negative' THEN 'Negative emotion detected' ELSE 'Neutral emotion detected' END AS title
+       WHEN 'negative' THEN 'Negative emotion detected' ELSE 'Neutral emotion detected' END AS title,
+  {_explanation_sql(Q.bucket('predicted_emotion'))} AS explanation, CAST(0 AS INTEGER) AS n_details
 FROM j_analysis""")
 def h12_insights(spark, sf_dir):
-    return H.insight_rows(T.analysis(spark, sf_dir)).select("entry_id", "emotion_bucket", "title")
+    return H.insight_rows(T.analysis(spark, sf_dir)).select(
+        "entry_id", "emotion_bucket", "title", "explanation", F.size("details").alias("n_details"))
 
 
 # ----------------------------------------------------------------- D12 / J13 / A5
@@ -638,31 +690,14 @@ def j7_enriched_summary(spark, sf_dir):
     return res.summary
 
 
-@register("f1_history_page", Q.with_views() + f"""
-, j AS (
-  SELECT e.user_id, e.entry_id, e.entry_time AS occured_at, a.predicted_emotion, a.confidence,
-         CASE WHEN a.entry_id IS NULL THEN NULL ELSE coalesce({Q.bucket('a.predicted_emotion')}, 'neutral') END
-           AS emotion_bucket,
-         CASE WHEN a.entry_id IS NULL THEN NULL
-              ELSE 'general_' || CASE WHEN {Q.bucket('a.predicted_emotion')} IN ('positive', 'negative')
-                                      THEN {Q.bucket('a.predicted_emotion')} ELSE 'neutral' END END AS advice_key,
-         row_number() OVER (PARTITION BY e.user_id ORDER BY e.entry_time DESC, e.entry_id DESC) AS position
-  FROM j_entries e LEFT JOIN j_analysis a ON a.entry_id = e.entry_id)
-SELECT user_id, CAST(position AS INTEGER) AS position, entry_id, occured_at, predicted_emotion, confidence,
-       emotion_bucket, CAST(CASE WHEN advice_key IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_advice,
-       advice_key AS first_advice_key
-FROM j WHERE position > 20 AND position <= 40""")
+@register("f1_history_page")
 def f1_history_page(spark, sf_dir):
-    """F1 + C4 + C5 on the stored history tables: page 2 (offset 20, limit 20) per user,
-    general advice only (the SQL-checkable part of J10)."""
+    """F1 + C4 + C5 on the stored history tables: page 2 (offset 20, limit 20) per user, with the
+    stored insight joined; general advice only, entries without analysis included."""
     ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time")
     ana = T.analysis(spark, sf_dir)
-    adv = H.advice_rows(ent, ana, None)
-    page = H.history_page(ent, ana, None, adv, limit=20, offset=20)
-    return page.select("user_id", F.col("position").cast("int").alias("position"), "entry_id", "occured_at",
-                       "predicted_emotion", "confidence", "emotion_bucket",
-                       F.size("advice").cast("int").alias("n_advice"),
-                       F.try_element_at("advice", F.lit(1)).getField("advice_key").alias("first_advice_key"))
+    return _advice_lines(H.history_page(ent, ana, H.insight_rows(ana), H.advice_rows(ent, ana, None),
+                                        limit=20, offset=20))
 
 
 # ----------------------------------------------------------------- A8 / A9 codecs on whole tables
@@ -723,7 +758,7 @@ def _entry_advice_sql() -> str:
     per-document entity advice joined to every entry of that document."""
     from . import entity_sql as ES
     return Q.with_views(ES.mentions_sql(), ES.advice_sql(), keyword_sql("documents", "doc_id", "a_"), """ana AS (
-  SELECT e.entry_id, e.user_id, e.doc_id, e.entry_time, k.predicted_emotion
+  SELECT e.entry_id, e.user_id, e.doc_id, e.entry_time, k.predicted_emotion, k.confidence
   FROM j_entries e JOIN a_kw k ON k.doc_id = e.doc_id),
 entry_entity_advice AS (
   SELECT a.entry_id, a.user_id, a.entry_time, v.ord, v.advice_key, v.emotion_key, v.title
@@ -742,17 +777,67 @@ SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, entity) AS INTEGER) AS rank FROM imp)
 WHERE rank <= 10"""
 
-ORACLES["j10_history_page"] = _entry_advice_sql() + f""",
-n_adv AS (SELECT doc_id, count(*) AS n FROM ent_advice GROUP BY doc_id),
+def _insight_sql(b: str) -> str:
+    from ..operators import insights as I
+    x = {k: Q.q(v) for k, v in I.INSIGHT_TITLES.items()}
+    return (f"CASE {b} WHEN 'positive' THEN {x['positive']} WHEN 'negative' THEN {x['negative']} ELSE {x['neutral']} END "
+            f"AS insight_title, {_explanation_sql(b)} AS insight_explanation")
+
+
+def _general_case(bucket: str, entry: str) -> tuple[str, str]:
+    """(text, rationale) of the general advice as SQL over a three-way bucket."""
+    from ..operators import insights as I
+    texts = " ".join(f"WHEN {bucket} = {Q.q(b)} AND {entry} % 3 = {i} THEN {Q.q(x)}"
+                     for b, v in I.GENERAL_ADVICE.items() for i, x in enumerate(v))
+    why = " ".join(f"WHEN {bucket} = {Q.q(b)} THEN {Q.q(x)}" for b, x in I.GENERAL_RATIONALE.items())
+    return f"CASE {texts} END", f"CASE {why} END"
+
+
+def _j10_oracle() -> str:
+    text, why = _general_case("bb", "entry_id")
+    b = Q.bucket("a.predicted_emotion")
+    return _entry_advice_sql() + f""",
 pg AS (
-  SELECT a.user_id, a.entry_id, a.entry_time AS occured_at, a.predicted_emotion,
-         coalesce({Q.bucket('a.predicted_emotion')}, 'neutral') AS emotion_bucket,
-         CAST(1 + coalesce(n.n, 0) AS INTEGER) AS n_advice,
-         CAST(row_number() OVER (PARTITION BY a.user_id ORDER BY a.entry_time DESC, a.entry_id DESC) AS INTEGER)
-           AS position
-  FROM ana a LEFT JOIN n_adv n ON n.doc_id = a.doc_id)
-SELECT user_id, position, entry_id, occured_at, predicted_emotion, emotion_bucket, n_advice FROM pg
-WHERE position <= 20"""
+  SELECT *, coalesce(bk, 'neutral') AS bb FROM (
+    SELECT a.user_id, a.entry_id, a.doc_id, a.entry_time AS occured_at, d.text, a.predicted_emotion, a.confidence,
+           {b} AS bk, {_insight_sql(b)},
+           CAST(row_number() OVER (PARTITION BY a.user_id ORDER BY a.entry_time DESC, a.entry_id DESC) AS INTEGER)
+             AS position
+    FROM ana a JOIN documents d ON d.doc_id = a.doc_id) WHERE position <= 20),
+lines AS (
+  SELECT entry_id, 0 AS ord, 'general_' || bb AS advice_key, bb AS emotion_key, 'General Advice' AS advice_title,
+         {text} AS advice_text, {why} AS rationale_text FROM pg
+  UNION ALL
+  SELECT p.entry_id, v.ord, v.advice_key, v.emotion_key, v.title, v.advice_text, v.rationale_text
+  FROM pg p JOIN ent_advice v ON v.doc_id = p.doc_id)
+SELECT p.user_id, p.position, p.entry_id, p.occured_at, p.text, p.predicted_emotion, p.confidence, p.bb AS emotion_bucket,
+       p.insight_title, p.insight_explanation, CAST(l.ord AS INTEGER) AS ord, l.advice_key, l.emotion_key,
+       l.advice_title, l.advice_text, l.rationale_text
+FROM pg p JOIN lines l USING (entry_id)"""
+
+
+ORACLES["j10_history_page"] = _j10_oracle()
+
+
+def _f1_oracle() -> str:
+    text, why = _general_case("bb", "entry_id")
+    b = Q.bucket("a.predicted_emotion")
+    return Q.with_views() + f""",
+j AS (
+  SELECT e.user_id, e.entry_id, e.entry_time AS occured_at, a.predicted_emotion, a.confidence,
+         a.entry_id IS NOT NULL AS known, coalesce({b}, 'neutral') AS bb, {_insight_sql(b)},
+         row_number() OVER (PARTITION BY e.user_id ORDER BY e.entry_time DESC, e.entry_id DESC) AS position
+  FROM j_entries e LEFT JOIN j_analysis a ON a.entry_id = e.entry_id)
+SELECT user_id, CAST(position AS INTEGER) AS position, entry_id, occured_at, predicted_emotion, confidence,
+       CASE WHEN known THEN bb END AS emotion_bucket, CASE WHEN known THEN insight_title END AS insight_title,
+       CASE WHEN known THEN insight_explanation END AS insight_explanation,
+       CAST(CASE WHEN known THEN 0 END AS INTEGER) AS ord, CASE WHEN known THEN 'general_' || bb END AS advice_key,
+       CASE WHEN known THEN bb END AS emotion_key, CASE WHEN known THEN 'General Advice' END AS advice_title,
+       CASE WHEN known THEN {text} END AS advice_text, CASE WHEN known THEN {why} END AS rationale_text
+FROM j WHERE position > 20 AND position <= 40"""
+
+
+ORACLES["f1_history_page"] = _f1_oracle()
 
 
 def _f6_oracle() -> str:
@@ -825,7 +910,7 @@ chunks AS (
 
 
 ORACLES["e5_sentence_chunks"] = "WITH " + _chunks_sql() + """
-SELECT doc_id, chunk_id, n_sentences, n_tokens FROM chunks"""
+SELECT doc_id, chunk_id, chunk_text, n_sentences, n_tokens FROM chunks"""
 
 ORACLES["j2_chunk_scoring"] = "WITH " + _chunks_sql() + ",\n" + keyword_sql(
     "(SELECT doc_id, chunk_id, chunk_text AS text FROM chunks)", "doc_id, chunk_id", "c_") + f""",
@@ -835,6 +920,9 @@ per_label AS (
                        predicted_emotion) AS li
   FROM c_kw GROUP BY doc_id, predicted_emotion),
 tot AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id)
-SELECT doc_id, predicted_emotion, CAST(n AS DOUBLE) / n_chunks AS confidence FROM (
+SELECT doc_id, predicted_emotion, CAST(b.n AS DOUBLE) / b.n_chunks AS confidence, l.label,
+       CAST(l.n AS DOUBLE) / b.n_chunks AS score
+FROM (
   SELECT p.*, t.n_chunks, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.n DESC, p.li) AS k
-  FROM per_label p JOIN tot t USING (doc_id)) WHERE k = 1"""
+  FROM per_label p JOIN tot t USING (doc_id)) b
+JOIN (SELECT doc_id, predicted_emotion AS label, n FROM per_label) l USING (doc_id) WHERE k = 1"""

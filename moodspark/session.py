@@ -3,35 +3,45 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+}
+
+
+def unset_defaults(conf: SparkConf, extra: dict[str, str] | None = None) -> dict[str, str]:
+    """The defaults whose key ``conf`` (what spark-submit and the defaults file gave) does not hold."""
+    return {k: v for k, v in (DEFAULTS | (extra or {})).items() if not conf.contains(k)}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app: str = "moodspark") -> SparkSession:
-    """A session with AQE on, UI off and NTZ-friendly settings.
+                  app: str = "moodspark", driver_memory: str | None = None) -> SparkSession:
+    """A session in which only unset values are filled in.
 
-    On a cluster the master and most settings come from spark-submit; the
-    values here only fill what is unset.
+    The master is set only if the caller passes one; on a cluster it comes
+    from spark-submit, as do sizes.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    extra = {}
+    if shuffle_partitions:
+        extra["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory:
+        extra["spark.driver.memory"] = driver_memory
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or f"local[{cpus}]")
-    conf = {
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or int(cpus) * 2),
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "16g",
-        # Broadcast only below a checked size; bigger sides go sort-merge.
-        "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    }
-    for k, v in conf.items():
+    if master:
+        b = b.master(master)
+    for k, v in unset_defaults(SparkConf(), extra).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,16 +51,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must name a shared file system. Only when it
-    is unset (tests, a laptop) do we pick a folder of our own.
+    Where it is unset, a plain local session (one machine, as in tests) uses a
+    folder beside its warehouse; anything else is an error, since only the
+    setting can name storage that all executors share.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) "
                                "before running jobs that write intermediate state")
-        import tempfile
-        d = tempfile.mkdtemp(prefix="moodspark-ckpt-")
+        d = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
@@ -62,10 +72,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Used where one intermediate result feeds several branches of a plan: the
     branches read the files instead of recomputing the lineage, and a lost
-    executor re-reads files instead of re-running the upstream stages.
+    executor re-reads files instead of re-running the upstream stages. The
+    schema is carried over, so reading back runs no inference job.
     """
-    import uuid
-
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

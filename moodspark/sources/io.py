@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# FIXED VALUES: names a training folder is searched for, in order, and the separator by suffix (separator_for).
 TRAIN_NAMES = ["train.csv", "train.tsv", "training.csv", "training.tsv"]
 VALIDATION_NAMES = ["val.csv", "val.tsv", "validation.csv", "validation.tsv", "dev.csv", "dev.tsv"]
 
@@ -39,10 +40,12 @@ def separator_for(path: str) -> str:
     return "\t" if ext in (".tsv", ".txt") else ","
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                   multi_line: bool = False) -> DataFrame:
     """A2: header row, separator by extension; no schema inference on a cluster
-    unless no schema is given."""
-    r = spark.read.option("header", True).option("sep", separator_for(path)).option("multiLine", True) \
+    unless no schema is given. ``multi_line`` is for quoted line breaks only:
+    it makes every file one task."""
+    r = spark.read.option("header", True).option("sep", separator_for(path)).option("multiLine", multi_line) \
         .option("escape", '"')
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.csv(path)
@@ -85,13 +88,13 @@ def load_training_data(spark: SparkSession, path: str, text_col: str, label_cols
         tr = pick_existing(spark, path, TRAIN_NAMES)
         va = pick_existing(spark, path, VALIDATION_NAMES)
         if not tr or not va:
-            raise ValueError(f"Could not find train/validation splits in {path}")
+            raise ValueError(f"{path} holds no training file or no validation file")
         a = to_training_rows(read_delimited(spark, tr), text_col, label_cols).withColumn("split", F.lit("train"))
         b = to_training_rows(read_delimited(spark, va), text_col, label_cols).withColumn(
             "split", F.lit("validation"))
         return a.unionByName(b)
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Dataset path does not exist: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     rows = to_training_rows(read_delimited(spark, path), text_col, label_cols)
     return rows.withColumn("split", F.when(holdout_flag(F.col("text"), seed, test_pct), "validation")
                            .otherwise("train"))

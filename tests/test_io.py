@@ -44,8 +44,11 @@ def test_replace_by_key_and_mergeschema(spark):
     from moodspark.operators import history as H
     old = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "entry_id long, ord int, k string")
     new = spark.createDataFrame([(1, 0, "z")], "entry_id long, ord int, k string")
-    got = sorted(tuple(r) for r in H.replace_by_key(old, new).collect())
+    processed = spark.createDataFrame([(1,), (3,)], "entry_id long")
+    got = sorted(tuple(r) for r in H.replace_by_key(old, new, processed).collect())
     assert got == [(1, 0, "z"), (2, 0, "c")]
+    gone = spark.createDataFrame([(2,)], "entry_id long")        # processed, and now without rows
+    assert [r.entry_id for r in H.replace_by_key(old, new.where("false"), gone).collect()] == [1, 1]
     d = tempfile.mkdtemp(prefix="moodspark-evo-")
     spark.createDataFrame([(1, "joy")], "entry_id long, predicted_emotion string").write.parquet(os.path.join(d, "a"))
     spark.createDataFrame([(2, "fear", "multi_label")], "entry_id long, predicted_emotion string, task_type string") \

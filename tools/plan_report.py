@@ -35,7 +35,7 @@ def facts(plan: str) -> dict:
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session(shuffle_partitions=8)
+    spark = build_session("local[8]", shuffle_partitions=8, driver_memory="8g")
     lines = ["# Physical plans of the registered queries", "",
              f"Generated by `tools/plan_report.py` on `{sf}` (initial adaptive plan, before runtime",
              "re-optimisation; AQE may still coalesce partitions or turn a sort-merge join into a",
