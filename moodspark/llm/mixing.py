@@ -8,8 +8,9 @@ targets, subject to r >= 0, by projected gradient steps from r = 1.
 
 The gradient at a document depends on the document only through p, and on the
 rest of the corpus only through the few domain residuals. So a step is one
-distributed sum of as many numbers as there are domains; the driver keeps the
-residuals of all steps, and each document's rate is their fold over its p.
+distributed sum of a few numbers: the expected totals, and the domains' Gram
+matrix, by which the step is scaled so that a few steps do. The driver keeps
+the scaled residuals of all steps; each document's rate follows from its p.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ DOMAINS = ["clean", "poor", "toxic"]
 WEIGHTS = {"clean": 0.90, "poor": 0.05, "toxic": 0.05}
 MAIN = "clean"
 SAMPLE = 12_000
-STEPS = 60
+STEPS = 12
 CLOSE = 1e-4
 
 
@@ -66,17 +67,15 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
 
 def _rate(steps: list[list[float]], most: float) -> Column:
-    """The fold of the steps over a row's posteriors: move against the gradient, then project onto 0 <= r <= most."""
-    if not steps:
-        return F.lit(1.0)
-    table = F.from_json(F.lit(str(steps)), "array<array<double>>")
-    p = F.col("p")
+    """The steps over a row's posteriors, each a move against the gradient and a projection onto 0 <= r <= most.
 
-    def move(r: Column, step: Column) -> Column:
-        moved = r - sum((p[d] * step[d] for d in range(1, len(DOMAINS))), p[0] * step[0])
-        return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), moved))
-
-    return F.aggregate(table, F.lit(1.0), move)
+    A chain of as many plain expressions as there are steps, a few; nothing is stored between them.
+    """
+    r = F.lit(1.0)
+    for step in steps:
+        moved = r - sum((F.col(f"p{d}") * F.lit(x) for d, x in enumerate(step[1:], 1)), F.col("p0") * F.lit(step[0]))
+        r = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), moved))
+    return r
 
 
 def targets(now: list[float], weights: dict[str, float], main: str = MAIN, most: float = 1.0) -> list[float]:
@@ -90,7 +89,7 @@ def targets(now: list[float], weights: dict[str, float], main: str = MAIN, most:
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None,
                  sample: int = SAMPLE, steps: int = STEPS, close: float = CLOSE, most: float = 1.0) -> DataFrame:
-    """``doc_id, tokens, p, rate, copies`` for each row; no rate is above ``most``.
+    """``doc_id, tokens, p0, p1, .. , rate, copies`` for each row; no rate is above ``most``.
 
     Steps end when each domain is within ``close`` of its target, when a step
     changes none by a tenth of that, or after ``steps``. ``copies`` is the rate rounded up or down by a draw that is a
@@ -98,20 +97,26 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
     have no words but a rate like others. Repeated rows are rows of their own
     with equal draws; null ids share one. An empty table gives no rows.
     """
-    rows = materialize(domain_posteriors(docs, labels, sample), "posteriors")
-
-    def totals(rate: Column) -> list[float]:
-        words = rate * F.col("tokens")
-        got = rows.agg(*[F.sum(words * F.col("p")[d]).alias(str(d)) for d in range(len(DOMAINS))]).first()
-        return [x or 0.0 for x in got]
-
-    size = totals(F.lit(1.0))
-    goal = targets(size, weights or WEIGHTS, most=most)
-    now, last, moves = size, [float("inf")] * len(size), []
-    while (len(moves) < steps and any(abs(a - g) > close * g for a, g in zip(now, goal))
-           and any(abs(a - b) > 0.1 * close * n for a, b, n in zip(now, last, size))):
-        moves.append([(a - g) / n if n else 0.0 for a, g, n in zip(now, goal, size)])
-        now, last = totals(_rate(moves, most)), now
+    k = range(len(DOMAINS))
+    rows = materialize(domain_posteriors(docs, labels, sample).select(
+        "doc_id", "tokens", *[F.col("p")[d].alias(f"p{d}") for d in k]), "posteriors")
+
+    def totals(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected words of each domain, and the Gram matrix of the posteriors of rows in use, weighted by words."""
+        used = rows.withColumn("_r", rate)
+        sums = [F.sum(F.col("_r") * F.col("tokens") * F.col(f"p{d}")) for d in k]
+        gram = [F.sum(F.when(F.col("_r") > 0, F.col("tokens") * F.col(f"p{d}") * F.col(f"p{e}"))) for d in k for e in k]
+        got = np.array([x or 0.0 for x in used.agg(*[c.alias(f"c{i}") for i, c in enumerate([*sums, *gram])]).first()])
+        return got[:len(k)], got[len(k):].reshape(len(k), len(k))
+
+    size, gram = totals(F.lit(1.0))
+    goal = np.array(targets(size.tolist(), weights or WEIGHTS, most=most))
+    now, last, moves = size, np.full(len(k), np.inf), []
+    while len(moves) < steps and (abs(now - goal) > close * goal).any() and (abs(now - last) > 0.1 * close * size).any():
+        # the gradient at a row is p . (now - goal); the inverse Gram matrix sets its scale
+        moves.append(np.linalg.lstsq(gram, now - goal, rcond=1e-9)[0].tolist())
+        last = now
+        now, gram = totals(_rate(moves, most))
     draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("copies")), 11) / F.lit(2.0 ** 53)
     rated = rows.withColumn("rate", _rate(moves, most))
     return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

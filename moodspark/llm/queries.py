@@ -40,7 +40,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors, rate and copies of every document for the default target weights."""
     rated = mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rated.select("doc_id", "tokens", *[rated["p"][k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)],
+    return rated.select("doc_id", "tokens", *[rated[f"p{k}"].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)],
                         "rate", "copies")
 
 

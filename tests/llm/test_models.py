@@ -97,8 +97,8 @@ def test_projected_gradient_against_a_dense_solver(spark):
     draw = np.random.default_rng(4)
     p = draw.dirichlet([0.3, 0.3, 0.3], 80)
     n = draw.integers(1, 50, 80)
-    df = spark.createDataFrame([(i, int(k), [float(x) for x in q]) for i, (k, q) in enumerate(zip(n, p))],
-                               "doc_id bigint, tokens bigint, p array<double>")
+    df = spark.createDataFrame([(i, int(k), *map(float, q)) for i, (k, q) in enumerate(zip(n, p))],
+                               "doc_id bigint, tokens bigint, p0 double, p1 double, p2 double")
     steps = [[0.3, -0.2, 0.5], [0.1, 0.4, -0.6], [0.2, 0.2, 0.2]]
     got = [r.rate for r in df.withColumn("rate", mixing._rate(steps, 1.0)).orderBy("doc_id").collect()]
     want = np.ones(80)
@@ -116,7 +116,7 @@ def test_odd_rows(spark, labelled):
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
     assert [r.held_out for r in scored if r.doc_id is None] == [False, False]
     rated = mixing.mixing_rates(docs, labels).collect()
-    assert len(rated) == len(ODD) and all(abs(sum(r.p) - 1) < 1e-6 for r in rated)
+    assert len(rated) == len(ODD) and all(abs(r.p0 + r.p1 + r.p2 - 1) < 1e-6 for r in rated)
     mixed = mixing.apply_mix(docs, labels)
     assert mixed.columns == docs.columns and mixed.where("doc_id is null").count() == 2
 
