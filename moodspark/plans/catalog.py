@@ -926,3 +926,146 @@ FROM (
   SELECT p.*, t.n_chunks, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.n DESC, p.li) AS k
   FROM per_label p JOIN tot t USING (doc_id)) b
 JOIN (SELECT doc_id, predicted_emotion AS label, n FROM per_label) l USING (doc_id) WHERE k = 1"""
+
+
+# ----------------------------------------------------------------- write path, fallback, schemas, small operators
+
+def _two_batches(spark, sf_dir):
+    """The journal store after two overlapping batches that together hold every entry."""
+    from ..session import checkpoint_dir, materialize
+    from . import journal as JN
+    import uuid
+    store = JN.JournalStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/journal-{uuid.uuid4().hex[:12]}")
+    ent, docs = _entries(spark, sf_dir), _docs(spark, sf_dir)
+    names = materialize(EN.corpus_gazetteer(docs), "names")
+    for left_out in (0, 1):
+        store.apply(ent.where(F.col("entry_id") % 3 != left_out), docs, names)
+    return store
+
+
+@register("j7_stored_tables", _entry_advice_sql() + f""",
+n_adv AS (SELECT doc_id, count(*) AS n FROM ent_advice GROUP BY doc_id)
+SELECT a.entry_id, a.predicted_emotion, a.confidence, 'multi_label' AS task_type, a.predicted_emotion AS best_score,
+       coalesce({Q.bucket('a.predicted_emotion')}, 'neutral') AS emotion_bucket,
+       {_insight_sql(Q.bucket('a.predicted_emotion'))}, 1 + coalesce(n, 0) AS n_advice
+FROM ana a LEFT JOIN n_adv v ON v.doc_id = a.doc_id""")
+def j7_stored_tables(spark, sf_dir):
+    """Analysis, insight and number of advice rows of every entry, as stored after two overlapping batches."""
+    store = _two_batches(spark, sf_dir)
+    n = store.read("advice").groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_advice"))
+    best = F.try_element_at(F.filter(F.map_entries("scores"), lambda e: e["value"] == 1.0), F.lit(1))["key"]
+    return (store.read("analysis").select("entry_id", "predicted_emotion", "confidence", "task_type",
+                                          best.alias("best_score"))
+            .join(store.read("insight").select("entry_id", "emotion_bucket", F.col("title").alias("insight_title"),
+                                               F.col("explanation").alias("insight_explanation")), "entry_id")
+            .join(n, "entry_id"))
+
+
+@register("a7_stored_summary", ORACLES["j4_keyword_daily_summary"])
+def a7_stored_summary(spark, sf_dir):
+    """The daily summary kept by the store: second batch refreshed its touched days only."""
+    return _two_batches(spark, sf_dir).read("summary")
+
+
+@register("j4_primary_with_fallback", "WITH " + keyword_sql("documents", "doc_id") + """,
+p AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 'joy' END) AS label FROM labels GROUP BY doc_id)
+SELECT k.doc_id, coalesce(p.label, k.predicted_emotion) AS predicted_emotion,
+       CASE WHEN p.label IS NULL THEN k.confidence ELSE 0.9 END AS confidence, p.label IS NOT NULL AS from_primary,
+       CASE WHEN p.label IS NULL THEN 'multi_label' ELSE 'single_label' END AS task_type
+FROM kw k LEFT JOIN p ON p.doc_id = k.doc_id""")
+def j4_primary_with_fallback(spark, sf_dir):
+    """A primary scorer that answers for documents labelled good and fails (NULL) or is silent for the others."""
+    primary = (T.read_table(spark, sf_dir, "labels").groupBy("doc_id")
+               .agg(F.max(F.when(F.col("quality") == 1, F.lit("joy"))).alias("predicted_emotion"))
+               .withColumns({"confidence": F.lit(0.9), "model_name": F.lit("primary"),
+                             "task_type": F.lit("single_label")}))
+    got = SC.with_fallback(primary, _docs(spark, sf_dir), "doc_id")
+    return got.select("doc_id", "predicted_emotion", "confidence", (F.col("model_name") == "primary").alias("from_primary"),
+                      "task_type")
+
+
+@register("h26_softmax", f"""WITH e AS (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS u FROM e),
+s AS (SELECT *, u / sum(u) OVER (PARTITION BY vec_id) AS p,
+             row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM m)
+SELECT vec_id, {_label_sql('i')} AS top_label, round(p, 6) AS top_score FROM s WHERE k = 1""")
+def h26_softmax(spark, sf_dir):
+    e = T.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    best = CH.argmax_label(CH.softmax(F.col("embedding")))
+    return e.select("vec_id", best.label.alias("top_label"), F.round(best.score, 6).alias("top_score"))
+
+
+@register("b2_history_of_a_day", Q.with_views() + f"""
+SELECT user_id, entry_id, occured_at, predicted_emotion, emotion_bucket, CAST(position AS INTEGER) AS position FROM (
+  SELECT e.user_id, e.entry_id, e.entry_time AS occured_at, a.predicted_emotion,
+         CASE WHEN a.entry_id IS NOT NULL THEN coalesce({Q.bucket('a.predicted_emotion')}, 'neutral') END AS emotion_bucket,
+         row_number() OVER (PARTITION BY e.user_id ORDER BY e.entry_time DESC, e.entry_id DESC) AS position
+  FROM j_entries e LEFT JOIN j_analysis a ON a.entry_id = e.entry_id
+  WHERE CAST(e.entry_time AS DATE) = DATE '2024-01-10')
+WHERE position <= 50""")
+def b2_history_of_a_day(spark, sf_dir):
+    """B2: one day's entries of every user as a timestamp range, newest first."""
+    ana = T.analysis(spark, sf_dir)
+    ent = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time")
+    page = H.newest_entries(ent, ana, H.insight_rows(ana), limit=50, day="2024-01-10")
+    return page.select("user_id", "entry_id", "occured_at", "predicted_emotion", "emotion_bucket",
+                       F.col("position").cast("int").alias("position"))
+
+
+@register("b8_nonzero_impact", ORACLES["d3_entity_impact"] + " AND (positive > 0 OR negative > 0 OR neutral > 0)")
+def b8_nonzero_impact(spark, sf_dir):
+    return H.nonzero_impact(QUERIES["d3_entity_impact"](spark, sf_dir))
+
+
+@register("h22_merged_pieces", """WITH w AS (
+  SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) - 1 AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '\\p{Lu}\\p{Ll}{3,}') AS x FROM documents))
+SELECT doc_id, CAST(2 * i AS INTEGER) AS m_ord, word, 'PER' AS label, CAST(10 * i AS INTEGER) AS start,
+       CAST(10 * i + length(word) AS INTEGER) AS "end" FROM w""")
+def h22_merged_pieces(spark, sf_dir):
+    """Capitalised words cut into two pieces, as a tagger would return them, merged again."""
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(
+        F.col("text"), F.lit(r"\p{Lu}\p{Ll}{3,}"), 0)).alias("i", "w"))
+    at = F.col("i") * 10
+    cut = F.array(F.struct((F.col("i") * 2).alias("m_ord"), F.left("w", F.lit(2)).alias("word"), at.alias("start"),
+                           (at + 2).alias("end")),
+                  F.struct((F.col("i") * 2 + 1).alias("m_ord"), F.concat(F.lit("##"), F.substring("w", 3, 1 << 30)).alias("word"),
+                           (at + 2).alias("start"), (at + F.length("w")).alias("end")))
+    pieces = words.select("doc_id", F.lit(0).alias("sentence_idx"), F.inline(cut)).withColumn("label", F.lit("PER"))
+    return EN.merge_word_pieces(pieces, "doc_id").select("doc_id", "m_ord", "word", "label", "start", "end")
+
+
+@register("a2_training_files", """
+SELECT md5(coalesce(d.text, '')) AS text, CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic,
+       CASE WHEN (('0x' || substr(md5(CAST(l.doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100) < 20
+            THEN 'validation' ELSE 'train' END AS split
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
+def a2_training_files(spark, sf_dir):
+    """A2-A5: the labels written as a folder of train.tsv and dev.tsv, found and read with a given schema."""
+    from ..session import checkpoint_dir
+    from ..sources import io as IO
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/training-{uuid.uuid4().hex[:12]}"
+    rows = T.read_table(spark, sf_dir, "labels").join(_docs(spark, sf_dir), "doc_id").select(
+        F.md5(F.coalesce("text", F.lit(""))).alias("text"), "quality", "toxic", MT.holdout_flag("doc_id").alias("v"))
+    for name, side in (("train.tsv", ~F.col("v")), ("dev.tsv", F.col("v"))):
+        rows.where(side).drop("v").write.option("header", True).option("sep", "\t").csv(f"{base}/{name}")
+    got = IO.load_training_data(spark, base, "text", ["quality", "toxic"], schema="text string, quality int, toxic int")
+    return got.select("text", F.col("labels")[0].cast("double").alias("quality"),
+                      F.col("labels")[1].cast("double").alias("toxic"), "split")
+
+
+@register("a1_analysis_across_versions", Q.with_views() + """
+SELECT entry_id, predicted_emotion, confidence, CASE WHEN entry_id % 2 = 0 THEN 'multi_label' END AS task_type
+FROM j_analysis""")
+def a1_analysis_across_versions(spark, sf_dir):
+    """A1 + A10: analysis files from before and after ``task_type`` was added, read with the table's schema."""
+    from ..session import checkpoint_dir
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/analysis-{uuid.uuid4().hex[:12]}"
+    ana = T.analysis(spark, sf_dir).select("entry_id", "predicted_emotion", "confidence")
+    ana.where("entry_id % 2 <> 0").write.parquet(f"{base}/part=old")
+    ana.where("entry_id % 2 = 0").withColumn("task_type", F.lit("multi_label")).write.parquet(f"{base}/part=new")
+    return T.read_journal_table(spark, [f"{base}/part=old", f"{base}/part=new"], "analysis").select(
+        "entry_id", "predicted_emotion", "confidence", "task_type")

@@ -11,11 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import entities as EN
 from ..operators import history as H
+from ..operators import keyword as K
+from ..operators import maintenance as MN
 from ..operators import scoring as SC
 from ..operators import stats as ST
 from ..operators import summary as S
+from ..sources import io as IO
 
 
 @dataclass
@@ -24,6 +28,7 @@ class Enriched:
     insight: DataFrame
     advice: DataFrame
     summary: DataFrame
+    rejected: DataFrame         # analysis rows whose label is not one of the 28
 
 
 def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, gazetteer: DataFrame,
@@ -34,21 +39,24 @@ def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, gazetteer:
 
     ``entries`` (entry_id, user_id, entry_time, ``text_key``[, incognito]) reference
     ``texts`` (``text_key``, text); each distinct text is analysed once.
-    ``gazetteer`` (word, label) lists the names to look for.
+    ``gazetteer`` (word, label) lists the names to look for. Rows with a label
+    outside the vocabulary go to ``rejected``; their entries count as unanalysed.
     """
+    fields = ["model_name", "predicted_emotion", "confidence", "scores", "task_type"]
     if primary is not None:
         scored = SC.with_fallback(primary, texts, text_key)
     else:
-        from ..operators import keyword as K
-        scored = K.keyword_score(texts, text_key).select(text_key, "predicted_emotion", "confidence", "model_name")
-    analysis = entries.select("entry_id", text_key).join(scored, text_key, "inner").drop(text_key)
+        scored = K.keyword_score(texts, text_key).withColumn("scores", K.one_hot_scores(F.col("predicted_emotion")))
+    found = entries.select("entry_id", text_key).join(scored.select(text_key, *fields), text_key, "inner").drop(text_key)
+    unknown = F.col("predicted_emotion").isNotNull() & X.bucket("predicted_emotion").isNull()
+    analysis, rejected = found.where(~unknown), found.where(unknown)
     insight = H.insight_rows(analysis)
     votes = EN.entity_votes(EN.entity_mentions(texts, text_key, gazetteer), text_key)
     advice = H.with_defaults(H.advice_rows(entries, analysis, EN.entity_advice(votes, text_key, spark),
                                            text_key, incognito_col))
     ent_text = entries.join(texts.select(text_key, "text"), text_key, "inner")
     summary = S.daily_summary(ent_text, analysis)
-    return Enriched(analysis, insight, advice, summary)
+    return Enriched(analysis, insight, advice, summary, rejected)
 
 
 def user_stats(entries: DataFrame, analysis: DataFrame, advice: DataFrame, summary: DataFrame) -> dict:
@@ -73,22 +81,66 @@ def trend_view(summary: DataFrame, entries: DataFrame, analysis: DataFrame, as_o
     elif pattern == "season":
         out["chart"] = ST.seasons(fl, as_of, range_name)
     else:
-        from ..functions import exprs as X
         rows = fl.where(X.day_range("timestamp", as_of, range_name)) if range_name != "all" else fl
         out["chart"] = rows.select("user_id", "timestamp", "score",
                                    F.date_format("timestamp", "MMM d, hh:mm a").alias("time"))
     return out
 
 
-def write_journal_tables(res: Enriched, base: str) -> None:
-    """Store the enrichment output as the journal tables (the write path).
+class JournalStore:
+    """The journal tables as numbered snapshots: ``base/<table>/v=<n>``, committed by a marker.
 
-    analysis / insight / advice are keyed by entry_id; the daily summary is
-    partitioned by month so calendar and range reads prune whole folders.
-    Each table is one complete version under ``base``.
+    A batch of entries is merged by key into the next snapshot: rows of
+    processed entries are replaced (A6), all others kept, and the daily summary
+    is recomputed for the touched (user, day) keys only (A7). A batch that
+    fails before its marker leaves the last snapshot as it was; replaying it
+    writes the same numbers again.
     """
-    res.analysis.write.mode("overwrite").parquet(f"{base}/analysis")
-    res.insight.write.mode("overwrite").parquet(f"{base}/insight")
-    res.advice.write.mode("overwrite").parquet(f"{base}/advice")
-    (res.summary.withColumn("month", F.date_format("summary_date", "yyyy-MM"))
-     .write.mode("overwrite").partitionBy("month").parquet(f"{base}/daily_summary"))
+
+    TABLES = ("entries", "analysis", "insight", "advice", "summary")
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def version(self) -> int:
+        """Number of the last committed snapshot, 0 if there is none."""
+        n = 0
+        while IO.path_exists(self.spark, f"{self.base}/_committed/v={n + 1}"):
+            n += 1
+        return n
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/{name}/v={version or self.version()}")
+
+    def _write(self, df: DataFrame, name: str, version: int) -> DataFrame:
+        path = f"{self.base}/{name}/v={version}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def apply(self, entries: DataFrame, texts: DataFrame, gazetteer: DataFrame, text_key: str = "doc_id",
+              primary: DataFrame | None = None, incognito_col: str | None = None) -> int:
+        """Enrich ``entries`` (new ones, or stored ones again) and merge them; returns the new snapshot's number."""
+        old = self.version()
+        new = old + 1
+        res = enrich(self.spark, entries, texts, gazetteer, text_key, primary, incognito_col)
+        kept = entries.select("entry_id", "user_id", "entry_time", text_key)
+        done = kept.select("entry_id")
+        merged = {}
+        for name, rows, keys in (("entries", kept, done), ("analysis", res.analysis, done),
+                                 ("insight", res.insight, done), ("advice", res.advice, done)):
+            if old:
+                rows = H.replace_by_key(self.read(name, old), rows, keys)
+            merged[name] = self._write(rows, name, new)
+        touched = MN.touched_days(entries)
+        if old:     # an entry that is enriched again may have stood on another day
+            touched = touched.unionByName(MN.touched_days(
+                self.read("entries", old).join(done.distinct(), "entry_id", "left_semi"))).distinct()
+        previews = texts.select(text_key, X.preview("text").alias("preview"))
+        day = F.to_date("entry_time").alias("summary_date")
+        there = (merged["entries"].withColumn("summary_date", day)
+                 .join(touched, ["user_id", "summary_date"], "left_semi").drop("summary_date"))
+        self._write(MN.refresh_summary(self.read("summary", old) if old else None,
+                                       there.join(previews, text_key), merged["analysis"], touched), "summary", new)
+        self.spark.createDataFrame([(new,)], "version int").write.mode("overwrite").parquet(
+            f"{self.base}/_committed/v={new}")
+        return new

@@ -76,11 +76,12 @@ def count_missing_text(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def load_training_data(spark: SparkSession, path: str, text_col: str, label_cols: list[str],
-                       seed: int = 42, test_pct: int = 20) -> DataFrame:
+                       seed: int = 42, test_pct: int = 20, schema: T.StructType | str | None = None) -> DataFrame:
     """A2-A5: a labelled table tagged with ``split`` ('train' / 'validation').
 
     A directory must hold a train and a validation file (first existing
-    name of each list); a single file is split by a stable hash (A5).
+    name of each list); a single file is split by a stable hash (A5). Without
+    a ``schema`` the files are read twice, once to infer it.
     """
     from ..operators.metrics import holdout_flag
 
@@ -89,13 +90,13 @@ def load_training_data(spark: SparkSession, path: str, text_col: str, label_cols
         va = pick_existing(spark, path, VALIDATION_NAMES)
         if not tr or not va:
             raise ValueError(f"{path} holds no training file or no validation file")
-        a = to_training_rows(read_delimited(spark, tr), text_col, label_cols).withColumn("split", F.lit("train"))
-        b = to_training_rows(read_delimited(spark, va), text_col, label_cols).withColumn(
+        a = to_training_rows(read_delimited(spark, tr, schema), text_col, label_cols).withColumn("split", F.lit("train"))
+        b = to_training_rows(read_delimited(spark, va, schema), text_col, label_cols).withColumn(
             "split", F.lit("validation"))
         return a.unionByName(b)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"nothing to read at {path}")
-    rows = to_training_rows(read_delimited(spark, path), text_col, label_cols)
+    rows = to_training_rows(read_delimited(spark, path, schema), text_col, label_cols)
     return rows.withColumn("split", F.when(holdout_flag(F.col("text"), seed, test_pct), "validation")
                            .otherwise("train"))
 

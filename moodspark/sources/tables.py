@@ -149,6 +149,6 @@ JOURNAL_SCHEMAS = {"users": USERS, "entries": ENTRIES, "analysis": ANALYSIS,
                    "daily_summary": DAILY_SUMMARY, "advice": ADVICE, "insight": INSIGHT}
 
 
-def read_journal_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
+def read_journal_table(spark: SparkSession, path: str | list[str], name: str, fmt: str = "parquet") -> DataFrame:
     """A1: read a journal table with its fixed schema (no inference)."""
     return spark.read.schema(JOURNAL_SCHEMAS[name]).format(fmt).load(path)
