@@ -85,7 +85,7 @@ def clean_entity_name(name: Column) -> Column:
 
 def expand_bounds(sentence: Column, start: Column, end: Column) -> Column:
     """Widen [start, end) to the surrounding non-space run, strip non-alphanumerics."""
-    before = F.regexp_extract(F.left(sentence, start), rf"[^{WS}]*$", 0)
+    before = F.regexp_extract(F.left(sentence, start), rf"[^{WS}]*\z", 0)
     after = F.regexp_extract(F.substring(sentence, end + 1, 1 << 30), rf"^[^{WS}]*", 0)
     mid = F.substring(sentence, start + 1, end - start)
     out = F.regexp_replace(F.concat(before, mid, after), ALNUM_EDGES, "")

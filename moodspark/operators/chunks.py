@@ -1,4 +1,4 @@
-"""Chunking, windowing, pooling and label vectors.
+"""Chunking, windowing, pooling and label vectors.
 
 Texts become chunk rows (one per chunk or window) so a scorer runs on Spark
 partitions; chunk score vectors are pooled per text with a (text, position)
@@ -81,7 +81,7 @@ def sentence_chunks(df: DataFrame, key: str, text_col: str = "text",
         F.coalesce(F.col("_c.n_tokens"), count(F.col(text_col))).alias("n_tokens"))
 
 
-# ------------------------------------------------------------------ E6 / E7 windows
+# ------------------------------------------------------------------ E6 windows
 
 def window_starts(n_tokens: Column, content: int = fixed.MAX_POSITIONS - fixed.SPECIAL_TOKENS,
                   overlap: int = fixed.WINDOW_OVERLAP) -> Column:
@@ -99,11 +99,6 @@ def token_windows(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
                     F.array_join(win, " ").alias("window_text"))
 
 
-def truncate_tokens(tokens: Column, limit: int = fixed.MAX_POSITIONS - fixed.SPECIAL_TOKENS) -> Column:
-    """Keep the first ``limit`` tokens."""
-    return F.slice(tokens, 1, limit)
-
-
 # ------------------------------------------------------------------ vectors
 
 def sigmoid(v: Column) -> Column:

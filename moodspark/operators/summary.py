@@ -78,13 +78,6 @@ def daily_summary(entries: DataFrame, analysis: DataFrame | None, with_text: boo
     return out.drop(*[f"_last_{b}" for b in fixed.BUCKETS])
 
 
-def breakdown_map(summary: DataFrame) -> DataFrame:
-    """Attach the breakdown as a map of non-zero bucket counts (A8 encodes it)."""
-    pairs = F.array(*[F.struct(F.lit(b).alias("k"), F.col(b).alias("v")) for b in fixed.BUCKETS])
-    nz = F.filter(pairs, lambda p: p["v"] > 0)
-    return summary.withColumn("breakdown", F.map_from_entries(nz))
-
-
 def month_stats(summary: DataFrame) -> DataFrame:
     """Number of positive / neutral / negative days per (user, month)."""
     return (summary.groupBy("user_id", F.trunc("summary_date", "month").alias("month"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed as _fixed
 from ..functions import text as TX
 from ..operators import chunks as CH
 from ..operators import entities as EN
@@ -1069,3 +1070,43 @@ def a1_analysis_across_versions(spark, sf_dir):
     ana.where("entry_id % 2 = 0").withColumn("task_type", F.lit("multi_label")).write.parquet(f"{base}/part=new")
     return T.read_journal_table(spark, [f"{base}/part=old", f"{base}/part=new"], "analysis").select(
         "entry_id", "predicted_emotion", "confidence", "task_type")
+
+
+@register("h29_labels", Q.with_views(d5_sql()) + """
+SELECT user_id, summary_date, printf('%.0f%%', positivity_score * 100) AS positivity,
+       strftime(summary_date, '%b ') || CAST(day(summary_date) AS VARCHAR) AS day_label,
+       CASE dominant_emotion WHEN 'positive' THEN 1.0 WHEN 'negative' THEN 0.0 ELSE 0.5 END::DOUBLE AS dominant_score
+FROM summary_""")
+def h29_labels(spark, sf_dir):
+    """H29 chart labels and the H2 score of each daily summary."""
+    s = S.daily_summary(*_short(spark, sf_dir), with_text=False)
+    return s.select("user_id", "summary_date", X.percent("positivity_score").alias("positivity"),
+                    X.month_day_label("summary_date").alias("day_label"),
+                    X.bucket_score("dominant_emotion").alias("dominant_score"))
+
+
+@register("b10_blank_safe_scores", f"""WITH pooled AS ({_j3_pooled_sql()}),
+t AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS turn_key,
+             {Q.py_strip("coalesce(text, '')")} = '' AS blank FROM conversations)
+SELECT DISTINCT turn_key, CASE WHEN NOT blank THEN predicted_emotion END AS predicted_emotion,
+       CASE WHEN NOT blank THEN confidence END AS confidence, CASE WHEN blank THEN {Q.q(_fixed.EMPTY_TEXT_ERROR)} END AS error
+FROM t LEFT JOIN pooled USING (turn_key)""")
+def b10_blank_safe_scores(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "text")
+    return CH.blank_safe_scores(d, "turn_key").select("turn_key", "predicted_emotion", "confidence", "error")
+
+
+@register("h20_expanded_bounds", f"""WITH w AS (
+  SELECT doc_id, text, regexp_extract(text, '\\p{{Lu}}\\p{{Ll}}+') AS word FROM documents),
+s AS (SELECT *, instr(text, word) - 1 AS start FROM w WHERE word <> '')
+SELECT doc_id, word, regexp_replace(
+         regexp_extract(left(text, start), '[^{Q.WS}]*$') || word ||
+         regexp_extract(substr(text, start + length(word) + 1), '^[^{Q.WS}]*'),
+         '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g') AS expanded
+FROM s""")
+def h20_expanded_bounds(spark, sf_dir):
+    """The first capitalised run of each text, as a tagger's bounds, widened to its white-space piece."""
+    w = _docs(spark, sf_dir).withColumn("word", F.regexp_extract("text", EN.CAP_WORD, 0)).where("word <> ''")
+    start = (F.instr("text", F.col("word")) - 1).cast("int")
+    return w.select("doc_id", "word", TX.expand_bounds(F.col("text"), start, start + F.length("word")).alias("expanded"))

@@ -125,11 +125,6 @@ def decode_json_map(col: Column, value_type: str = "bigint") -> Column:
     return F.coalesce(m, F.create_map().cast(f"map<string,{value_type}>"))
 
 
-def decode_json_list(col: Column) -> Column:
-    return F.coalesce(F.from_json(col, "array<string>", {"mode": "PERMISSIVE"}),
-                      F.array().cast("array<string>"))
-
-
 # ------------------------------------------------------------------ A9 column protection
 
 def encrypt_text(col: Column, key: Column) -> Column:
@@ -160,14 +155,3 @@ def ensure_analysis_columns(df: DataFrame) -> DataFrame:
 def read_evolving(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Parquet read across files written before and after a column was added."""
     return spark.read.option("mergeSchema", True).parquet(*paths)
-
-
-# ------------------------------------------------------------------ writes
-
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a complete table version to a new directory (atomic by commit protocol)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-

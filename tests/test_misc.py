@@ -1,12 +1,9 @@
-"""Smaller operators: day filter, non-zero impact, blank texts, truncation,
+"""Smaller operators: day filter, non-zero impact, blank texts,
 bucket colours, word-piece merging, scorer fallback."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from moodspark.functions import exprs as X
-from moodspark.operators import chunks as CH
 from moodspark.operators import entities as EN
 from moodspark.operators import history as H
 from moodspark.operators import scoring as SC
@@ -26,11 +23,9 @@ def test_nonzero_impact(spark):
     assert [r.entity for r in H.nonzero_impact(df).collect()] == ["a"]
 
 
-def test_blank_text_and_truncation(spark):
+def test_blank_text(spark):
     df = spark.createDataFrame([(" \n\t",), ("hi",)], "text string")
     assert [r[0] for r in df.select(SC.blank_text_error()).collect()] == ["Text must not be empty", None]
-    t = spark.createDataFrame([(list(range(300)),)], "t array<int>")
-    assert len(t.select(CH.truncate_tokens(F.col("t"))).first()[0]) == 126
 
 
 def test_bucket_colors(spark):
