@@ -8,24 +8,27 @@ windows with one anchor form a passage. Equal windows have equal anchors, so
 all places that can match a passage are in its anchor's shard, and each
 shard's automata are needed, and held, only where its passages are streamed.
 
-1. Documents are dealt into blocks. A block sends each distinct passage once to
-   its shard, with the smallest and the largest id that has it there. Anchors
-   found in a good part of all documents are known beforehand (a bounded list);
-   their windows are sent one by one, to shards by their own words.
+1. Each task cuts its documents and sends every distinct passage of some
+   thousand documents once to its shard, with the places where it stands.
+   Anchors that a sample finds in a good part of all documents (a bounded list)
+   are routed apart: each of their windows goes to a shard by its own words.
+   The sample decides where windows go, not what is found.
 2. In a shard, the passages of an anchor are put into a suffix automaton in the
    order of their first documents, so a state's first document is the smallest
    that has its words. Each passage is then streamed through it; the matching
    statistics, cut at the window's length, give the first document of each window.
-3. Windows with an earlier document go back to the blocks, where the words they
-   cover are removed.
+3. Runs of words in windows with an earlier document go to the documents'
+   blocks, where they are removed from the texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import LOWEST
 
 LENGTH = 13
-ANCHOR = 5
+ANCHOR = 3
 DOCS_A_BLOCK = 2048
 DOCS_A_SHARD = 1000
 HOT_SHARE = 500
+SAMPLE = 16
+WORDS_HELD = 1_000_000
 WORDS_KNOWN = 400_000
 _ODD = [((2 * k + 1) * 0x9E3779B97F4A7C15 | 1) % 2 ** 64 for k in range(64)]
 
@@ -159,37 +164,59 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _ordered(block: pd.DataFrame) -> Iterator[tuple[int, list[bytes], bool]]:
-    """(id, words, whether the id is known) of a block's documents, in an order that is the same in every pass."""
-    block = block.assign(text=block["text"].fillna("")).sort_values(["key", "known", "text"], kind="stable")
-    for key, known, text in zip(block["key"].tolist(), block["known"].tolist(), block["text"]):
-        yield key, _split(text), known
+def _tag(words: list[bytes]) -> int:
+    """Tells rows with one id and different texts apart."""
+    return zlib.crc32(b" ".join(words)) & 0xFFFF
 
 
-def _pack(low: list[int], high: list[int], at: list[int], texts: list[bytes]) -> bytes:
-    head = np.array([len(low)], "<i8").tobytes() + np.array(low, "<i8").tobytes() + np.array(high, "<i8").tobytes()
-    return zstandard.compress(head + np.array(at, np.uint8).tobytes() + b"\n".join(texts), 3)
+class _Passages:
+    """The distinct passages of some documents by shard, with their places (id, first word, tag)."""
 
+    def __init__(self, cutter: Cutter):
+        self.cutter, self.shards, self.words = cutter, {}, 0
 
-def _unpack(data: bytes) -> tuple[list[int], list[int], list[int], list[bytes]]:
-    raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    low, high = np.frombuffer(raw, "<i8", n, 8).tolist(), np.frombuffer(raw, "<i8", n, 8 + 8 * n).tolist()
-    return low, high, list(raw[8 + 16 * n:8 + 17 * n]), raw[8 + 17 * n:].split(b"\n")
-
+    def add(self, key: int, words: list[bytes]) -> None:
+        self.words += len(words)
+        tag = _tag(words)
+        for start, size, at, shard in zip(*self.cutter.passages(words)):
+            there = self.shards.setdefault(shard, {})
+            text = b" ".join(words[start:start + size])
+            places = there.get(text)
+            if places is None:
+                there[text] = [at, key, start, tag]
+            else:
+                places += (key, start, tag)
 
-def _reply(ids: list[int], firsts: list[list[int]]) -> bytes:
-    flat = np.array([x for f in firsts for x in f], "<i8").tobytes()
-    return zstandard.compress(np.array([len(ids)], "<i8").tobytes() + np.array(ids, "<i4").tobytes()
-                              + np.array(list(map(len, firsts)), "<i4").tobytes() + flat, 3)
+    def packed(self) -> list[tuple[int, bytes]]:
+        """(shard, data) for each shard."""
+        out = []
+        for shard, there in self.shards.items():
+            flat = np.fromiter((x for p in there.values() for x in p[1:]), np.int64).reshape(-1, 3)
+            n = np.fromiter(((len(p) - 1) // 3 for p in there.values()), "<i4", len(there))
+            parts = [np.array([len(there), len(flat)], "<i4"), n, flat[:, 0].astype("<i8"), flat[:, 1].astype("<i4"),
+                     flat[:, 2].astype("<u2"), np.fromiter((p[0] for p in there.values()), np.uint8, len(there))]
+            out.append((shard, zstandard.compress(b"".join(x.tobytes() for x in parts) + b"\n".join(there), 5)))
+        return out
 
 
-def _replies(data: bytes) -> dict[int, np.ndarray]:
+def _unpacked(data: bytes) -> tuple:
+    """(number of places per passage, ids, first words, tags, anchor places, passages)."""
     raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    ids, sizes = np.frombuffer(raw, "<i4", n, 8), np.frombuffer(raw, "<i4", n, 8 + 4 * n)
-    flat = np.frombuffer(raw, "<i8", -1, 8 + 8 * n)
-    return dict(zip(ids.tolist(), np.split(flat, np.cumsum(sizes)[:-1])))
+    n, m = np.frombuffer(raw, "<i4", 2).tolist()
+    out, at = [], 8
+    for kind, size in (("<i4", n), ("<i8", m), ("<i4", m), ("<u2", m), ("u1", n)):
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += out[-1].nbytes
+    return *out, raw[at:].split(b"\n")
+
+
+def _runs(first: np.ndarray, key: int, start: int, length: int) -> list[tuple[int, int]]:
+    """(begin, end) of the words in windows whose first document is before ``key``."""
+    early = np.flatnonzero(first < key)
+    if not len(early):
+        return []
+    cut = np.flatnonzero(np.diff(early) > length) + 1
+    return [(start + int(p[0]), start + int(p[-1]) + length) for p in np.split(early, cut)]
 
 
 def first_documents(passages: dict[bytes, tuple[int, int, int]], length: int = LENGTH) -> dict[bytes, list[int]]:
@@ -231,84 +258,108 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n, partitions = docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, shards = max(2 * partitions, n // DOCS_A_BLOCK), max(2 * partitions, n // DOCS_A_SHARD)
     doc = F.col(id_col).cast("bigint")
-    dealt = docs.select(F.coalesce(doc, F.lit(LOWEST)).alias("key"), doc.isNotNull().alias("known"),
-                        F.col(text_col).alias("text"),
-                        F.pmod(F.xxhash64(doc, F.length(text_col)), F.lit(blocks)).cast("int").alias("block"))
-
-    def count(block: pd.DataFrame) -> pd.DataFrame:
-        cutter, found = Cutter(shards, np.zeros(0, np.uint64), length), []
-        for _, words, _ in _ordered(block):
-            if len(words) >= length:
-                runs, at, _ = cutter.anchors(words)
-                found.append(np.unique(runs[np.unique(at)]))
-        ids, times = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-        keep = times >= max(3, len(block) // HOT_SHARE)
-        return pd.DataFrame({"anchor": ids[keep].view(np.int64), "n": times[keep].astype(np.int64)})
-
-    many = (dealt.groupBy("block").applyInPandas(count, "anchor bigint, n bigint").groupBy("anchor")
-            .agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, n // HOT_SHARE)))
+    rows = docs.select(F.coalesce(doc, F.lit(LOWEST)).alias("key"), doc.isNotNull().alias("known"),
+                       F.col(text_col).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(shards, np.zeros(0, np.uint64), length)
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                words = _split(text.as_py())
+                if len(words) >= length:
+                    runs, at, _ = cutter.anchors(words)
+                    found.append(np.unique(runs[at]))
+            ids, times = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            keep = times > 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))],
+                                             ["anchor", "n"])
+
+    seen = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text")
+    many = (seen.mapInArrow(count, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= max(8, n // SAMPLE // HOT_SHARE)))
     hot = spark.sparkContext.broadcast(np.sort(np.array([r["anchor"] for r in many.collect()], np.int64).view(np.uint64)))
 
-    def passages(block: pd.DataFrame) -> Iterator[tuple[int, list[bytes], bool, list, dict]]:
-        """Per document: id, words, whether the id is known, its passages as (start, words, shard, number there), and
-        all distinct passages of the block so far by shard."""
-        cutter, seen = Cutter(shards, hot.value, length), {}
-        for key, words, known in _ordered(block):
-            mine = []
-            for start, size, at, shard in zip(*cutter.passages(words)):
-                there = seen.setdefault(shard, ({}, [], [], []))
-                text = b" ".join(words[start:start + size])
-                k = there[0].setdefault(text, len(there[1]))
-                if k == len(there[1]):
-                    there[1].append(key)
-                    there[2].append(key)
-                    there[3].append(at)
-                else:
-                    there[2][k] = key       # ids ascend
-                mine.append((start, size, shard, k))
-            yield key, words, known, mine, seen
-
-    def send(block: pd.DataFrame) -> pd.DataFrame:
-        seen = {}
-        for *_, seen in passages(block):
-            pass
-        return pd.DataFrame({"block": int(block["block"].iloc[0]), "shard": list(seen),
-                             "data": [_pack(low, high, at, list(texts)) for texts, low, high, at in seen.values()]},
-                            columns=["block", "shard", "data"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(shards, hot.value, length)
+        held = _Passages(cutter)
+
+        def out() -> pa.RecordBatch:
+            packed = held.packed()
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in packed], pa.int32()),
+                                               pa.array([d for _, d in packed], pa.binary())], ["shard", "data"])
+
+        for batch in batches:
+            for key, text in zip(batch["key"], batch["text"]):
+                held.add(key.as_py(), _split(text.as_py()))
+                if held.words >= WORDS_HELD:
+                    yield out()
+                    held = _Passages(cutter)
+        yield out()
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
-        all_, rows = {}, []
+        passages: dict[bytes, tuple[int, int, int]] = {}
+        for data in shard["data"]:
+            counts, ids, _, _, at, texts = _unpacked(data)
+            begin = np.cumsum(counts) - counts
+            for t, a, b, k in zip(texts, np.minimum.reduceat(ids, begin).tolist(),
+                                  np.maximum.reduceat(ids, begin).tolist(), at.tolist()):
+                x = passages.get(t)
+                passages[t] = (a, b, k) if x is None else (min(a, x[0]), max(b, x[1]), k)
+        firsts = {t: f for t, f in first_documents(passages, length).items() if min(f) < passages[t][1]}
+        del passages
+        found: list[tuple[int, int, int, int]] = []
         for data in shard["data"]:
-            low, high, at, texts = _unpack(data)
-            for a, b, k, t in zip(low, high, at, texts):
-                x = all_.get(t)
-                all_[t] = (a, b, k) if x is None else (min(a, x[0]), max(b, x[1]), k)
-        firsts = first_documents(all_, length)
-        del all_
-        for block, data in zip(shard["block"], shard["data"]):
-            _, high, _, texts = _unpack(data)
-            ids = [i for i, t in enumerate(texts) if t in firsts and min(firsts[t]) < high[i]]
-            if ids:
-                rows.append((block, shard["shard"].iloc[0], _reply(ids, [firsts[texts[i]] for i in ids])))
-        return pd.DataFrame(rows, columns=["block", "shard", "reply"])
+            counts, ids, starts, tags, _, texts = _unpacked(data)
+            end = np.cumsum(counts)
+            for t, a, b in zip(texts, (end - counts).tolist(), end.tolist()):
+                f = firsts.get(t)
+                if f is None:
+                    continue
+                low, high = min(f), max(f)
+                for key, start, tag in zip(ids[a:b].tolist(), starts[a:b].tolist(), tags[a:b].tolist()):
+                    if key > high:
+                        found.append((key, tag, start, start + len(f) - 1 + length))
+                    elif key > low:
+                        found += [(key, tag, x, y) for x, y in _runs(np.array(f), key, start, length)]
+        spans = np.array(found, np.int64).reshape(-1, 4)
+        block = spans[:, 0] % blocks
+        order = np.lexsort((spans[:, 2], spans[:, 0], block))
+        spans, block = spans[order], block[order]
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        return pd.DataFrame({"block": block[cut].astype(np.int32), "spans": [
+            zstandard.compress(p.tobytes(order="F"), 5) for p in np.split(spans, cut[1:])] if len(spans) else []})
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts go to their blocks compressed: they are the larger part of what is shuffled."""
+        for batch in batches:
+            packed = [zstandard.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 3) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["known"], batch["block"], pa.array(packed, pa.binary())],
+                                             ["key", "known", "block", "text"])
 
     def finish(block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        answers = {s: _replies(r) for s, r in zip(replies["shard"], replies["reply"])}
-        rows = []
-        for key, words, known, mine, _ in (passages(block) if answers else ((*x, [], None) for x in _ordered(block))):
-            gone = np.zeros(len(words), bool)
-            for start, _, shard, k in mine:
-                first = answers[shard].get(k) if shard in answers else None
-                if first is not None:
-                    for j in np.flatnonzero(first < key).tolist():
-                        gone[start + j:start + j + length] = True
-            kept = words if not gone.any() else [words[i] for i in np.flatnonzero(~gone).tolist()]
-            rows.append((key, known, len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(rows, columns=["key", "known", "n_words", "n_removed", "kept_text"])
-
-    sent = dealt.groupBy("block").applyInPandas(send, "block int, shard int, data binary")
-    replies = sent.groupBy("shard").applyInPandas(match, "block int, shard int, reply binary")
-    done = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
+        parts = [np.frombuffer(zstandard.decompress(d), np.int64).reshape(4, -1).T for d in replies["spans"]]
+        spans = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        out = []
+        for key, known, text in zip(block["key"].tolist(), block["known"].tolist(), block["text"]):
+            words = zstandard.decompress(text).split()
+            a, b = np.searchsorted(spans[:, 0], [key, key + 1]).tolist()
+            gone, kept = 0, words
+            if a < b:
+                mask, tag = np.zeros(len(words), bool), _tag(words)
+                for _, own, begin, end in spans[a:b].tolist():
+                    if own == tag:
+                        mask[begin:end] = True
+                gone = int(mask.sum())
+                kept = [words[i] for i in np.flatnonzero(~mask).tolist()]
+            out.append((key, known, len(words), gone, b" ".join(kept).decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(out, columns=["key", "known", "n_words", "n_removed", "kept_text"])
+
+    spans = rows.select("key", "text").mapInArrow(send, "shard int, data binary").groupBy("shard").applyInPandas(
+        match, "block int, spans binary")
+    dealt = rows.select("key", "known", F.pmod(F.col("key"), F.lit(blocks)).cast("int").alias("block"), "text").mapInArrow(
+        squeeze, "key bigint, known boolean, block int, text binary")
+    done = dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(
         finish, "key bigint, known boolean, n_words bigint, n_removed bigint, kept_text string")
     return done.select(F.when(F.col("known"), F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_text")
-

@@ -86,14 +86,15 @@ def frame(spark, rows):
 @pytest.mark.parametrize("hot_share", [500, 4])
 def test_operator_against_brute_force(spark, monkeypatch, hot_share):
     rows = corpus(1)
-    monkeypatch.setattr(sd, "DOCS_A_BLOCK", 64)
+    monkeypatch.setattr(sd, "WORDS_HELD", 3000)
+    monkeypatch.setattr(sd, "SAMPLE", 500 // hot_share // 50 or 1)
     monkeypatch.setattr(sd, "HOT_SHARE", hot_share)
     assert result(sd.remove_repeats(frame(spark, rows))) == brute(rows)
 
 
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(40))
-    rows = [(5, long), (5, long), (None, long), (None, None), (1, ""), (2, None), (7, "a " * 100_000), (8, "a " * 20),
+    rows = [(5, long), (5, long), (5, "zz " + long + " zz"), (4, "zz " + long), (None, long), (None, None), (1, ""), (2, None), (7, "a " * 100_000), (8, "a " * 20),
             (9, long + "\x0b" + long), (10, long.upper())]
     assert result(sd.remove_repeats(frame(spark, rows))) == brute(rows)
     assert sd.remove_repeats(frame(spark, [])).count() == 0
