@@ -104,9 +104,11 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket: int = BU
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
 
     def keys(name: str, masks: list[tuple[int, int, int]]) -> DataFrame:
-        rows = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).alias("m"), F.lit(x).alias("x")) for s, m, x in masks])
+        """A row for each mask; of two values that differ by it, only the one whose lowest bit there is unset looks up."""
+        rows = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).alias("m"), F.lit(x).alias("x"),
+                                  F.lit(_signed((x & -x) % 2 ** 64)).alias("low")) for s, m, x in masks])
         return (fps.select(F.col("fp").alias(name), F.explode(rows).alias("p"))
-                .select(name, F.col("p.s").alias("s"),
+                .where(F.col(name).bitwiseAND(F.col("p.low")) == 0).select(name, F.col("p.s").alias("s"),
                         F.col(name).bitwiseXOR(F.col("p.x")).bitwiseAND(F.col("p.m")).alias("key")))
 
     table = keys("b", [(s, m, 0) for s, m, _ in parts])
