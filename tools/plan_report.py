@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from moodspark.plans import catalog  # noqa: E402
 from moodspark.session import build_session  # noqa: E402
 
 SKIP = {"s1_incremental_summary", "j13_train_evaluate"}   # streaming job / ML fit: not one plan
@@ -44,7 +44,7 @@ def main():
              "| query | shuffles | broadcasts | SMJ | BHJ | nested-loop | python | pushed filters |",
              "|---|---|---|---|---|---|---|---|"]
     reads = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         if name in SKIP:
             continue
         df = fn(spark, sf)
