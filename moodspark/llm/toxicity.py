@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .features import Vocabulary, chosen, gather, ragged, term_features
 from .linear import fit_machine, machine_score, numbered, sigmoid
 
-SAMPLE = 16_000
+SAMPLE = 12_000
 FOLDS = 5
 
 
