@@ -49,19 +49,14 @@ def test_scorer_fallback(spark):
     assert got == {1: ("love", "keyword-baseline"), 2: ("fear", "model")}
 
 
-def test_enrich_and_write_tables(spark):
-    import tempfile
-
+def test_store_of_all_entries(spark, tmp_path):
     from moodspark.plans import journal as JN
     from moodspark.sources import tables as T
     sf = "/root/testdata/sf0.001"
     ent = T.entries(spark, sf).select("entry_id", "user_id", "entry_time", "doc_id")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    res = JN.enrich(spark, ent, docs, EN.corpus_gazetteer(docs))
-    base = tempfile.mkdtemp(prefix="moodspark-tables-")
-    JN.write_journal_tables(res, base)
-    s = spark.read.parquet(f"{base}/daily_summary")
-    assert s.count() == res.summary.count() > 0
-    adv = spark.read.parquet(f"{base}/advice")
+    store = JN.JournalStore(spark, f"{tmp_path}/journal")
+    assert store.apply(ent, docs, EN.corpus_gazetteer(docs)) == 1
+    assert store.read("summary").count() > 0
     # every analysed entry has exactly one general advice row at ord 0
-    assert adv.where("ord = 0").count() == res.analysis.count()
+    assert store.read("advice").where("ord = 0").count() == store.read("analysis").count()
