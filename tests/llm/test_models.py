@@ -107,6 +107,43 @@ def test_projected_gradient_against_a_dense_solver(spark):
     assert np.allclose(got, want)
 
 
+@pytest.mark.parametrize("kind", ["soft", "scarce"])
+def test_rates_reach_the_least_squares_solution(spark, kind):
+    draw = np.random.default_rng(6)
+    count = 400
+    domain = draw.choice(3, count, p=[0.6, 0.25, 0.15] if kind == "soft" else [0.9, 0.01, 0.09])
+    top, cut = draw.uniform(*((0.4, 0.9) if kind == "soft" else (0.9, 1.0)), count), draw.uniform(size=count)
+    p = np.empty((count, 3))
+    for d in range(3):
+        p[domain == d] = np.insert(np.stack([(1 - top) * cut, (1 - top) * (1 - cut)], 1)[domain == d], d,
+                                   top[domain == d], axis=1)
+    n = draw.integers(20, 2000, count)
+    df = spark.createDataFrame([(int(k), *map(float, q)) for k, q in zip(n, p)],
+                               "tokens bigint, p0 double, p1 double, p2 double").cache()
+    rated = mixing.solve_rates(df).collect()
+    r, a = np.array([x.rate for x in rated]), np.array([[x.tokens * x[f"p{d}"] for d in range(3)] for x in rated])
+    size = a.sum(axis=0)
+    goal = np.array(mixing.targets(size.tolist(), mixing.WEIGHTS))
+    want = np.ones(count)                   # one rate at a time to its best value, until nothing moves
+    left = size - goal
+    for _ in range(4000):
+        before = want.copy()
+        for i in range(count):
+            to = min(1.0, max(0.0, want[i] - (a[i] / size) @ left / ((a[i] ** 2 / size).sum())))
+            left += a[i] * (to - want[i])
+            want[i] = to
+        if abs(want - before).max() < 1e-9:
+            break
+
+    def cost(x):
+        return ((a.T @ x - goal) ** 2 / size).sum() / size.sum()
+
+    assert r.min() >= 0 and r.max() <= 1 and cost(r) <= cost(want) + 1e-5
+    assert np.allclose(a.T @ r / size, a.T @ want / size, atol=0.002)
+    with pytest.raises(RuntimeError, match="after 2 steps"):
+        mixing.solve_rates(df, steps=2)
+
+
 @pytest.mark.parametrize("labelled", [ODD_LABELS, []])
 def test_odd_rows(spark, labelled):
     docs, labels = docs_of(spark, ODD), labels_of(spark, labelled)
