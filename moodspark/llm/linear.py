@@ -62,7 +62,7 @@ def _batches(rows: list[np.ndarray], size: int, epochs: int):
 
 
 class _Adagrad:
-    def __init__(self, shape: tuple, rate: float):
+    def __init__(self, shape: tuple, rate: float | np.ndarray):
         self.sum, self.rate = np.full(shape, 1e-6, np.float32), rate
 
     def step(self, values: np.ndarray, gradient: np.ndarray) -> None:
@@ -112,22 +112,30 @@ def scores(rows: list[np.ndarray], model: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 6, l2: float = 1e-5, epochs: int = 40,
-                least: int = 3, most: int = 4096, sure: float = 3.0, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
-    """Factorization machine for labels 0/1 over the ``most`` telling features: model and constant.
-
-    A feature's row holds its linear weight and its factors. Rows of the rarer
-    class count more, by the square root of the odds, for the sake of recall.
+                least: int = 3, most: int = 4096, sure: float = 3.0, rate: float = 0.1, l1: float = 3e-3,
+                factor_l2: float = 1e-2, factor_rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, float]:
+    """Factorization machine for labels 0/1 over all features found in ``least`` rows or more: model and constant.
+
+    A feature's row holds its linear weight and its factors. The ``most`` telling
+    features are held back by ``l2`` only; all others, which may count in pairs
+    alone, by ``l1`` on the weight and ``factor_l2`` on factors that move at
+    ``factor_rate``. Rows of the rarer class count more, by the square root of
+    the odds, for the sake of recall.
     """
     if not len(rows):
         return np.zeros(0, np.int32), np.zeros((1, 1 + factors), np.float32), 0.0
-    ids = telling(rows, y, least, most, sure)
+    ids, told = frequent(rows, least), telling(rows, y, least, most, sure)
     rows = _compact(rows, ids)
     table = np.zeros((len(ids) + 1, 1 + factors), np.float32)
     table[1:, 1:] = np.random.default_rng(5).normal(0, 0.02, (len(ids), factors))
+    plain = np.concatenate([[True], np.isin(ids, told)])
+    rates, held = np.full(table.shape, rate, np.float32), np.full(table.shape, l2, np.float32)
+    rates[~plain, 1:], held[~plain, 1:] = factor_rate, factor_l2
+    pull = np.where(plain, 0, rate * l1).astype(np.float32)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     constant = np.array([np.log(share / (1 - share))], np.float32)
     weight = np.where(y == 1, np.sqrt((1 - share) / share), 1).clip(1, 5)
-    ada, ada0 = _Adagrad(table.shape, rate), _Adagrad((1,), rate)
+    ada, ada0 = _Adagrad(table.shape, rates), _Adagrad((1,), rate)
     for take, starts, idx, of in _batches(rows, 256, epochs):
         own = table[idx]
         total = np.add.reduceat(own, starts, axis=0)
@@ -136,9 +144,10 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 6, l2: flo
         gradient[:, 0] = 1
         gradient[:, 1:] = total[of, 1:] - own[:, 1:]
         gradient *= error[of, None]
-        gradient = _by_feature(idx, gradient, len(table)) / len(take) + l2 * table
+        gradient = _by_feature(idx, gradient, len(table)) / len(take) + held * table
         gradient[0] = 0
         ada.step(table, gradient)
+        table[:, 0] = np.sign(table[:, 0]) * np.maximum(0, np.abs(table[:, 0]) - pull / np.sqrt(ada.sum[:, 0]))
         ada0.step(constant, np.array([error.mean()], np.float32))
     return ids, table, float(constant[0])
 

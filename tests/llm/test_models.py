@@ -41,6 +41,18 @@ def test_machine_learns_a_pair_that_no_weight_can():
     assert ((p >= 0.5) == y[2000:]).mean() > 0.95
 
 
+def test_machine_learns_a_neutral_pair_among_noise_at_its_defaults():
+    draw = np.random.default_rng(1)
+    one, two = draw.random((2, 7000)) < 0.5
+    y = (one == two).astype(int)
+    rows = [np.unique(np.concatenate([[9], [1] * int(a), [2] * int(b), 100 + draw.integers(0, 3000, 30)])).astype(np.int32)
+            for a, b in zip(one, two)]
+    ids, table, constant = linear.fit_machine(rows[:6000], y[:6000])
+    starts, idx = linear.ragged(rows[6000:])
+    p = linear.sigmoid(linear.machine_score(table[linear.numbered(idx, ids)], starts) + constant)
+    assert ((p >= 0.5) == y[6000:]).mean() > 0.95
+
+
 def test_machine_score_is_the_sum_over_pairs():
     draw = np.random.default_rng(2)
     own = draw.normal(size=(7, 4))
