@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 
 from .common import block_of, blocks_for, split_points
 
-SAMPLES = 32
+SAMPLES = 48
 DIGITS = 4
 
 

@@ -98,3 +98,10 @@ def test_words_count_and_order_does_not(spark):
     assert got[0] == got[1] and got[2] == got[3] != got[0]
     assert ws.signatures(spark.createDataFrame(rows, "id int, text string").withColumn("text", F.lit("q")),
                          ["id"], "text", 16).select("fingerprint").distinct().count() == 1
+
+
+def test_default_draws_bound_the_standard_error(spark):
+    row = queries.op4(spark, SF).first()
+    draws = len(row.fingerprint) // ws.DIGITS
+    assert 0.5 / draws ** 0.5 < 0.0725
+    assert abs(row.near_edited * draws - round(row.near_edited * draws)) < 1e-9
