@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, hard_negatives, mixing, packing, page_text, quality, sharding, simhash, substring_dedup, toxicity,
-               weighted_sampling)
+from . import (exact_dedup, hard_negatives, mixing, packing, page_text, quality, quality_rules, sharding, simhash, substring_dedup,
+               toxicity, weighted_sampling)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,42 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine_negatives(rows.withColumn("label", moved))
+
+
+BASE_FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+@query("op12_rule_cascade", r"""
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+    word AS (SELECT k, unnest(ws) AS word FROM w),
+    per_word AS (SELECT k, sum(length(word)) AS word_chars, sum((NOT regexp_matches(word, '\p{L}'))::INT) AS letterless
+                 FROM word GROUP BY k),
+    top AS (SELECT k, max(n) AS top_word FROM (SELECT k, count(*) AS n FROM word GROUP BY k, word) GROUP BY k),
+    line AS (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d),
+    lines AS (SELECT k, sum(n - 1) AS n_dup_lines FROM (
+              SELECT k, count(*) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k, line) GROUP BY k),
+    win AS (SELECT k, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS win
+            FROM (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+    twice AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, win) > 1),
+    rep AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY k),
+    f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+                 length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                 coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                 length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_upper, coalesce(letterless, 0) AS letterless,
+                 coalesce(top_word, 0) AS top_word, len(string_split(t, chr(10))) AS n_lines
+          FROM d JOIN w USING (k) LEFT JOIN per_word USING (k) LEFT JOIN top USING (k) LEFT JOIN lines USING (k)
+          LEFT JOIN rep USING (k)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_upper > 30 * word_chars OR word_chars < 2 * n_words
+                OR word_chars > 15 * n_words OR 100 * letterless > 30 * n_words
+                OR (100 * n_dup_lines > 30 * n_lines AND n_dup_lines >= 2)
+                OR (100 * top_word > 30 * n_words AND n_words >= 20)) AS kept
+    FROM b
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the rule cascade for every document."""
+    rows = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), always=BASE_FACTS)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return rows.select("doc_id", *BASE_FACTS, failed.alias("base_failed"), "kept")
