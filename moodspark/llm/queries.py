@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, hard_negatives, mixing, packing, page_text, quality, quality_rules, sharding, simhash, substring_dedup,
-               toxicity, weighted_sampling)
+from . import (conversation_repair, exact_dedup, hard_negatives, mixing, packing, page_text, quality, quality_rules, sharding,
+               simhash, substring_dedup, toxicity, weighted_sampling)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,30 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), always=BASE_FACTS)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select("doc_id", *BASE_FACTS, failed.alias("base_failed"), "kept")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations damaged by crc32 of ``conv_id:turn`` mod 20: row dropped, emptied, unpunctuated, repeated or given role user."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                   F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = (F.crc32(key.cast("binary")) % 20).alias("kind")
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind).where("kind <> 0")
+    times = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(
+            F.col("text")).alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+@query("op11_persistent_audit_dp")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit and repaired hash of every conversation after damage; those without a row left have none."""
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(damaged(rows))
+    ids = rows.select(F.col("conv_id").cast("bigint").alias("id")).distinct()
+    figures = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+               for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *figures, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
