@@ -5,10 +5,12 @@ step groups or orders by that key:
 
 1. sentences as rows, each with its raw neighbours (in-row ``arrays_zip``,
    no window) - blank pieces keep their index but produce nothing;
-2. mention finding (C11): every capitalised run of every white-space piece,
-   and every pair of runs that face each other across white space, is looked
-   up in the caller's gazetteer by an equi join (Spark picks the strategy from
-   its bytes);
+2. mention finding (C11): every capitalised run of every white-space piece, and
+   every name of 2..n words that runs from one piece to a later one, is looked up
+   in the caller's gazetteer by an equi join (Spark picks the strategy from its
+   bytes); n is the gazetteer's own longest name. From left to right the longest
+   name at a place wins. A caller's tagger can take the gazetteer's place with
+   spans (word, label, start, end) per sentence;
 3. clean-up, stop list and keep-first dedupes (D15) by ranking mention rows,
    linear in the mentions of a sentence but for the sort;
 4. carry-forward (C10): a pronoun sentence without entities takes the last
@@ -33,6 +35,7 @@ from . import keyword as K
 
 CAP_WORD = r"\p{Lu}\p{Ll}+"
 RUNS_IN_PIECE = 1_000_000       # spacing of mention numbers between pieces
+NAME_WORDS = 1_000              # within a piece: longer names first, single ones from here on
 
 # A label scorer: (DataFrame(keys..., text), keys) -> DataFrame(keys..., predicted_emotion, confidence).
 LabelScorer = Callable[[DataFrame, list], DataFrame]
@@ -61,8 +64,8 @@ def sentence_rows(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------ C11 gazetteer
 
-def corpus_gazetteer(docs: DataFrame, text_col: str = "text", min_docs: int = 3) -> DataFrame:
-    """Fixture: (word, label) of capitalised words and pairs of them found in >= ``min_docs`` texts.
+def corpus_gazetteer(docs: DataFrame, text_col: str = "text", min_docs: int = 3, max_words: int = 4) -> DataFrame:
+    """Fixture: (word, label) of capitalised words and runs of up to ``max_words`` of them found in >= ``min_docs`` texts.
 
     A stand-in for the name list that a caller of J5 or J7 brings along; the
     operators never build one. Type by ``md5(word)`` (first 32 bits) mod 3 over
@@ -72,12 +75,13 @@ def corpus_gazetteer(docs: DataFrame, text_col: str = "text", min_docs: int = 3)
     words = docs.select("doc_id", F.explode(F.array_distinct(
         F.regexp_extract_all(F.col(text_col), F.lit(CAP_WORD), 0))).alias("word"))
     run = F.split("run", " ")
-    pairs = (docs.select("doc_id", F.explode(F.array_distinct(
+    starts = F.sequence(F.lit(1), F.size(run))
+    runs = (docs.select("doc_id", F.explode(F.array_distinct(
         F.regexp_extract_all(F.col(text_col), F.lit(f"{CAP_WORD}(?: {CAP_WORD})+"), 0))).alias("run"))
-        .select("doc_id", F.explode(F.zip_with(run, F.slice(run, F.lit(2), F.size(run)),
-                                               lambda x, y: F.concat(x, F.lit(" "), y))).alias("word"))
-        .where(F.col("word").isNotNull()).distinct())
-    g = (words.union(pairs).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
+        .select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(max_words)), lambda k: F.transform(
+            F.filter(starts, lambda i: i + k - 1 <= F.size(run)), lambda i: F.array_join(F.slice(run, i, k), " "))))).alias("word"))
+        .distinct())
+    g = (words.union(runs).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
          .where(F.col("n_docs") >= min_docs))
     h = F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("long")
     types = F.array(*[F.lit(t) for t in fixed.ENTITY_TYPES])
@@ -113,72 +117,131 @@ def _keep_first(df: DataFrame, part: list, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def mention_candidates(sents: DataFrame) -> DataFrame:
-    """C11 candidates as rows: ``m_ord, piece_idx, n_runs, word, expanded`` added to each sentence row.
+def longest_name(gaz: DataFrame) -> int:
+    """Number of words of the gazetteer's longest name, 1 if it is empty: one aggregate."""
+    return gaz.agg(F.max(F.size(F.split("word", " ")))).first()[0] or 1
 
-    ``expanded`` is the white-space piece (or both pieces of a pair) without
-    non-alphanumerics at its ends. A sentence without candidates keeps one row
-    of nulls. ``m_ord`` orders by piece, the pair that starts there first.
+
+def mention_candidates(sents: DataFrame, max_words: int) -> DataFrame:
+    """C11 candidates as rows: ``m_ord, piece_idx, n_words, word, expanded`` added to each sentence row.
+
+    One word: any capitalised run of a white-space piece. More words: a run that
+    ends a piece, whole words of letters in any case, and a run that starts the
+    last piece ("Charles de Gaulle"). ``expanded`` is the piece, or all pieces,
+    without non-alphanumerics at the ends. A sentence without candidates keeps
+    one row of nulls. ``m_ord`` orders by piece, longer names first.
     """
-    s = sents.withColumn("_pieces", F.split(F.col("sentence"), f"[{TX.WS}]+"))
-    s = s.withColumn("_next", F.concat(F.slice("_pieces", F.lit(2), F.size("_pieces")), F.array(F.lit(""))))
-    faced = F.zip_with("_pieces", "_next", lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    one_word = lambda x, i: F.transform(F.regexp_extract_all(x["p"], F.lit(CAP_WORD), 0), lambda w, j: F.struct(
-        (i.cast("bigint") * RUNS_IN_PIECE + j + 1).alias("m_ord"), i.alias("piece_idx"), F.lit(1).alias("n_runs"),
-        w.alias("word"), x["p"].alias("piece")))
-    left, right = F.lit(f"({CAP_WORD})$"), F.lit(f"^({CAP_WORD})")
-    pair = lambda x, i: F.struct(
-        (i.cast("bigint") * RUNS_IN_PIECE).alias("m_ord"), i.alias("piece_idx"), F.lit(2).alias("n_runs"),
-        F.concat(F.regexp_substr(x["p"], left), F.lit(" "), F.regexp_substr(x["q"], right)).alias("word"),
-        F.concat(x["p"], F.lit(" "), x["q"]).alias("piece"))
-    s = s.withColumn("_faced", faced)
-    found = F.concat(F.flatten(F.transform("_faced", one_word)),
-                     F.filter(F.transform("_faced", pair), lambda c: c["word"].isNotNull()))
-    rows = s.select(*sents.columns, F.explode_outer(found).alias("_c"))
+    s = sents.withColumn("_p", F.split(F.col("sentence"), f"[{TX.WS}]+"))
+    s = s.withColumns({
+        "_runs": F.transform("_p", lambda x: F.regexp_extract_all(x, F.lit(CAP_WORD), 0)),
+        "_ends": F.transform("_p", lambda x: F.regexp_substr(x, F.lit(f"({CAP_WORD})$"))),
+        "_starts": F.transform("_p", lambda x: F.regexp_substr(x, F.lit(f"^({CAP_WORD})"))),
+        "_whole": F.transform("_p", lambda x: x.rlike(r"^\p{L}+$"))})
+    s = s.withColumn("_open", F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.get("_ends", i).isNotNull()))
+
+    def found(i, k, order, word, piece):
+        return F.struct((i.cast("bigint") * RUNS_IN_PIECE + order).alias("m_ord"), i.cast("int").alias("piece_idx"),
+                        k.cast("int").alias("n_words"), word.alias("word"), piece.alias("piece"))
+
+    def single(p, i):
+        return F.transform(F.get("_runs", i), lambda w, j: found(i, F.lit(1), j + NAME_WORDS, w, p))
+
+    def names(k):
+        last = F.filter("_open", lambda i: F.get("_starts", i + k - 1).isNotNull() & (
+            (k < 3) | F.forall(F.slice("_whole", i + 2, F.greatest(k - 2, F.lit(0))), lambda w: w)))
+        return F.transform(last, lambda i: found(
+            i, k, NAME_WORDS - k, F.concat_ws(" ", F.get("_ends", i), F.slice("_p", i + 2, F.greatest(k - 2, F.lit(0))),
+                                             F.get("_starts", i + k - 1)),
+            F.array_join(F.slice("_p", i + 1, k), " ")))
+
+    every = F.flatten(F.transform("_p", single))
+    if max_words > 1:
+        every = F.concat(every, F.flatten(F.transform(F.sequence(F.lit(2), F.lit(max_words)), names)))
+    rows = s.select(*sents.columns, F.explode_outer(every).alias("_c"))
     widened = F.regexp_replace(F.col("_c.piece"), TX.ALNUM_EDGES, "")
-    return rows.select(*sents.columns, "_c.m_ord", "_c.piece_idx", "_c.n_runs", "_c.word",
+    return rows.select(*sents.columns, "_c.m_ord", "_c.piece_idx", "_c.n_words", "_c.word",
                        F.when(widened != "", widened).otherwise(F.col("_c.word")).alias("expanded"))
 
 
-def sentence_mentions(texts: DataFrame, key: str, gaz: DataFrame, text_col: str = "text") -> DataFrame:
+def leftmost_longest(found) -> F.Column:
+    """Of names (structs with ``piece_idx, n_words``) in the order of place and falling length, those that no earlier one covers.
+
+    Only names of several words cover: a piece may hold several single ones.
+    """
+    kind = "array<struct<piece_idx:int,m_ord:bigint,n_words:int,word:string,label:string,expanded:string>>"
+    start = F.struct(F.lit(-1).alias("until"), F.array().cast(kind).alias("kept"))
+
+    def step(acc, x):
+        until = F.when(x["n_words"] > 1, x["piece_idx"] + x["n_words"] - 1).otherwise(acc["until"])
+        return F.when(x["piece_idx"] > acc["until"], F.struct(until.alias("until"), F.concat(
+            acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+
+    return F.aggregate(found, start, step, lambda acc: acc["kept"])
+
+
+def gazetteer_mentions(sents: DataFrame, key: str, gaz: DataFrame, max_words: int) -> DataFrame:
+    """Each sentence row with ``found``: its names in order, array<struct<piece_idx, m_ord, n_words, word, label, expanded>>."""
+    j = mention_candidates(sents, max_words).join(gaz.select("word", "label"), "word", "left")
+    name = F.when(F.col("label").isNotNull(), F.struct("piece_idx", "m_ord", "n_words", "word", "label", "expanded"))
+    rest = [c for c in sents.columns if c not in (key, "sentence_idx")]
+    per = j.groupBy(key, "sentence_idx").agg(*[F.first(c).alias(c) for c in rest], F.sort_array(F.collect_list(name)).alias("_f"))
+    return per.withColumn("found", leftmost_longest(F.col("_f"))).drop("_f")
+
+
+def tagged_mentions(sents: DataFrame, key: str, tagged: DataFrame) -> DataFrame:
+    """As :func:`gazetteer_mentions`, from a tagger's spans: (key, sentence_idx, m_ord, word, label, start, end).
+
+    Offsets count characters of the sentence from 0; ``##`` pieces are merged
+    (H22) and spans widened to white space (H20). A span without offsets stands
+    for its word. The tagger decides about overlaps.
+    """
+    spans = merge_word_pieces(tagged.select(key, "sentence_idx", "m_ord", "word", "label", "start", "end"), key)
+    rest = [c for c in sents.columns if c not in (key, "sentence_idx")]
+    j = sents.join(spans, [key, "sentence_idx"], "left")
+    wide = TX.expand_bounds(F.col("sentence"), F.col("start"), F.col("end"))
+    name = F.when(F.col("label").isNotNull(), F.struct(
+        F.lit(0).alias("piece_idx"), F.col("m_ord").cast("bigint").alias("m_ord"), F.lit(1).alias("n_words"), "word", "label",
+        F.when(wide != "", wide).otherwise(F.col("word")).alias("expanded")))
+    return j.groupBy(key, "sentence_idx").agg(*[F.first(c).alias(c) for c in rest],
+                                              F.sort_array(F.collect_list(name)).alias("found"))
+
+
+def sentence_mentions(texts: DataFrame, key: str, gaz: DataFrame | None, text_col: str = "text",
+                      max_words: int | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """One row per sentence with a valid entity or a pronoun: the sentence, its
     neighbours, ``pron`` and ``valid``, array<struct<m_ord, entity, label>> in mention order.
 
-    Single names inside the pieces of a pair that was found do not count. Raw
-    (word, label) are deduped, cleaned, filtered by type, length and stop list,
-    and deduped again, each time the first by ``m_ord``.
+    Names come from ``gaz`` (word, label) or, if given, from a tagger's spans
+    ``tagged``. Raw (word, label) are deduped, cleaned, filtered by type, length
+    and stop list, and deduped again, each time the first by ``m_ord``.
+    ``max_words`` is read from the gazetteer if it is not given.
     """
     sents = sentence_rows(texts.select(key, text_col).repartition(key), key, text_col)
     sents = sents.withColumn("pron", TX.has_pronoun(F.col("sentence")))
     sent = [key, "sentence_idx"]
-    j = mention_candidates(sents).join(gaz.select("word", "label"), "word", "left")
-    # found names, and one row for each pronoun sentence
-    first_row = F.row_number().over(Window.partitionBy(*sent).orderBy(F.col("label").isNull(), "m_ord"))
-    j = j.withColumn("_n", first_row).where(F.col("label").isNotNull() | (F.col("pron") & (F.col("_n") == 1)))
-    pair_here = F.max(F.when(F.col("label").isNotNull(), F.col("n_runs"))).over(
-        Window.partitionBy(*sent).orderBy(F.coalesce("piece_idx", F.lit(0))).rangeBetween(-1, 0))
-    named = F.col("label").isNotNull()
-    j = j.withColumn("_pair", pair_here).withColumn(
-        "label", F.when(~((F.col("n_runs") == 1) & (F.col("_pair") == 2)), F.col("label")))
+    if tagged is not None:
+        per = tagged_mentions(sents, key, tagged)
+    else:
+        per = gazetteer_mentions(sents, key, gaz, max_words or longest_name(gaz))
+    texts_of = ["sentence", "prev_sentence", "next_sentence", "pron"]
+    j = per.where((F.size("found") > 0) | F.col("pron")).select(*sent, *texts_of, F.explode_outer("found").alias("_m")).select(
+        *sent, *texts_of, "_m.m_ord", "_m.word", "_m.label", "_m.expanded")
     j = j.withColumn("_k", F.row_number().over(Window.partitionBy(*sent, F.lower("word"), "label").orderBy("m_ord")))
-    j = j.withColumn("entity", F.when(named & (F.col("_k") == 1), TX.clean_entity_name(F.col("expanded"))))
+    j = j.withColumn("entity", F.when(F.col("_k") == 1, TX.clean_entity_name(F.col("expanded"))))
     ok = (F.col("label").isin(fixed.ENTITY_TYPES) & (F.length("entity") > 1)
           & ~F.lower("entity").isin(fixed.ENTITY_STOP_WORDS))
     j = j.withColumn("entity", F.when(ok, F.col("entity")))
     j = j.withColumn("_k", F.row_number().over(Window.partitionBy(*sent, F.lower("entity"), "label").orderBy("m_ord")))
     valid = F.when(F.col("entity").isNotNull() & (F.col("_k") == 1), F.struct("m_ord", "entity", "label"))
-    per = j.groupBy(*sent).agg(
-        F.first("sentence").alias("sentence"), F.first("prev_sentence").alias("prev_sentence"),
-        F.first("next_sentence").alias("next_sentence"), F.first("pron").alias("pron"),
-        F.array_sort(F.collect_list(valid)).alias("valid"))
+    per = j.groupBy(*sent).agg(*[F.first(c).alias(c) for c in texts_of], F.array_sort(F.collect_list(valid)).alias("valid"))
     return per.where((F.size("valid") > 0) | F.col("pron"))
 
 
-def entity_mentions(texts: DataFrame, key: str, gaz: DataFrame,
-                    scorer: LabelScorer = keyword_label_scorer, text_col: str = "text") -> DataFrame:
+def entity_mentions(texts: DataFrame, key: str, gaz: DataFrame | None, scorer: LabelScorer = keyword_label_scorer,
+                    text_col: str = "text", max_words: int | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """(key, sentence_idx, t_ord, entity, type, context_sentence, predicted_emotion,
-    emotion_bucket, confidence) - one row per scored target."""
-    per = sentence_mentions(texts, key, gaz, text_col)
+    emotion_bucket, confidence) - one row per scored target. Names as in :func:`sentence_mentions`."""
+    per = sentence_mentions(texts, key, gaz, text_col, max_words, tagged)
     pers = F.filter("valid", lambda x: x["label"] == "PER")
     per = per.select("*", F.size("valid").alias("n_valid"),
                      F.try_element_at(pers, F.lit(-1)).getField("entity").alias("last_per"),

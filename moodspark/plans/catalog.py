@@ -496,7 +496,7 @@ def c11_gazetteer(spark, sf_dir):
 
 def _doc_mentions(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return EN.entity_mentions(d, "doc_id", EN.corpus_gazetteer(d))
+    return EN.entity_mentions(d, "doc_id", EN.corpus_gazetteer(d, max_words=4), max_words=4)
 
 
 def _doc_advice(spark, sf_dir):

@@ -39,6 +39,29 @@ def test_every_run_of_a_piece_and_pairs_are_looked_up(spark):
     assert _names(spark, "nobody here", gaz) == []
 
 
+def test_names_of_any_length_the_longest_from_the_left(spark):
+    gaz = [("New York", "LOC"), ("New York City", "LOC"), ("City", "LOC"), ("Maria Da Silva", "PER"), ("Da Silva Santos", "PER"),
+           ("Santos", "PER"), ("Charles de Gaulle", "PER"), ("Bank of America", "ORG"), ("York", "LOC")]
+    assert _names(spark, "New York City is big, New York too, and York.", gaz) == [
+        ("New York City", "LOC"), ("New York", "LOC"), ("York", "LOC")]
+    assert _names(spark, "Maria Da Silva Santos sang.", gaz) == [("Maria Da Silva", "PER"), ("Santos", "PER")]
+    assert _names(spark, '"Charles de Gaulle," said the Bank of America.', gaz) == [
+        ("Charles de Gaulle", "PER"), ("Bank of America", "ORG")]
+    assert _names(spark, "Charles, de Gaulle and Bank of 9 America", gaz) == []
+
+
+def test_a_callers_tagger_gives_spans(spark):
+    texts = spark.createDataFrame([(1, "We saw Anna-Lena in New York City. Johnson left."), (2, "She came.")],
+                                  "doc_id long, text string")
+    tagged = spark.createDataFrame(
+        [(1, 0, 0, "Anna", "PER", 7, 11), (1, 0, 1, "New York City", "LOC", 20, 33), (1, 1, 0, "John", "PER", 0, 4),
+         (1, 1, 1, "##son", "PER", 4, 7), (1, 0, 2, "Anna", "PER", 7, 11), (1, 0, 3, "Paris", "LOC", None, None)],
+        "doc_id long, sentence_idx int, m_ord int, word string, label string, start int, end int")
+    per = EN.sentence_mentions(texts, "doc_id", None, tagged=tagged).orderBy("doc_id", "sentence_idx").collect()
+    assert [[v["entity"] for v in r.valid] for r in per] == [["Anna-Lena", "New York City", "Paris"], ["Johnson"], []]
+    assert EN.entity_mentions(texts, "doc_id", None, tagged=tagged).count() == 4
+
+
 def test_dedupe_keeps_the_first_of_each_name_and_type(spark):
     gaz = [("Anna", "PER"), ("Bob", "PER")]
     assert _names(spark, "Bob, Anna's and Anna and Bob saw Anna.", gaz) == [("Bob", "PER"), ("Anna", "PER")]
