@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import materialize
 
-__all__ = ["materialize", "table", "split_points", "block_of", "blocks_for", "gapless_rank", "components"]
+__all__ = ["materialize", "table", "free_names", "split_points", "block_of", "blocks_for", "gapless_rank", "components"]
 
 LOWEST = -(2 ** 63)
 
@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of ``df`` in any case."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = "_" + name
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def blocks_for(spark: SparkSession, per_partition: int = 8) -> int:
     """Number of blocks: a few for each shuffle partition, so that hashing blocks to partitions stays even."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

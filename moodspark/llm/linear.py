@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .features import ragged
+from .features import Ragged, ragged
 
 
 def numbered(idx: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -102,13 +102,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def scores(rows: list[np.ndarray], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def ragged_scores(found: Ragged, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sums of the weights of each row's features."""
+    offsets, idx = found
     ids, table = model
-    if not rows:
-        return np.zeros((0, table.shape[1]), np.float32)
-    starts, idx = ragged(rows)
-    return np.add.reduceat(table[numbered(idx, ids)], starts, axis=0)
+    return np.add.reduceat(table[numbered(idx, ids)], offsets[:-1], axis=0) if len(idx) else np.zeros((0, table.shape[1]), np.float32)
+
+
+def scores(rows: list[np.ndarray], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of the weights of each row's features."""
+    offsets, idx = ragged(rows)
+    return ragged_scores((np.append(offsets, len(idx)), idx), model)
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 6, l2: float = 1e-5, epochs: int = 40,

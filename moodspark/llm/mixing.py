@@ -9,9 +9,14 @@ targets, subject to r >= 0, by accelerated projected gradient steps from r = 1.
 The gradient at a document depends on the document only through p, and on the
 rest of the corpus only through the few domain residuals. So a step is one
 distributed sum of a few numbers. Its length is 1 / L, L the largest eigenvalue
-of the domains' scaled Gram matrix, with which a step cannot overshoot. Steps go
-on until the projected gradient is small; rates are columns beside the
-posteriors, written every few steps.
+of the domains' scaled Gram matrix, with which a step cannot overshoot.
+
+Documents with like posteriors move alike. The first steps are therefore worked
+out on cells of posteriors, a bounded table of exact sums over all documents,
+and every document then takes these same steps with its own p, in one pass. From
+there steps are distributed sums over the documents themselves, until their
+projected gradient is small; rates are columns beside the posteriors, written
+every few steps.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
-from .features import Vocabulary, chosen, gather, style_features
-from .linear import fit_softmax, scores, softmax
+from .common import free_names, materialize
+from .features import TextFeatures, chosen, gather, slices, style_features
+from .linear import fit_softmax, ragged_scores, softmax
 
 DOMAINS = ["clean", "poor", "toxic"]
 WEIGHTS = {"clean": 0.90, "poor": 0.05, "toxic": 0.05}
@@ -34,11 +40,11 @@ SAMPLE = 12_000
 STEPS = 2_000
 CLOSE = 5e-5
 EVERY = 6
+CELLS = 32
 
 
-def _style():
-    words = Vocabulary()
-    return lambda text: [style_features(text, words)]
+def _style(part: pa.RecordBatch, f: TextFeatures) -> list:
+    return [style_features(f)]
 
 
 def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -49,20 +55,16 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     is 0, else clean. Null texts count as empty. Without usable labels all
     domains are equally likely.
     """
-    (rows,), y = gather(docs, chosen(labels, ["quality", "toxic"], sample), ["quality", "toxic"], _style, ["text"])
+    (rows,), y, _ = gather(docs, chosen(labels, ["quality", "toxic"], sample), ["quality", "toxic"], _style, ["text"])
     domain = np.where(y[:, 1] == 1, 2, np.where(y[:, 0] == 0, 1, 0)) if len(y) else np.zeros(0, np.int64)
     model = docs.sparkSession.sparkContext.broadcast(fit_softmax(rows, domain, len(DOMAINS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, words = model.value, Vocabulary()
         for batch in batches:
-            p, n, text = np.zeros((len(batch), len(DOMAINS))), np.zeros(len(batch), np.int64), batch["text"]
-            for k in range(0, len(batch), 256):
-                part = [t.as_py() or "" for t in text[k:k + 256]]
-                p[k:k + 256] = softmax(scores([style_features(t, words) for t in part], fitted))
-                n[k:k + 256] = [len(t.split()) for t in part]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(list(p), pa.list_(pa.float64()))],
-                                             ["doc_id", "tokens", "p"])
+            for part, f in slices(batch):
+                p = softmax(ragged_scores(style_features(f), model.value).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(f.words.counts()),
+                                                  pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "tokens", "p"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, tokens bigint, p array<double>")
@@ -86,14 +88,81 @@ def targets(now: list[float], weights: dict[str, float], main: str = MAIN, most:
     return [min(weights[d] * total, most * n) for d, n in zip(DOMAINS, now)]
 
 
+class _Steps:
+    """Accelerated projected gradient: from the sums of a step, the next one."""
+
+    def __init__(self, size: np.ndarray, gram: np.ndarray, goal: np.ndarray):
+        self.goal, self.part = goal, np.divide(1.0, size, out=np.zeros(len(size)), where=size > 0)
+        scaled = gram * np.sqrt(np.outer(self.part, self.part))
+        self.longest = float(np.linalg.eigvalsh(scaled).max()) or 1.0
+        self.total = self.ahead = size      # expected words at the rates r, and at the points y ahead of them
+        self.speed = 1.0
+
+    def move(self) -> np.ndarray:
+        return (self.ahead - self.goal) * self.part / self.longest
+
+    def left(self, back: np.ndarray) -> float:
+        """The projected gradient: for each domain the mean way back of its words, the largest of them."""
+        return float((back * self.part * self.longest).max())
+
+    def go(self, total: np.ndarray, uphill: float) -> float:
+        """Take the new totals; the momentum for the next step, none if it points uphill."""
+        if uphill > 0:
+            self.speed, momentum = 1.0, 0.0
+        else:
+            faster = (1 + np.sqrt(1 + 4 * self.speed * self.speed)) / 2
+            self.speed, momentum = faster, (self.speed - 1) / faster
+        self.ahead, self.total = total + momentum * (total - self.total), total
+        return float(momentum)
+
+
+def _moved(p: np.ndarray, r: np.ndarray, y: np.ndarray, move: np.ndarray, most: float) -> np.ndarray:
+    return np.clip(y - p @ move, 0.0, most)
+
+
+def _cell_steps(p: np.ndarray, n: np.ndarray, steps: _Steps, most: float, limit: int, close: float) -> list[tuple[list, float]]:
+    """Steps ``(move, momentum)`` for cells of ``n`` words with mean posteriors ``p`` until they are close, at most ``limit``."""
+    out: list[tuple[list, float]] = []
+    r = y = np.ones(len(n))
+    while len(out) < limit:
+        move = steps.move()
+        new = _moved(p, r, y, move, most)
+        back = y - new
+        if steps.left(np.abs(back) * n @ p) <= close:
+            break
+        momentum = steps.go(new * n @ p, float((n * back * (new - r)).sum()))
+        out.append((move.tolist(), momentum))
+        r, y = new, new + momentum * (new - r)
+    return out
+
+
+def _follow(rows: DataFrame, taken: list[tuple[list, float]], most: float) -> DataFrame:
+    """``rows`` with ``_r, _y`` after the steps taken, each row with its own posteriors."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.stack([batch[f"p{d}"].to_numpy() for d in range(len(DOMAINS))], axis=1)
+            r = y = np.ones(len(batch))
+            for move, momentum in taken:
+                new = _moved(p, r, y, np.array(move), most)
+                r, y = new, new + momentum * (new - r)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(y)], [*columns, "_r", "_y"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_r", T.DoubleType()),
+                                              T.StructField("_y", T.DoubleType())]))
+
+
 def solve_rates(rows: DataFrame, weights: dict[str, float] | None = None, steps: int = STEPS, close: float = CLOSE,
-                most: float = 1.0) -> DataFrame:
+                most: float = 1.0, cells: int = CELLS) -> DataFrame:
     """``rows`` (a stored table with ``tokens, p0, p1, ..``) and the ``rate`` of each.
 
     Steps end when the projected gradient, as its mean size over the words of
-    each domain, is within ``close`` for all domains. It is an error if ``steps``
-    do not reach that. The sums of a step also tell whether the momentum points
-    uphill; it is then dropped.
+    each domain, is within ``close`` for all domains, in a distributed sum over
+    all rows. It is an error if ``steps`` steps, those on cells included, do not
+    reach that. ``cells`` bounds how finely posteriors are cut for the first
+    steps (cells per domain); it has no influence on when the steps end. The sums
+    of a step also tell whether the momentum points uphill; it is then dropped.
     """
     k = range(len(DOMAINS))
 
@@ -102,35 +171,33 @@ def solve_rates(rows: DataFrame, weights: dict[str, float] | None = None, steps:
         return np.array([x or 0.0 for x in got])
 
     p = [F.col(f"p{d}") for d in k]
-    found = sums(rows, [*p, *[p[d] * p[e] for d in k for e in k]])
-    size, gram = found[:len(k)], found[len(k):].reshape(len(k), len(k))
+    cell = [F.floor(x * cells).alias(f"cell{d}") for d, x in enumerate(p[1:])]
+    found = rows.groupBy(*cell).agg(*[F.sum(x * F.col("tokens")).alias(f"c{i}") for i, x in enumerate(
+        [F.lit(1.0), *p, *[p[d] * p[e] for d in k for e in k]])]).orderBy(*[f"cell{d}" for d in k[:-1]]).collect()
+    table = np.array([r[len(k) - 1:] for r in found], float).reshape(len(found), 1 + len(k) + len(k) ** 2)
+    table = table[table[:, 0] > 0]
+    size, gram = table[:, 1:len(k) + 1].sum(axis=0), table[:, len(k) + 1:].sum(axis=0).reshape(len(k), len(k))
     goal = np.array(targets(size.tolist(), weights or WEIGHTS, most=most))
-    part = np.divide(1.0, size, out=np.zeros(len(k)), where=size > 0)
-    longest = float(np.linalg.eigvalsh(gram * np.sqrt(np.outer(part, part))).max()) or 1.0
-    state = rows.withColumns({"_r": F.lit(1.0), "_y": F.lit(1.0)})
-    total = ahead = size            # expected words at the rates _r, and at the points _y ahead of them
-    speed = 1.0
-    for done in range(1, steps + 1):
-        move = ((ahead - goal) * part / longest).tolist()
-        moved = state.withColumn("_new", _rate([move], most, F.col("_y")))
+    now = _Steps(size, gram, goal)
+    taken = _cell_steps(table[:, 1:len(k) + 1] / table[:, :1], table[:, 0], now, most, steps, close / 20)
+    state = materialize(_follow(rows, taken, most), "rates")
+    found = sums(state, [*[F.col("_r") * x for x in p], *[F.col("_y") * x for x in p]])
+    now.total, now.ahead, now.speed = found[:len(k)], found[len(k):], 1.0
+    left = float("inf")
+    for done in range(len(taken) + 1, steps + 1):
+        moved = state.withColumn("_new", _rate([now.move().tolist()], most, F.col("_y")))
         back = F.col("_y") - F.col("_new")
         found = sums(moved, [*[F.col("_new") * x for x in p], *[F.abs(back) * x for x in p],
                              back * (F.col("_new") - F.col("_r"))])
-        if (found[len(k):-1] * part * longest <= close).all():
+        left = now.left(found[len(k):-1])
+        if left <= close:
             return moved.withColumn("rate", F.col("_new")).drop("_r", "_y", "_new")
-        if found[-1] > 0:
-            speed, momentum = 1.0, 0.0
-        else:
-            faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-            speed, momentum = faster, (speed - 1) / faster
-        last, total = total, found[:len(k)]
-        ahead = total + momentum * (total - last)
-        state = moved.withColumns({"_r": F.col("_new"), "_y": F.col("_new") + F.lit(float(momentum)) * (
+        momentum = now.go(found[:len(k)], found[-1])
+        state = moved.withColumns({"_r": F.col("_new"), "_y": F.col("_new") + F.lit(momentum) * (
             F.col("_new") - F.col("_r"))}).drop("_new")
         if done % EVERY == 0:
             state = materialize(state, "rates")
-    raise RuntimeError(f"mixing rates: projected gradient {(found[len(k):-1] * part * longest).max():.2e} "
-                       f"after {steps} steps, over {close:.0e}")
+    raise RuntimeError(f"mixing rates: projected gradient {left:.2e} after {steps} steps, over {close:.0e}")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None,
@@ -150,14 +217,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as its copies say; all columns kept.
+    """``docs`` with each row as often as its copies say; all columns kept, whatever their names.
 
     Rows without an id are in as they are. The copies of an id are taken from
-    its first rates if it repeats.
+    its first rates if it repeats. If no document has words of the main domain,
+    all targets are zero and only rows without words or id stay.
     """
-    copies = (mixing_rates(docs, labels, **how).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
-              .agg(F.max("copies").alias("_copies")))
-    joined = docs.join(copies, docs["doc_id"].cast("bigint") == F.col("_id"), "left")
-    times = F.when(F.col("_id").isNull(), 1).otherwise(F.col("_copies"))
-    return joined.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop(
-        "_id", "_copies", "_copy")
+    key, copies, copy = free_names(docs, "id", "copies", "copy")
+    found = (mixing_rates(docs, labels, **how).where("doc_id is not null").groupBy(F.col("doc_id").alias(key))
+             .agg(F.max("copies").alias(copies)))
+    joined = docs.join(found, docs["doc_id"].cast("bigint") == F.col(key), "left")
+    times = F.when(F.col(key).isNull(), 1).otherwise(F.col(copies))
+    return joined.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).drop(key, copies, copy)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import Vocabulary, chosen, gather, ragged, term_features
+from .features import TextFeatures, chosen, gather, slices, term_features
 from .linear import fit_machine, machine_score, numbered, sigmoid
 
 SAMPLE = 12_000
@@ -26,9 +26,8 @@ def held_out(id_col: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _terms():
-    words = Vocabulary()
-    return lambda text: [term_features(text, words)]
+def _terms(part: pa.RecordBatch, f: TextFeatures) -> list:
+    return [term_features(f)]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, factors: int = 6) -> DataFrame:
@@ -41,19 +40,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fac
     """
     spark = docs.sparkSession
     ids = chosen(labels, ["toxic"], sample, ~held_out(F.col("doc_id")))
-    (rows,), y = gather(docs, ids, ["toxic"], _terms, ["text"])
+    (rows,), y, _ = gather(docs, ids, ["toxic"], _terms, ["text"])
     model = spark.sparkContext.broadcast(fit_machine(rows, y[:, 0] if len(y) else y, factors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, table, constant), words = model.value, Vocabulary()
+        known, table, constant = model.value
         for batch in batches:
-            score, text = np.zeros(len(batch)), batch["text"]
-            for k in range(0, len(batch), 256):
-                starts, idx = ragged([term_features(t.as_py(), words) for t in text[k:k + 256]])
-                score[k:k + 256] = sigmoid(machine_score(table[numbered(idx, known)], starts) + constant)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                ["doc_id", "held_out", "score", "predicted"])
+            for part, f in slices(batch):
+                offsets, idx = term_features(f)
+                score = sigmoid(machine_score(table[numbered(idx, known)], offsets[:-1]) + constant).astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+                    ["doc_id", "held_out", "score", "predicted"])
 
     doc = F.col("doc_id").cast("bigint")
     return docs.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), "text").mapInArrow(

@@ -3,10 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from moodspark.llm import linear, mixing, quality, queries, toxicity
+from moodspark.llm import features, linear, mixing, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, p string"
@@ -203,3 +204,76 @@ def test_pipeline_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() >= 1
+
+
+def test_exchange_takes_the_most_confident_of_all_unlabelled_rows(spark):
+    rows = queries.table(spark, SF, "documents")
+    labels = queries.table(spark, SF, "labels")
+    views, y, _ = features.gather(rows, features.chosen(labels, ["quality"], 200), ["quality"], quality._views, quality.VIEWS, 2)
+    models = [linear.fit_softmax(v, y[:, 0], 2) for v in views]
+    got = {(r.view, r.label, r._id) for r in quality.most_confident(rows, labels, models, 15, 0.9).collect()}
+    known = {r.doc_id for r in labels.collect()}
+    margins = {}
+    for batch in rows.select(*quality.VIEWS, "doc_id").orderBy("doc_id").toArrow().to_batches():
+        for part, f in features.slices(batch):
+            for v, m in enumerate(quality._margins(part, f, models)):
+                for i, x in zip(part["doc_id"].to_pylist(), m.tolist()):
+                    if i not in known:
+                        margins.setdefault((v, int(x > 0)), {}).setdefault(abs(x), i)
+    want = set()
+    for (v, label), found in margins.items():
+        sure = sorted(((x, i) for x, i in found.items() if 1 / (1 + np.exp(-x)) >= 0.9), key=lambda q: (-q[0], q[1]))
+        want |= {(v, label, i) for _, i in sure[:15]}
+    assert len(got) > 30 and got == want
+
+
+def test_corpus_exchange_hands_over_in_the_other_views_terms(spark):
+    docs, labels = queries.table(spark, SF, "documents").limit(300), queries.table(spark, SF, "labels")
+    views, y, _ = features.gather(docs, features.chosen(labels, ["quality"], 200), ["quality"], quality._views, quality.VIEWS, 2)
+    models = [linear.fit_softmax(v, y[:, 0], 2) for v in views]
+    handed = quality.corpus_exchange(docs, labels, most=5, confident=0.6)(models, 0)
+    chosen = quality.most_confident(docs, labels, models, 5, 0.6).collect()
+    for v in (0, 1):
+        rows, given = handed[v]
+        mine = {r._id: r.label for r in chosen if r.view == v}
+        assert len(rows) == len(given) == len(mine) > 0 and sorted(given) == sorted(mine.values())
+    hidden = docs.select("doc_id").where("doc_id is null")
+    assert quality.most_confident(docs.join(hidden, "doc_id", "left_semi"), labels, models, 5, 0.6).count() == 0
+
+
+def test_slice_features_equal_plain_ones():
+    texts = ["", None, "The the THE, (word)!! x9", "a a a b", "é ÉCOLE «Été» ...", "word\nword  other", "~~~ !!", "x" * 100_000]
+    f = features.TextFeatures(pa.array(texts))
+    plain = [(t or "").split() for t in texts]
+    edges = features._EDGES
+    of = {}
+    for row, i in zip(*f.kind("word")):
+        of.setdefault(int(row), set()).add(int(i))
+    sets = [{w.strip(edges).lower() for w in p} for p in plain]
+    assert [len(of.get(k, ())) for k in range(len(texts))] == [len(s) for s in sets]
+    for a in range(len(texts)):
+        for b in range(a):
+            assert len(of.get(a, set()) & of.get(b, set())) == len(sets[a] & sets[b])
+    n = [max(1, len(p)) for p in plain]
+    assert np.allclose(f.share("caps"), [sum(w.strip(edges).isupper() and len(w.strip(edges)) > 1 for w in p) / k for p, k in zip(plain, n)])
+    assert np.allclose(f.share("marks"), [sum(len(w) - len(w.strip(edges)) > 1 for w in p) / k for p, k in zip(plain, n)])
+    assert np.allclose(f.share("digits"), [sum(any(c.isdigit() for c in w.strip(edges)) for w in p) / k for p, k in zip(plain, n)])
+    assert np.allclose(f.repeat_share(), [sum(a == b for a, b in zip(p, p[1:])) / k for p, k in zip(plain, n)])
+    assert np.allclose(f.distinct_share(), [len(set(p)) / k for p, k in zip(plain, n)])
+    assert f.words.sums(f.of_word["size"]).tolist() == [sum(map(len, p)) for p in plain]
+    for offsets, ids in (features.style_features(f), features.term_features(f)):
+        assert len(offsets) == len(texts) + 1 and (np.diff(offsets) >= 1).all() and offsets[-1] == len(ids)
+        assert all(len(set(ids[a:b])) == b - a for a, b in zip(offsets, offsets[1:]))
+    assert features.term_features(features.TextFeatures(pa.array([], pa.string())))[0].tolist() == [0]
+
+
+def test_columns_with_clashing_names_survive(spark):
+    extra = ["_score", "_text_score", "_metadata_score", "id", "_id", "copies", "_copies", "copy"]
+    docs = docs_of(spark, ODD)
+    for c in extra:
+        docs = docs.withColumn(c, docs["p"])
+    labels = labels_of(spark, ODD_LABELS)
+    for kept in (quality.keep_good(docs, labels), mixing.apply_mix(docs, labels)):
+        assert kept.columns == docs.columns and all(r[c] == "p" for r in kept.collect() for c in extra)
+    scored = quality.score_quality(docs, labels)
+    assert scored.columns == [c for c in docs.columns if c not in quality.SCORES] + quality.SCORES
