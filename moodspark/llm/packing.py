@@ -12,68 +12,148 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, gapless_rank, materialize
+from .words import Words, text_slices
 
 LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
-#: str.split() also splits at these; the tokenizer doesn't
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+CACHE_WORDS = 500_000
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130),
+                             *range(0x131, 0x180)]))
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: A word of Latin letters, which the tokenizer takes as one piece, and the marks after it, which it takes as another
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)")
+_LATIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+[!-&(-/:-@\[-`{-~]*$"
+#: Arrow splits at these, the tokenizer doesn't
+_SEPARATORS = r"[\x1c-\x1f]"
+
+
+def joined(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of ``values`` one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+
+
+class TokenStore:
+    """Ids of words and parts of words, learnt when they are first met; ``limit`` of them are remembered."""
+
+    def __init__(self, limit: int):
+        self.limit, self.place = limit, {}
+        self.flat, self.start, self.size, self.uses = np.zeros(0, "<u4"), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def turn(self) -> None:
+        """If there are too many, keep those used most, at most half."""
+        if len(self.size) > self.limit:
+            best = np.argsort(-self.uses, kind="stable")[:self.limit // 2]
+            best = best[self.uses[best] > 1]
+            words = list(self.place)
+            self.place = {words[k]: at for at, k in enumerate(best.tolist())}
+            self.flat, self.size = joined(self.flat, self.start[best], self.size[best]), self.size[best]
+            self.start, self.uses = np.cumsum(self.size) - self.size, np.ones(len(best), np.int64)
+
+    def places(self, words: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The place of each of the distinct ``words``; ``learn`` gives all ids and the sizes of new ones."""
+        new = [w for w in words if w not in self.place]
+        if new:
+            flat, size = learn(new)
+            self.place.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.uses[at] += 1
+        return at
 
 
 class WordTokens:
-    """Ids, as little-endian 32-bit bytes, by white-space separated word.
+    """Ids of texts by their distinct white-space separated words.
 
-    For tokenizers that drop white space, lower-case, and never merge across
-    white space or between letters and marks. At most ``CACHE_WORDS`` words, and
-    as many of their parts, are remembered at a time.
+    For tokenizers that drop white space, lower-case, never merge across white
+    space or between letters and marks, and mark the end of a word. Words and
+    parts are remembered for all tasks of a worker process.
     """
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.parts = tokenizer, {}, {"": b""}
+    def __init__(self, spec: str, limit: int = CACHE_WORDS):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def _learn(self, words: list[str]) -> None:
-        """Add new words: plain Latin ones in one call with spaces between them, all others one by one."""
-        split = [(w, _LATIN.fullmatch(w)) for w in words]
-        cores = {w: m[1].lower() if m[1].isascii() else m[1] for w, m in split if m}
-        new = [c for c in set(cores.values()) if c not in self.parts]
-        if new:
-            encoded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids, starts = np.array(encoded.ids, "<u4"), np.flatnonzero(np.diff(encoded.word_ids, prepend=-1))
-            data, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
-            for core, a, b in zip(new, starts.tolist(), ends):
-                self.parts[core] = data[a * 4:b * 4]
-        whole = [*{m[2] for _, m in split if m and m[2] not in self.parts}, *[w for w, m in split if not m]]
-        for word, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
-            self.parts[word] = np.array(e.ids, "<u4").tobytes()
-        for w, m in split:
-            self.known[w] = self.parts[cores[w]] + self.parts[m[2]] if m else self.parts.pop(w)
-
-    def text(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = text.split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                self.parts = {"": b""}
-                new = list(set(words))
-            self._learn(new)
-        return b"".join([known[w] for w in words])
+        self.spec, self.tokenizer = spec, Tokenizer.from_str(spec)
+        self.cores, self.whole = TokenStore(limit), TokenStore(limit)
+        # lower-case Latin words need no normaliser and no pattern: the same model behind plain white space
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = json.loads(spec)["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn_cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All in one call with spaces between them; the last id of each is marked as such."""
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _learn_whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(ids), np.array([*map(len, ids)], np.int64)
+
+    def _spans(self, store: TokenStore, strings: pa.Array, learn: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size in ``store.flat`` for each string."""
+        coded = strings.dictionary_encode()
+        at = store.places(coded.dictionary.to_pylist(), learn)[np.asarray(coded.indices)]
+        return store.start[at], store.size[at]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the texts: row r has ``ids[offsets[r]:offsets[r + 1]]``."""
+        self.cores.turn()
+        self.whole.turn()
+        odd = np.asarray(pc.match_substring_regex(texts, _SEPARATORS))
+        words = Words.of(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, pc.utf8_split_whitespace)
+        distinct = words.distinct
+        latin = np.asarray(pc.match_substring_regex(distinct, _LATIN))
+        simple, other = distinct.filter(pa.array(latin)), distinct.filter(pa.array(~latin))
+        core = pc.utf8_lower(pc.utf8_rtrim(simple, characters=_MARKS))
+        marks = pc.utf8_ltrim(simple, characters=_LETTERS)
+        # the ids of each distinct word: those of its core and of its marks, or of the word as a whole
+        start, size = np.zeros((2, len(distinct)), np.int64), np.zeros((2, len(distinct)), np.int64)
+        start[0, latin], size[0, latin] = self._spans(self.cores, core, self._learn_cores)
+        for which, strings in ((latin, marks), (~latin, other)):
+            begin, n = self._spans(self.whole, strings, self._learn_whole)
+            start[1, which], size[1, which] = begin + len(self.cores.flat), n
+        own = joined(np.concatenate([self.cores.flat, self.whole.flat]), start.T.ravel(), size.T.ravel())
+        each = size.sum(axis=0)
+        begin = np.cumsum(each) - each
+        ids = joined(own, begin[words.codes], each[words.codes])
+        offsets = np.concatenate([[0], np.cumsum(words.sums(each))])
+        if odd.any():
+            rows = [self.encode(t) if o else ids[a:b]
+                    for t, o, a, b in zip(texts.to_pylist(), odd, offsets, offsets[1:])]
+            offsets, ids = np.concatenate([[0], np.cumsum([*map(len, rows)])]), np.concatenate(rows)
+        return offsets, ids
+
+
+_shared: list[WordTokens] = []
+
+
+def word_tokens(spec: str) -> WordTokens:
+    """The words of this worker process: they outlast a task, and are dropped for another tokenizer."""
+    if not _shared or _shared[0].spec != spec:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core
+        _shared[:] = [WordTokens(spec)]
+    return _shared[0]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -90,19 +170,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core
-        from tokenizers import Tokenizer
-
-        words = WordTokens(Tokenizer.from_str(spec.value))
+        words = word_tokens(spec.value)
         for batch in batches:
             at, rows = [], []
-            for i, text in enumerate(batch["text"]):
-                ids = words.text(text.as_py() or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, length):
-                    part = ids[start * 4:(start + length) * 4]
-                    at.append(i)
-                    rows.append((start, len(part) // 4, zlib.crc32(part), n))
+            for a, b in text_slices(batch["text"]):
+                offsets, ids = words.texts(pc.fill_null(batch["text"][a:b], ""))
+                data = memoryview(ids.tobytes())
+                for i, first, last in zip(range(a, b), offsets.tolist(), offsets[1:].tolist()):
+                    n = last - first + 1            # with the end id
+                    for begin in range(0, n, length):
+                        crc = zlib.crc32(data[(first + begin) * 4:min(first + begin + length, last) * 4])
+                        at.append(i)
+                        rows.append((begin, min(length, n - begin), crc if begin + length < n else zlib.crc32(end, crc), n))
             figures = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())),
                                               *map(pa.array, figures.T)], names)
@@ -115,7 +194,8 @@ def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list
     """Packing patterns ``(count, lengths)`` that place every piece of the histogram.
 
     Lengths go longest first, each into the shortest packs, those with the
-    most room left, as long as it fits there; else into new packs. Patterns
+    most room left, as long as it fits there; else into new packs, one filled
+    after the other. The packs are those that single pieces in this order give. Patterns
     are kept with their counts, and a pattern of which only some packs take a
     piece is split in two.
     """
@@ -130,18 +210,19 @@ def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list
                 heappop(open_rooms)
             most = -open_rooms[0] if open_rooms else -1
             if most < size:
-                most, packs, pattern = length, left, []
+                # a new pack has the most room until it is full: so many pieces fill one after the other
+                each = min(left, length // size)
+                take, pattern, rest, left = left // each, [size] * each, length - each * size, left % each
             else:
                 packs, pattern = room[most].pop()
-            take = min(left, packs)
-            if take < packs:
-                room[most].append((packs - take, pattern))
-            rest = most - size
+                take = min(left, packs)
+                if take < packs:
+                    room[most].append((packs - take, pattern))
+                pattern, rest, left = [*pattern, size], most - size, left - take
             if not room.get(rest):
                 room[rest] = []
                 heappush(open_rooms, -rest)
-            room[rest].append((take, [*pattern, size]))
-            left -= take
+            room[rest].append((take, pattern))
     return [p for rest in sorted(room) for p in room[rest]]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
 
 
 class Words:
-    """The words of a column of texts, runs without ASCII white space, as numbers of distinct words.
+    """The words of a column of texts as numbers of distinct words; by default runs without ASCII white space.
 
     Row r has ``codes[offsets[r]:offsets[r + 1]]``, positions in ``distinct``.
     """
@@ -32,8 +32,8 @@ class Words:
         self.offsets, self.codes, self.distinct = offsets, codes, distinct
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Words:
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    def of(cls, texts: pa.Array, split_at: Callable = pc.ascii_split_whitespace) -> Words:
+        split = split_at(pc.fill_null(texts, ""))
         flat = split.flatten()
         there = np.asarray(pc.binary_length(flat)) > 0         # pieces before and after outer white space are empty
         ends = np.concatenate([[0], np.cumsum(there)])

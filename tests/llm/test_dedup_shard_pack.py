@@ -5,8 +5,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from moodspark.llm import exact_dedup, packing, queries, sharding, simhash
 
@@ -232,3 +234,78 @@ def test_shortest_pack_first_places_all():
     assert packing.shortest_pack_first({3: 2, 5: 1}, 8) == [(1, [5, 3]), (1, [3])]
     with pytest.raises(ValueError):
         packing.shortest_pack_first({9: 1}, 8)
+
+
+def test_kept_rows_keep_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d", "x", "x", "x", "x", "x"), (2, "A b c d", "x", "x", "x", "x", "x"), (3, "other words here", *["x"] * 5),
+            (None, "other words here", *["x"] * 5), (None, "alone", *["x"] * 5), (None, "alone", *["x"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string, sha string, none string, own string, region string")
+    for kept, ids in ((exact_dedup.drop_copies(docs), [None, 2, 3]), (simhash.drop_near_copies(docs), [None, 1, 3])):
+        got = kept.collect()
+        assert kept.columns == docs.columns and sorted((r.doc_id for r in got), key=lambda i: (i is not None, i)) == ids
+        assert all(r[2:] == ("x",) * 5 for r in got)
+    placed = sharding.with_shard(docs.withColumn("rack", F.lit("x")), "doc_id", 40, "shard")
+    assert placed.columns == [*docs.columns, "rack", "shard"] and all(r.region == r.rack == "x" for r in placed.collect())
+
+
+def test_shards_equal_a_walk_down_the_tree(spark):
+    """Each level's draws as rows of their own: every child of the chosen node, the smallest draw wins."""
+    shards = 13
+    layout = sharding.tree(shards)
+    keys = spark.range(300).select(F.col("id").cast("string").alias("k"))
+    at = [F.lit(None)] * 0
+    chosen = keys.withColumn("path", F.array().cast("array<int>"))
+    for level in range(3):
+        nodes = []
+        for r, region in enumerate(layout):
+            if level == 0:
+                nodes.append(([], r, sum(map(len, region))))
+            for q, rack in enumerate(region):
+                if level == 1:
+                    nodes.append(([r], q, len(rack)))
+                if level == 2:
+                    nodes += [([r, q], i, 1) for i in range(len(rack))]
+        children = spark.createDataFrame(nodes, "path array<int>, child int, weight int")
+        at = [F.col("path")[i] for i in range(level)]
+        bits = F.shiftrightunsigned(F.xxhash64("k", F.lit(level), *at, F.col("child")), 12)
+        draw = -F.log((bits.cast("double") + 0.5) / F.lit(float(2 ** 52))) / F.col("weight")
+        chosen = (chosen.join(children, "path").withColumn("draw", draw).groupBy("k", "path")
+                  .agg(F.min_by("child", "draw").alias("child"))
+                  .select("k", F.concat("path", F.array("child")).alias("path")))
+    number = {(r, q, i): s for r, region in enumerate(layout) for q, rack in enumerate(region) for i, s in enumerate(rack)}
+    want = {r.k: number[tuple(r.path)] for r in chosen.collect()}
+    got = {r.k: r.shard for r in sharding.with_shard(keys, "k", shards, "shard").collect()}
+    assert got == want and len(set(want.values())) == shards
+
+
+def test_packing_equals_one_piece_at_a_time():
+    """Shortest pack first by single pieces: each into the pack with the most room, if it fits, else a new one."""
+    rng = random.Random(3)
+    for length in (16, 128):
+        sizes = sorted((rng.randint(1, length) for _ in range(400)), reverse=True)
+        rooms: list[int] = []
+        for s in sizes:
+            most = max(rooms, default=-1)
+            if most >= s:
+                rooms[rooms.index(most)] -= s
+            else:
+                rooms.append(length - s)
+        histogram = {s: sizes.count(s) for s in set(sizes)}
+        patterns = packing.shortest_pack_first(histogram, length)
+        assert sum(n for n, _ in patterns) == len(rooms)
+        assert sorted(length - sum(p) for n, p in patterns for _ in range(n)) == sorted(rooms)
+
+
+def test_words_of_a_tokenizer_are_whole_whatever_the_cache_holds():
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer(), encoding="utf-8") as f:
+        spec = f.read()
+    tokenizer, words, rng = Tokenizer.from_str(spec), packing.WordTokens(spec, 50), random.Random(4)
+    parts = ["a", "B", "é", "É", "ß", "ſ", "ı", "İ", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", ".", "!!", "'s", "3", "12",
+             "中", "🙂", "́", "K", "#", "Ω", "ĳ", "ŉ", "\x00", "​", "_", "the", "ing", "½", "×"]
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(40)]
+        offsets, ids = words.texts(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [
+            tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
