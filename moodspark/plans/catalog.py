@@ -931,41 +931,120 @@ JOIN (SELECT doc_id, predicted_emotion AS label, n FROM per_label) l USING (doc_
 
 # ----------------------------------------------------------------- write path, fallback, schemas, small operators
 
-def _two_batches(spark, sf_dir):
-    """The journal store after two overlapping batches that together hold every entry."""
-    from ..session import checkpoint_dir, materialize
+def _two_changes(spark, sf_dir, names=None):
+    """The journal store after two overlapping changes that together hold every entry; texts are analysed once."""
+    from ..session import checkpoint_dir
     from . import journal as JN
     import uuid
     store = JN.JournalStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/journal-{uuid.uuid4().hex[:12]}")
     ent, docs = _entries(spark, sf_dir), _docs(spark, sf_dir)
-    names = materialize(EN.corpus_gazetteer(docs), "names")
     for left_out in (0, 1):
-        store.apply(ent.where(F.col("entry_id") % 3 != left_out), docs, names)
+        store.apply(ent.where(F.col("entry_id") % 3 != left_out), docs, names, reuse=True)
+    return store
+
+
+def _names(spark, sf_dir):
+    from ..session import materialize
+    return materialize(EN.corpus_gazetteer(_docs(spark, sf_dir)), "names")
+
+
+def _remove_some(spark, sf_dir, store):
+    """Every tenth user and every 41st entry go; wrong pairs of entry and user remove nothing."""
+    ent = _entries(spark, sf_dir).select("entry_id", "user_id")
+    store.apply(users_gone=ent.where("user_id % 10 = 0").select("user_id").distinct(),
+                entries_gone=ent.where("entry_id % 41 = 0").unionByName(
+                    ent.where("entry_id % 43 = 0").withColumn("user_id", F.col("user_id") + 1)))
     return store
 
 
-@register("j7_stored_tables", _entry_advice_sql() + f""",
+def _stored_history(store):
+    n = store.read("advice").groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_advice"))
+    return (store.read("analysis").join(
+        store.read("insight").select("entry_id", "emotion_bucket", F.col("title").alias("insight_title"),
+                                     F.col("explanation").alias("insight_explanation")), "entry_id").join(n, "entry_id"))
+
+
+def _stored_sql(analysis: str, where: str = "TRUE") -> str:
+    """Analysis, insight and number of advice rows of the entries of ``analysis``, after ``ent_advice``."""
+    return f""",
 n_adv AS (SELECT doc_id, count(*) AS n FROM ent_advice GROUP BY doc_id)
 SELECT a.entry_id, a.predicted_emotion, a.confidence, 'multi_label' AS task_type, a.predicted_emotion AS best_score,
        coalesce({Q.bucket('a.predicted_emotion')}, 'neutral') AS emotion_bucket,
        {_insight_sql(Q.bucket('a.predicted_emotion'))}, 1 + coalesce(n, 0) AS n_advice
-FROM ana a LEFT JOIN n_adv v ON v.doc_id = a.doc_id""")
-def j7_stored_tables(spark, sf_dir):
-    """Analysis, insight and number of advice rows of every entry, as stored after two overlapping batches."""
-    store = _two_batches(spark, sf_dir)
-    n = store.read("advice").groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_advice"))
+FROM {analysis} a LEFT JOIN n_adv v ON v.doc_id = a.doc_id WHERE {where}"""
+
+
+def _stored_fields(rows):
     best = F.try_element_at(F.filter(F.map_entries("scores"), lambda e: e["value"] == 1.0), F.lit(1))["key"]
-    return (store.read("analysis").select("entry_id", "predicted_emotion", "confidence", "task_type",
-                                          best.alias("best_score"))
-            .join(store.read("insight").select("entry_id", "emotion_bucket", F.col("title").alias("insight_title"),
-                                               F.col("explanation").alias("insight_explanation")), "entry_id")
-            .join(n, "entry_id"))
+    return rows.select("entry_id", "predicted_emotion", "confidence", "task_type", best.alias("best_score"), "emotion_bucket",
+                       "insight_title", "insight_explanation", "n_advice")
+
+
+_GONE = "a.user_id % 10 <> 0 AND a.entry_id % 41 <> 0"
+
+
+@register("j7_stored_tables", _entry_advice_sql() + _stored_sql("ana"))
+def j7_stored_tables(spark, sf_dir):
+    """Analysis, insight and number of advice rows of every entry, as stored after two overlapping changes."""
+    return _stored_fields(_stored_history(_two_changes(spark, sf_dir, _names(spark, sf_dir))))
+
+
+def _stored_advice_sql() -> str:
+    b = f"coalesce({Q.bucket('a.predicted_emotion')}, 'neutral')"
+    text, why = _general_case(b, "a.entry_id")
+    return _entry_advice_sql() + f"""
+SELECT a.entry_id, 0 AS ord, 'general_' || {b} AS advice_key, {b} AS emotion_key, 'General Advice' AS title,
+       {text} AS advice_text, {why} AS rationale_text, a.entry_time AS created_at FROM ana a
+UNION ALL
+SELECT a.entry_id, v.ord, v.advice_key, v.emotion_key, v.title, v.advice_text, v.rationale_text, a.entry_time
+FROM ana a JOIN ent_advice v ON v.doc_id = a.doc_id"""
+
+
+@register("a6_stored_advice", _stored_advice_sql())
+def a6_stored_advice(spark, sf_dir):
+    """All advice rows with their contents, as stored after two overlapping changes."""
+    return _two_changes(spark, sf_dir, _names(spark, sf_dir)).read("advice").select(
+        "entry_id", "ord", "advice_key", "emotion_key", "title", "advice_text", "rationale_text", "created_at")
 
 
 @register("a7_stored_summary", ORACLES["j4_keyword_daily_summary"])
 def a7_stored_summary(spark, sf_dir):
-    """The daily summary kept by the store: second batch refreshed its touched days only."""
-    return _two_batches(spark, sf_dir).read("summary")
+    """The daily summary kept by the store: second change refreshed its touched days only."""
+    return _two_changes(spark, sf_dir).read("summary")
+
+
+@register("c8_history_after_removal", _entry_advice_sql() + _stored_sql("ana", _GONE))
+def c8_history_after_removal(spark, sf_dir):
+    """What is stored of the remaining entries after users and single entries were removed."""
+    return _stored_fields(_stored_history(_remove_some(spark, sf_dir, _two_changes(spark, sf_dir, _names(spark, sf_dir)))))
+
+
+@register("c8_summary_after_removal", Q.with_views(
+    keyword_sql("documents", "doc_id"),
+    """kw_analysis AS (SELECT e.entry_id, k.predicted_emotion, k.confidence
+  FROM j_entries e JOIN kw k ON k.doc_id = e.doc_id),
+left_entries AS (SELECT * FROM j_entries WHERE user_id % 10 <> 0 AND entry_id % 41 <> 0)""",
+    d5_sql("left_entries", "kw_analysis")) + f"""
+SELECT s.user_id, s.summary_date, dominant_emotion, positive, negative, neutral, positivity_score,
+       entry_count, latest_entry_preview, j.emotion_breakdown_json,
+       {Q.summary_text('dominant_emotion', 'positivity_score', 'positive', 'negative', 'neutral',
+                       'latest_entry_preview')} AS summary_text
+FROM summary_ s JOIN breakdown_json j USING (user_id, summary_date)""")
+def c8_summary_after_removal(spark, sf_dir):
+    """The stored daily summary after users and single entries were removed."""
+    return _remove_some(spark, sf_dir, _two_changes(spark, sf_dir)).read("summary")
+
+
+@register("s1_stored_history", _entry_advice_sql() + """,
+j_ana AS (SELECT a.entry_id, e.user_id, e.doc_id, a.predicted_emotion, a.confidence
+          FROM j_analysis a JOIN j_entries e ON e.entry_id = a.entry_id)""" + _stored_sql("j_ana", "a.entry_id % 41 <> 0").replace(
+              "'multi_label' AS task_type, a.predicted_emotion AS best_score,", ""))
+def s1_stored_history(spark, sf_dir):
+    """S1 + S2 with enrichment: analysis, insight and number of advice rows of the entries that the stream left stored."""
+    from ..streaming import daily as SD
+    store = SD.run_incremental(spark, sf_dir, SD.DailySummaryStore(spark, gazetteer=_names(spark, sf_dir)), n_batches=2)
+    return _stored_history(store.journal).select("entry_id", "predicted_emotion", "confidence", "emotion_bucket",
+                                                 "insight_title", "insight_explanation", "n_advice")
 
 
 @register("j4_primary_with_fallback", "WITH " + keyword_sql("documents", "doc_id") + """,

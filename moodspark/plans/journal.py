@@ -1,11 +1,14 @@
-"""Composite journal jobs (J7 enrichment, J9 statistics bundle, J11 trend view).
+"""Composite journal jobs (J7 enrichment, J9 statistics bundle, J11 trend view) and the stored journal.
 
-Each returns lazy DataFrames; nothing is collected. The statistics bundle
-shares one base join, which callers may persist if they run all five frames.
+The frames are lazy; nothing is collected but the days that a change to the
+store touches, which the calendar bounds.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,7 @@ from ..operators import maintenance as MN
 from ..operators import scoring as SC
 from ..operators import stats as ST
 from ..operators import summary as S
+from ..session import materialize
 from ..sources import io as IO
 
 
@@ -31,6 +35,29 @@ class Enriched:
     rejected: DataFrame         # analysis rows whose label is not one of the 28
 
 
+SCORE_FIELDS = ["model_name", "predicted_emotion", "confidence", "scores", "task_type"]
+
+
+def score_texts(texts: DataFrame, text_key: str = "doc_id", primary: DataFrame | None = None) -> DataFrame:
+    """``text_key`` and ``SCORE_FIELDS`` of each text: the primary scorer's answer, else the keyword scorer's."""
+    if primary is not None:
+        return SC.with_fallback(primary, texts, text_key).select(text_key, *SCORE_FIELDS)
+    return K.keyword_score(texts, text_key).withColumn(
+        "scores", K.one_hot_scores(F.col("predicted_emotion"))).select(text_key, *SCORE_FIELDS)
+
+
+def advise_texts(spark: SparkSession, texts: DataFrame, gazetteer: DataFrame, text_key: str = "doc_id") -> DataFrame:
+    """Entity advice of each text."""
+    votes = EN.entity_votes(EN.entity_mentions(texts, text_key, gazetteer), text_key)
+    return EN.entity_advice(votes, text_key, spark)
+
+
+def split_known(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Analysis rows, and those whose label is outside the vocabulary."""
+    unknown = F.col("predicted_emotion").isNotNull() & X.bucket("predicted_emotion").isNull()
+    return found.where(~unknown), found.where(unknown)
+
+
 def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, gazetteer: DataFrame,
            text_key: str = "doc_id", primary: DataFrame | None = None,
            incognito_col: str | None = None) -> Enriched:
@@ -42,21 +69,12 @@ def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, gazetteer:
     ``gazetteer`` (word, label) lists the names to look for. Rows with a label
     outside the vocabulary go to ``rejected``; their entries count as unanalysed.
     """
-    fields = ["model_name", "predicted_emotion", "confidence", "scores", "task_type"]
-    if primary is not None:
-        scored = SC.with_fallback(primary, texts, text_key)
-    else:
-        scored = K.keyword_score(texts, text_key).withColumn("scores", K.one_hot_scores(F.col("predicted_emotion")))
-    found = entries.select("entry_id", text_key).join(scored.select(text_key, *fields), text_key, "inner").drop(text_key)
-    unknown = F.col("predicted_emotion").isNotNull() & X.bucket("predicted_emotion").isNull()
-    analysis, rejected = found.where(~unknown), found.where(unknown)
-    insight = H.insight_rows(analysis)
-    votes = EN.entity_votes(EN.entity_mentions(texts, text_key, gazetteer), text_key)
-    advice = H.with_defaults(H.advice_rows(entries, analysis, EN.entity_advice(votes, text_key, spark),
+    scored = score_texts(texts, text_key, primary)
+    analysis, rejected = split_known(entries.select("entry_id", text_key).join(scored, text_key, "inner").drop(text_key))
+    advice = H.with_defaults(H.advice_rows(entries, analysis, advise_texts(spark, texts, gazetteer, text_key),
                                            text_key, incognito_col))
     ent_text = entries.join(texts.select(text_key, "text"), text_key, "inner")
-    summary = S.daily_summary(ent_text, analysis)
-    return Enriched(analysis, insight, advice, summary, rejected)
+    return Enriched(analysis, H.insight_rows(analysis), advice, S.daily_summary(ent_text, analysis), rejected)
 
 
 def user_stats(entries: DataFrame, analysis: DataFrame, advice: DataFrame, summary: DataFrame) -> dict:
@@ -88,59 +106,183 @@ def trend_view(summary: DataFrame, entries: DataFrame, analysis: DataFrame, as_o
 
 
 class JournalStore:
-    """The journal tables as numbered snapshots: ``base/<table>/v=<n>``, committed by a marker.
+    """The journal as tables partitioned by day: ``base/<table>/entry_date=<day>`` (``summary_date`` for the summary).
+
+    A change (entries added or enriched again, entries or users removed) rewrites
+    the days it touches in every table and no others, by Spark's dynamic
+    partition overwrite. Before anything is replaced, the new content of these
+    days is written whole to ``_staged/<change>``; a change that fails later, also
+    in the middle of a replacement, is finished from there when it is applied
+    again under its name, and one that was finished is skipped.
 
-    A batch of entries is merged by key into the next snapshot: rows of
-    processed entries are replaced (A6), all others kept, and the daily summary
-    is recomputed for the touched (user, day) keys only (A7). A batch that
-    fails before its marker leaves the last snapshot as it was; replaying it
-    writes the same numbers again.
+    Dynamic overwrite can't remove a partition. Each touched day therefore keeps
+    a row of nulls (no entry id, or no user in the summary), which ``read`` drops.
+    Texts are analysed once per key; their scores and entity advice are kept
+    under ``texts/`` by change, so a later change that ``reuse``s them analyses
+    new texts only.
     """
 
-    TABLES = ("entries", "analysis", "insight", "advice", "summary")
+    TABLES = ("entries", "analysis", "insight", "advice", "rejected")
+    KEY = {"summary": "user_id"}
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
-    def version(self) -> int:
-        """Number of the last committed snapshot, 0 if there is none."""
-        n = 0
-        while IO.path_exists(self.spark, f"{self.base}/_committed/v={n + 1}"):
-            n += 1
-        return n
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}/v={version or self.version()}")
-
-    def _write(self, df: DataFrame, name: str, version: int) -> DataFrame:
-        path = f"{self.base}/{name}/v={version}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def apply(self, entries: DataFrame, texts: DataFrame, gazetteer: DataFrame, text_key: str = "doc_id",
-              primary: DataFrame | None = None, incognito_col: str | None = None) -> int:
-        """Enrich ``entries`` (new ones, or stored ones again) and merge them; returns the new snapshot's number."""
-        old = self.version()
-        new = old + 1
-        res = enrich(self.spark, entries, texts, gazetteer, text_key, primary, incognito_col)
-        kept = entries.select("entry_id", "user_id", "entry_time", text_key)
-        done = kept.select("entry_id")
-        merged = {}
-        for name, rows, keys in (("entries", kept, done), ("analysis", res.analysis, done),
-                                 ("insight", res.insight, done), ("advice", res.advice, done)):
-            if old:
-                rows = H.replace_by_key(self.read(name, old), rows, keys)
-            merged[name] = self._write(rows, name, new)
-        touched = MN.touched_days(entries)
-        if old:     # an entry that is enriched again may have stood on another day
-            touched = touched.unionByName(MN.touched_days(
-                self.read("entries", old).join(done.distinct(), "entry_id", "left_semi"))).distinct()
-        previews = texts.select(text_key, X.preview("text").alias("preview"))
-        day = F.to_date("entry_time").alias("summary_date")
-        there = (merged["entries"].withColumn("summary_date", day)
-                 .join(touched, ["user_id", "summary_date"], "left_semi").drop("summary_date"))
-        self._write(MN.refresh_summary(self.read("summary", old) if old else None,
-                                       there.join(previews, text_key), merged["analysis"], touched), "summary", new)
-        self.spark.createDataFrame([(new,)], "version int").write.mode("overwrite").parquet(
-            f"{self.base}/_committed/v={new}")
-        return new
+    # ------------------------------------------------------------ reading
+
+    def _path(self, *parts: str) -> str:
+        return "/".join([self.base, *parts])
+
+    def _stored(self, name: str) -> DataFrame | None:
+        path = self._path(name)
+        return self.spark.read.parquet(path) if IO.path_exists(self.spark, path) else None
+
+    def days(self, name: str) -> DataFrame:
+        """The rows of a table with their day."""
+        stored = self._stored(name)
+        if stored is None:
+            raise ValueError(f"no change has been applied to {self.base}")
+        return stored.where(F.col(self.KEY.get(name, "entry_id")).isNotNull())
+
+    def read(self, name: str) -> DataFrame:
+        return self.days(name) if name == "summary" else self.days(name).drop("entry_date")
+
+    def done(self, change: str) -> bool:
+        return IO.path_exists(self.spark, self._path("_done", change))
+
+    # ------------------------------------------------------------ texts
+
+    def _texts(self, change: str, entries: DataFrame, texts: DataFrame, gazetteer: DataFrame | None, text_key: str,
+               primary: DataFrame | None, reuse: bool, analysed: bool) -> tuple[DataFrame | None, DataFrame | None]:
+        """Scores and entity advice of all texts known so far, those of new texts written by this change."""
+        wanted = texts.join(entries.select(text_key).distinct(), text_key, "left_semi")
+        out = []
+        for name, make in (("scores", None if analysed else lambda t: score_texts(t, text_key, primary)),
+                           ("advice", gazetteer and (lambda t: advise_texts(self.spark, t, gazetteer, text_key)))):
+            if not make:
+                out.append(None)
+                continue
+            mine, keys = self._path("texts", name, f"change={change}"), self._path("texts", f"{name}_keys", f"change={change}")
+            new = wanted
+            if reuse and IO.path_exists(self.spark, self._path("texts", f"{name}_keys")):
+                known = self.spark.read.parquet(self._path("texts", f"{name}_keys")).where(F.col("change") != change)
+                new = wanted.join(known.select(text_key), text_key, "left_anti")
+            make(new).write.mode("overwrite").parquet(mine)
+            new.select(text_key).write.mode("overwrite").parquet(keys)
+            read = self.spark.read.parquet(self._path("texts", name))
+            out.append((read if reuse else read.where(F.col("change") == change)).drop("change"))
+        return out[0], out[1]
+
+    # ------------------------------------------------------------ changes
+
+    def _stage(self, change: str, added: dict[str, DataFrame], gone: DataFrame, touched: DataFrame, days: list[dt.date]) -> None:
+        """The touched days of every table after the change."""
+        marks = self.spark.createDataFrame([(d,) for d in days], "entry_date date")
+
+        def put(df: DataFrame, name: str, day: str) -> DataFrame:
+            path = self._path("_staged", change, name)
+            df.hint("rebalance", day).write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        def table(name: str) -> DataFrame:
+            rows, old = added.get(name), self._stored(name)
+            if old is not None:
+                kept = old.where(F.col("entry_date").isin(days) & F.col("entry_id").isNotNull()).join(gone, "entry_id", "left_anti")
+                rows = kept if rows is None else kept.unionByName(rows, allowMissingColumns=True)
+            return put(rows.unionByName(marks, allowMissingColumns=True), name, "entry_date")
+
+        present = [n for n in self.TABLES if n in added or self._stored(n) is not None]
+        with ThreadPoolExecutor(3) as pool:
+            staged = dict(zip(present, pool.map(table, present)))
+        rows = {n: staged[n].where("entry_id is not null").drop("entry_date") for n in ("entries", "analysis")}
+        old = self._stored("summary")
+        summary = MN.refresh_summary(
+            None if old is None else old.where(F.col("summary_date").isin(days) & F.col("user_id").isNotNull()),
+            rows["entries"], rows["analysis"], touched)
+        put(summary.unionByName(marks.withColumnRenamed("entry_date", "summary_date"), allowMissingColumns=True),
+            "summary", "summary_date")
+        self.spark.createDataFrame([(len(days),)], "days int").write.mode("overwrite").parquet(
+            self._path("_staged", change, "_complete"))
+
+    def _replace(self, change: str) -> None:
+        """Put the staged days in place; may be repeated."""
+        def table(name: str) -> None:
+            path = self._path("_staged", change, name)
+            if IO.path_exists(self.spark, path):
+                day = "summary_date" if name == "summary" else "entry_date"
+                (self.spark.read.parquet(path).hint("rebalance", day).write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(self._path(name)))
+
+        with ThreadPoolExecutor(3) as pool:
+            list(pool.map(table, (*self.TABLES, "summary")))
+        self.spark.createDataFrame([(change,)], "change string").write.mode("overwrite").parquet(self._path("_done", change))
+
+    def apply(self, entries: DataFrame | None = None, texts: DataFrame | None = None, gazetteer: DataFrame | None = None,
+              text_key: str = "doc_id", primary: DataFrame | None = None, incognito_col: str | None = None,
+              analysis: DataFrame | None = None, users_gone: DataFrame | None = None, entries_gone: DataFrame | None = None,
+              leaving: DataFrame | None = None, change: str | None = None, reuse: bool = False) -> str:
+        """One change; returns its name.
+
+        ``entries`` (entry_id, user_id, entry_time, ``text_key``) are enriched (J7) and
+        take the place of stored ones with their ids, on whatever day those
+        stood (A6); the summary is recomputed for the touched (user, day) keys
+        (A7). Without a ``gazetteer`` they get general advice only; ``analysis``
+        (entry_id, predicted_emotion, ..) replaces scoring. Rows whose label is
+        not known go to the table ``rejected``.
+
+        ``entries_gone`` (entry_id, user_id: both must match a stored or added
+        entry) and ``users_gone`` (user_id) are removed with all that hangs on
+        them: analysis, insight, advice, rejected rows and summary days (C8). A
+        caller that knows where the entries that go or are replaced stood, as the
+        stream does from its state, gives ``leaving`` (entry_id, user_id,
+        entry_date); then no stored table is searched for them.
+        """
+        change = change or uuid.uuid4().hex[:12]
+        if self.done(change):
+            return change
+        if not IO.path_exists(self.spark, self._path("_staged", change, "_complete")):
+            new = None
+            day = F.to_date("entry_time").alias("entry_date")
+            if entries is not None:
+                previews = texts.select(text_key, X.preview("text").alias("preview"))
+                new = materialize(entries.join(previews, text_key).select("*", day), "change_entries")
+            coming = new
+            if leaving is None:
+                leaving, coming = self._leaving(new, users_gone, entries_gone)
+            keys = [d.select("user_id", F.col("entry_date").alias("summary_date")) for d in (leaving, coming) if d is not None]
+            touched = materialize((keys[0] if len(keys) == 1 else keys[0].unionByName(keys[1])).distinct(), "change_days")
+            gone = leaving if leaving is not None else new
+            gone = materialize(gone.select("entry_id").distinct(), "change_gone")
+            days = [r[0] for r in touched.select("summary_date").distinct().orderBy("summary_date").collect()]
+            added = {} if coming is None else self._enriched(change, coming, texts, gazetteer, text_key, primary,
+                                                             incognito_col, analysis, reuse)
+            self._stage(change, added, gone, touched, days)
+        self._replace(change)
+        return change
+
+    def _leaving(self, new: DataFrame | None, users_gone: DataFrame | None,
+                 entries_gone: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """What leaves (stored versions of the new entries, removed entries, those of removed users), and what is new after that."""
+        ids = ["entry_id", "user_id", "entry_date"]
+        stored = self._stored("entries")
+        there = [d.select(*ids) for d in (new, None if stored is None else stored.where("entry_id is not null")) if d is not None]
+        if not there:
+            raise ValueError("nothing is stored and nothing is added")
+        removed = MN.entries_to_remove(there[0] if len(there) == 1 else there[0].unionByName(there[1]), users_gone, entries_gone)
+        leaving = [] if removed is None else [removed]
+        if len(there) == 2:
+            leaving.append(there[1].join(new.select("entry_id"), "entry_id", "left_semi"))
+        coming = new if new is None or removed is None else new.join(removed.select("entry_id"), "entry_id", "left_anti")
+        return (leaving[0].unionByName(leaving[1]) if len(leaving) == 2 else leaving[0] if leaving else None), coming
+
+    def _enriched(self, change: str, entries: DataFrame, texts: DataFrame, gazetteer: DataFrame | None, text_key: str,
+                  primary: DataFrame | None, incognito_col: str | None, analysis: DataFrame | None,
+                  reuse: bool) -> dict[str, DataFrame]:
+        scores, advice = self._texts(change, entries, texts, gazetteer, text_key, primary, reuse, analysis is not None)
+        found = (entries.select("entry_id", text_key).join(scores, text_key).drop(text_key) if analysis is None
+                 else analysis.join(entries.select("entry_id"), "entry_id", "left_semi"))
+        known, rejected = split_known(found)
+        out = {"analysis": known, "insight": H.insight_rows(known), "rejected": rejected,
+               "advice": H.with_defaults(H.advice_rows(entries, known, advice, text_key, incognito_col))}
+        dates = entries.select("entry_id", "entry_date")
+        return {"entries": entries} | {n: d.join(dates, "entry_id") for n, d in out.items()}

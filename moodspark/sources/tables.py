@@ -37,13 +37,14 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_from_events(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "documents"))
 
 
-def entries_from_events(ev: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def entries_from_events(ev: DataFrame, docs: DataFrame, text_col: str = "text", n_docs: int | None = None) -> DataFrame:
     """The j_entries rule on any events frame (batch or one micro-batch).
 
     ``docs`` may carry a per-document derivative of the text (e.g. its
-    preview) under ``text_col`` so only that crosses the join.
+    preview) under ``text_col`` so only that crosses the join. A caller that
+    has counted the documents gives ``n_docs``.
     """
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    n_docs = docs.select(F.count(F.lit(1))).scalar() if n_docs is None else F.lit(n_docs)
     e = ev.select(F.col("event_id").alias("entry_id"), "user_id",
                   F.col("ts").alias("entry_time"),
                   (F.col("event_id") % n_docs).alias("doc_key"))

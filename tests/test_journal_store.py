@@ -1,9 +1,13 @@
-"""The journal store: overlapping batches, emptied advice, rejected labels, incognito entries, failed batches."""
+"""The journal store: overlapping changes, emptied advice, rejected labels, incognito entries, failed changes, removal."""
 
 import datetime as dt
+import os
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
+from moodspark.operators import maintenance as MN
 from moodspark.plans import journal as JN
 
 ENTRIES = "entry_id long, user_id long, entry_time timestamp_ntz, doc_id long, quiet boolean"
@@ -18,19 +22,25 @@ def _inputs(spark):
     return texts, names, spark.createDataFrame(rows, ENTRIES)
 
 
-def test_batches_merge_by_key(spark, tmp_path):
+def _days(store):
+    return {(r.user_id, r.summary_date.day): r.entry_count for r in store.read("summary").collect()}
+
+
+def _files(base):
+    return {f"{d}/{n}" for d, _, names in os.walk(base) for n in names if n.endswith(".parquet") and "/_" not in d}
+
+
+def test_changes_merge_by_key(spark, tmp_path):
     texts, names, entries = _inputs(spark)
     store = JN.JournalStore(spark, f"{tmp_path}/journal")
-    assert store.version() == 0
-    assert store.apply(entries.where("entry_id < 12"), texts, names, incognito_col="quiet") == 1
-    assert store.apply(entries.where("entry_id > 10"), texts, names, incognito_col="quiet") == 2
+    store.apply(entries.where("entry_id < 12"), texts, names, incognito_col="quiet")
+    store.apply(entries.where("entry_id > 10"), texts, names, incognito_col="quiet")
     analysis = {r.entry_id: r for r in store.read("analysis").collect()}
     assert sorted(analysis) == [10, 11, 12, 13]
     assert analysis[10].predicted_emotion == "love" and analysis[10].scores["love"] == 1.0
     advice = [(r.entry_id, r.ord) for r in store.read("advice").orderBy("entry_id", "ord").collect()]
     assert advice == [(10, 0), (10, 1), (11, 0), (12, 0), (13, 0), (13, 1)]      # 12 is incognito: general advice only
-    days = {(r.user_id, r.summary_date.day): r.entry_count for r in store.read("summary").collect()}
-    assert days == {(1, 1): 1, (1, 2): 2, (2, 2): 1}
+    assert _days(store) == {(1, 1): 1, (1, 2): 2, (2, 2): 1}
     # entry 10 again, with a text that names nobody and on another day: its advice and its old day go
     moved = entries.where("entry_id = 10").withColumn("doc_id", F.lit(2).cast("long")).withColumn(
         "entry_time", F.lit(dt.datetime(2024, 1, 5)).cast("timestamp_ntz"))
@@ -39,14 +49,64 @@ def test_batches_merge_by_key(spark, tmp_path):
     assert sorted((r.user_id, r.summary_date.day) for r in store.read("summary").collect()) == [(1, 2), (1, 5), (2, 2)]
 
 
-def test_a_batch_without_its_marker_is_written_again(spark, tmp_path):
+def test_a_change_writes_the_days_it_touches_and_no_others(spark, tmp_path):
+    texts, names, entries = _inputs(spark)
+    store = JN.JournalStore(spark, f"{tmp_path}/journal")
+    store.apply(entries, texts, names)
+    before = _files(f"{tmp_path}/journal")
+    store.apply(entries.where("entry_id = 10"), texts, names, reuse=True)
+    after = _files(f"{tmp_path}/journal")
+    gone = {f.split("_date=")[1][:10] for f in before - after if "_date=" in f}
+    assert gone == {"2024-01-01"} and {f.split("_date=")[1][:10] for f in after - before if "_date=" in f} == gone
+
+
+def test_a_change_that_failed_half_way_is_finished(spark, tmp_path, monkeypatch):
     texts, names, entries = _inputs(spark)
     store = JN.JournalStore(spark, f"{tmp_path}/journal")
-    store.apply(entries.where("entry_id = 10"), texts, names)
-    entries.limit(1).write.parquet(f"{tmp_path}/journal/analysis/v=2")       # what a failed batch left behind
-    assert store.version() == 1
-    assert store.apply(entries.where("entry_id = 11"), texts, names) == 2
-    assert sorted(r.entry_id for r in store.read("analysis").collect()) == [10, 11]
+    store.apply(entries.where("entry_id < 13"), texts, names)
+    want_old = _days(store)
+    replace = JN.JournalStore._replace
+    # it fails before anything is put in place, then after one table was put in place and another was lost
+    monkeypatch.setattr(JN.JournalStore, "_replace", lambda self, change: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.apply(entries.where("entry_id = 13"), texts, names, change="c2")
+    assert _days(store) == want_old
+    shutil.rmtree(f"{tmp_path}/journal/advice/entry_date=2024-01-02")
+    monkeypatch.setattr(JN.JournalStore, "_replace", replace)
+    store.apply(entries.where("entry_id = 13"), texts, names, change="c2")
+    assert _days(store) == {(1, 1): 1, (1, 2): 2, (2, 2): 1}
+    assert sorted({r.entry_id for r in store.read("advice").collect()}) == [10, 11, 12, 13]
+    files = _files(f"{tmp_path}/journal")
+    store.apply(entries.where("entry_id = 13"), texts, names, change="c2")      # done: nothing is written
+    assert _files(f"{tmp_path}/journal") == files
+
+
+def test_removal_cascades_from_users_and_entries(spark, tmp_path):
+    texts, names, entries = _inputs(spark)
+    store = JN.JournalStore(spark, f"{tmp_path}/journal")
+    primary = spark.createDataFrame([(1, "bliss", 0.9, "p")], "doc_id long, predicted_emotion string, confidence double, model_name string")
+    store.apply(entries, texts, names, primary=primary)
+    assert [r.entry_id for r in store.read("rejected").collect()] == [10]
+    pairs = spark.createDataFrame([(11, 1), (13, 2)], "entry_id long, user_id long")        # 13 is not user 2's
+    store.apply(users_gone=spark.createDataFrame([(2,)], "user_id long"), entries_gone=pairs)
+    for name in ("entries", "analysis", "insight", "advice"):
+        assert {r.entry_id for r in store.read(name).collect()} == ({10, 13} if name == "entries" else {13})
+    assert _days(store) == {(1, 1): 1, (1, 2): 1}
+    store.apply(users_gone=spark.createDataFrame([(1,)], "user_id long"))
+    assert all(store.read(n).count() == 0 for n in (*store.TABLES, "summary"))
+
+
+def test_cascade_over_frames(spark):
+    texts, names, entries = _inputs(spark)
+    res = JN.enrich(spark, entries, texts, names)
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "user_id long, username string")
+    with_text = entries.join(texts, "doc_id")
+    left = MN.cascade_delete({"users": users, "entries": with_text, "analysis": res.analysis, "insight": res.insight,
+                              "advice": res.advice, "summary": res.summary},
+                             users.where("user_id = 2").select("user_id"), entries.where("entry_id = 11").select("entry_id", "user_id"))
+    assert [r.user_id for r in left["users"].collect()] == [1]
+    assert all({r.entry_id for r in left[n].collect()} == {10, 13} for n in ("entries", "analysis", "insight", "advice"))
+    assert {(r.user_id, r.summary_date.day): r.entry_count for r in left["summary"].collect()} == {(1, 1): 1, (1, 2): 1}
 
 
 def test_unknown_labels_are_rejected(spark):
