@@ -21,8 +21,12 @@ def users_of(entries: DataFrame) -> DataFrame:
 
 def emotion_distribution(entries: DataFrame, analysis: DataFrame) -> DataFrame:
     """Analysed entries (inner join) counted by bucket; unknown labels dropped."""
-    j = analysis.select("entry_id", "predicted_emotion").join(
-        entries.select("entry_id", "user_id"), "entry_id", "inner")
+    return bucket_counts(analysis.select("entry_id", "predicted_emotion").join(
+        entries.select("entry_id", "user_id"), "entry_id", "inner"))
+
+
+def bucket_counts(j: DataFrame) -> DataFrame:
+    """D1 over rows that carry ``user_id`` and ``predicted_emotion``."""
     b = X.bucket("predicted_emotion")
     return j.groupBy("user_id").agg(*[F.count_if(b == k).alias(k) for k in fixed.BUCKETS])
 
@@ -49,8 +53,12 @@ def time_heatmap(entries: DataFrame, analysis: DataFrame) -> DataFrame:
     side), then a generator lays the cells out as rows: no densifying join.
     A user whose entries are all unanalysed still gets 21 empty cells.
     """
-    j = (entries.select("entry_id", "user_id", "entry_time")
-         .join(analysis.select("entry_id", "predicted_emotion"), "entry_id", "left"))
+    return heatmap_cells(entries.select("entry_id", "user_id", "entry_time")
+                         .join(analysis.select("entry_id", "predicted_emotion"), "entry_id", "left"))
+
+
+def heatmap_cells(j: DataFrame) -> DataFrame:
+    """D4 over rows that carry ``user_id, entry_time, predicted_emotion``."""
     ok = (F.col("entry_time").isNotNull() & F.col("predicted_emotion").isNotNull()
           & (F.col("predicted_emotion") != ""))
     b = X.bucket("predicted_emotion")

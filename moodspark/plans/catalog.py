@@ -1117,22 +1117,26 @@ def h22_merged_pieces(spark, sf_dir):
 
 
 @register("a2_training_files", """
-SELECT md5(coalesce(d.text, '')) AS text, CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic,
+SELECT coalesce(d.text, '') AS text, CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic,
        CASE WHEN (('0x' || substr(md5(CAST(l.doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100) < 20
             THEN 'validation' ELSE 'train' END AS split
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
 def a2_training_files(spark, sf_dir):
-    """A2-A5: the labels written as a folder of train.tsv and dev.tsv, found and read with a given schema."""
+    """A2-A5: the labelled texts, with their quotes, tabs and line breaks, written as a folder of train.tsv and
+    dev.tsv (many files each), found and read with a given schema."""
     from ..session import checkpoint_dir
     from ..sources import io as IO
     import uuid
     base = f"{checkpoint_dir(spark).rstrip('/')}/training-{uuid.uuid4().hex[:12]}"
     rows = T.read_table(spark, sf_dir, "labels").join(_docs(spark, sf_dir), "doc_id").select(
-        F.md5(F.coalesce("text", F.lit(""))).alias("text"), "quality", "toxic", MT.holdout_flag("doc_id").alias("v"))
+        F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic", MT.holdout_flag("doc_id").alias("v"))
     for name, side in (("train.tsv", ~F.col("v")), ("dev.tsv", F.col("v"))):
-        rows.where(side).drop("v").write.option("header", True).option("sep", "\t").csv(f"{base}/{name}")
-    got = IO.load_training_data(spark, base, "text", ["quality", "toxic"], schema="text string, quality int, toxic int")
-    return got.select("text", F.col("labels")[0].cast("double").alias("quality"),
+        (rows.where(side).drop("v").write.option("header", True).option("sep", "\t").option("escape", '"')
+         .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("emptyValue", "").csv(f"{base}/{name}"))
+    got = IO.load_training_data(spark, base, "text", ["quality", "toxic"], schema="text string, quality int, toxic int",
+                                multi_line=True)
+    return got.select(F.coalesce("text", F.lit("")).alias("text"), F.col("labels")[0].cast("double").alias("quality"),
                       F.col("labels")[1].cast("double").alias("toxic"), "split")
 
 
@@ -1176,16 +1180,135 @@ def b10_blank_safe_scores(spark, sf_dir):
     return CH.blank_safe_scores(d, "turn_key").select("turn_key", "predicted_emotion", "confidence", "error")
 
 
-@register("h20_expanded_bounds", f"""WITH w AS (
-  SELECT doc_id, text, regexp_extract(text, '\\p{{Lu}}\\p{{Ll}}+') AS word FROM documents),
-s AS (SELECT *, instr(text, word) - 1 AS start FROM w WHERE word <> '')
-SELECT doc_id, word, regexp_replace(
-         regexp_extract(left(text, start), '[^{Q.WS}]*$') || word ||
-         regexp_extract(substr(text, start + length(word) + 1), '^[^{Q.WS}]*'),
+@register("h20_expanded_bounds", "WITH " + _sentences_sql("documents", "doc_id") + f""",
+w AS (
+  SELECT doc_id, sentence_idx, sentence, unnest(r) AS word, unnest(list_transform(range(1, len(r) + 1), lambda i:
+           length(array_to_string(b[1:i], '')) + length(array_to_string(r[1:i - 1], '')))) AS start
+  FROM (SELECT doc_id, sentence_idx, sentence, regexp_extract_all(sentence, '\\p{{Lu}}\\p{{Ll}}+') AS r,
+               string_split_regex(sentence, '\\p{{Lu}}\\p{{Ll}}+') AS b FROM sents))
+SELECT doc_id, CAST(sentence_idx AS INTEGER) AS sentence_idx, CAST(start AS INTEGER) AS start, word, regexp_replace(
+         regexp_extract(left(sentence, start), '[^{Q.WS}]*$') || word ||
+         regexp_extract(substr(sentence, start + length(word) + 1), '^[^{Q.WS}]*'),
          '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g') AS expanded
-FROM s""")
+FROM w""")
 def h20_expanded_bounds(spark, sf_dir):
-    """The first capitalised run of each text, as a tagger's bounds, widened to its white-space piece."""
-    w = _docs(spark, sf_dir).withColumn("word", F.regexp_extract("text", EN.CAP_WORD, 0)).where("word <> ''")
-    start = (F.instr("text", F.col("word")) - 1).cast("int")
-    return w.select("doc_id", "word", TX.expand_bounds(F.col("text"), start, start + F.length("word")).alias("expanded"))
+    """Every capitalised run of every sentence, as a tagger's bounds, widened to its white-space piece."""
+    s = EN.sentence_rows(_docs(spark, sf_dir), "doc_id").select(
+        "doc_id", "sentence_idx", "sentence", F.regexp_extract_all("sentence", F.lit(EN.CAP_WORD), 0).alias("r"),
+        F.split("sentence", EN.CAP_WORD).alias("b")).where(F.size("r") > 0)
+    # a run starts after what stands before it and all runs before
+    size = F.zip_with("b", F.concat(F.array(F.lit("")), "r"), lambda b, r: F.length(F.coalesce(b, F.lit(""))) + F.length(r))
+    starts = F.aggregate(size, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(
+        n.cast("int") + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+    runs = s.select("doc_id", "sentence_idx", "sentence", F.explode(F.arrays_zip(
+        F.col("r").alias("word"), starts.alias("start"))).alias("m")).where(F.col("m.word").isNotNull()).select(
+        "doc_id", "sentence_idx", "sentence", F.col("m.start").alias("start"), F.col("m.word").alias("word"))
+    return runs.select("doc_id", "sentence_idx", "start", "word", TX.expand_bounds(
+        F.col("sentence"), F.col("start"), F.col("start") + F.length("word")).alias("expanded"))
+
+
+# ----------------------------------------------------------------- statistics bundle, trend view, late entries
+
+def _bundle(spark, sf_dir):
+    """J9 over the short-range entries: advice of the entries' texts, summary, and one base join for all frames."""
+    from . import journal as JN
+    ent = _entries(spark, sf_dir)
+    advice = H.entity_advice_rows(ent, _doc_advice(spark, sf_dir))
+    return JN.user_stats(T.entries_with_preview(spark, sf_dir), T.analysis(spark, sf_dir), advice)
+
+
+def _register_bundle() -> None:
+    same = {"emotion_distribution": "d1_emotion_distribution", "writing_occurrences": "d2_short",
+            "time_heatmap": "d4_time_heatmap", "daily_positivity": "f5_short", "entity_impact": "d3_entity_impact"}
+    sql = {"d2_short": Q.with_views() + """
+SELECT user_id, strftime(entry_time, '%Y-%m') AS month, count(*) AS count FROM j_entries GROUP BY ALL""",
+           "f5_short": Q.with_views(d5_sql()) + "\nSELECT user_id, summary_date AS date, positivity_score AS score FROM summary_"}
+    for frame, oracle in same.items():
+        def query(spark, sf_dir, frame=frame):
+            return _bundle(spark, sf_dir)[frame]
+        query.__doc__ = f"J9: the frame {frame} of the statistics bundle."
+        register(f"j9_{frame}", sql.get(oracle) or ORACLES[oracle])(query)
+
+
+_register_bundle()
+
+
+RANGES = ["all", "thisWeek", "lastWeek", "thisMonth", "thisYear"]
+
+
+def _in_range(name: str, ts: str, as_of: str) -> str:
+    t, now = f"CAST({ts} AS TIMESTAMP)", f"TIMESTAMP '{as_of}'"
+    if name == "all":
+        return "TRUE"
+    if name == "lastWeek":
+        return f"{t} >= {now} - INTERVAL 14 DAY AND {t} < {now} - INTERVAL 7 DAY"
+    return f"{t} >= {now} - INTERVAL {dict(thisWeek=7, thisMonth=30, thisYear=365)[name]} DAY"
+
+
+def _j11_trend_sql() -> str:
+    parts = [f"""SELECT '{r}' AS range, user_id, summary_date AS date,
+  {Q.half_up2('sum(CAST(round(positivity_score * 100) AS BIGINT)) OVER w', 'count(*) OVER w')} AS score,
+  strftime(summary_date, '%b ') || CAST(day(summary_date) AS VARCHAR) AS label
+FROM summary_ WHERE {_in_range(r, 'summary_date', AS_OF_LONG)}
+WINDOW w AS (PARTITION BY user_id ORDER BY summary_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""" for r in RANGES]
+    return Q.with_views(d5_sql(LONG_ENT, LONG_ANA), long=True) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("j11_trend_views", _j11_trend_sql())
+def j11_trend_views(spark, sf_dir):
+    """The smoothed positivity series in each of the five ranges (B6, then E1)."""
+    from . import journal as JN
+    ent, ana = _long(spark, sf_dir)
+    summary = S.daily_summary(ent, ana, with_text=False)
+    out = None
+    for r in RANGES:
+        t = JN.trend_view(summary, ent, ana, AS_OF_LONG, r, window=7)["trend"].withColumn("range", F.lit(r))
+        out = t if out is None else out.unionByName(t)
+    return out.select("range", "user_id", "date", "score", "label")
+
+
+def _j11_chart_sql() -> str:
+    parts = [f"""SELECT '{r}' AS range, user_id, timestamp, score,
+  strftime(timestamp, '%b ') || CAST(day(timestamp) AS VARCHAR) || strftime(timestamp, ', %I:%M %p') AS time
+FROM fluct WHERE {_in_range(r, 'timestamp', AS_OF_SHORT)}""" for r in RANGES]
+    return Q.with_views(fluct_sql("j_entries", "j_analysis")) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("j11_chart_views", _j11_chart_sql())
+def j11_chart_views(spark, sf_dir):
+    """The fluctuation series in each of the five ranges."""
+    from . import journal as JN
+    ent, ana = _short(spark, sf_dir)
+    summary = S.daily_summary(ent, ana, with_text=False)
+    out = None
+    for r in RANGES:
+        c = JN.trend_view(summary, ent, ana, AS_OF_SHORT, r)["chart"].withColumn("range", F.lit(r))
+        out = c if out is None else out.unionByName(c)
+    return out.select("range", "user_id", "timestamp", "score", "time")
+
+
+_BUCKET_COLORS = " ".join(f"WHEN {Q.q(b)} THEN {Q.q(c)}" for b, c in _fixed.BUCKET_COLOR.items())
+
+
+@register("h9_bucket_colors", Q.with_views(d5_sql()) + f"""
+SELECT user_id, summary_date, CASE dominant_emotion {_BUCKET_COLORS} ELSE {Q.q(_fixed.BUCKET_COLOR['neutral'])} END AS color
+FROM summary_""")
+def h9_bucket_colors(spark, sf_dir):
+    """H9: the colour of each day's dominant bucket."""
+    s = S.daily_summary(*_short(spark, sf_dir), with_text=False)
+    return s.select("user_id", "summary_date", X.bucket_color("dominant_emotion").alias("color"))
+
+
+@register("b9_history_by_day", Q.with_views() + """
+SELECT e.user_id, CAST(e.entry_time AS DATE) AS day, count(*) AS entries, max(e.entry_id) AS newest_id
+FROM j_entries e WHERE CAST(e.entry_time AS DATE) IN (DATE '2024-01-03', DATE '2024-01-17') GROUP BY ALL""")
+def b9_history_by_day(spark, sf_dir):
+    """The whole history page filtered to single days (by the stored wall clock), here counted."""
+    ent, ana = T.entries(spark, sf_dir).select("entry_id", "user_id", "entry_time"), T.analysis(spark, sf_dir)
+    out = None
+    for day in ("2024-01-03", "2024-01-17"):
+        page = H.newest_entries(ent, ana, H.insight_rows(ana), limit=1 << 30, day=day).groupBy(
+            "user_id", F.lit(day).cast("date").alias("day")).agg(
+            F.countDistinct("entry_id").alias("entries"), F.max("entry_id").alias("newest_id"))
+        out = page if out is None else out.unionByName(page)
+    return out

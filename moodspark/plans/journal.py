@@ -77,14 +77,35 @@ def enrich(spark: SparkSession, entries: DataFrame, texts: DataFrame, gazetteer:
     return Enriched(analysis, H.insight_rows(analysis), advice, S.daily_summary(ent_text, analysis), rejected)
 
 
-def user_stats(entries: DataFrame, analysis: DataFrame, advice: DataFrame, summary: DataFrame) -> dict:
-    """The five frames of the statistics view, for all users."""
+def stats_base(entries: DataFrame, analysis: DataFrame) -> DataFrame:
+    """One row per entry with the emotions of its analyses (an empty array if it has none), written once.
+
+    The five frames of the statistics bundle read this table; the entries are scanned and joined once.
+    """
+    found = analysis.groupBy("entry_id").agg(F.collect_list(F.struct("predicted_emotion")).alias("found"))
+    there = [c for c in ("entry_id", "user_id", "entry_time", "preview", "text") if c in entries.columns]
+    joined = entries.select(*there).join(found, "entry_id", "left")
+    if "preview" not in there:
+        joined = joined.withColumn("preview", X.preview("text") if "text" in there else F.lit(None).cast("string")).drop("text")
+    empty = F.array().cast("array<struct<predicted_emotion:string>>")
+    return materialize(joined.withColumn("found", F.coalesce("found", empty)), "stats_base")
+
+
+def user_stats(entries: DataFrame, analysis: DataFrame, advice: DataFrame) -> dict:
+    """The five frames of the statistics view, for all users, from one stored base join.
+
+    ``advice`` rows have an ``entry_id``, or the ``user_id`` already.
+    """
+    base = stats_base(entries, analysis)
+    rows = base.select("entry_id", "user_id", "entry_time", "preview", F.explode_outer("found").alias("_a")).select(
+        "entry_id", "user_id", "entry_time", "preview", "_a.predicted_emotion")
+    analysed = base.select("user_id", F.explode("found").alias("_a")).select("user_id", "_a.predicted_emotion")
     return {
-        "emotion_distribution": ST.emotion_distribution(entries, analysis),
-        "writing_occurrences": ST.monthly_counts(entries),
-        "entity_impact": H.entity_impact(advice, entries),
-        "time_heatmap": ST.time_heatmap(entries, analysis),
-        "daily_positivity": ST.daily_positivity(summary),
+        "emotion_distribution": ST.bucket_counts(analysed),
+        "writing_occurrences": ST.monthly_counts(base),
+        "entity_impact": H.entity_impact(advice, base),
+        "time_heatmap": ST.heatmap_cells(rows),
+        "daily_positivity": ST.daily_positivity(S.daily_summary(rows, None, with_text=False)),
     }
 
 

@@ -40,15 +40,35 @@ def separator_for(path: str) -> str:
     return "\t" if ext in (".tsv", ".txt") else ","
 
 
+REJECT = "_rejected_record"
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                   multi_line: bool = False) -> DataFrame:
+                   multi_line: bool = False, rejects: bool = False) -> DataFrame:
     """A2: header row, separator by extension; no schema inference on a cluster
-    unless no schema is given. ``multi_line`` is for quoted line breaks only:
-    it makes every file one task."""
+    unless no schema is given.
+
+    ``multi_line`` is for quoted line breaks: it makes every file one task, so
+    such tables should come in many files. Without it a record that a line break
+    cuts has too few columns; records that do not fit the schema are an error
+    unless ``rejects`` keeps them, whole, in the column ``_rejected_record`` (null
+    for all others).
+    """
     r = spark.read.option("header", True).option("sep", separator_for(path)).option("multiLine", multi_line) \
-        .option("escape", '"')
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+        .option("escape", '"').option("enforceSchema", False)
+    if schema is None:
+        return r.option("inferSchema", True).csv(path)
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if not rejects:
+        return r.schema(fields).option("mode", "FAILFAST").csv(path)
+    return (r.option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
+            .schema(T.StructType([*fields.fields, T.StructField(REJECT, T.StringType())])).csv(path))
+
+
+def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows read with ``rejects``: the good ones, and the rejected records as (record)."""
+    return (df.where(F.col(REJECT).isNull()).drop(REJECT),
+            df.where(F.col(REJECT).isNotNull()).select(F.col(REJECT).alias("record")))
 
 
 def pick_existing(spark: SparkSession, base: str, candidates: list[str]) -> str | None:
@@ -75,30 +95,53 @@ def count_missing_text(df: DataFrame, text_col: str) -> DataFrame:
     return df.agg(F.count_if(F.col(text_col).isNull()).alias("missing_text"))
 
 
-def load_training_data(spark: SparkSession, path: str, text_col: str, label_cols: list[str],
-                       seed: int = 42, test_pct: int = 20, schema: T.StructType | str | None = None) -> DataFrame:
-    """A2-A5: a labelled table tagged with ``split`` ('train' / 'validation').
-
-    A directory must hold a train and a validation file (first existing
-    name of each list); a single file is split by a stable hash (A5). Without
-    a ``schema`` the files are read twice, once to infer it.
-    """
-    from ..operators.metrics import holdout_flag
-
+def read_splits(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False,
+                rejects: bool = False) -> DataFrame:
+    """A2, A3: the train and the validation file of a folder with ``split`` ('train' / 'validation'), or a single file without."""
     if is_dir(spark, path):
         tr = pick_existing(spark, path, TRAIN_NAMES)
         va = pick_existing(spark, path, VALIDATION_NAMES)
         if not tr or not va:
             raise ValueError(f"{path} holds no training file or no validation file")
-        a = to_training_rows(read_delimited(spark, tr, schema), text_col, label_cols).withColumn("split", F.lit("train"))
-        b = to_training_rows(read_delimited(spark, va, schema), text_col, label_cols).withColumn(
-            "split", F.lit("validation"))
+        a, b = (read_delimited(spark, p, schema, multi_line, rejects).withColumn("split", F.lit(n))
+                for p, n in ((tr, "train"), (va, "validation")))
         return a.unionByName(b)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"nothing to read at {path}")
-    rows = to_training_rows(read_delimited(spark, path, schema), text_col, label_cols)
-    return rows.withColumn("split", F.when(holdout_flag(F.col("text"), seed, test_pct), "validation")
-                           .otherwise("train"))
+    return read_delimited(spark, path, schema, multi_line, rejects)
+
+
+def load_training_data(spark: SparkSession, path: str, text_col: str, label_cols: list[str],
+                       seed: int = 42, test_pct: int = 20, schema: T.StructType | str | None = None,
+                       multi_line: bool = False) -> DataFrame:
+    """A2-A5: a labelled table tagged with ``split`` ('train' / 'validation').
+
+    A directory must hold a train and a validation file (first existing
+    name of each list); a single file is split by a stable hash (A5). Without
+    a ``schema`` the files are read twice, once to infer it. Records that do not
+    fit the schema are an error; :func:`load_with_rejects` keeps them aside.
+    """
+    return _training_rows(read_splits(spark, path, schema, multi_line), text_col, label_cols, seed, test_pct)
+
+
+def load_with_rejects(spark: SparkSession, path: str, text_col: str, label_cols: list[str], schema: T.StructType | str,
+                      seed: int = 42, test_pct: int = 20, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As :func:`load_training_data`, and (record, reason) of what is not in it: broken records and missing texts."""
+    rows = read_splits(spark, path, schema, multi_line, rejects=True)
+    good, broken = split_rejects(rows)
+    missing = good.where(F.col(text_col).isNull()).select(F.to_csv(F.struct(*good.columns)).alias("record"),
+                                                          F.lit("missing text").alias("reason"))
+    return (_training_rows(good, text_col, label_cols, seed, test_pct),
+            broken.withColumn("reason", F.lit("broken record")).unionByName(missing))
+
+
+def _training_rows(rows: DataFrame, text_col: str, label_cols: list[str], seed: int, test_pct: int) -> DataFrame:
+    from ..operators.metrics import holdout_flag
+
+    split = F.col("split") if "split" in rows.columns else F.when(
+        holdout_flag(F.col(text_col).cast("string"), seed, test_pct), "validation").otherwise("train")
+    return rows.select(F.col(text_col).cast("string").alias("text"), F.array(
+        *[F.col(c).cast("float") for c in label_cols]).alias("labels"), split.alias("split")).where(F.col("text").isNotNull())
 
 
 # ------------------------------------------------------------------ A8 JSON columns
