@@ -7,10 +7,15 @@ label, then one over labels, so any number of items costs one shuffle of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import materialize
 
 
 def _div(a, b):
@@ -68,39 +73,52 @@ def holdout_flag(key, seed: int = 42, test_pct: int = 20):
     return F.pmod(h.cast("long"), F.lit(100)) < test_pct
 
 
-def train_binary_relevance(train: DataFrame, label_cols: list[str], text_col: str = "text",
-                           num_features: int = 1 << 16, max_iter: int = 20):
-    """HashingTF + IDF shared features, one LogisticRegression per label.
+class LabelModel:
+    """Shared features (tokens, hashed counts, IDF) and one logistic regression per label.
 
-    Returns (feature_model, {label: lr_model}). Training runs on executors;
-    nothing is collected beyond model coefficients.
+    For training, features are computed once and written to the shared folder,
+    where every label's fit reads them; at prediction one pass over the texts
+    gives the logits of all labels. The model is saved with its label list.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-
-    feats = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]+", gaps=False,
-                       toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="features"),
-    ]).fit(train)
-    ft = feats.transform(train).select("features", *label_cols)
-    models = {}
-    for lab in label_cols:
-        lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=max_iter)
-        models[lab] = lr.fit(ft.select("features", F.col(lab).cast("double").alias("_label")))
-    return feats, models
-
-
-def predict_logits(feats, models: dict, df: DataFrame, item: str, text_col: str = "text") -> DataFrame:
-    """(item, label, logit) rows: the margin of each label's model."""
-    from pyspark.ml.functions import vector_to_array
-
-    ft = feats.transform(df.select(item, text_col)).select(item, "features")
-    out = None
-    for lab, m in models.items():
-        p = m.transform(ft).select(item, F.lit(lab).alias("label"),
-                                   vector_to_array("rawPrediction").getItem(1).alias("logit"))
-        out = p if out is None else out.unionByName(p)
-    return out
+
+    def __init__(self, features: PipelineModel, labels: list[str], models: list[LogisticRegressionModel]):
+        self.features, self.labels = features, labels
+        self.models = [m.setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_p{k}").setPredictionCol(f"_y{k}")
+                       for k, m in enumerate(models)]
+
+    @classmethod
+    def fit(cls, train: DataFrame, label_cols: list[str], text_col: str = "text", num_features: int = 1 << 16,
+            max_iter: int = 20) -> LabelModel:
+        """Rows without a text or without a label take no part in the fits that need it."""
+        train = train.where(F.col(text_col).isNotNull())
+        features = Pipeline(stages=[
+            RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]+", gaps=False, toLowercase=True),
+            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
+            IDF(inputCol="_tf", outputCol="features"),
+        ]).fit(train)
+        rows = materialize(features.transform(train).select(
+            "features", *[F.col(c).cast("double").alias(f"_label{k}") for k, c in enumerate(label_cols)]), "features")
+        return cls(features, list(label_cols), [
+            LogisticRegression(featuresCol="features", labelCol=f"_label{k}", maxIter=max_iter).fit(
+                rows.where(F.col(f"_label{k}").isNotNull())) for k in range(len(label_cols))])
+
+    def logits(self, df: DataFrame, item: str, text_col: str = "text") -> DataFrame:
+        """(item, label, logit) rows: the margin of each label's model; a null text counts as empty."""
+        out = self.features.transform(df.select(item, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))).select(item, "features")
+        for m in self.models:
+            out = m.transform(out)
+        return out.select(item, F.inline(F.array(*[F.struct(
+            F.lit(label).alias("label"), vector_to_array(f"_raw{k}")[1].alias("logit")) for k, label in enumerate(self.labels)])))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """``features``, one ``model_<k>`` a label and ``labels`` (k, label) under ``path``, which must not hold a model."""
+        self.features.save(f"{path}/features")
+        for k, m in enumerate(self.models):
+            m.save(f"{path}/model_{k}")
+        spark.createDataFrame(list(enumerate(self.labels)), "k int, label string").coalesce(1).write.json(f"{path}/labels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LabelModel:
+        found = spark.read.schema("k int, label string").json(f"{path}/labels").orderBy("k").collect()
+        return cls(PipelineModel.load(f"{path}/features"), [r["label"] for r in found],
+                   [LogisticRegressionModel.load(f"{path}/model_{r['k']}") for r in found])

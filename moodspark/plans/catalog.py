@@ -641,15 +641,18 @@ def a5_holdout_split(spark, sf_dir):
 
 @register("j13_train_evaluate")
 def j13_train_evaluate(spark, sf_dir):
+    """Fitted on the training fold, saved with its labels, read back, and its stored logits evaluated."""
+    from ..session import checkpoint_dir, materialize
+    import uuid
     lab = T.read_table(spark, sf_dir, "labels").join(_docs(spark, sf_dir), "doc_id", "inner")
     lab = lab.withColumn("_val", MT.holdout_flag("doc_id"))
-    train, val = lab.where(~F.col("_val")), lab.where(F.col("_val"))
-    feats, models = MT.train_binary_relevance(train, ["quality", "toxic"])
-    logits = MT.predict_logits(feats, models, val, "doc_id")
-    truth = val.select("doc_id", F.lit("quality").alias("label"), F.col("quality").alias("y")).unionByName(
-        val.select("doc_id", F.lit("toxic").alias("label"), F.col("toxic").alias("y")))
-    rows = logits.join(truth, ["doc_id", "label"], "inner")
-    return MT.multilabel_metrics(rows, item="doc_id")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/labels-{uuid.uuid4().hex[:12]}"
+    MT.LabelModel.fit(lab.where(~F.col("_val")), ["quality", "toxic"]).save(spark, path)
+    val = lab.where(F.col("_val"))
+    logits = materialize(MT.LabelModel.load(spark, path).logits(val, "doc_id"), "logits")
+    truth = val.select("doc_id", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("y"))
+                                                    for c in ("quality", "toxic")])))
+    return MT.multilabel_metrics(logits.join(truth, ["doc_id", "label"], "inner"), item="doc_id")
 
 
 # ----------------------------------------------------------------- S1-S3 streaming
@@ -1117,26 +1120,26 @@ def h22_merged_pieces(spark, sf_dir):
 
 
 @register("a2_training_files", """
-SELECT coalesce(d.text, '') AS text, CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic,
+SELECT d.text, CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic,
        CASE WHEN (('0x' || substr(md5(CAST(l.doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100) < 20
             THEN 'validation' ELSE 'train' END AS split
-FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE d.text <> ''""")
 def a2_training_files(spark, sf_dir):
     """A2-A5: the labelled texts, with their quotes, tabs and line breaks, written as a folder of train.tsv and
-    dev.tsv (many files each), found and read with a given schema."""
+    dev.tsv (many files each), found and read with a given schema. An empty field is a missing text."""
     from ..session import checkpoint_dir
     from ..sources import io as IO
     import uuid
     base = f"{checkpoint_dir(spark).rstrip('/')}/training-{uuid.uuid4().hex[:12]}"
     rows = T.read_table(spark, sf_dir, "labels").join(_docs(spark, sf_dir), "doc_id").select(
-        F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic", MT.holdout_flag("doc_id").alias("v"))
+        "text", "quality", "toxic", MT.holdout_flag("doc_id").alias("v"))
     for name, side in (("train.tsv", ~F.col("v")), ("dev.tsv", F.col("v"))):
         (rows.where(side).drop("v").write.option("header", True).option("sep", "\t").option("escape", '"')
          .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("emptyValue", "").csv(f"{base}/{name}"))
+         .csv(f"{base}/{name}"))
     got = IO.load_training_data(spark, base, "text", ["quality", "toxic"], schema="text string, quality int, toxic int",
                                 multi_line=True)
-    return got.select(F.coalesce("text", F.lit("")).alias("text"), F.col("labels")[0].cast("double").alias("quality"),
+    return got.select("text", F.col("labels")[0].cast("double").alias("quality"),
                       F.col("labels")[1].cast("double").alias("toxic"), "split")
 
 

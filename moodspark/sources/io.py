@@ -52,7 +52,8 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
     such tables should come in many files. Without it a record that a line break
     cuts has too few columns; records that do not fit the schema are an error
     unless ``rejects`` keeps them, whole, in the column ``_rejected_record`` (null
-    for all others).
+    for all others). The tail of a cut record can fit the schema by chance, so
+    tables with line breaks in texts are to be read with ``multi_line``.
     """
     r = spark.read.option("header", True).option("sep", separator_for(path)).option("multiLine", multi_line) \
         .option("escape", '"').option("enforceSchema", False)
@@ -117,7 +118,8 @@ def load_training_data(spark: SparkSession, path: str, text_col: str, label_cols
     """A2-A5: a labelled table tagged with ``split`` ('train' / 'validation').
 
     A directory must hold a train and a validation file (first existing
-    name of each list); a single file is split by a stable hash (A5). Without
+    name of each list); a single file is split by a stable hash (A5). An empty
+    field is a missing text, quoted or not, and its row is left out. Without
     a ``schema`` the files are read twice, once to infer it. Records that do not
     fit the schema are an error; :func:`load_with_rejects` keeps them aside.
     """
@@ -126,8 +128,13 @@ def load_training_data(spark: SparkSession, path: str, text_col: str, label_cols
 
 def load_with_rejects(spark: SparkSession, path: str, text_col: str, label_cols: list[str], schema: T.StructType | str,
                       seed: int = 42, test_pct: int = 20, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """As :func:`load_training_data`, and (record, reason) of what is not in it: broken records and missing texts."""
-    rows = read_splits(spark, path, schema, multi_line, rejects=True)
+    """As :func:`load_training_data`, and (record, reason) of what is not in it: broken records and missing texts.
+
+    The files are parsed once, into the shared folder; both results read that.
+    """
+    from ..session import materialize
+
+    rows = materialize(read_splits(spark, path, schema, multi_line, rejects=True), "parsed")
     good, broken = split_rejects(rows)
     missing = good.where(F.col(text_col).isNull()).select(F.to_csv(F.struct(*good.columns)).alias("record"),
                                                           F.lit("missing text").alias("reason"))

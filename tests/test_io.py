@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from moodspark.sources import io as IO
@@ -56,3 +57,39 @@ def test_replace_by_key_and_mergeschema(spark):
     df = IO.ensure_analysis_columns(IO.read_evolving(spark, [os.path.join(d, "a"), os.path.join(d, "b")]))
     rows = {r.entry_id: r.task_type for r in df.collect()}
     assert rows == {1: None, 2: "multi_label"} and "scores" in df.columns
+
+
+TEXTS = ['plain', 'two\nlines', 'a\ttab', 'say "hi", twice', "", "back\\slash", " kept spaces ", "é 🙂\r\nend"]
+
+
+def test_whole_texts_come_back_from_training_files(spark, tmp_path):
+    rows = spark.createDataFrame([(t, i % 2) for i, t in enumerate(TEXTS)], "text string, joy int")
+    for name in ("train.csv", "val.tsv"):
+        (rows.write.option("header", True).option("sep", IO.separator_for(name)).option("escape", '"').option("quoteAll", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(f"{tmp_path}/{name}"))
+    df = IO.load_training_data(spark, str(tmp_path), "text", ["joy"], schema="text string, joy int", multi_line=True)
+    for split in ("train", "validation"):
+        assert sorted(r.text for r in df.where(F.col("split") == split).collect()) == sorted(filter(None, TEXTS))
+
+
+def test_broken_records_are_an_error_or_kept_aside(spark, tmp_path):
+    path, schema = f"{tmp_path}/all.csv", "text string, joy int"
+    with open(path, "w") as f:
+        f.write('text,joy\ngood,1\ntoo few\nno number,many\n,1\nlast,0\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        IO.load_training_data(spark, path, "text", ["joy"], schema=schema).collect()
+    good, bad = IO.load_with_rejects(spark, path, "text", ["joy"], schema)
+    assert sorted(r.text for r in good.collect()) == ["good", "last"]
+    assert sorted((r.reason, r.record) for r in bad.collect()) == [
+        ("broken record", "no number,many"), ("broken record", "too few"), ("missing text", ",1")]
+
+
+def test_a_cut_text_is_an_error_unless_lines_may_break(spark, tmp_path):
+    path, schema = f"{tmp_path}/all.csv", "text string, joy int"
+    with open(path, "w") as f:
+        f.write('text,joy\ngood,1\n"a text\ncut in two",0\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        IO.load_training_data(spark, path, "text", ["joy"], schema=schema).collect()
+    whole = IO.load_training_data(spark, path, "text", ["joy"], schema=schema, multi_line=True)
+    assert sorted(r.text for r in whole.collect()) == ["a text\ncut in two", "good"]
