@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, free_names, materialize
 
 BITS = 64
 BUCKET = 64
@@ -158,15 +158,17 @@ def hex_fingerprint(col: str = "fp"):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id; all columns kept.
+    """``docs`` with one row of each group: the one with the smallest id; all columns kept, whatever their names.
 
     A group whose ids are all null keeps one row. Rows with one id are copies
-    of one document if their fingerprints are linked; one of them stays.
+    of one document if their fingerprints are linked; one of them stays. Each
+    row is shuffled once, by its id, to meet the ids that stay.
     """
     groups = near_groups(docs, id_col, text_col, **how)
     none = groups.where("component_id is null").groupBy("fp").agg(F.lit(1).alias("one"))
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    with_id = docs.join(keep, docs[id_col].cast("bigint") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    (key,) = free_names(docs, "key")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    with_id = docs.withColumn(key, F.col(id_col).cast("bigint")).join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
     if none.isEmpty():
         return with_id
     nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
@@ -175,7 +177,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _one_of_each(nameless: DataFrame, text_col: str, none: DataFrame, **how) -> DataFrame:
     """One row of each group among rows without ids: they get ids for the purpose."""
-    named = materialize(nameless.withColumn("_own", F.monotonically_increasing_id()), "simhash_nameless")
-    groups = near_groups(named, "_own", text_col, **how).join(none, "fp", "left_semi")
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_own"))
-    return named.join(keep, "_own", "left_semi").drop("_own")
+    (own,) = free_names(nameless, "own")
+    named = materialize(nameless.withColumn(own, F.monotonically_increasing_id()), "simhash_nameless")
+    groups = near_groups(named, own, text_col, **how).join(none, "fp", "left_semi")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own))
+    return named.join(keep, own, "left_semi").drop(own)
