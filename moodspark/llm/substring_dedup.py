@@ -244,6 +244,13 @@ def first_documents(passages: dict[bytes, tuple[int, int, int]], length: int = L
     return out
 
 
+def _blocks_of(keys: np.ndarray, tags: np.ndarray, blocks: int) -> np.ndarray:
+    """A hash of the id, of the text where there is no id: ids with a stride, or rows without one, are spread as well."""
+    x = np.where(keys == LOWEST, tags, keys).astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(blocks)).astype(np.int64)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space).
 
@@ -323,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     elif key > low:
                         found += [(key, tag, x, y) for x, y in _runs(np.array(f), key, start, length)]
         spans = np.array(found, np.int64).reshape(-1, 4)
-        block = spans[:, 0] % blocks
+        block = _blocks_of(spans[:, 0], spans[:, 1], blocks)
         order = np.lexsort((spans[:, 2], spans[:, 0], block))
         spans, block = spans[order], block[order]
         cut = np.flatnonzero(np.diff(block, prepend=-1))
@@ -334,7 +341,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Texts go to their blocks compressed: they are the larger part of what is shuffled."""
         for batch in batches:
             packed = [zstandard.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 3) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["known"], batch["block"], pa.array(packed, pa.binary())],
+            keys, tags = batch["key"].to_numpy(), np.zeros(len(batch), np.int64)
+            for k in np.flatnonzero(keys == LOWEST).tolist():
+                tags[k] = _tag(_split(batch["text"][k].as_py()))
+            block = pa.array(_blocks_of(keys, tags, blocks).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["known"], block, pa.array(packed, pa.binary())],
                                              ["key", "known", "block", "text"])
 
     def finish(block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans = rows.select("key", "text").mapInArrow(send, "shard int, data binary").groupBy("shard").applyInPandas(
         match, "block int, spans binary")
-    dealt = rows.select("key", "known", F.pmod(F.col("key"), F.lit(blocks)).cast("int").alias("block"), "text").mapInArrow(
+    dealt = rows.select("key", "known", "text").mapInArrow(
         squeeze, "key bigint, known boolean, block int, text binary")
     done = dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(
         finish, "key bigint, known boolean, n_words bigint, n_removed bigint, kept_text string")
