@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, blocks_for, gapless_rank, materialize, split_points
+from .common import block_of, blocks_for, free_names, gapless_rank, materialize, split_points
 
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 2
@@ -55,7 +55,8 @@ def with_shard(df: DataFrame, key: str, shards: int, name: str) -> DataFrame:
     """Add ``name``: the shard of ``key`` among ``shards``, a function of the key and the shard count alone.
 
     A null key counts as a key of its own. A level's draws are taken only
-    among the children of the node chosen above it.
+    among the children of the node chosen above it. All columns are kept,
+    whatever their names; a column ``name`` is replaced.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
@@ -63,18 +64,21 @@ def with_shard(df: DataFrame, key: str, shards: int, name: str) -> DataFrame:
     of = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     racks = [[len(rack) for rack in region] + [0] * (RACKS_PER_REGION - len(region)) for region in layout]
     leaves = [int(k < n) for region in racks for n in region for k in range(SHARDS_PER_RACK)]
-    region, rack = F.col("_region"), F.col("_rack")
-    df = df.withColumn("_region", _choose(of, [], [sum(r) for r in racks], len(layout)))
-    df = df.withColumn("_rack", _choose(of, [region], [n for r in racks for n in r], RACKS_PER_REGION))
+    at_region, at_rack = free_names(df, "region", "rack")
+    region, rack = F.col(at_region), F.col(at_rack)
+    df = df.withColumn(at_region, _choose(of, [], [sum(r) for r in racks], len(layout)))
+    df = df.withColumn(at_rack, _choose(of, [region], [n for r in racks for n in r], RACKS_PER_REGION))
     shard = (region * RACKS_PER_REGION + rack) * SHARDS_PER_RACK + _choose(of, [region, rack], leaves, SHARDS_PER_RACK)
-    return df.withColumn(name, shard.cast("int")).drop("_region", "_rack")
+    return df.withColumn(name, shard.cast("int")).drop(at_region, at_rack)
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     The law is ``key``: the id and the shard count decide, so rows with equal
-    ids share a shard. Size is the UTF-8 bytes of the text plus 16, a null text
+    ids share a shard. That one more shard takes rows only into itself holds
+    where all regions are full (a multiple of eight shards); inside a partly
+    filled region rows can also move between its shards. Size is the UTF-8 bytes of the text plus 16, a null text
     has none and its CRC is that of the empty text. Rows with a null id go to
     one shard together. ``slot`` numbers a shard's rows from 0 without gaps, by
     id (null first), then CRC and size. Further columns are not read; an empty
