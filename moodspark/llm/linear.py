@@ -116,7 +116,7 @@ def scores(rows: list[np.ndarray], model: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 6, l2: float = 1e-5, epochs: int = 40,
-                least: int = 3, most: int = 4096, sure: float = 3.0, rate: float = 0.1, l1: float = 3e-4,
+                least: int = 3, most: int = 4096, sure: float = 3.0, rate: float = 0.1, l1: float = 1e-3,
                 factor_l2: float = 1e-2, factor_rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, float]:
     """Factorization machine for labels 0/1 over all features found in ``least`` rows or more: model and constant.
 
