@@ -81,21 +81,6 @@ def pick_existing(spark: SparkSession, base: str, candidates: list[str]) -> str
     return None
 
 
-def to_training_rows(df: DataFrame, text_col: str, label_cols: list[str]) -> DataFrame:
-    """A4: text as string, labels as array<float> in the given order.
-
-    A missing text stays NULL (the reference turned it into the string
-    'nan'); such rows are dropped here, ``count_missing_text`` reports them.
-    """
-    return df.select(F.col(text_col).cast("string").alias("text"),
-                     F.array(*[F.col(c).cast("float") for c in label_cols]).alias("labels")) \
-        .where(F.col("text").isNotNull())
-
-
-def count_missing_text(df: DataFrame, text_col: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(text_col).isNull()).alias("missing_text"))
-
-
 def read_splits(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False,
                 rejects: bool = False) -> DataFrame:
     """A2, A3: the train and the validation file of a folder with ``split`` ('train' / 'validation'), or a single file without."""
