@@ -74,3 +74,23 @@ def test_a_sentence_of_thousands_of_names_is_linear(spark):
     start = time.time()
     got = _names(spark, " and ".join(names), [(n, "PER") for n in names])
     assert len(got) == 5000 and time.time() - start < 60
+
+
+def test_names_move_without_their_sentences(spark):
+    texts = spark.createDataFrame([(1, "Anna came.")], "doc_id long, text string")
+    gaz = spark.createDataFrame([("Anna", "PER")], "word string, label string")
+    names = EN.sentence_targets(EN.sentence_names(texts, "doc_id", gaz), "doc_id")
+    assert names.columns == ["doc_id", "sentence_idx", "digest", "targets"] and len(names.first().digest) == 16
+
+
+def test_rule_within_the_row_equals_the_grouped_scorer_and_a_repeated_key_counts_once(spark):
+    said = ("Anna was angry, but Bob Marley loves Anna. She cried. Bob came. Anna and Bob, while Anna is proud, fear Bob. "
+            "It rained. It rained. Though she smiled, Anna was sad. Bob came.")
+    texts = spark.createDataFrame([(1, said), (1, said), (2, "Bob came."), (3, None), (4, " "), (None, "Bob came.")],
+                                  "doc_id long, text string")
+    gaz = spark.createDataFrame([("Anna", "PER"), ("Bob", "PER"), ("Bob Marley", "PER")], "word string, label string")
+    row = sorted(map(tuple, EN.entity_mentions(texts, "doc_id", gaz).collect()))
+    assert row == sorted(map(tuple, EN.entity_mentions(texts, "doc_id", gaz, EN.keyword_label_scorer).collect()))
+    once = texts.distinct()
+    assert row == sorted(map(tuple, EN.entity_mentions(once, "doc_id", gaz).collect()))
+    assert len(row) == len({(r[0], r[1], r[2]) for r in row}) > 6 and {r[0] for r in row} == {1, 2}

@@ -39,3 +39,15 @@ def test_metrics_hand_case(spark):
     assert m.subset_accuracy == 0.5 and m.hamming_loss == 0.25
     assert (round(m.precision_macro, 4), round(m.recall_macro, 4), round(m.f1_macro, 4)) == (1.0, 0.75, 0.8333)
     assert (round(m.precision_micro, 4), round(m.recall_micro, 4), round(m.f1_micro, 4)) == (1.0, 0.6667, 0.8)
+
+
+def test_java_class_of_white_space_holds_the_same_characters(spark):
+    from moodspark.functions import exprs as X
+    from moodspark.functions import fixed
+
+    c = spark.range(1, 0xD800).select(F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), "UTF-8"),
+                                               "UTF-8").alias("c"))
+    a, b = fixed.PY_WHITESPACE_CLASS, X.JAVA_WS
+    assert c.where(F.col("c").rlike(f"[{a}]") != F.col("c").rlike(f"[{b}]")).count() == 0
+    assert c.where(F.col("c").rlike(f"[^{a}]") != F.col("c").rlike(f"[^{b}]")).count() == 0
+    assert c.where(F.col("c").rlike(f"[{b}]")).count() == 29
