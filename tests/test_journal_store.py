@@ -118,3 +118,15 @@ def test_unknown_labels_are_rejected(spark):
     assert {r.entry_id: r.model_name == "p" for r in res.analysis.collect()} == {11: True, 12: False, 13: False}
     first = res.summary.where("user_id = 1").orderBy("summary_date").first()
     assert first.dominant_emotion == "neutral" and "null" not in first.summary_text
+
+
+def _join_columns(plan):
+    kids = [plan.children().apply(i) for i in range(plan.children().size())]
+    out = {plan.output().apply(i).name() for i in range(plan.output().size())} if plan.nodeName() == "Join" else set()
+    return out.union(*map(_join_columns, kids))
+
+
+def test_enriched_summary_joins_previews_not_texts(spark):
+    texts, names, entries = _inputs(spark)
+    cols = _join_columns(JN.enrich(spark, entries, texts, names).summary._jdf.queryExecution().optimizedPlan())
+    assert "preview" in cols and "text" not in cols
