@@ -93,3 +93,14 @@ def test_a_cut_text_is_an_error_unless_lines_may_break(spark, tmp_path):
         IO.load_training_data(spark, path, "text", ["joy"], schema=schema).collect()
     whole = IO.load_training_data(spark, path, "text", ["joy"], schema=schema, multi_line=True)
     assert sorted(r.text for r in whole.collect()) == ["a text\ncut in two", "good"]
+
+
+def test_training_files_keep_rows_without_text(spark, tmp_path):
+    from moodspark.plans import catalog
+
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a \"b\"\tc\nd"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = catalog.a2_training_files(spark, str(tmp_path)).collect()
+    assert sorted((r.text, r.quality, r.toxic) for r in got) == [("", 0.0, 1.0), ("", 1.0, 1.0), ("a \"b\"\tc\nd", 1.0, 0.0)]
