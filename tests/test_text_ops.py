@@ -51,3 +51,19 @@ def test_java_class_of_white_space_holds_the_same_characters(spark):
     assert c.where(F.col("c").rlike(f"[{a}]") != F.col("c").rlike(f"[{b}]")).count() == 0
     assert c.where(F.col("c").rlike(f"[^{a}]") != F.col("c").rlike(f"[^{b}]")).count() == 0
     assert c.where(F.col("c").rlike(f"[{b}]")).count() == 29
+
+
+def test_running_sums_over_many_blocks_and_runs_widened_to_their_piece(spark):
+    from moodspark.functions import text as TX
+    from moodspark.operators import entities as EN
+
+    got = spark.range(1).select(TX.running_sums(F.transform(F.sequence(F.lit(0), F.lit(1499)), lambda i: (i % 7).cast("int")))
+                                .alias("s")).first().s
+    want = [sum(i % 7 for i in range(n + 1)) for n in range(1500)]
+    assert got == want
+    text = "(Anna-Maria's, a　BobCat) x " * 400
+    rows = EN.expanded_runs(EN.sentence_rows(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id"), "doc_id")
+    old = rows.where("word = 'Cat'").orderBy("start").select("start", "expanded").first()
+    assert rows.count() == 1600 and tuple(old) == (20, "BobCat")
+    at = rows.join(spark.createDataFrame([(text.strip(),)], "s string")).where(F.expr("substr(s, start + 1, length(word)) <> word"))
+    assert at.count() == 0 and {r.expanded for r in rows.select("expanded").distinct().collect()} == {"Anna-Maria's", "BobCat"}
