@@ -130,3 +130,11 @@ def test_enriched_summary_joins_previews_not_texts(spark):
     texts, names, entries = _inputs(spark)
     cols = _join_columns(JN.enrich(spark, entries, texts, names).summary._jdf.queryExecution().optimizedPlan())
     assert "preview" in cols and "text" not in cols
+
+
+def test_keys_of_a_change_are_joined_by_merge(spark):
+    few = spark.createDataFrame([(1,)], "entry_id long")
+    many = spark.range(1000).withColumnRenamed("id", "entry_id")
+    for how in ("left_anti", "left_semi", "inner"):
+        plan = many.join(JN._by_merge(few).select("entry_id"), "entry_id", how)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
