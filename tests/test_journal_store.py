@@ -96,6 +96,31 @@ def test_removal_cascades_from_users_and_entries(spark, tmp_path):
     assert all(store.read(n).count() == 0 for n in (*store.TABLES, "summary"))
 
 
+def test_advice_of_a_text_is_stored_once_and_staged_content_goes(spark, tmp_path):
+    texts, names, entries = _inputs(spark)
+    many = spark.range(50).select(F.col("id").alias("entry_id"), (F.col("id") % 5).alias("user_id"), F.lit(
+        dt.datetime(2024, 1, 1, 9)).cast("timestamp_ntz").alias("entry_time"), F.lit(1).cast("long").alias("doc_id"),
+        (F.col("id") == 7).alias("quiet"))
+    store = JN.JournalStore(spark, f"{tmp_path}/journal")
+    # names of changes that look like numbers stay names
+    store.apply(many, texts, names, incognito_col="quiet", change="12e3", reuse=True)
+    store.apply(entries.where("entry_id = 13").withColumn("entry_id", F.lit(60).cast("long")), texts, names, change="c2", reuse=True)
+    advice = {(r.entry_id, r.ord): r for r in store.read("advice").collect()}
+    assert set(advice) == {(i, o) for i in [*range(50), 60] for o in (0, 1)} - {(7, 1)}
+    assert advice[3, 1].title.endswith("Anna") and advice[3, 1].created_at == dt.datetime(2024, 1, 1, 9)
+    assert spark.read.parquet(f"{tmp_path}/journal/advice").where("entry_id is not null").count() == 51
+    assert spark.read.parquet(f"{tmp_path}/journal/texts/advice").count() == 2
+    assert all(not os.path.exists(f"{tmp_path}/journal/_staged/{c}/{t}") for c in ("12e3", "c2") for t in (*store.TABLES, "summary"))
+
+
+def test_shuffles_are_dropped_within_the_block_only(spark):
+    from moodspark.session import SHUFFLE_CLEANUP, shuffles_dropped
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    with shuffles_dropped(spark, spark):
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+
+
 def test_cascade_over_frames(spark):
     texts, names, entries = _inputs(spark)
     res = JN.enrich(spark, entries, texts, names)
