@@ -1,5 +1,9 @@
 """Keyword scorer: hand-worked cases and properties (whole tables: its oracle)."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from moodspark.functions import fixed
 from moodspark.operators import keyword as K
 
@@ -36,3 +40,30 @@ def test_the_own_stem_of_a_label_matches_it(spark):
     labels = [x for x in fixed.LABELS if x != "neutral"]
     got = _scores(spark, [fixed.stems_of(x)[0] for x in labels])
     assert all(r.match_score > 0 and r.confidence == 0.5 for r in got.values())
+
+
+def _odd_texts():
+    stems = [s for _, _, _, s in fixed.label_stems()]
+    rnd = random.Random(7)
+    parts = [*stems, *(s[:k] for s in stems for k in (1, 2, 3, 5)), "angle", "ANGRY", "İf", "ſad", "sad", "x", "9", "_", "é", "Σ",
+             "\U0001d49c", "\U0001f600", "", "'", "-", ".", "! ", " ", " ", " ", "\n", " ", "s"]
+    return ["", None, "A sad day. an angry\U0001d49cangry \U0001f600joy"] + [
+        "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(400)]
+
+
+def test_candidate_words_are_the_words_that_begin_like_a_stem(spark):
+    stems = [s for _, _, _, s in fixed.label_stems()]
+    prefixes, heads = {s[:k] for s in stems for k in range(1, len(s) + 1)}, {s[:3] for s in stems}
+    rows = spark.createDataFrame([(t,) for t in _odd_texts()], "text string").select(
+        K.tokens(F.col("text")).alias("all"), K.candidate_words(F.col("text")).alias("found")).collect()
+    assert sum(len(r.found) for r in rows) > 400
+    assert all(r.found == [w for w in r.all if w in prefixes or w[:3] in heads] for r in rows)
+
+
+def test_labels_within_the_row_are_those_of_the_grouped_scorer(spark):
+    df = spark.createDataFrame(list(enumerate(_odd_texts())), "i long, text string")
+    cols = ["i", "predicted_emotion", "confidence"]
+    got = K.keyword_labels(df.withColumn("w", K.candidate_words(F.col("text"))), "w").select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, K.keyword_score(df, "i").select(*cols).collect()))
+    joined = K.keyword_labels(df.withColumn("w", F.concat(*[K.candidate_words(F.lit(t)) for t in ("I am sad", "so sad", "sad")])), "w").first()
+    assert joined.predicted_emotion == "sadness"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from moodspark.functions import text as TX
 from moodspark.operators import chunks as CH
 from moodspark.operators import metrics as MT
 
@@ -67,3 +68,13 @@ def test_running_sums_over_many_blocks_and_runs_widened_to_their_piece(spark):
     assert rows.count() == 1600 and tuple(old) == (20, "BobCat")
     at = rows.join(spark.createDataFrame([(text.strip(),)], "s string")).where(F.expr("substr(s, start + 1, length(word)) <> word"))
     assert at.count() == 0 and {r.expanded for r in rows.select("expanded").distinct().collect()} == {"Anna-Maria's", "BobCat"}
+
+
+def test_plain_names_and_sentences_take_the_short_way(spark):
+    names = ["Anna", "Anna Lee", "Anna  Lee", "anna", "ANNA", "Anna-lee", "Anna\n", " Anna", "Annas'", "Anna's", "É", "Ann1", "A", "", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(
+        "n", TX.clean_entity_name(F.col("n")).alias("c"), TX.capitalize_entity(F.col("n")).alias("k")).collect()
+    assert [r.c for r in got] == ["Anna", "Anna Lee", "Anna  Lee", "anna", "ANNA", "Anna-lee", "Anna", "Anna", "Annas", "Anna",
+                                  "", "Ann1", "A", "", ""]
+    assert [r.k for r in got] == ["Anna", "Anna Lee", "Anna Lee", "Anna", "Anna", "Anna-Lee", "Anna", "Anna", "Annas'", "Anna's",
+                                  "É", "Ann1", "A", "", None]
